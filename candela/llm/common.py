@@ -74,7 +74,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
     Runs in Arrow's kernels; Python sees each distinct word of the batch once at most.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")  # a copy: kernels misread slices
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     flat = lists.flatten()
     keep = np.asarray(pc.greater(pc.binary_length(flat), 0))
