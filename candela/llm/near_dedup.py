@@ -17,9 +17,9 @@ from candela.llm.components import components
 SHINGLE, PERCENT = 5, 75
 #: Slots of the one permutation, and slots in a band. At similarity 0.75 a pair shares no band with chance (1-0.75^4)^32, about 5e-6.
 SLOTS, ROWS = 128, 4
-#: Members of a bucket that are paired with those of its other components in each turn after the first, and the least number
-#: of such turns. From the second one on, buckets are narrowed by a further band, so that hubs are ever closer to the rest.
-HUBS, TURNS = 8, 4
+#: Where a bucket isn't linked through its centre: members that are paired with the others in the first further turn and in
+#: each after it, and other bands that narrow the bucket for this.
+HUBS, LATER_HUBS, FURTHER = 6, 2, 3
 #: For each slot the order in which other slots are asked for a value while it is empty.
 PROBES = np.stack([np.random.RandomState(1_000_003 + slot).permutation(SLOTS) for slot in range(SLOTS)])
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -133,24 +133,26 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(right, "v").join(left, "u").select("u", "v", "u_text", "v_text").mapInArrow(_linked, "u long, v long")
 
 
-def _edges_by_hubs(members: DataFrame, roots: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
-    """Untested pairs of ``HUBS`` members of a bucket, drawn anew each turn, and the members still in another component."""
-    further = (turn - 1) % TURNS
-    key = F.xxhash64("key", F.get("more", F.lit(further - 1))) if further else F.col("key")
-    placed = members.select(key.alias("key"), "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    draws = [F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + k)), "node", "n", "root")).alias(f"hub{k}") for k in range(HUBS)]
-    hubs = (
-        placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), *draws)
-        .where("least != most").select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"hub{k}.node", f"hub{k}.n", f"hub{k}.root") for k in range(HUBS)]))).alias("hub"))
-    )
-    pairs = (
+def _edges_by_hubs(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a hub and the members of its bucket that are still in another component.
+
+    A bucket is narrowed here by each of ``FURTHER`` other bands, so that its hubs, members drawn anew each turn, are close
+    to the rest.
+    """
+    hubs_now = HUBS if turn == 1 else LATER_HUBS
+    placed = members.select("key", "node", "n", "more").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = placed.select("node", "n", "root", F.explode(F.transform("more", lambda x: F.xxhash64("key", x))).alias("key"))
+    draws = [F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + k)), "node", "n", "root")).alias(f"hub{k}") for k in range(hubs_now)]
+    picked = F.array_distinct(F.array(*[F.struct(f"hub{k}.node", f"hub{k}.n", f"hub{k}.root") for k in range(hubs_now)]))
+    hubs = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), *draws)
+    hubs = hubs.where("least != most").select("key", "least", F.explode(picked).alias("hub"))
+    return (
         placed.join(hubs, "key")
-        .where("root != hub.root")
+        .where("root != hub.root AND root != least")  # towards the bucket's first component one way is enough
         .where(_plausible("n", "hub.n"))
         .select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v"))
         .distinct()
     )
-    return pairs.join(tested, ["u", "v"], "left_anti")
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,12 +160,12 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Texts with equal shingle sets are one class. Classes that share a band are candidates: each bucket names its least
     member the centre and pairs it with every other member, so a bucket of m members gives m-1 pairs. Candidates are
-    confirmed on their full sets. Where members of a bucket are still in different components after that, other hubs of
-    the bucket are paired with them, turn after turn until one after the fourth finds no new link. No bucket is left out.
+    confirmed on their full sets. Where members of a bucket are still in different components after that, further hubs of
+    the bucket are paired with them, turn after turn until one finds no new link. No bucket is left out or cut.
 
     ``component_id`` is the least id reachable over links (of a text without words: its own id); null ids come out as
-    they are and never lead a component unless it has no other. Repeated rows share class and component. Other columns are
-    ignored; an empty table gives an empty result.
+    they are and lead no component. Repeated rows share class and component. Other columns are ignored; an empty table
+    gives an empty result.
     """
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
@@ -174,32 +176,26 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     classes = classes.select("digest", "n", "bands", F.col("first.id").alias("least"), F.col("first.mark").alias("mark"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
 
-    banded = classes.select("node", "n", F.concat("bands", F.slice("bands", 1, TURNS)).alias("ring"), F.posexplode("bands").alias("band", "key"))
-    banded = banded.select("node", "n", "key", F.slice("ring", F.col("band") + 2, TURNS - 1).alias("more"))
-    centres = banded.select("key", "node").groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "centre")
-    members = materialize(banded.join(centres, "key"), "near-members")
-    sizes = classes.select(F.col("node").alias("centre"), F.col("n").alias("centre_n"))
-    pairs = (
-        members.where("node != centre").groupBy("centre", "node", "n").agg(F.lit(1).alias("one")).join(sizes, "centre")
-        .where(_plausible("n", "centre_n")).select(F.col("centre").alias("u"), F.col("node").alias("v"))
-    )
-    # Texts of class members are needed for candidates only. Any row of a class will do: its set is the same.
-    needed = members.select("node").distinct().join(classes.select("node", "least", F.col("mark").alias("__mark")), "node")
-    same = source["mark"].eqNullSafe(F.col("__mark")) & source["id"].eqNullSafe(F.col("least"))
-    texts = source.join(materialize(needed, "near-needed"), same).groupBy("node").agg(F.max("text").alias("text"))
-    texts = materialize(texts, "near-texts")
-
-    tested = materialize(pairs, "near-pairs")
-    links = materialize(_confirmed(tested, texts), "near-links")
+    ring = F.concat("bands", F.slice("bands", 1, FURTHER))
+    banded = classes.select("node", "n", ring.alias("ring"), F.posexplode("bands").alias("band", "key"))
+    banded = banded.select("node", "n", "key", F.slice("ring", F.col("band") + 2, FURTHER).alias("more"))
+    centres = banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("centre"), F.count(F.lit(1)).alias("m"))
+    members = materialize(banded.join(centres.where("m > 1").drop("m"), "key"), "near-members")
+    pairs = members.where("node != centre.node").where(_plausible("n", "centre.n"))
+    pairs = materialize(pairs.select(F.col("centre.node").alias("u"), F.col("node").alias("v")).distinct(), "near-pairs")
+
+    # Texts are needed of candidates only, one row of each class: the set of any other is the same.
+    pick = F.xxhash64("mark", "id").alias("pick")
+    needed = members.select("node").distinct().join(classes.select("node", F.col("least").alias("id"), "mark"), "node").select("node", pick)
+    texts = source.select(pick, "text").hint("merge").join(materialize(needed, "near-needed"), "pick").groupBy("pick", "node").agg(F.max("text").alias("text"))
+    texts = materialize(texts.select("node", "text"), "near-texts")
+
+    links = materialize(_confirmed(pairs, texts), "near-links")
     roots = components(links)
     turn = 1
-    while True:
-        more = materialize(_edges_by_hubs(members, roots, tested, turn), "near-pairs")
-        found = materialize(_confirmed(more, texts), "near-links")
-        if turn >= TURNS and found.isEmpty():
-            break
-        links, tested, turn = links.unionByName(found), tested.unionByName(more), turn + 1
-        roots = components(links)
+    while not (found := materialize(_confirmed(_edges_by_hubs(members, roots, turn), texts), "near-links")).isEmpty():
+        turn += 1
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
 
     led = classes.select("node", "digest", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = led.groupBy("root").agg(F.min("least").alias("component_id"))
