@@ -108,7 +108,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, centre = None, None
     for batch in batches:
         u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
-        fresh = [k for k, x in enumerate(u) if x != last and (k == 0 or x != u[k - 1])]
+        fresh = [k for k, x in enumerate(u) if x != (u[k - 1] if k else last)]
         centres = dict(zip(fresh, shingle_sets(batch.column("u_text").take(pa.array(fresh, pa.int64()))), strict=True))
         keep = []
         for part in pieces(batch.select(["v_text"]).append_column("k", pa.array(range(len(u)))), "v_text"):
