@@ -14,6 +14,7 @@ MODULES = {
     "op1_decontamination": "decontaminate",
     "op3_kn_toxicity": "toxicity",
     "op7_exact_dedup": "exact_dedup",
+    "op9_bpe_trie": "bpe",
     "op10_minhash_dedup": "near_dedup",
 }
 
