@@ -69,13 +69,13 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Lower-case A-Z and split at runs of bytes 20, 09-0D: row offsets, a code per token, the distinct words.
+def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Lower-case A-Z if asked and split at runs of bytes 20, 09-0D: row offsets, a code per token, the distinct words.
 
     Runs in Arrow's kernels; Python sees each distinct word of the batch once at most.
     """
     texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")  # a copy: kernels misread slices
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat = lists.flatten()
     keep = np.asarray(pc.greater(pc.binary_length(flat), 0))
     before = np.concatenate([[0], np.cumsum(keep)]).astype(np.int64)
@@ -95,7 +95,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that each slice holds about ``most_bytes`` of ``column`` (one long text may exceed it)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     total = np.cumsum(sizes)

@@ -20,6 +20,8 @@ SLOTS, ROWS = 128, 4
 #: Where a bucket isn't linked through its centre: members that are paired with the others in the first further turn and in
 #: each after it, and other bands that narrow the bucket for this.
 HUBS, LATER_HUBS, FURTHER = 6, 2, 3
+#: Text bytes that a task holds as tokens at once.
+SLICE_BYTES = 5 << 20
 #: For each slot the order in which other slots are asked for a value while it is empty.
 PROBES = np.stack([np.random.RandomState(1_000_003 + slot).permutation(SLOTS) for slot in range(SLOTS)])
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -86,7 +88,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in pieces(whole, "text"):
+        for batch in pieces(whole, "text", SLICE_BYTES):
             sets = shingle_sets(batch.column("text"))
             some = [k for k, x in enumerate(sets) if len(x)]
             keys = band_keys(signatures([sets[k] for k in some])) if some else np.zeros((0, SLOTS // ROWS), np.uint64)
@@ -106,19 +108,20 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of candidate pairs with both texts, those whose full sets reach the threshold."""
     last, centre = None, None
-    for batch in batches:
-        u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
-        fresh = [k for k, x in enumerate(u) if x != (u[k - 1] if k else last)]
-        centres = dict(zip(fresh, shingle_sets(batch.column("u_text").take(pa.array(fresh, pa.int64()))), strict=True))
-        keep = []
-        for part in pieces(batch.select(["v_text"]).append_column("k", pa.array(range(len(u)))), "v_text"):
-            for k, members in zip(part.column("k").to_pylist(), shingle_sets(part.column("v_text")), strict=True):
-                centre = centres.get(k, centre)
-                common = len(np.intersect1d(centre, members, assume_unique=True))
-                if 100 * common >= PERCENT * (len(centre) + len(members) - common):
+    for whole in batches:
+        for batch in pieces(whole, "v_text", SLICE_BYTES):
+            u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
+            fresh = [k for k, x in enumerate(u) if x != (u[k - 1] if k else last)]
+            members = shingle_sets(batch.column("v_text"))
+            keep = []
+            for k in range(len(u)):
+                if fresh and fresh[0] == k:
+                    centre = shingle_sets(batch.column("u_text").slice(fresh.pop(0), 1))[0]
+                common = len(np.intersect1d(centre, members[k], assume_unique=True))
+                if 100 * common >= PERCENT * (len(centre) + len(members[k]) - common):
                     keep.append(k)
-        last = u[-1] if u else last
-        yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in keep], pa.int64()), pa.array([v[k] for k in keep], pa.int64())], names=["u", "v"])
+            last = u[-1]
+            yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in keep], pa.int64()), pa.array([v[k] for k in keep], pa.int64())], names=["u", "v"])
 
 
 def _plausible(left: str, right: str) -> F.Column:
