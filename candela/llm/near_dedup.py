@@ -161,8 +161,8 @@ def _edges_by_hubs(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, ``n_shingles, component_id, kept``.
 
-    Texts with equal shingle sets are one class. Classes that share a band are candidates: each bucket names its least
-    member the centre and pairs it with every other member, so a bucket of m members gives m-1 pairs. Candidates are
+    Texts with equal shingle sets are one class. Classes that share a band are candidates: each bucket names the class of
+    most rows (then the least) its centre and pairs it with every other member, so a bucket of m members gives m-1 pairs. Candidates are
     confirmed on their full sets. Where members of a bucket are still in different components after that, further hubs of
     the bucket are paired with them, turn after turn until one finds no new link. No bucket is left out or cut.
 
@@ -175,14 +175,14 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     kind = source.schema["id"].dataType.simpleString()
     rows = materialize(source.mapInArrow(_features, f"id {kind}, mark long, n long, digest binary, bands array<long>"), "near-rows")
     first = F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("first")
-    classes = rows.where("n > 0").groupBy("digest").agg(first, F.max("n").alias("n"), F.min("bands").alias("bands"))
-    classes = classes.select("digest", "n", "bands", F.col("first.id").alias("least"), F.col("first.mark").alias("mark"))
+    classes = rows.where("n > 0").groupBy("digest").agg(first, F.max("n").alias("n"), F.min("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+    classes = classes.select("digest", "n", "bands", "copies", F.col("first.id").alias("least"), F.col("first.mark").alias("mark"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
 
     ring = F.concat("bands", F.slice("bands", 1, FURTHER))
-    banded = classes.select("node", "n", ring.alias("ring"), F.posexplode("bands").alias("band", "key"))
-    banded = banded.select("node", "n", "key", F.slice("ring", F.col("band") + 2, FURTHER).alias("more"))
-    centres = banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("centre"), F.count(F.lit(1)).alias("m"))
+    banded = classes.select("node", "n", (-F.col("copies")).alias("lead"), ring.alias("ring"), F.posexplode("bands").alias("band", "key"))
+    banded = banded.select("node", "n", "lead", "key", F.slice("ring", F.col("band") + 2, FURTHER).alias("more"))
+    centres = banded.groupBy("key").agg(F.min(F.struct("lead", "node", "n")).alias("centre"), F.count(F.lit(1)).alias("m"))
     members = materialize(banded.join(centres.where("m > 1").drop("m"), "key"), "near-members")
     pairs = members.where("node != centre.node").where(_plausible("n", "centre.n"))
     pairs = materialize(pairs.select(F.col("centre.node").alias("u"), F.col("node").alias("v")).distinct(), "near-pairs")
