@@ -13,6 +13,8 @@ from candela.llm.common import ship
 MODULES = {
     "op1_decontamination": "decontaminate",
     "op3_kn_toxicity": "toxicity",
+    "op4_chat_round_trip": "chat",
+    "op5_warc_revisits": "warc",
     "op7_exact_dedup": "exact_dedup",
     "op9_bpe_trie": "bpe",
     "op10_minhash_dedup": "near_dedup",
