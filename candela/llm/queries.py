@@ -16,6 +16,7 @@ MODULES = {
     "op4_chat_round_trip": "chat",
     "op5_warc_revisits": "warc",
     "op7_exact_dedup": "exact_dedup",
+    "op8_sampled_shards": "shards",
     "op9_bpe_trie": "bpe",
     "op10_minhash_dedup": "near_dedup",
 }
