@@ -15,6 +15,7 @@ MODULES = {
     "op3_kn_toxicity": "toxicity",
     "op4_chat_round_trip": "chat",
     "op5_warc_revisits": "warc",
+    "op6_frequency_bytes": "token_files",
     "op7_exact_dedup": "exact_dedup",
     "op8_sampled_shards": "shards",
     "op9_bpe_trie": "bpe",
