@@ -12,6 +12,7 @@ from candela.llm.common import ship
 #: Query name: module of this subpackage. The module's SQL is the query's twin, where there is one.
 MODULES = {
     "op1_decontamination": "decontaminate",
+    "op2_deleted_interpolation": "lm_score",
     "op3_kn_toxicity": "toxicity",
     "op4_chat_round_trip": "chat",
     "op5_warc_revisits": "warc",
