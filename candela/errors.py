@@ -11,17 +11,46 @@ class MarketDataError(Exception):
         self.details = details
 
 
-def _kind(name: str, code: str, base: type = MarketDataError) -> type:
-    return type(name, (base,), {"code": code})
-
-
-InvalidQuery = _kind("InvalidQuery", "MD_INVALID_QUERY")
-TimeframeUnsupported = _kind("TimeframeUnsupported", "MD_TIMEFRAME_UNSUPPORTED")
-SymbolUnsupported = _kind("SymbolUnsupported", "MD_SYMBOL_UNSUPPORTED")
-SymbolAmbiguous = _kind("SymbolAmbiguous", "MD_SYMBOL_AMBIGUOUS")
-InvalidBar = _kind("InvalidBar", "MD_INVALID_BAR")
-CoverageIncomplete = _kind("CoverageIncomplete", "MD_COVERAGE_INCOMPLETE")
-CacheConflict = _kind("CacheConflict", "MD_CACHE_CONFLICT")
-ChecksumMismatch = _kind("ChecksumMismatch", "MD_CHECKSUM_MISMATCH")
-RevisionConflict = _kind("RevisionConflict", "MD_REVISION_CONFLICT")
-StreamDisabled = _kind("StreamDisabled", "MD_STREAM_DISABLED")
+def _kind(code: str, *bases: type) -> type:
+    return type("".join(x.capitalize() for x in code.removeprefix("MD_").split("_")), bases or (MarketDataError,), {"code": code})
+
+
+SymbolAmbiguous = _kind("MD_SYMBOL_AMBIGUOUS")
+SymbolUnsupported = _kind("MD_SYMBOL_UNSUPPORTED")
+TimeframeUnsupported = _kind("MD_TIMEFRAME_UNSUPPORTED")
+InvalidExchangeResponse = _kind("MD_INVALID_EXCHANGE_RESPONSE")
+PaginationStalled = _kind("MD_PAGINATION_STALLED")
+ValidationError = _kind("MD_VALIDATION_ERROR")
+MissingFinality = _kind("MD_MISSING_FINALITY", ValidationError)
+BarConflict = _kind("MD_BAR_CONFLICT", ValidationError)
+IntrabarDataUnavailable = _kind("MD_INTRABAR_DATA_UNAVAILABLE")
+RuntimeIntrabarUnsupported = _kind("MD_RUNTIME_INTRABAR_UNSUPPORTED")
+NetworkUnavailable = _kind("MD_NETWORK_UNAVAILABLE")
+UnsupportedFeature = _kind("MD_UNSUPPORTED_FEATURE")
+CacheConflict = _kind("MD_CACHE_CONFLICT")
+WsRestCandleMismatch = _kind("MD_WS_REST_CANDLE_MISMATCH")
+SymbolNotTradableForStream = _kind("MD_SYMBOL_NOT_TRADABLE_FOR_STREAM")
+
+
+class ContractError(ValueError):
+    """A query, instrument, bar or series that breaks its contract."""
+
+
+class InvalidInstrument(ContractError):
+    pass
+
+
+class InvalidTimeframe(ContractError):
+    pass
+
+
+class InvalidBar(ContractError):
+    pass
+
+
+class InvalidBarQuery(ContractError):
+    pass
+
+
+class CoverageError(ContractError):
+    pass
