@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candela.llm.common import fold, hash_words, materialize, mix, ship, table, text_bytes, text_of, words
+from candela.llm.common import fold, hash_words, materialize, mix, pieces, ship, table, text_bytes, text_of, words
 
 #: Text bytes in a batch and n-grams of all batches in a part, about: both bound what a task holds.
-BATCH_BYTES, PART_BYTES = 20 << 20, 24 << 20
+BATCH_BYTES, PART_BYTES = 12 << 20, 6 << 20
+#: Text bytes that are held as tokens at once.
+SLICE_BYTES = 3 << 20
 #: Contexts share weights by the power of two of their frequency; above the last they are one bucket.
 BUCKETS = 24
 #: Steps per octave at which held-out ratios are gathered for expectation-maximisation, and their bound in octaves.
@@ -74,21 +76,16 @@ def _asker(parts: int):
         chunks = []
         for piece in batches:
             batch_id = piece.column("batch")[0].as_py()
-            for start in range(0, piece.num_rows, 2_000):
-                part = piece.slice(start, 2_000)
+            for part in pieces(piece, "text", SLICE_BYTES):
                 g = grams(part.column("text"))
                 rest = np.asarray(part.column("rest"))[g.row]
                 chunks.append(_counts(np.concatenate([g.token, g.pair]), np.tile(rest != HELD_OUT, 2), np.tile(np.isin(rest, DELETED), 2)))
         keys, counted, deleted = _merged(chunks)
-        part = (keys >> np.uint64(40)) % np.uint64(parts)
-        for k in range(parts):
-            own = part == k
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "part": pa.array([k], pa.int32()), "batch": pa.array([batch_id], pa.int32()), "n": pa.array([int(own.sum())], pa.int32()),
-                    "keys": pa.array([_squeezed(keys[own])]), "counted": pa.array([_squeezed(counted[own])]), "deleted": pa.array([_squeezed(deleted[own])]),
-                }
-            )
+        part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # rises with the key
+        cuts = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist(), len(part)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            blobs = {n: pa.array([_squeezed(x[a:b])]) for n, x in (("keys", keys), ("counted", counted), ("deleted", deleted))}
+            yield pa.RecordBatch.from_pydict({"part": pa.array([int(part[a])], pa.int32()), "batch": pa.array([batch_id], pa.int32()), "n": pa.array([b - a], pa.int32()), **blobs})
 
     return run
 
@@ -130,6 +127,11 @@ def _answer(rows: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(out[n], k) for n, k in kinds.items()})
 
 
+def _slices(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    for batch in rows.to_batches():
+        yield from pieces(batch, "text", SLICE_BYTES)
+
+
 class Totals:
     """Corpus counts of the keys of one batch."""
 
@@ -224,8 +226,8 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         out = {"bucket": [], "pair": [], "token": [], "weight": []}
         if left.num_rows and right.num_rows:
             totals, cells = Totals(right), []
-            for start in range(0, left.num_rows, 2_000):
-                g = grams(left.column("text").slice(start, 2_000).combine_chunks())
+            for part in _slices(left):
+                g = grams(part.column("text"))
                 at, pair, single, _ = _estimates(g, totals, kept_tokens, True)
                 cells.append(np.column_stack([at, _steps(pair * (kinds + 1)), _steps(single * (kinds + 1))]))
             found, n = np.unique(np.concatenate(cells), axis=0, return_counts=True)
@@ -243,9 +245,8 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         chunks = []
         totals = Totals(right) if left.num_rows else None
-        for start in range(0, left.num_rows, 2_000):
-            part = left.slice(start, 2_000).combine_chunks()
-            g = grams(part.column("text").combine_chunks())
+        for part in _slices(left):
+            g = grams(part.column("text"))
             at, pair, single, count = _estimates(g, totals, tokens, False)
             w = weights[at]
             model = np.log10(w[:, 0] * pair + w[:, 1] * single + w[:, 2] / (kinds + 1))
