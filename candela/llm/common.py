@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -55,6 +56,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files that nothing refers to any more: after a table is materialized, those before it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_of(name: str = "text") -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

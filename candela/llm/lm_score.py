@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from candela.llm.common import fold, hash_words, materialize, mix, pieces, ship, table, text_bytes, text_of, words
+from candela.llm.common import fold, hash_words, materialize, mix, pieces, release, ship, table, text_bytes, text_of, words
 
 #: Text bytes in a batch and n-grams of all batches in a part, about: both bound what a task holds.
 BATCH_BYTES, PART_BYTES = 12 << 20, 6 << 20
@@ -31,25 +30,48 @@ _ONE = np.uint64(1)
 END = np.uint64(0x5DEECE66D0000002)
 
 
-@dataclass
-class Grams:
-    """Tokens of a batch of texts: the keys of token and of (token before, token), by place, and the text of each."""
-
-    token: np.ndarray
-    before: np.ndarray
-    pair: np.ndarray
-    row: np.ndarray
+class Batch:
+    """The tokens of a batch of texts, as codes of its distinct words and distinct pairs (token before, token).
 
+    ``keys`` are the sorted 64-bit keys of both, ``row`` is the text of each token. Texts are split in slices, so that
+    only codes and keys are held for all of them.
+    """
 
-def grams(texts: pa.Array) -> Grams:
-    offsets, codes, distinct = words(texts)
-    hashes = mix(hash_words(distinct)) & ~_ONE
-    token = np.insert(hashes[codes] if len(codes) else np.zeros(0, np.uint64), offsets[1:], END)
-    row = np.insert(np.repeat(np.arange(len(texts)), np.diff(offsets)), offsets[1:], np.arange(len(texts)))
-    before = np.concatenate([[END], token[:-1]])
-    with np.errstate(over="ignore"):
-        pair = mix(before * _STEP + token) | _ONE
-    return Grams(token, before, pair, row)
+    def __init__(self, batches: list[pa.RecordBatch]):
+        found, hashes, rows, done = [], [], [], 0
+        for part in (p for batch in batches for p in pieces(batch, "text", SLICE_BYTES)):
+            offsets, codes, distinct = words(part.column("text"))
+            own = np.append(mix(hash_words(distinct)) & ~_ONE, END)
+            found.append(np.insert(codes, offsets[1:], len(own) - 1).astype(np.int32))
+            hashes.append(own)
+            rows.append(np.insert(np.repeat(np.arange(part.num_rows), np.diff(offsets)), offsets[1:], np.arange(part.num_rows)).astype(np.int32) + done)
+            done += part.num_rows
+        self.texts = done
+        self.row = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        self.words, places = np.unique(np.concatenate(hashes), return_inverse=True) if hashes else (np.zeros(0, np.uint64), np.zeros(0, int))
+        starts = np.cumsum([0, *map(len, hashes)])
+        tokens = [places[a:b][codes] for a, b, codes in zip(starts[:-1], starts[1:], found, strict=True)]
+        self.token = np.concatenate(tokens).astype(np.int32) if tokens else np.zeros(0, np.int32)
+        end = int(np.searchsorted(self.words, END))
+        self.before = np.concatenate([[end], self.token[:-1]]).astype(np.int32)[: len(self.token)]
+        with np.errstate(over="ignore"):
+            pair = mix(self.words[self.before] * _STEP + self.words[self.token]) | _ONE if len(self.token) else np.zeros(0, np.uint64)
+        self.pairs, inverse = np.unique(pair, return_inverse=True)
+        self.pair = inverse.astype(np.int32)
+        self.keys = np.sort(np.concatenate([self.words, self.pairs]))
+
+    def counts(self) -> np.ndarray:
+        out = np.zeros(len(self.keys), np.uint32)
+        for own, codes in ((self.words, self.token), (self.pairs, self.pair)):
+            out[np.searchsorted(self.keys, own)] = np.bincount(codes, minlength=len(own))
+        return out
+
+    def estimates(self, totals: np.ndarray, tokens: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: bucket of its context, maximum-likelihood estimates of pair and token, count of the token."""
+        single = totals[np.searchsorted(self.keys, self.words)]
+        pair = totals[np.searchsorted(self.keys, self.pairs)]
+        context = single[self.before]
+        return bucket(single)[self.before], np.where(context > 0, pair[self.pair] / np.maximum(context, 1), 0.0), (single / max(tokens, 1))[self.token], single[self.token]
 
 
 def _squeezed(values: np.ndarray) -> bytes:
@@ -66,86 +88,47 @@ def _spread(data: bytes, kind: type, count: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-ASKED = "part int, batch int, n int, keys binary, counted binary, deleted binary"
-ANSWERED = "batch int, part int, n int, keys binary, counted binary, deleted binary, tokens long, kinds long"
-
-
-def _asker(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of one batch of documents its distinct keys, with their counts in training and in deleted rows, by part."""
-        chunks = []
-        for piece in batches:
-            batch_id = piece.column("batch")[0].as_py()
-            for part in pieces(piece, "text", SLICE_BYTES):
-                g = grams(part.column("text"))
-                rest = np.asarray(part.column("rest"))[g.row]
-                chunks.append(_counts(np.concatenate([g.token, g.pair]), np.tile(rest != HELD_OUT, 2), np.tile(np.isin(rest, DELETED), 2)))
-        keys, counted, deleted = _merged(chunks)
-        part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # rises with the key
-        cuts = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist(), len(part)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            blobs = {n: pa.array([_squeezed(x[a:b])]) for n, x in (("keys", keys), ("counted", counted), ("deleted", deleted))}
-            yield pa.RecordBatch.from_pydict({"part": pa.array([int(part[a])], pa.int32()), "batch": pa.array([batch_id], pa.int32()), "n": pa.array([b - a], pa.int32()), **blobs})
-
-    return run
-
+ASKED = "part int, batch int, n int, keys binary, counts binary, learns boolean, gone boolean"
+ANSWERED = "batch int, part int, n int, counted binary, deleted binary, tokens long, deleted_tokens long, kinds long"
 
-def _counts(keys: np.ndarray, counted: np.ndarray, deleted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    sums = [np.add.reduceat(x[order].astype(np.uint32), first) if len(first) else np.zeros(0, np.uint32) for x in (counted, deleted)]
-    return keys[first], sums[0].astype(np.uint32), sums[1].astype(np.uint32)
 
-
-def _merged(chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, counted, deleted = (np.concatenate(x) for x in zip(*chunks, strict=True))
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], *(np.add.reduceat(x[order].astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64) for x in (counted, deleted))
+def _cuts(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """Part, start and end of the runs of sorted keys that belong to one part; the part rises with the key."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() if len(keys) else []
+    return [(int(part[a]), a, b) for a, b in zip(starts, [*starts[1:], len(keys)], strict=True)]
 
 
 def _answer(rows: pa.Table) -> pa.Table:
     """Of one part, whose keys occur nowhere else: to each batch the totals over all batches of the keys it asked for."""
     rows = rows.to_pylist()
     asked = [_spread(r["keys"], np.uint64, r["n"]) for r in rows]
-    parts = [(k, _spread(r["counted"], np.uint64, r["n"]), _spread(r["deleted"], np.uint64, r["n"])) for k, r in zip(asked, rows, strict=True)]
-    keys, counted, deleted = _merged(parts)
+    counts = [_spread(r["counts"], np.uint32, r["n"]) for r in rows]
+    keys, code = np.unique(np.concatenate(asked), return_inverse=True)
+    learns = np.repeat([r["learns"] for r in rows], [r["n"] for r in rows])
+    gone = np.repeat([r["gone"] for r in rows], [r["n"] for r in rows])
+    every = np.concatenate(counts).astype(np.float64)
+    counted = np.bincount(code, every * learns, minlength=len(keys)).astype(np.uint64)
+    deleted = np.bincount(code, every * gone, minlength=len(keys)).astype(np.uint64)
     single = (keys & _ONE) == 0
-    out = {"batch": [], "part": [], "n": [], "keys": [], "counted": [], "deleted": []}
-    for r, own in zip(rows, asked, strict=True):
-        at = np.searchsorted(keys, own)
-        for name, value in (
-            ("batch", r["batch"]), ("part", r["part"]), ("n", r["n"]), ("keys", r["keys"]), ("counted", _squeezed(counted[at])), ("deleted", _squeezed(deleted[at])),
-        ):
-            out[name].append(value)
+    ends = np.cumsum([r["n"] for r in rows])
+    slices = [code[e - r["n"] : e] for e, r in zip(ends, rows, strict=True)]
     # The part's share of all training tokens and of distinct ones stands in its first row.
-    out["tokens"] = [int(counted[single].sum())] + [0] * (len(rows) - 1)
-    out["kinds"] = [int((counted[single] > 0).sum())] + [0] * (len(rows) - 1)
-    kinds = {"batch": pa.int32(), "part": pa.int32(), "n": pa.int32(), "keys": pa.binary(), "counted": pa.binary(), "deleted": pa.binary(), "tokens": pa.int64(), "kinds": pa.int64()}
-    return pa.table({n: pa.array(out[n], k) for n, k in kinds.items()})
-
-
-def _slices(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    for batch in rows.to_batches():
-        yield from pieces(batch, "text", SLICE_BYTES)
-
-
-class Totals:
-    """Corpus counts of the keys of one batch."""
+    first = lambda x: pa.array([int(x)] + [0] * (len(rows) - 1), pa.int64())
+    return pa.table(
+        {
+            "batch": pa.array([r["batch"] for r in rows], pa.int32()), "part": pa.array([r["part"] for r in rows], pa.int32()), "n": pa.array([r["n"] for r in rows], pa.int32()),
+            "counted": pa.array([_squeezed(counted[x]) for x in slices], pa.binary()), "deleted": pa.array([_squeezed(deleted[x]) for x in slices], pa.binary()),
+            "tokens": first(counted[single].sum()), "deleted_tokens": first(deleted[single].sum()), "kinds": first((counted[single] > 0).sum()),
+        }
+    )
 
-    def __init__(self, answers: pa.Table):
-        rows = answers.to_pylist()
-        found = [[_spread(r["keys"], np.uint64, r["n"]) for r in rows]]
-        found += [[_spread(r[c], np.uint64, r["n"]) for r in rows] for c in ("counted", "deleted")]
-        keys, counted, deleted = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found)
-        order = np.argsort(keys)
-        self.keys, self.counted, self.deleted = keys[order], counted[order].astype(np.float64), deleted[order].astype(np.float64)
 
-    def at(self, keys: np.ndarray, kept: bool) -> np.ndarray:
-        place = np.searchsorted(self.keys, keys)
-        return self.counted[place] - self.deleted[place] if kept else self.counted[place]
+def _totals(answers: pa.Table, kept: bool) -> np.ndarray:
+    """Corpus counts of a batch's sorted keys, whose runs are answered part by part; ``kept``: without the deleted rows."""
+    rows = sorted(answers.to_pylist(), key=lambda r: r["part"])
+    out = np.concatenate([_spread(r["counted"], np.uint64, r["n"]) for r in rows])
+    return (out - np.concatenate([_spread(r["deleted"], np.uint64, r["n"]) for r in rows]) if kept else out).astype(np.float64)
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -153,12 +136,6 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.minimum(1 + np.log2(np.maximum(context, 1)).astype(np.int64), BUCKETS - 1), 0)
 
 
-def _estimates(g: Grams, totals: Totals, tokens: float, kept: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, maximum-likelihood estimates of the pair and the token, and the token's count."""
-    single, context, pair = (totals.at(x, kept) for x in (g.token, g.before, g.pair))
-    return bucket(context), np.where(context > 0, pair / np.maximum(context, 1), 0.0), single / max(tokens, 1), single
-
-
 def learn_weights(cells: np.ndarray) -> np.ndarray:
     """Expectation-maximisation of the mixture weights (pair, token, uniform) of each bucket.
 
@@ -207,75 +184,73 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     size = text_bytes(docs, text_col)
     batches = max(6, -(-size // batch_bytes))
     parts = max(6, -(-size // part_bytes))
-    text = text_of(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), fold(id_col, 10).cast("int").alias("rest"))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches)).cast("int"))
-    ask = _asker(parts)
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), fold(id_col, 10).cast("int").alias("rest"))
+    # A batch is of held-out, deleted or other rows alone: three kinds of batch, told by the number's remainder.
+    sort = F.when(F.col("rest") == HELD_OUT, 0).when(F.col("rest").isin(*DELETED), 1).otherwise(2)
+    wide = F.when(sort == 2, batches).otherwise(-(-batches // 6))
+    rows = rows.withColumn("batch", (F.pmod(F.xxhash64("id", "text"), wide) * 3 + sort).cast("int"))
 
     def asked(group: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(ask(iter(group.to_batches()))))
-
-    requests = rows.select("batch", "text", "rest").groupBy("batch").applyInArrow(asked, ASKED)
+        number = group.column("batch")[0].as_py()
+        batch = Batch(group.to_batches())
+        counts = batch.counts()
+        cuts = _cuts(batch.keys, parts)
+        blobs = {n: pa.array([_squeezed(x[a:b]) for _, a, b in cuts], pa.binary()) for n, x in (("keys", batch.keys), ("counts", counts))}
+        same = lambda x, kind: pa.array([x] * len(cuts), kind)
+        return pa.table(
+            {
+                "part": pa.array([p for p, _, _ in cuts], pa.int32()), "batch": same(number, pa.int32()), "n": pa.array([b - a for _, a, b in cuts], pa.int32()), **blobs,
+                "learns": same(number % 3 > 0, pa.bool_()), "gone": same(number % 3 == 1, pa.bool_()),
+            }
+        )
+
+    requests = rows.select("batch", "text").groupBy("batch").applyInArrow(asked, ASKED)
     answers = materialize(requests.groupBy("part").applyInArrow(_answer, ANSWERED), "lm-answers")
-    tokens, kinds = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    answers = answers.select("batch", "n", "keys", "counted", "deleted")
-    gone = rows.where(F.col("rest").isin(*DELETED))
-    kept_tokens = tokens - _deleted_tokens(gone)
+    release(spark)
+    sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "deleted_tokens", "kinds")]).first()
+    tokens, kept_tokens, kinds = sums[0], sums[0] - sums[1], sums[2]
+    answers = answers.select("batch", "part", "n", "counted", "deleted")
 
     def gathered(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"bucket": [], "pair": [], "token": [], "weight": []}
-        if left.num_rows and right.num_rows:
-            totals, cells = Totals(right), []
-            for part in _slices(left):
-                g = grams(part.column("text"))
-                at, pair, single, _ = _estimates(g, totals, kept_tokens, True)
-                cells.append(np.column_stack([at, _steps(pair * (kinds + 1)), _steps(single * (kinds + 1))]))
-            found, n = np.unique(np.concatenate(cells), axis=0, return_counts=True)
-            out = {"bucket": found[:, 0], "pair": found[:, 1], "token": found[:, 2], "weight": n}
+        if left.num_rows:
+            batch = Batch(left.to_batches())
+            at, pair, single, _ = batch.estimates(_totals(right, True), kept_tokens)
+            steps = np.stack([at, _steps(pair * (kinds + 1)), _steps(single * (kinds + 1))])
+            found, n = np.unique((steps[0] << 40) + ((steps[1] + 1) << 20) + steps[2] + 1, return_counts=True)
+            out = {"bucket": found >> 40, "pair": ((found >> 20) & 0xFFFFF) - 1, "token": (found & 0xFFFFF) - 1, "weight": n}
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
-    held = gone.select("batch", "text").groupBy("batch").cogroup(answers.groupBy("batch"))
+    gone = rows.where(F.col("rest").isin(*DELETED)).select("batch", "text").groupBy("batch")
+    held = gone.cogroup(answers.where(F.col("batch") % 3 == 1).groupBy("batch"))
     cells = held.applyInArrow(gathered, "bucket long, pair long, token long, weight long").groupBy("bucket", "pair", "token").agg(F.sum("weight").alias("weight"))
     # At most BUCKETS * (2 * OCTAVES * STEPS + 2)^2 rows, whatever the corpus.
     cells = cells.toPandas().to_numpy(float) if tokens else np.zeros((0, 4))
     weights = learn_weights(cells)
 
     names = ["id", "rest", "n_tokens", "n_known", "base_score", "score"]
-
-    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunks = []
-        totals = Totals(right) if left.num_rows else None
-        for part in _slices(left):
-            g = grams(part.column("text"))
-            at, pair, single, count = _estimates(g, totals, tokens, False)
-            w = weights[at]
-            model = np.log10(w[:, 0] * pair + w[:, 1] * single + w[:, 2] / (kinds + 1))
-            base = np.log10((count + 0.1) / (tokens + 0.1 * (kinds + 1)))
-            sums = [np.bincount(g.row, x, minlength=part.num_rows) for x in (np.ones(len(g.row)), count > 0, base, model)]
-            arrays = [part.column("id"), part.column("rest"), *(pa.array(x.astype(np.int64)) for x in sums[:2]), *(pa.array(x) for x in sums[2:])]
-            chunks.append(pa.table(dict(zip(names, arrays, strict=True))))
-        return pa.concat_tables(chunks) if chunks else empty
-
-    fields = [rows.schema["id"], T.StructField("rest", T.IntegerType())]
+    fields = [T.StructField("id", rows.schema["id"].dataType), T.StructField("rest", T.IntegerType())]
     fields += [T.StructField(n, k) for n, k in zip(names[2:], [T.LongType()] * 2 + [T.DoubleType()] * 2, strict=True)]
-    kind = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
-    from pyspark.sql.pandas.types import to_arrow_schema
+    empty = to_arrow_schema(T.StructType(fields)).empty_table()
 
-    empty = to_arrow_schema(kind).empty_table()
-    out = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(scored, kind)
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return empty
+        batch = Batch(left.to_batches())
+        at, pair, single, count = batch.estimates(_totals(right, False), tokens)
+        w = weights[at]
+        model = np.log10(w[:, 0] * pair + w[:, 1] * single + w[:, 2] / (kinds + 1))
+        base = np.log10((count + 0.1) / (tokens + 0.1 * (kinds + 1)))
+        sums = [np.bincount(batch.row, x, minlength=batch.texts) for x in (np.ones(len(batch.row)), count > 0, base, model)]
+        arrays = [left.column("id"), left.column("rest"), *(pa.array(x.astype(np.int64)) for x in sums[:2]), *(pa.array(x) for x in sums[2:])]
+        return pa.table(dict(zip(names, arrays, strict=True)))
+
+    out = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(scored, T.StructType(fields))
     return out.select(
         F.col("id").alias(id_col), (F.col("rest") == HELD_OUT).alias("held_out"), "n_tokens", "n_known",
         F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", F.lit(kinds).cast("long").alias("vocabulary"),
     )
 
 
-def _deleted_tokens(gone: DataFrame) -> int:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([len(words(batch.column("text"))[1]) + batch.num_rows], pa.int64())})
-
-    return gone.select("text").mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-
 def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
