@@ -533,9 +533,9 @@ def stream_ohlcv_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = spark.range(1).select(F.lit(-1).cast("long").alias("trade_id"), F.lit(CUTOFF * 2).alias("time"), F.lit(CUTOFF * 2000).alias("micros"), F.lit(0.0).alias("price"), F.lit(0).cast("long").alias("quantity"), F.lit(False).alias("buyer_maker"), F.lit("").alias("symbol"))
     later.withColumn("at", F.timestamp_micros("micros")).write.mode("append").parquet(f"{root}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(f"{root}/in")
-    bars = klines.stream_bars(stream, "1h", delay="400 days").where("symbol != ''")
+    bars = klines.stream_bars(stream, "1h", delay="400 days")
     bars.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(bars.schema).parquet(f"{root}/out")
+    return spark.read.schema(bars.schema).parquet(f"{root}/out").where("symbol != ''")
 
 
 UPDATES = BARS + """, updates AS (
