@@ -240,7 +240,7 @@ def bpe_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "__text", 32 << 20):
+            for batch in pieces(whole, "__text", 16 << 20):
                 out: tuple[list, list, list] = ([], [], [])
                 for count, ids, decoded in _loaded(name).run(batch.column("__text")):
                     for column, value in zip(out, (count, *(hashlib.sha256(x.encode()).hexdigest() for x in (ids, decoded))), strict=True):

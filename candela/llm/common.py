@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -102,7 +104,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def trim() -> None:
+    """Give memory that this Python worker no longer uses back to the system: idle workers stay, and their memory would too."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that each slice holds about ``most_bytes`` of ``column`` (one long text may exceed it)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     total = np.cumsum(sizes)
@@ -112,3 +121,4 @@ def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Ite
         end = max(start + 1, int(np.searchsorted(total, done + most_bytes, side="right")))
         yield batch.slice(start, end - start)
         start = end
+        trim()

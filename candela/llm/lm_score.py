@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from candela.llm.common import fold, hash_words, materialize, mix, pieces, release, ship, table, text_bytes, text_of, words
+from candela.llm.common import fold, hash_words, materialize, mix, pieces, release, ship, table, text_bytes, text_of, trim, words
 
 #: Text bytes in a batch and n-grams of all batches in a part, about: both bound what a task holds.
 BATCH_BYTES, PART_BYTES = 12 << 20, 6 << 20
@@ -101,6 +101,7 @@ def _cuts(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
 
 def _answer(rows: pa.Table) -> pa.Table:
     """Of one part, whose keys occur nowhere else: to each batch the totals over all batches of the keys it asked for."""
+    trim()
     rows = rows.to_pylist()
     asked = [_spread(r["keys"], np.uint64, r["n"]) for r in rows]
     counts = [_spread(r["counts"], np.uint32, r["n"]) for r in rows]
@@ -191,6 +192,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("batch", (F.pmod(F.xxhash64("id", "text"), wide) * 3 + sort).cast("int"))
 
     def asked(group: pa.Table) -> pa.Table:
+        trim()
         number = group.column("batch")[0].as_py()
         batch = Batch(group.to_batches())
         counts = batch.counts()
@@ -212,6 +214,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     answers = answers.select("batch", "part", "n", "counted", "deleted")
 
     def gathered(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         out = {"bucket": [], "pair": [], "token": [], "weight": []}
         if left.num_rows:
             batch = Batch(left.to_batches())
@@ -234,6 +237,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     empty = to_arrow_schema(T.StructType(fields)).empty_table()
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         if not left.num_rows:
             return empty
         batch = Batch(left.to_batches())

@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candela.llm.common import fresh_path, materialize, ship, table, text_bytes, text_of
+from candela.llm.common import fresh_path, materialize, pieces, ship, table, text_bytes, text_of
 
 #: Bytes of text in a file, about, and at most in a block of it.
-FILE_BYTES, BLOCK_BYTES = 24 << 20, 48 << 20
+FILE_BYTES, BLOCK_BYTES = 24 << 20, 8 << 20
+#: Pieces that the library encodes in one call.
+CALL = 20_000
 #: A block, little-endian: this head; a long and a null flag per document; ids per document; ids by rank; control; data.
 #: The head: magic, file, block, documents, ranks, ids, data bytes, ids of the file before this block, bits of a length code.
 HEAD = struct.Struct("<8sIIIIQQQB")
@@ -123,11 +125,11 @@ def encode_texts(tokenizer, texts: pa.Array, end_id: int) -> tuple[np.ndarray, n
     lists = pc.split_pattern(texts, " ")
     offsets = np.asarray(lists.offsets).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    codes, pieces = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+    codes, parts = np.asarray(coded.indices), coded.dictionary.to_pylist()
     # A piece that is empty or starts with white space belongs to the one before it: such texts are encoded whole.
-    loose = np.array([not p or p[0].isspace() for p in pieces], bool)[codes]
+    loose = np.array([not p or p[0].isspace() for p in parts], bool)[codes]
     loose[offsets[:-1][np.diff(offsets) > 0]] = False
-    row = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))
     whole = np.unique(row[loose])
     leading = offsets[:-1]
     starts = codes[leading]  # every text has a first piece, without a space before it
@@ -136,17 +138,21 @@ def encode_texts(tokenizer, texts: pa.Array, end_id: int) -> tuple[np.ndarray, n
     cut = ~np.isin(row, whole)
     used, where = np.unique(codes[inner & cut], return_inverse=True)
     first, first_where = np.unique(starts, return_inverse=True)
-    wanted = [" " + pieces[k] for k in used] + [pieces[k] for k in first] + [texts[int(k)].as_py() for k in whole]
-    ids = [x.ids for x in tokenizer.encode_batch_fast(wanted, add_special_tokens=False)] + [[end_id]]
-    sizes = np.array([len(x) for x in ids], np.int64)
-    flat = np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum()))
+    wanted = [" " + parts[k] for k in used] + [parts[k] for k in first] + [texts[int(k)].as_py() for k in whole]
+    sizes, flat = [], []
+    for at in range(0, len(wanted), CALL):
+        ids = [x.ids for x in tokenizer.encode_batch_fast(wanted[at : at + CALL], add_special_tokens=False)]
+        sizes.append(np.array([len(x) for x in ids], np.int64))
+        flat.append(np.fromiter((i for x in ids for i in x), np.int32, int(sizes[-1].sum())))
+    sizes = np.append(np.concatenate(sizes) if sizes else [], 1).astype(np.int64)
+    flat = np.append(np.concatenate(flat) if flat else [], end_id).astype(np.int32)
     begin = np.cumsum(sizes) - sizes
     # The pieces of all texts in order, each text's followed by the end id.
-    entry = np.full(len(codes), -1, np.int64)
+    entry = np.full(len(codes), -1, np.int32)
     entry[inner & cut] = where
     entry[leading] = len(used) + first_where
     entry[leading[whole]] = len(used) + len(first) + np.arange(len(whole))
-    entry = np.insert(entry, offsets[1:], len(ids) - 1)
+    entry = np.insert(entry, offsets[1:], len(sizes) - 1)
     owner = np.insert(row, offsets[1:], np.arange(len(texts)))
     owner, entry = owner[entry >= 0], entry[entry >= 0]
     n = sizes[entry]
@@ -178,9 +184,7 @@ def write_token_files(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, before = TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b for whole in batches for b in pieces(whole, "text", BLOCK_BYTES)):
             counts, ids = encode_texts(_tokenizer(name), batch.column("text"), end_id)
             nulls = np.asarray(pc.is_null(batch.column("id")))
             packed = pack(ids, counts, np.asarray(pc.fill_null(batch.column("id"), 0)), nulls, part, block, before)
