@@ -27,17 +27,17 @@ def _winners(rows: DataFrame, salts: int) -> DataFrame:
     salted = (
         rows.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         .groupBy("__digest", "__salt", "__text", "__check")
-        .agg(F.max("__id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        .agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__n"))
     )
-    whole = salted.groupBy("__digest", "__text", "__check").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+    whole = salted.groupBy("__digest", "__text", "__check").agg(F.max("__keep").alias("__keep"), F.sum("__n").alias("__n"))
     # Rows find their group by digest and check; that these two stand for one text only is proved here, not assumed.
     proved = whole.groupBy("__digest", "__check").agg(
-        F.max("keep_id").alias("keep_id"),
-        F.sum("n").alias("group_size"),
-        F.count(F.lit(1)).alias("texts"),
+        F.max("__keep").alias("__keep"),
+        F.sum("__n").alias("__size"),
+        F.count(F.lit(1)).alias("__texts"),
     )
     clash = F.raise_error(F.lit("two different texts share SHA-256 and a 64-bit hash")).cast("long")
-    return proved.withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(clash)).where("group_size > 1").drop("texts")
+    return proved.withColumn("__size", F.when(F.col("__texts") == 1, F.col("__size")).otherwise(clash)).where("__size > 1").drop("__texts")
 
 
 def _placed(rows: DataFrame, winners: DataFrame, salts: int) -> DataFrame:
@@ -46,8 +46,8 @@ def _placed(rows: DataFrame, winners: DataFrame, salts: int) -> DataFrame:
     return (
         rows.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int"))
         .join(spread, ["__digest", "__check", "__salt"], "left")
-        .withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("__id")).otherwise(F.col("keep_id")))
-        .withColumn("kept", F.col("__id").eqNullSafe(F.col("keep_id")))
+        .withColumn("__keep", F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__keep")))
+        .withColumn("__kept", F.col("__id").eqNullSafe(F.col("__keep")))
     )
 
 
@@ -68,9 +68,9 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     winners = materialize(_winners(rows.select("__id", "__text", "__digest", "__check"), salts), "exact-winners")
     return _placed(rows.select("__id", "__digest", "__check"), winners, salts).select(
         F.col("__id").alias(id_col),
-        "keep_id",
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        "kept",
+        F.col("__keep").alias("keep_id"),
+        F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"),
+        F.col("__kept").alias("kept"),
         F.lower(F.hex("__digest")).alias("text_sha256"),
     )
 
@@ -79,9 +79,9 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` that stay, all columns unchanged: one row of each group of equal texts, see ``exact_groups``."""
     rows = _with_keys(docs, id_col, text_col).drop("__text")
     winners = materialize(_winners(_with_keys(docs.select(id_col, text_col), id_col, text_col), salts), "exact-winners")
-    stay = _placed(rows, winners, salts).where("kept")
-    repeated = stay.where(F.col("group_size") > 1).dropDuplicates(["__digest", "__check"])
-    return stay.where(F.col("group_size").isNull()).unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = _placed(rows, winners, salts).where("__kept")
+    repeated = stay.where(F.col("__size") > 1).dropDuplicates(["__digest", "__check"])
+    return stay.where(F.col("__size").isNull()).unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
