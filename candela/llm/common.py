@@ -7,6 +7,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -58,9 +59,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files that nothing refers to any more: after a table is materialized, those before it."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner delete shuffle files that nothing refers to any more: after a table is materialized, those before it.
+
+    Python's references to JVM objects are dropped about a second after Python has collected its own.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.5)
+        spark.sparkContext._jvm.System.gc()
 
 
 def text_of(name: str = "text") -> Column:

@@ -206,8 +206,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             }
         )
 
-    requests = rows.select("batch", "text").groupBy("batch").applyInArrow(asked, ASKED)
-    answers = materialize(requests.groupBy("part").applyInArrow(_answer, ANSWERED), "lm-answers")
+    answers = materialize(rows.select("batch", "text").groupBy("batch").applyInArrow(asked, ASKED).groupBy("part").applyInArrow(_answer, ANSWERED), "lm-answers")
     release(spark)
     sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "deleted_tokens", "kinds")]).first()
     tokens, kept_tokens, kinds = sums[0], sums[0] - sums[1], sums[2]
