@@ -47,7 +47,7 @@ def text_violations(bars: DataFrame) -> DataFrame:
     """Bars whose exact decimal texts are no decimals or no candle."""
     names = ("open_text", "high_text", "low_text", "close_text", "volume_text")
     o, h, low, c, v = (F.col(x).try_cast(DECIMAL) for x in names)
-    good = (low <= F.least(o, c)) & (F.greatest(o, c) <= h) & (v >= 0)
+    good = (low <= o) & (low <= c) & (o <= h) & (c <= h) & (v >= 0)  # null if any is no decimal
     return bars.where(~F.coalesce(good, F.lit(False)))
 
 

@@ -89,8 +89,9 @@ def decode_trades(payloads: DataFrame, *, column: str = "payload") -> DataFrame:
 
 def decode_updates(events: DataFrame, *, column: str = "value", market: str = "spot") -> DataFrame:
     """Live kline events of either shape (``k`` object, or ``topic`` with ``data``), batch or stream, as one row per update."""
-    prices = "o:string,h:string,l:string,c:string,v:string"
-    binance = F.from_json(F.get_json_object(column, "$.k"), f"struct<t:bigint,T:bigint,s:string,i:string,{prices},n:bigint,x:boolean>")
+    names = {"t": "opened:bigint", "T": "closed:bigint", **{k: f"{k}:string" for k in ("s", "i", "o", "h", "l", "c", "v")}, "x": "x:boolean"}
+    single = [F.get_json_object(column, f"$.k.{key}").cast(name.split(":")[1]).alias(name.split(":")[0]) for key, name in names.items()]  # names differ in case alone
+    binance = F.struct(*single)
     topic = F.split(F.get_json_object(column, "$.topic"), r"\.")
     item = "start:bigint,end:bigint,open:string,high:string,low:string,close:string,volume:string,confirm:boolean"
     bybit = F.from_json(F.get_json_object(column, "$.data"), f"array<struct<{item}>>")
@@ -101,9 +102,9 @@ def decode_updates(events: DataFrame, *, column: str = "value", market: str = "s
         fields = [v.cast(k).alias(n) for n, v, k in zip(names, values[:7], kinds, strict=True)]
         return F.struct(F.lit(exchange).alias("exchange"), F.upper(symbol).alias("symbol"), timeframe.alias("timeframe"), *fields, values[7].alias("is_closed"))
 
-    one = F.array(update("binance", binance.s, binance.i, [binance.t, binance["T"], binance.o, binance.h, binance.l, binance.c, binance.v, binance.x]))
+    one = F.array(update("binance", binance.s, binance.i, [binance.opened, binance.closed, binance.o, binance.h, binance.l, binance.c, binance.v, binance.x]))
     minutes = F.when(topic[1].rlike("^[0-9]+$"), F.concat(topic[1], F.lit("m"))).otherwise(topic[1])
     many = F.transform(bybit, lambda x: update("bybit", topic[2], minutes, [x.start, x.end, x.open, x.high, x.low, x.close, x.volume, x.confirm]))
     event_time = F.coalesce(F.get_json_object(column, "$.E"), F.get_json_object(column, "$.ts")).cast("long")
-    rows = events.select(event_time.alias("event_time"), F.lit(market).alias("market"), F.inline(F.when(binance.t.isNotNull(), one).otherwise(many)))
+    rows = events.select(event_time.alias("event_time"), F.lit(market).alias("market"), F.inline(F.when(binance.opened.isNotNull(), one).otherwise(many)))
     return rows
