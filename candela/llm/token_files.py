@@ -19,9 +19,9 @@ from pyspark.sql import types as T
 from candela.llm.common import fresh_path, materialize, pieces, ship, table, text_bytes, text_of
 
 #: Bytes of text in a file, about, and at most in a block of it.
-FILE_BYTES, BLOCK_BYTES = 24 << 20, 8 << 20
-#: Pieces that the library encodes in one call.
-CALL = 20_000
+FILE_BYTES, BLOCK_BYTES = 24 << 20, 24 << 20
+#: Pieces that the library encodes as one text, and such texts in one call.
+JOINED, CALL = 500, 40
 #: A block, little-endian: this head; a long and a null flag per document; ids per document; ids by rank; control; data.
 #: The head: magic, file, block, documents, ranks, ids, data bytes, ids of the file before this block, bits of a length code.
 HEAD = struct.Struct("<8sIIIIQQQB")
@@ -42,21 +42,22 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int
 
     A rank takes as many bytes as it needs. With up to 65,536 ranks that is one or two, told by one bit, else two bits tell.
     """
-    known, codes, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((known, -counts))
-    rank = np.empty(len(known), np.int64)
-    rank[order] = np.arange(len(known))
-    ranks = rank[codes]
+    every = np.bincount(ids)  # as long as the vocabulary at most
+    known = np.flatnonzero(every)
+    order = np.lexsort((known, -every[known]))
+    rank = np.zeros(len(every), np.int32)
+    rank[known[order]] = np.arange(len(known))
+    ranks = rank[ids]
     bits = 1 if len(known) <= 1 << 16 else 2
-    length = np.ones(len(ranks), np.int64) + (ranks >= 1 << 8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
+    length = (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24) + np.uint8(1)
     per = 8 // bits
     padded = np.zeros(-(-len(ranks) // per) * per, np.uint8)
     padded[: len(ranks)] = length - 1
     control = (padded.reshape(-1, per) << np.arange(0, 8, bits, dtype=np.uint8)).sum(axis=1).astype(np.uint8)
-    at = np.cumsum(length) - length
-    data = np.zeros(int(length.sum()), np.uint8)
-    for k in range(4):
-        some = length > k
+    at = np.cumsum(length, dtype=np.int64) - length
+    data = np.zeros(int(length.sum(dtype=np.int64)), np.uint8)
+    for k in range(int(length.max(initial=1))):
+        some = np.flatnonzero(length > k) if k else slice(None)
         data[at[some] + k] = (ranks[some] >> (8 * k)) & 255
     return known[order].astype(np.uint32), control, data, bits
 
@@ -115,6 +116,30 @@ def _tokenizer(name: str):
     return found
 
 
+@lru_cache(maxsize=2)
+def _token_bytes(tokenizer) -> np.ndarray:
+    """Bytes that each id of a byte-level vocabulary stands for: a character each, but for special tokens."""
+    out = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+    for token, k in tokenizer.get_vocab(with_added_tokens=False).items():
+        out[k] = len(token)
+    for k, token in tokenizer.get_added_tokens_decoder().items():
+        out[k] = len(token.content.encode())
+    return out
+
+
+def _encoded(tokenizer, sizes: np.ndarray, wanted: list[str], joined: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids per string and all ids. Pieces that start pre-tokens are encoded as one text each ``JOINED``, and told apart by bytes."""
+    step = JOINED if joined else 1
+    counts, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for at in range(0, len(wanted), step * CALL):
+        texts = ["".join(wanted[k : k + step]) for k in range(at, min(at + step * CALL, len(wanted)), step)]
+        ids = np.concatenate([np.array(x.ids, np.int32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.cumsum([len(x.encode()) for x in wanted[at : at + step * CALL]])
+        counts.append(np.bincount(np.searchsorted(ends, np.cumsum(sizes[ids]) - 1, side="right"), minlength=len(ends)))
+        flat.append(ids)
+    return np.concatenate(counts), np.concatenate(flat)
+
+
 def encode_texts(tokenizer, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids per text, ``end_id`` included, and all ids, as the library encodes whole texts.
 
@@ -138,14 +163,14 @@ def encode_texts(tokenizer, texts: pa.Array, end_id: int) -> tuple[np.ndarray, n
     cut = ~np.isin(row, whole)
     used, where = np.unique(codes[inner & cut], return_inverse=True)
     first, first_where = np.unique(starts, return_inverse=True)
-    wanted = [" " + parts[k] for k in used] + [parts[k] for k in first] + [texts[int(k)].as_py() for k in whole]
-    sizes, flat = [], []
-    for at in range(0, len(wanted), CALL):
-        ids = [x.ids for x in tokenizer.encode_batch_fast(wanted[at : at + CALL], add_special_tokens=False)]
-        sizes.append(np.array([len(x) for x in ids], np.int64))
-        flat.append(np.fromiter((i for x in ids for i in x), np.int32, int(sizes[-1].sum())))
-    sizes = np.append(np.concatenate(sizes) if sizes else [], 1).astype(np.int64)
-    flat = np.append(np.concatenate(flat) if flat else [], end_id).astype(np.int32)
+    lengths = _token_bytes(tokenizer)
+    # Of the inner pieces each starts with its space; first pieces and loose texts stand alone.
+    groups = [
+        _encoded(tokenizer, lengths, [" " + parts[k] for k in used], True),
+        _encoded(tokenizer, lengths, [parts[k] for k in first] + [texts[int(k)].as_py() for k in whole], False),
+        (np.ones(1, np.int64), np.array([end_id], np.int32)),
+    ]
+    sizes, flat = (np.concatenate(x) for x in zip(*groups, strict=True))
     begin = np.cumsum(sizes) - sizes
     # The pieces of all texts in order, each text's followed by the end id.
     entry = np.full(len(codes), -1, np.int32)
