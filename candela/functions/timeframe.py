@@ -145,3 +145,42 @@ def interval_name(name: str, exchange: str) -> str:
         minutes = milliseconds(known) // MINUTE
         return known if known == "1s" else f"{minutes // 60}h" if minutes >= 60 else f"{minutes}m"
     return str(milliseconds(known) // MINUTE)
+
+
+#: How public candle requests name minutes, hours and a day, and the lengths (minutes) each exchange offers.
+PUBLIC_NAMES = {
+    "okx": ("{n}m", "{n}H", "1D", (1, 3, 5, 15, 30, 60, 240, 1440)),
+    "kucoin": ("{n}min", "{n}hour", "1day", (1, 3, 5, 15, 30, 60, 240, 1440)),
+    "bitget": ("{n}min", "{n}h", "1day", (1, 3, 5, 15, 30, 60, 240, 1440)),
+    "bitget-mix": ("{n}m", "{n}H", "1D", (1, 3, 5, 15, 30, 60, 240, 1440)),
+    "kraken-futures": ("{n}m", "{n}h", "1d", (1, 5, 15, 30, 60, 240, 1440)),
+    "gateio": ("{n}m", "{n}h", "1d", (1, 5, 15, 30, 60, 240, 1440)),
+    "htx": ("{n}min", "{n}hour", "1day", (1, 5, 15, 30, 60, 240, 1440)),
+    "mexc": ("{n}m", "{n}h", "1d", (1, 5, 15, 30, 60, 240, 1440)),
+    "mexc-contract": ("Min{n}", "Hour{n}", "Day1", (1, 5, 15, 30, 60, 240, 1440)),
+    "coinbase": ("{s}", "{s}", "86400", (1, 5, 15, 60, 360, 1440)),
+}
+
+
+def public_interval(name: str, exchange: str) -> str:
+    """The name of a timeframe in a public request; an hour is 60 minutes where hours start at four."""
+    minute, hour, day, offered = PUBLIC_NAMES[exchange]
+    known = canonical(name)
+    minutes = milliseconds(known) // MINUTE if known != "1M" else 0
+    if minutes not in offered or milliseconds(known) % MINUTE:
+        raise TimeframeUnsupported(f"{exchange}: {name}")
+    if minutes == 1440:
+        return day
+    in_minutes = minutes < 60 or (minutes == 60 and exchange in ("htx", "mexc-contract"))
+    return (minute if in_minutes else hour).format(n=minutes if in_minutes else minutes // 60, s=minutes * 60)
+
+
+def requested_limit(name: str, start_ms: int, end_ms: int, most: int) -> int:
+    """Bars that a range holds, at least one and at most a page."""
+    return min(most, max(1, -(-(end_ms - start_ms) // milliseconds(name))))
+
+
+def pages(name: str, start_ms: int, end_ms: int, most: int) -> list[tuple[int, int]]:
+    """A range cut into requests of at most ``most`` bars."""
+    step = milliseconds(name) * most
+    return [(at, min(at + step, end_ms)) for at in range(start_ms, end_ms, step)]

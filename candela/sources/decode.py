@@ -22,6 +22,7 @@ class RowMap:
     close: int | str = 4
     volume: int | str = 5
     seconds: bool = False
+    either: bool = False  # seconds or milliseconds, told by size
 
 
 #: Layouts of public candle responses.
@@ -37,12 +38,18 @@ ROWS = {
     "gateio": RowMap("$", 0, 5, 3, 4, 2, 1, True),
     "htx": RowMap("$.data", "id", "open", "high", "low", "close", "amount", True),
 }
+#: Layouts of derivative candles where they differ; mexc's one array per field is ``decode_columnar``.
+DERIVATIVE_ROWS = ROWS | {
+    "kraken": RowMap("$.candles", "time", "open", "high", "low", "close", "volume", either=True),
+    "kucoin": RowMap("$.data", 0, 1, 2, 3, 4, 5, either=True),
+    "gateio": RowMap("$", "t", "o", "h", "l", "c", "v", True),
+}
 _FIELDS = ("time", "open", "high", "low", "close", "volume")
 
 
-def decode_klines(payloads: DataFrame, exchange: str, timeframe: str, *, column: str = "payload") -> DataFrame:
+def decode_klines(payloads: DataFrame, exchange: str, timeframe: str, *, column: str = "payload", derivative: bool = False) -> DataFrame:
     """One row per candle of each payload, other columns kept: times in ms, prices as numbers and as the source's exact text."""
-    layout = ROWS[exchange]
+    layout = (DERIVATIVE_ROWS if derivative else ROWS)[exchange]
     rows = F.get_json_object(column, layout.path) if layout.path != "$" else F.col(column)
     if isinstance(layout.time, str):
         item = ", ".join(f"{getattr(layout, f)} string" for f in _FIELDS)
@@ -52,7 +59,8 @@ def decode_klines(payloads: DataFrame, exchange: str, timeframe: str, *, column:
         parsed = F.from_json(rows, "array<array<string>>")
         field = lambda f: F.col("__row")[getattr(layout, f)]
     out = payloads.select("*", F.explode(parsed).alias("__row"))
-    time = field("time").cast("double").cast("long") * (1000 if layout.seconds else 1)
+    raw = field("time").cast("double").cast("long")
+    time = raw * F.when(F.lit(layout.seconds) | (F.lit(layout.either) & (raw < 10_000_000_000)), 1000).otherwise(1)
     out = out.select(*payloads.columns, time.alias("time"), *[field(f).alias(f"{f}_text") for f in _FIELDS[1:]])
     numbers = {f: F.col(f"{f}_text").cast("double") for f in _FIELDS[1:]}
     return out.withColumns(numbers | {"time_close": close_time(F.col("time"), timeframe)}).drop(column)
@@ -108,3 +116,14 @@ def decode_updates(events: DataFrame, *, column: str = "value", market: str = "s
     event_time = F.coalesce(F.get_json_object(column, "$.E"), F.get_json_object(column, "$.ts")).cast("long")
     rows = events.select(event_time.alias("event_time"), F.lit(market).alias("market"), F.inline(F.when(binance.opened.isNotNull(), one).otherwise(many)))
     return rows
+
+
+def offline_klines(payloads: DataFrame, exchange: str, timeframe: str, start_ms: int, end_ms: int, *, limit: int | None = None, server_time_ms: int | None = None) -> DataFrame:
+    """Recorded payloads played back: closed candles of the range by time. Binance counts its limit before the range, Bybit after."""
+    rows = decode_klines(payloads, exchange, timeframe)
+    if server_time_ms is not None:
+        rows = rows.where(F.col("time_close") <= server_time_ms)
+    inside = (F.col("time") >= start_ms) & (F.col("time") < end_ms)
+    if limit is None:
+        return rows.where(inside).orderBy("time")
+    return rows.orderBy("time").limit(limit).where(inside) if exchange == "binance" else rows.where(inside).orderBy("time").limit(limit)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from candela.errors import BarConflict, CacheConflict, ValidationError
 from candela.operators.merge import classify_bulk, manifest, prefer_later, repaired
 from candela.operators.quality import bar_violations, guard
-from candela.plans.query import BarQuery
+from candela.plans.query import BarQuery, FootprintQuery
 
 PARTITIONS = ("exchange", "market", "symbol", "timeframe")
 
@@ -124,3 +124,73 @@ class BarStore:
             fs.delete(at(f"{self.path}/current/{version}"), False)
             fs.delete(at(self._data(version)), True)
         return old
+
+
+@dataclass
+class RawStore:
+    """Payloads as JSON lines below ``path``, a folder per series and partition, appended batch by batch with a manifest row each."""
+
+    spark: SparkSession
+    path: str
+
+    def write(self, payloads: DataFrame, series: dict[str, str], *, partition: str | None = None, column: str = "payload", compression: str | None = None) -> str:
+        """Append a batch; returns its id, a hash of its lines, so that the same batch written again is one batch."""
+        rows = payloads.select(F.col(column).cast("string").alias("payload"))
+        batch = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("payload").cast("decimal(38,0)")).alias("h")).first()
+        name = f"{int(batch['h'] or 0) & ((1 << 64) - 1):016x}-{batch['n']}"
+        keys = {k: F.lit(v) for k, v in series.items()} | {"partition": F.lit(partition or "root"), "batch": F.lit(name)}
+        made = rows.withColumns(keys)
+        writer = made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
+        (writer.option("compression", compression) if compression else writer).text(f"{self.path}/lines")
+        entry = made.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_count"), F.sum(F.xxhash64("payload").cast("decimal(38,0)")).alias("checksum"))
+        entry.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{self.path}/manifest")
+        return name
+
+    def inspect(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/manifest")
+
+    def read(self, series: dict[str, str] | None = None, partition: str | None = None) -> DataFrame:
+        """Payloads of a series, root batch first in no particular order within it; a batch that differs from its manifest raises."""
+        rows = self.spark.read.text(f"{self.path}/lines").withColumnRenamed("value", "payload")
+        known = self.inspect()
+        for name, value in {**(series or {}), **({"partition": partition} if partition else {})}.items():
+            rows, known = rows.where(F.col(name) == value), known.where(F.col(name) == value)
+        keys = [c for c in known.columns if c not in ("rows_count", "checksum")]
+        found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("payload").cast("decimal(38,0)")).alias("h"))
+        torn = known.join(found, keys, "full").where(~F.col("rows_count").eqNullSafe(F.col("n")) | ~F.col("checksum").eqNullSafe(F.col("h")))
+        guard(known, torn, "a raw batch doesn't match its manifest")
+        return rows.drop("batch")
+
+
+@dataclass
+class FootprintStore:
+    """Footprint levels below ``path``, a folder per instrument, timeframe and day. New bars replace stored ones of their time;
+    every other bar of the days that are written stays."""
+
+    spark: SparkSession
+    path: str
+
+    KEYS = ("exchange", "market", "symbol", "timeframe")
+
+    def _exists(self) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+    def write(self, levels: DataFrame) -> None:
+        fresh = levels.withColumn("day", F.date_format(F.timestamp_millis("time"), "yyyy-MM-dd"))
+        if self._exists():
+            stored = self.spark.read.parquet(self.path).withColumn("day", F.col("day").cast("string")).join(fresh.select(*self.KEYS, "day").distinct(), [*self.KEYS, "day"], "left_semi")
+            kept = stored.join(fresh.select(*self.KEYS, "time").distinct(), [*self.KEYS, "time"], "left_anti")
+            # Read and overwritten folders are the same, so what stays is written aside first.
+            aside = f"{self.path.rstrip('/')}.merging"
+            kept.select(*fresh.columns).unionByName(fresh).write.mode("overwrite").parquet(aside)
+            fresh = self.spark.read.schema(fresh.schema).parquet(aside)
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.KEYS, "day").parquet(self.path)
+
+    def read(self, query: FootprintQuery) -> DataFrame:
+        i = query.instrument
+        rows = self.spark.read.parquet(self.path).where((F.col("exchange") == i.exchange) & (F.col("market") == i.market) & (F.col("symbol") == i.symbol))
+        days = [F.date_format(F.timestamp_millis(F.lit(x)), "yyyy-MM-dd") for x in (query.start_ms, query.end_ms - 1)]
+        rows = rows.where((F.col("timeframe") == query.timeframe.canonical) & F.col("day").cast("string").between(*days))
+        return rows.where((F.col("time") >= query.start_ms) & (F.col("time") < query.end_ms)).drop("day")
