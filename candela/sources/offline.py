@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candela.errors import ValidationError
-from candela.functions.timeframe import bucket, close_time, micros_to_ms
+from candela.functions.timeframe import bucket, canonical, close_time, micros_to_ms
+from candela.operators.quality import guard, text_violations
 from candela.operators.resample import merge_same_open
+from candela.plans.query import Instrument
 
 #: Header names that stand for the same column.
 ALIASES = {"time": ("time", "timestamp", "open_time"), "time_close": ("time_close", "close_time")}
@@ -44,6 +46,39 @@ def read_bars_parquet(spark: SparkSession, path: str, timeframe: str) -> DataFra
     return raw.select("time", "open", "high", "low", "close", volume.alias("volume"), closes.alias("time_close"))
 
 
+#: Columns that a file of canonical bars must have.
+STRICT = ("time", "open", "high", "low", "close", "volume", "time_close", "finality", "provider", "provider_revision", "revision_state", "revision")
+
+
+def read_canonical_csv(spark: SparkSession, path: str, *, instrument: Instrument, timeframe: str, final_only: bool = True) -> DataFrame:
+    """Bars with provenance and the exact decimal texts of their prices, for repairs and snapshots.
+
+    Every column of ``STRICT`` must be there and filled; prices must be exact decimals that make a candle, the close time that
+    of the timeframe, the provider the exchange, and one provider revision hold for the file. ``final_only`` refuses open bars.
+    """
+    raw = spark.read.csv(path, header=True, inferSchema=False)
+    lacking = [c for c in STRICT if c not in raw.columns]
+    if lacking:
+        raise ValidationError(f"{path} has no {', '.join(lacking)}")
+    text = {c: F.nullif(F.trim(F.col(c)), F.lit("")) for c in STRICT}
+    rows = raw.select(
+        text["time"].try_cast("long").alias("time"), *[text[c].try_cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")],
+        text["time_close"].try_cast("long").alias("time_close"), F.lit(instrument.exchange).alias("exchange"), F.lit(instrument.market).alias("market"),
+        F.lit(instrument.symbol).alias("symbol"), F.lit(canonical(timeframe)).alias("timeframe"), F.upper(text["finality"]).alias("finality"),
+        F.lower(text["provider"]).alias("provider"), text["provider_revision"].alias("provider_revision"), F.upper(text["revision_state"]).alias("revision_state"),
+        text["revision"].try_cast("long").alias("revision"), *[text[c].alias(f"{c}_text") for c in ("open", "high", "low", "close", "volume")],
+    ).withColumn("is_closed", F.col("finality") == "FINAL")
+    empty = F.greatest(*[F.col(c).isNull().cast("int") for c in rows.columns]) == 1
+    wrong = empty | (F.col("provider") != instrument.exchange) | (F.col("time_close") != close_time(F.col("time"), timeframe)) | ~F.col("finality").isin("FINAL", "OPEN")
+    wrong = wrong | ~F.col("revision_state").isin("ORIGINAL", "CORRECTED", "REVOKED") | ((F.col("revision_state") == "ORIGINAL") != (F.col("revision") == 0))
+    if final_only:
+        wrong = wrong | (F.col("finality") != "FINAL")
+    guard(rows, rows.where(wrong), "a row isn't canonical")
+    guard(rows, text_violations(rows), "a row is no candle")
+    guard(rows, rows.agg(F.count_distinct("provider_revision").alias("n")).where("n > 1"), "several provider revisions")
+    return rows
+
+
 def head(bars: DataFrame, count: int) -> DataFrame:
     """The first bars by time."""
     return bars.orderBy("time").limit(count)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from candela import cli, errors
 from candela.functions.timeframe import Timeframe, pages, public_interval, requested_limit
 from candela.plans.query import FootprintQuery, Instrument
-from candela.sources import decode
+from candela.sources import decode, offline
 from candela.store import FootprintStore, RawStore
 
 HOUR = 3_600_000
@@ -85,3 +85,24 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["exchanges"]) == 0 and len(capsys.readouterr().out.splitlines()) == 10
     assert cli.main(["precompute", f"{tmp_path}/good.csv", f"{tmp_path}/out.parquet", "5m"]) == 0
     assert spark.read.parquet(f"{tmp_path}/out.parquet").where(F.col("volume") == 6).count() == 1
+
+
+def test_canonical_files(spark, tmp_path):
+    head = "time,open,high,low,close,volume,time_close,finality,provider,provider_revision,revision_state,revision\n"
+    good = "0,1,2,0.5,1.5,10,59999,FINAL,binance,repair-r1,ORIGINAL,0\n"
+    read = lambda text, **more: offline.read_canonical_csv(spark, write(text), instrument=Instrument("binance", "spot", "s"), timeframe="1m", **more)
+
+    def write(text):
+        path = tmp_path / f"{abs(hash(text))}.csv"
+        path.write_text(text)
+        return str(path)
+
+    row = read(head + good).first()
+    assert (row.symbol, row.close_text, row.is_closed, row.revision) == ("S", "1.5", True, 0)
+    for bad in (
+        "time,open\n0,1\n", head + good.replace("binance", "bybit"), head + good.replace("59999", "60000"), head + good.replace("0.5", "x"), head + good.replace("repair-r1", ""),
+        head + good.replace("ORIGINAL,0", "ORIGINAL,1"), head + good.replace("FINAL", "OPEN"), head + good.replace(",2,", ",1,"), head + good + good.replace("repair-r1", "r2").replace("0,1,2", "60000,1,2").replace("59999", "119999"),
+    ):
+        with pytest.raises(errors.ValidationError):
+            read(bad)
+    assert read(head + good.replace("FINAL", "OPEN"), final_only=False).count() == 1
