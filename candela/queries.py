@@ -24,7 +24,7 @@ CUTOFF = 1705708800000  # 2024-01-20
 SERVER = 1706000000000
 
 TRADES = """trades AS (
-  SELECT event_id AS trade_id, epoch_ms(ts) AS time, epoch_us(ts) AS micros, value AS price,
+  SELECT event_id AS trade_id, epoch_us(ts) // 1000 AS time, epoch_us(ts) AS micros, value AS price,
          CAST(json_extract_string(props, '$.k') AS BIGINT) AS quantity, (user_id % 2 = 1) AS buyer_maker, upper(event_type) AS symbol
   FROM events)"""
 BARS = TRADES + """, bars AS (

@@ -1,7 +1,5 @@
 """Every registered query against its SQL twin."""
 
-import math
-
 import duckdb
 import pandas as pd
 import pytest
@@ -20,7 +18,7 @@ def duck(sf_dir):
 
 
 def plain(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
+    if pd.api.types.is_scalar(value) and pd.isna(value):
         return None
     if hasattr(value, "item"):
         value = value.item()
