@@ -1,4 +1,4 @@
-"""Near-duplicate grouping: one-permutation MinHash, banded buckets, star-shaped candidates, exact confirmation."""
+"""Near-duplicate grouping: one-permutation MinHash, banded buckets, star-shaped candidates, a prefix join of what stars leave, exact confirmation."""
 
 from __future__ import annotations
 
@@ -22,6 +22,9 @@ SLOTS, ROWS = 128, 4
 HUBS, LATER_HUBS, FURTHER = 6, 2, 3
 #: Text bytes that a task holds as tokens at once.
 SLICE_BYTES = 3 << 20
+#: Counters of shingles that order them by rarity (shingles of one counter share it, which costs time and no link), and rows
+#: of a shingle that one task pairs with the others.
+COUNTERS, SHARE = 1 << 21, 1000
 #: For each slot the order in which other slots are asked for a value while it is empty.
 PROBES = np.stack([np.random.RandomState(1_000_003 + slot).permutation(SLOTS) for slot in range(SLOTS)])
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -158,13 +161,74 @@ def _edges_by_hubs(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame
     )
 
 
+def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in pieces(whole, "text", SLICE_BYTES):
+            cells, counts = np.unique(np.concatenate(shingle_sets(batch.column("text"))) % np.uint64(COUNTERS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["cell", "c"])
+
+
+def _prefixes(rarity: np.ndarray):
+    """Of each text the shingles, rarest first, one of which any text of a link with it has too; those of no other text left out.
+
+    A set of n shares at least PERCENT of its n with a linked one, so the first they share is among the n - ceil(n * PERCENT / 100) + 1 first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "text", SLICE_BYTES):
+                shingles, rows, places, sizes = [], [], [], []
+                for row, x in enumerate(shingle_sets(batch.column("text"))):
+                    count = rarity[x % np.uint64(COUNTERS)]
+                    first = np.lexsort((x, count))[: len(x) + (-PERCENT * len(x) // 100) + 1]
+                    place = np.flatnonzero(count[first] > 1)
+                    shingles.append(x[first[place]])
+                    places.append(place)
+                    rows.append(np.full(len(place), row))
+                    sizes.append(np.full(len(place), len(x)))
+                rows = pa.array(np.concatenate(rows))
+                arrays = [pa.array(np.concatenate(shingles).view(np.int64)), batch.column("node").take(rows), batch.column("root").take(rows)]
+                arrays += [pa.array(np.concatenate(x).astype(np.int32)) for x in (places, sizes)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["shingle", "node", "root", "place", "n"])
+
+    return run
+
+
+def _edges_by_prefixes(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """All pairs from different components that can reach the threshold, of members of buckets that hold several components.
+
+    The join is exact: texts of a link have their first common shingle, in the order of rarity, in both prefixes, and what
+    follows it in either set suffices for the threshold. Of two components at a shingle one isn't the least there, so those
+    of the others are paired with all; a frequent shingle is dealt to several tasks.
+    """
+    placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("key")
+    left = materialize(texts.join(placed.join(open_, "key").select("node", "root").distinct(), "node").select("node", "root", "text"), "near-open")
+    found = left.mapInArrow(_counters, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).where("c > 1").toArrow()
+    if not found.num_rows:
+        return None
+    rarity = np.ones(COUNTERS, np.int64)
+    rarity[np.asarray(found["cell"])] = np.asarray(found["c"])
+    rarity = np.minimum(rarity, 2**31 - 1).astype(np.int32)
+    rows = materialize(left.mapInArrow(_prefixes(rarity), "shingle long, node long, root long, place int, n int"), "near-prefixes")
+    held = rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("m")).where("least != most")
+    rows = rows.join(held.select("shingle", "least", F.floor(F.col("m") / SHARE).alias("last")), "shingle")
+    rows = materialize(rows, "near-shared")
+    others = rows.where("root != least").select("shingle", F.pmod(F.xxhash64("node"), F.col("last") + 1).alias("share"), *[F.col(c).alias(f"o_{c}") for c in ("node", "root", "place", "n")])
+    every = rows.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("share"), "node", "root", "place", "n")
+    reach = F.least(F.col("n") - F.col("place"), F.col("o_n") - F.col("o_place")) * (100 + PERCENT) >= (F.col("n") + F.col("o_n")) * PERCENT
+    pairs = every.join(others, ["shingle", "share"]).where(F.col("root") != F.col("o_root")).where(reach)
+    return pairs.select(F.least("node", "o_node").alias("u"), F.greatest("node", "o_node").alias("v")).distinct()
+
+
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, ``n_shingles, component_id, kept``.
 
     Texts with equal shingle sets are one class. Classes that share a band are candidates: each bucket names the class of
     most rows (then the least) its centre and pairs it with every other member, so a bucket of m members gives m-1 pairs. Candidates are
     confirmed on their full sets. Where members of a bucket are still in different components after that, further hubs of
-    the bucket are paired with them, turn after turn until one finds no new link. No bucket is left out or cut.
+    the bucket are paired with them, turn after turn until one finds no new link. This is the fast way; where buckets then
+    still hold several components, a prefix join finds every link that remains between them. No bucket is left out or cut.
 
     ``component_id`` is the least id reachable over links (of a text without words: its own id); null ids come out as
     they are and lead no component. Repeated rows share class and component. Other columns are ignored; an empty table
@@ -199,6 +263,10 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     while not (found := materialize(_confirmed(_edges_by_hubs(members, roots, turn), texts), "near-links")).isEmpty():
         turn += 1
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
+    if (rest := _edges_by_prefixes(members, roots, texts)) is not None:
+        found = materialize(_confirmed(materialize(rest, "near-pairs"), texts), "near-links")
+        if not found.isEmpty():
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
 
     led = classes.select("node", "digest", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = led.groupBy("root").agg(F.min("least").alias("component_id"))

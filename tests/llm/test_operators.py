@@ -416,6 +416,30 @@ def test_near_groups_equal_brute_force(spark, docs, empty):
     assert {r.doc_id for r in stay.collect()} == ids
 
 
+def form(seed, fields):
+    """Texts on one template of 116 shingles: four words, each in five shingles of its own, are replaced; None leaves the template's."""
+    base = prose(seed, 120).split()
+    return [" ".join(base[:15] + [own[0] or base[15]] + base[16:45] + [own[1] or base[45]] + base[46:75] + [own[2] or base[75]] + base[76:105] + [own[3] or base[105]] + base[106:]) for own in fields]
+
+
+def template_group(seed, n, shared):
+    """Texts of similarity 0.706, but for ``shared`` pairs with a word in common: those have 0.77."""
+    rng = random.Random(seed)
+    fields = [[f"f{seed}x{k}s{s}" for s in range(4)] for k in range(n)]
+    for k in range(shared):
+        s = rng.randrange(4)
+        fields[2 * k + 1][s] = fields[2 * k][s]
+    return form(seed, fields)
+
+
+def test_near_groups_on_one_template_equal_brute_force(spark):
+    rows = list(enumerate(template_group(7, 1500, 200)))
+    want = near_brute(rows)
+    assert len({c for _, _, c in want}) == 1300
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rows_of(near_dedup.near_groups(table), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_densified_slots_agree_as_often_as_sets_are_similar():
     rng = np.random.default_rng(11)
     for size in (10, 60, 400):
