@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candela.errors import BarConflict, CacheConflict, ValidationError
-from candela.operators.merge import classify_bulk, manifest, prefer_later, repaired
+from candela.operators.merge import OHLCV, classify_bulk, keep_first, manifest, prefer_later, repaired
 from candela.operators.quality import bar_violations, guard
 from candela.plans.query import BarQuery, FootprintQuery
 
@@ -72,13 +72,18 @@ class BarStore:
         return version
 
     def write_closed(self, batch: DataFrame) -> dict[str, int]:
-        """Add closed bars: known candles are skipped, a different candle of a known time is a conflict and nothing is written."""
-        batch = batch.dropDuplicates([*PARTITIONS, "time"])
+        """Add closed bars: known candles are skipped, a different candle of a known time, stored or in the batch, is a conflict and nothing is written."""
+        keys = [*PARTITIONS, "time"]
+        candle = F.struct(*OHLCV)
+        clashing = batch.groupBy(*keys).agg(F.min(candle).alias("least"), F.max(candle).alias("most")).where("least != most").count()
+        if clashing:
+            raise CacheConflict(f"{clashing} bars of the batch are given with different candles")
+        batch = keep_first(batch.withColumn("__seq", F.monotonically_increasing_id()), keys, "__seq").drop("__seq")
         stored = self.read_all()
         if stored is None:
             self.replace(batch)
             return {"new": batch.count(), "duplicate": 0}
-        marked = classify_bulk(batch.select(*stored.columns), stored, keys=[*PARTITIONS, "time"])
+        marked = classify_bulk(batch.select(*stored.columns), stored, keys=keys)
         counts = {r["outcome"]: r["count"] for r in marked.groupBy("outcome").count().collect()}
         if counts.get("conflict"):
             raise CacheConflict(f"{counts['conflict']} bars differ from stored ones")

@@ -316,6 +316,21 @@ def series(spark, rows):
     return bars(spark, rows).withColumns({"exchange": F.lit("binance"), "market": F.lit("spot"), "timeframe": F.lit("1m")})
 
 
+def test_different_candles_of_one_time_in_a_batch_conflict(spark, tmp_path):
+    store = BarStore(spark, f"{tmp_path}/store")
+    flat = lambda t, c=1.0: (t, 1.0, 9.0, 1.0, c, 1.0)
+    with pytest.raises(errors.CacheConflict):
+        store.write_closed(series(spark, [flat(0), flat(0, 5.0)]))
+    assert store.versions() == []
+    named = lambda rows, name: series(spark, rows).withColumn("source", F.lit(name))
+    first, second = named([flat(0)], "first"), named([flat(0)], "second")
+    assert store.write_closed(first.unionByName(second)) == {"new": 1, "duplicate": 0}
+    assert [r.source for r in store.read_all().collect()] == ["first"]
+    with pytest.raises(errors.CacheConflict):
+        store.write_closed(named([flat(MINUTE), flat(MINUTE, 5.0)], "first"))
+    assert store.read_all().count() == 1
+
+
 def test_store(spark, tmp_path):
     store = BarStore(spark, f"{tmp_path}/store")
     flat = lambda t, c=1.0: (t, 1.0, 9.0, 1.0, c, 1.0)
