@@ -154,7 +154,7 @@ def _edges_by_hubs(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame
     hubs = hubs.where("least != most").select("key", "least", F.explode(picked).alias("hub"))
     return (
         placed.join(hubs, "key")
-        .where("root != hub.root AND root != least")  # towards the bucket's first component one way is enough
+        .where("root != hub.root AND root != least")  # one way is enough for the fast way; the prefix join finds what it misses
         .where(_plausible("n", "hub.n"))
         .select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v"))
         .distinct()

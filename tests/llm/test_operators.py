@@ -440,6 +440,16 @@ def test_near_groups_on_one_template_equal_brute_force(spark):
     assert rows_of(near_dedup.near_groups(table), "doc_id", "n_shingles", "component_id") == want
 
 
+def test_stragglers_of_a_large_component_equal_brute_force(spark):
+    """Each of 60 stragglers is similar to one member of the component around the template, and not to its centre."""
+    fields = [(None,) * 4] * 2 + [(f"m{k}", None, None, None) for k in range(500)] + [(f"m{k}", *[f"s{k}x{s}" for s in range(3)]) for k in range(60)]
+    rows = list(enumerate(form(13, fields)))
+    want = near_brute(rows)
+    assert {c for _, _, c in want} == {0}
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rows_of(near_dedup.near_groups(table), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_densified_slots_agree_as_often_as_sets_are_similar():
     rng = np.random.default_rng(11)
     for size in (10, 60, 400):
