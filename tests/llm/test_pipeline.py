@@ -5,7 +5,7 @@ import hashlib
 import corpus_pipeline
 from candela.llm import bpe, decontaminate, toxicity
 from candela.llm.common import table
-from tests.llm.test_operators import near_brute
+from tests.llm.test_operators import near_brute, template_group
 
 
 def test_pipeline_equals_brute_force(spark, sf_dir):
@@ -38,3 +38,9 @@ def test_stages_keep_the_columns(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_near_stage_on_one_template_equals_brute_force(spark, sf_dir):
+    rows = list(enumerate(template_group(17, 1100, 200)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in corpus_pipeline.near(spark, docs, sf_dir).collect()} == {i for i, _, c in near_brute(rows) if i == c}
