@@ -76,12 +76,32 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged: one row of each group of equal texts, see ``exact_groups``."""
-    rows = _with_keys(docs, id_col, text_col).drop("__text")
-    winners = materialize(_winners(_with_keys(docs.select(id_col, text_col), id_col, text_col), salts), "exact-winners")
-    stay = _placed(rows, winners, salts).where("__kept")
-    repeated = stay.where(F.col("__size") > 1).dropDuplicates(["__digest", "__check"])
-    return stay.where(F.col("__size").isNull()).unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that stay, all columns unchanged: one row of each group of equal texts, the one of the largest id.
+
+    Whole rows are combined: in each task, then in ``salts`` parts of each digest, then over these, always by digest and full
+    text, so what the last stage leaves is the result and nothing is looked up. A row crosses at most two shuffles, and of a
+    hot text a task sends one row. Null counts as the empty text and comes out as it was. A null id is below every other; of
+    rows that repeat text and id the one of the largest hash of its other columns stays (maps left aside). An empty table
+    gives an empty result. Rows travel as one struct, so no column of theirs can clash with a name used here.
+    """
+    text = text_of(text_col)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    plain = [F.col(f"`{c}`") for c in docs.columns if c != text_col and "map<" not in docs.schema[c].dataType.simpleString()]
+    best = [F.max_by("row", "rank").alias("row"), F.max("rank").alias("rank")]
+    rows = docs.select(
+        F.unhex(F.sha2(text, 256)).alias("digest"),
+        F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"),
+        text.alias("text"),
+        F.struct(F.col(f"`{text_col}`").isNull().alias("empty"), F.struct(*rest).alias("rest")).alias("row"),
+        F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(*plain).alias("tie")).alias("rank"),
+    )
+    salted = rows.groupBy("digest", "text", "salt").agg(*best)
+    whole = salted.groupBy("digest", "text").agg(*best)
+    kind = docs.schema[text_col].dataType
+    out = [
+        F.when(~F.col("row.empty"), F.col("text")).cast(kind).alias(c) if c == text_col else F.col("row.rest").getField(c).alias(c) for c in docs.columns
+    ]
+    return whole.select(*out)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
