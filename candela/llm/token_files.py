@@ -22,10 +22,14 @@ from candela.llm.common import fresh_path, materialize, pieces, ship, table, tex
 FILE_BYTES, BLOCK_BYTES = 24 << 20, 24 << 20
 #: Pieces that the library encodes as one text, and such texts in one call.
 JOINED, CALL = 500, 40
+#: Encoded pieces that a worker keeps for its next batches.
+KEPT = 300_000
 #: A block, little-endian: this head; a long and a null flag per document; ids per document; ids by rank; control; data.
 #: The head: magic, file, block, documents, ranks, ids, data bytes, ids of the file before this block, bits of a length code.
 HEAD = struct.Struct("<8sIIIIQQQB")
 MAGIC = b"FRQVBYT1"
+#: Files whose ids are summed as one when the start of a file is computed.
+CHUNK = 1000
 
 
 def _lengths(bits: int) -> np.ndarray:
@@ -127,62 +131,102 @@ def _token_bytes(tokenizer) -> np.ndarray:
     return out
 
 
-def _encoded(tokenizer, sizes: np.ndarray, wanted: list[str], joined: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Ids per string and all ids. Pieces that start pre-tokens are encoded as one text each ``JOINED``, and told apart by bytes."""
-    step = JOINED if joined else 1
-    counts, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-    for at in range(0, len(wanted), step * CALL):
-        texts = ["".join(wanted[k : k + step]) for k in range(at, min(at + step * CALL, len(wanted)), step)]
-        ids = np.concatenate([np.array(x.ids, np.int32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-        ends = np.cumsum([len(x.encode()) for x in wanted[at : at + step * CALL]])
-        counts.append(np.bincount(np.searchsorted(ends, np.cumsum(sizes[ids]) - 1, side="right"), minlength=len(ends)))
-        flat.append(ids)
-    return np.concatenate(counts), np.concatenate(flat)
+def _alone(tokenizer, wanted: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids per text and all ids."""
+    found = [np.zeros(0, np.int32)]
+    for at in range(0, len(wanted), CALL):
+        found += [np.array(x.ids, np.int32) for x in tokenizer.encode_batch_fast(wanted[at : at + CALL], add_special_tokens=False)]
+    return np.fromiter(map(len, found[1:]), np.int32, len(wanted)), np.concatenate(found)
 
 
-def encode_texts(tokenizer, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids per text, ``end_id`` included, and all ids, as the library encodes whole texts.
+def _joined(tokenizer, lengths: np.ndarray, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids per piece and all ids, of pieces that each stand after a space: ``JOINED`` are encoded as one text, and told apart by bytes."""
+    cuts = np.append(np.arange(0, len(wanted), JOINED), len(wanted))
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), wanted), pa.scalar(" ", wanted.type)).to_pylist()
+    _, flat = _alone(tokenizer, [" " + x for x in texts])
+    ends = np.cumsum(np.asarray(pc.binary_length(wanted)) + 1)
+    owner = np.searchsorted(ends, np.cumsum(lengths[flat]) - 1, side="right")
+    return np.bincount(owner, minlength=len(ends)).astype(np.int32), flat
 
-    For a byte-level vocabulary a space before another character always starts a new pre-token. Texts are cut there and
-    each distinct piece of the batch is encoded once.
+
+class PieceEncoder:
+    """Ids of whole texts as the library encodes them, with a table of encoded pieces kept from one batch to the next.
+
+    For a byte-level vocabulary a space before another character always starts a new pre-token. Texts are cut there, each
+    distinct piece is encoded once, and pieces that occur again stay in a table of ``most`` pieces at most.
     """
-    texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
-    lists = pc.split_pattern(texts, " ")
-    offsets = np.asarray(lists.offsets).astype(np.int64)
-    coded = lists.flatten().dictionary_encode()
-    codes, parts = np.asarray(coded.indices), coded.dictionary.to_pylist()
-    # A piece that is empty or starts with white space belongs to the one before it: such texts are encoded whole.
-    loose = np.array([not p or p[0].isspace() for p in parts], bool)[codes]
-    loose[offsets[:-1][np.diff(offsets) > 0]] = False
-    row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))
-    whole = np.unique(row[loose])
-    leading = offsets[:-1]
-    starts = codes[leading]  # every text has a first piece, without a space before it
-    inner = np.ones(len(codes), bool)
-    inner[leading] = False
-    cut = ~np.isin(row, whole)
-    used, where = np.unique(codes[inner & cut], return_inverse=True)
-    first, first_where = np.unique(starts, return_inverse=True)
-    lengths = _token_bytes(tokenizer)
-    # Of the inner pieces each starts with its space; first pieces and loose texts stand alone.
-    groups = [
-        _encoded(tokenizer, lengths, [" " + parts[k] for k in used], True),
-        _encoded(tokenizer, lengths, [parts[k] for k in first] + [texts[int(k)].as_py() for k in whole], False),
-        (np.ones(1, np.int64), np.array([end_id], np.int32)),
-    ]
-    sizes, flat = (np.concatenate(x) for x in zip(*groups, strict=True))
-    begin = np.cumsum(sizes) - sizes
-    # The pieces of all texts in order, each text's followed by the end id.
-    entry = np.full(len(codes), -1, np.int32)
-    entry[inner & cut] = where
-    entry[leading] = len(used) + first_where
-    entry[leading[whole]] = len(used) + len(first) + np.arange(len(whole))
-    entry = np.insert(entry, offsets[1:], len(sizes) - 1)
-    owner = np.insert(row, offsets[1:], np.arange(len(texts)))
-    owner, entry = owner[entry >= 0], entry[entry >= 0]
-    n = sizes[entry]
-    at = np.repeat(begin[entry] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    return np.bincount(owner, n, minlength=len(texts)).astype(np.int64), flat[at]
+
+    def __init__(self, tokenizer, most: int = KEPT):
+        self.tokenizer, self.most, self.lengths = tokenizer, most, _token_bytes(tokenizer)
+        self.pieces = pa.array([], pa.large_string())
+        self.sizes, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _looked_up(self, used: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The slot of each used piece, and sizes and ids of all slots: those of the table, then those encoded now."""
+        slot = np.array(pc.fill_null(pc.index_in(used, value_set=self.pieces), -1))
+        fresh = np.flatnonzero(slot < 0)
+        sizes, flat = _joined(self.tokenizer, self.lengths, used.take(pa.array(fresh)))
+        slot[fresh] = len(self.sizes) + np.arange(len(fresh))
+        found = slot, np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+        keep = np.flatnonzero(counts[fresh] > 1)[: self.most - len(self.pieces)]
+        if len(keep):
+            chosen = np.zeros(len(fresh), bool)
+            chosen[keep] = True
+            self.pieces = pa.concat_arrays([self.pieces, used.take(pa.array(fresh[keep]))])
+            self.sizes, self.flat = np.concatenate([self.sizes, sizes[keep]]), np.concatenate([self.flat, flat[np.repeat(chosen, sizes)]])
+        return found
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids per text, ``end_id`` included, and all ids. Null counts as the empty text."""
+        if not len(texts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
+        lists = pc.split_pattern(texts, " ")
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        codes, leading = np.asarray(coded.indices), offsets[:-1]  # every text has a first piece, without a space before it
+        heads = pc.utf8_slice_codeunits(coded.dictionary, 0, 1).dictionary_encode()
+        # A piece that is empty or starts with white space belongs to the one before it: such texts are encoded whole.
+        odd = np.array([not c or c.isspace() for c in heads.dictionary.to_pylist()], bool)[np.asarray(heads.indices)]
+        loose = odd[codes]
+        loose[leading] = False
+        whole = np.unique(np.searchsorted(offsets, np.flatnonzero(loose), side="right") - 1)
+        parts = coded.dictionary
+        del lists, coded, loose
+        split = np.ones(len(texts), bool)
+        split[whole] = False
+        inner = np.repeat(split, np.diff(offsets))
+        inner[leading] = False
+        counts = np.bincount(codes[inner], minlength=len(parts))
+        used = np.flatnonzero(counts)
+        slot, sizes, flat = self._looked_up(parts.take(pa.array(used)), counts[used])
+        first, where = np.unique(codes[leading], return_inverse=True)
+        alone, alone_flat = _alone(self.tokenizer, parts.take(pa.array(first)).to_pylist() + texts.take(pa.array(whole)).to_pylist())
+        none = len(sizes) + len(alone)
+        by_code = np.full(len(parts), none, np.int32)
+        by_code[used] = slot
+        entry = by_code[codes]
+        if len(whole):
+            entry[~inner] = none  # the pieces of texts that are encoded whole, and, for now, first pieces
+        entry[leading] = len(sizes) + where
+        entry[leading[whole]] = len(sizes) + len(first) + np.arange(len(whole))
+        sizes = np.concatenate([sizes, alone, np.zeros(1, np.int32)])
+        flat = np.concatenate([flat, alone_flat, np.zeros(1, np.int32)])
+        begin = (np.cumsum(sizes) - sizes).astype(np.int32)
+        n = sizes[entry]
+        n[offsets[1:] - 1] += 1  # room for the end id
+        ends = np.cumsum(n, dtype=np.int32)
+        at = np.repeat(begin[entry] - (ends - n), n)
+        at += np.arange(len(at), dtype=np.int32)
+        out = flat[at]
+        last = ends[offsets[1:] - 1]
+        out[last - 1] = end_id
+        return np.diff(last, prepend=0).astype(np.int64), out
+
+
+@lru_cache(maxsize=1)
+def _encoder(name: str) -> PieceEncoder:
+    return PieceEncoder(_tokenizer(name))
 
 
 def write_token_files(
@@ -190,10 +234,13 @@ def write_token_files(
 ) -> None:
     """Write the ids of all documents, each with ``end_id`` at its end, in ascending order of the document id (a long).
 
-    Documents are range-partitioned by id, then by a hash of the text so that an id of very many rows is spread; nulls come
-    first. Each task writes one file of self-contained blocks, in which ids are numbered by their frequency in the block.
-    Null texts count as empty: the end id alone. Special strings that stand in a text are matched as the library does.
-    Spark's text writer commits the files (a block is a line of bytes; its head says where it ends).
+    Documents are range-partitioned by id, then by a hash of the text and their place in the input, so that neither an id of
+    very many rows nor a row repeated very often lands in one task. Null ids come first; rows of one id stand by hash, then
+    text, the same in every run. Each task writes one file of self-contained blocks, in which ids are numbered by their
+    frequency in the block. Null texts count as empty: the end id alone. Special strings that stand in a text are matched as
+    the library does. A text of any length is one document; it may make a block longer than ``BLOCK_BYTES``. Other columns are
+    ignored; an empty table gives files without blocks. Spark's text writer commits the files (a block is a line of bytes;
+    its head says where it ends).
     """
     spark = docs.sparkSession
     ship(spark)
@@ -205,12 +252,14 @@ def write_token_files(
     name = vocabulary.rsplit("/", 1)[-1]
     files = max(8, -(-text_bytes(docs, text_col) // FILE_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    rows = rows.repartitionByRange(files, F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first())
+    rows = rows.withColumns({"mark": F.xxhash64("text"), "spread": F.monotonically_increasing_id()})
+    order = F.col("id").asc_nulls_first()
+    rows = rows.repartitionByRange(files, order, "mark", "spread").sortWithinPartitions(order, "mark", "text").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, before = TaskContext.get().partitionId(), 0, 0
         for batch in (b for whole in batches for b in pieces(whole, "text", BLOCK_BYTES)):
-            counts, ids = encode_texts(_tokenizer(name), batch.column("text"), end_id)
+            counts, ids = _encoder(name).encode(batch.column("text"), end_id)
             nulls = np.asarray(pc.is_null(batch.column("id")))
             packed = pack(ids, counts, np.asarray(pc.fill_null(batch.column("id"), 0)), nulls, part, block, before)
             block, before = block + 1, before + len(ids)
@@ -243,9 +292,13 @@ def read_token_files(spark: SparkSession, path: str, *, with_ids: bool = True) -
 
     files = spark.read.format("binaryFile").load(path).select("content")
     rows = materialize(files.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in fields])), "token-rows")
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row per file
-    totals = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return rows.join(F.broadcast(totals), "part").withColumn("start", F.col("start") + F.col("before")).drop("part", "before")
+    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("chunk", F.floor(F.col("part") / CHUNK))
+    # Running sums over the files of a chunk, in parallel, and over one row per chunk.
+    before = lambda w: F.sum("n").over(w) - F.col("n")
+    inside = totals.withColumn("inside", before(Window.partitionBy("chunk").orderBy("part")))
+    chunks = totals.groupBy("chunk").agg(F.sum("n").alias("n")).select("chunk", before(Window.orderBy("chunk")).alias("before"))
+    offsets = inside.join(chunks, "chunk").select("part", (F.col("inside") + F.col("before")).alias("before"))
+    return rows.join(offsets, "part").withColumn("start", F.col("start") + F.col("before")).drop("part", "before")
 
 
 def op6_frequency_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -283,6 +283,26 @@ def test_variable_length_code(top):
     assert [counts[i] for i in by_rank.tolist()] == sorted(counts.values(), reverse=True)
 
 
+def test_pieces_equal_the_library():
+    """Random texts of several scripts with runs of blanks and special strings; the table of pieces fills and stays bounded."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(14)
+    alphabet = ["*", "!", "9", "²", "İ", "\xa0", "\x85", "\x1c", "\xad", *"abcdehinorst", " ", " ", " ", "'", ".", "é", "ß", "Σ", "日", "本", "🙂", "\n", "\t", "  ", "<|endoftext|>", " <|endoftext|> "]
+    odd = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(5000)]
+    odd += ["", None, " " * 9, "a     b", prose(15, 20_000), "x" * 30_000]
+    encoder = token_files.PieceEncoder(library, most=200)
+    for start in range(0, len(odd), 700):
+        part = odd[start : start + 700]
+        counts, ids = encoder.encode(pa.array(part, pa.string()), 2)
+        want = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in part]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    assert 0 < len(encoder.pieces) <= 200
+    assert [len(x) for x in encoder.encode(pa.array([], pa.string()), 2)] == [0, 0]
+
+
 def test_token_files_round_trip(spark, docs, empty, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -300,6 +320,11 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
         assert r.start == at and list(r.ids) in by_id[r.doc_id] and r.n_tokens == len(r.ids)
         assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
         at += r.n_tokens
+    again = docs.repartition(5).union(docs)
+    token_files.write_token_files(again, f"{tmp_path}/c")
+    token_files.write_token_files(again.repartition(2), f"{tmp_path}/d")
+    same = [[(r.doc_id, r.start, r.ids_crc32) for r in token_files.read_token_files(spark, f"{tmp_path}/{x}", with_ids=False).orderBy("start").collect()] for x in "cd"]
+    assert same[0] == same[1] and len(same[0]) == 2 * len(rows)
     token_files.write_token_files(empty, f"{tmp_path}/b")
     assert token_files.read_token_files(spark, f"{tmp_path}/b").count() == 0
 
