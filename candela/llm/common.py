@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import os
 import tempfile
-import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -34,10 +32,17 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([REPOSITORY, *filter(None, paths)])
 
 
+#: Shuffle files of a finished query are deleted by Spark while this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, from ``spark.checkpoint.dir``; a temporary one is set only if that is unset."""
+    """The folder every executor can reach, from ``spark.checkpoint.dir``. Where that is unset, a local master gets a temporary
+    folder; on a cluster executors couldn't read what others write there, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -47,26 +52,49 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the written table.
 
-    This cuts the lineage: a lost executor re-reads the files instead of recomputing what led to them.
+    This cuts the lineage: a lost executor re-reads the files instead of recomputing what led to them. So the shuffles of
+    this write aren't needed any more after it, and Spark deletes them.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files that nothing refers to any more: after a table is materialized, those before it.
+def settle(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> tuple[DataFrame, str]:
+    """Materialize what ``make`` returns, then delete the tables written on the way to it; the table and its path."""
+    before = len(_written)
+    table_ = materialize(make(), label)
+    for path in _written[before:-1]:
+        remove(spark, path)
+    path = _written[-1]
+    del _written[before:]
+    return table_, path
 
-    Python's references to JVM objects are dropped about a second after Python has collected its own.
-    """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(1.5)
-        spark.sparkContext._jvm.System.gc()
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or it and as many underscores as it takes to differ from every column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_of(name: str = "text") -> Column:

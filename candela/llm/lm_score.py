@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from candela.llm.common import fold, hash_words, materialize, mix, pieces, release, ship, table, text_bytes, text_of, trim, words
+from candela.llm.common import fold, hash_words, materialize, mix, pieces, ship, table, text_bytes, text_of, trim, words
 
 #: Text bytes in a batch and n-grams of all batches in a part, about: both bound what a task holds.
 BATCH_BYTES, PART_BYTES = 12 << 20, 6 << 20
@@ -174,11 +174,13 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     used with the counts of all. A word that training never saw has the uniform part alone, so each context's
     probabilities add up to 1 over V words and one unknown. The first token of a text has the end token as its context.
 
-    Documents are dealt into batches by a hash of id and text. Each batch asks for its distinct tokens and pairs, as 64-bit
+    Documents are dealt into batches by a hash of id, text and place in the input, so that neither a hot id nor a row repeated
+    very often fills one. Each batch asks for its distinct tokens and pairs, as 64-bit
     hashes packed by part; a part adds up what all batches counted and answers each. So every key travels once per batch,
     whatever its frequency, and neither a word nor the counts of the whole corpus meet in one place. (Two of n distinct
-    keys share a hash with chance n^2 / 2^64.) Null counts as the empty text: its end token alone. Repeated rows count each
-    time; other columns are ignored; an empty table gives an empty result.
+    keys share a hash with chance n^2 / 2^64.) Null counts as the empty text: its end token alone. A null id is folded
+    as the empty string. Repeated rows count each time and score alike. A text of any length is scored whole, in one batch.
+    Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -189,7 +191,9 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     # A batch is of held-out, deleted or other rows alone: three kinds of batch, told by the number's remainder.
     sort = F.when(F.col("rest") == HELD_OUT, 0).when(F.col("rest").isin(*DELETED), 1).otherwise(2)
     wide = F.when(sort == 2, batches).otherwise(-(-batches // 6))
-    rows = rows.withColumn("batch", (F.pmod(F.xxhash64("id", "text"), wide) * 3 + sort).cast("int"))
+    # The place in the input spreads rows that repeat id and text. Both passes need the same batches, so they are written.
+    spread = F.xxhash64("id", "text", F.monotonically_increasing_id())
+    rows = materialize(rows.withColumn("batch", (F.pmod(spread, wide) * 3 + sort).cast("int")), "lm-rows")
 
     def asked(group: pa.Table) -> pa.Table:
         trim()
@@ -207,7 +211,6 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         )
 
     answers = materialize(rows.select("batch", "text").groupBy("batch").applyInArrow(asked, ASKED).groupBy("part").applyInArrow(_answer, ANSWERED), "lm-answers")
-    release(spark)
     sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "deleted_tokens", "kinds")]).first()
     tokens, kept_tokens, kinds = sums[0], sums[0] - sums[1], sums[2]
     answers = answers.select("batch", "part", "n", "counted", "deleted")
