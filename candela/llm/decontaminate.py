@@ -13,12 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candela.llm.common import pieces, ship, table, text_bytes, text_of
+from candela.llm.common import free_name, pieces, ship, table, text_bytes, text_of
 
 #: Edits allowed per character of a test item.
 ERROR_RATE = 0.08
-#: Items of fewer normalised characters must occur unchanged and as whole words.
-SHORT = 32
 #: Test items are searched in blocks of about this many bytes, so what a task holds doesn't grow with the benchmark.
 BLOCK_BYTES = 4 << 20
 _GAP = re.compile(r"[\W_]+")
@@ -30,7 +28,8 @@ def normalise(text: str | None) -> str:
 
 
 def budget(length: int, rate: float) -> int:
-    return int(rate * length) if length >= SHORT else 0
+    """Edits allowed in an item of so many characters; an item without any must occur as whole words."""
+    return int(rate * length)
 
 
 def best_end(pattern: str, text: str) -> tuple[int, int]:
@@ -93,7 +92,7 @@ class Items:
             best = (allowed + 1, 0, 0)
             if allowed == 0:
                 for at in sorted(diagonals):
-                    if f" {text} "[max(0, at) : at + len(pattern) + 2] == f" {pattern} " or (len(pattern) >= SHORT and text[at : at + len(pattern)] == pattern):
+                    if f" {text} "[max(0, at) : at + len(pattern) + 2] == f" {pattern} ":
                         best = (0, at, at + len(pattern))
                         break
             else:
@@ -120,13 +119,14 @@ def _merged(diagonals: list[int], gap: int) -> Iterator[tuple[int, int]]:
 
 
 def spans(text: str) -> list[int]:
-    """The place in ``text`` of each character of its normalised form."""
+    """The place in ``text`` of each character of its normalised form. A character whose lower case is longer counts for all of it."""
+    lower = text.lower()
+    origin = range(len(text)) if len(lower) == len(text) else [k for k, char in enumerate(text) for _ in char.lower()]
     out: list[int] = []
-    for found in re.finditer(r"[^\W_]+", text):
+    for found in re.finditer(r"[^\W_]+", lower):
         if out:
-            out.append(found.start() - 1)
-        for k in range(found.start(), found.end()):
-            out.extend([k] * len(text[k].lower()))
+            out.append(origin[found.start() - 1])
+        out.extend(origin[found.start() : found.end()])
     return out
 
 
@@ -142,7 +142,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, rate: float, block
             yield Items([x for x, _ in items], [t for _, t in items], rate)
 
 
-def _searcher(spark: SparkSession, items: Items, column: str) -> Callable[[], tuple[Items, Callable[[str], list]]]:
+def _searcher(spark: SparkSession, items: Items) -> Callable[[], tuple[Items, Callable[[str], list]]]:
     shared = spark.sparkContext.broadcast(items)
 
     def start() -> tuple[Items, Callable[[str], list]]:
@@ -159,10 +159,14 @@ def contaminated(
     """One row per document and test item found in it: the two ids, ``distance, item_chars, start, end, passage``.
 
     Both texts are normalised (case, and everything but letters and digits as one space). An item of m characters may be
-    found with up to ``rate * m`` edits; of several places the one with the fewest edits counts, then the first. Start and
-    end are code points of the document's own text, ``passage`` is what stands there. Items without letters or digits are
-    found nowhere, null texts count as empty, repeated documents or items give repeated rows. Items go to the tasks in
-    blocks of ``block_bytes``, each block being one pass over the documents, so nothing grows with the benchmark.
+    found with up to ``rate * m`` edits, rounded down; one too short for any must occur as whole words. Of several places the
+    one with the fewest edits counts, then the first. Start and end are code points of the document's own text, ``passage`` is
+    what stands there. Items without letters or digits are found nowhere, null texts count as empty, repeated documents or
+    items give repeated rows, null ids come out as they are. Texts of any length are searched whole. Other columns are
+    ignored. Without documents or items the result is empty.
+
+    Items go to the tasks in blocks of about ``block_bytes``, and each block is one more pass over the documents: what a task
+    holds doesn't grow with the benchmark, the number of passes does.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -172,7 +176,7 @@ def contaminated(
     kind = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)])
     found = None
     for items in _blocks(benchmark, item_col, item_text_col, rate, block_bytes):
-        start = _searcher(spark, items, "text")
+        start = _searcher(spark, items)
 
         def run(batches: Iterator[pa.RecordBatch], start: Callable = start) -> Iterator[pa.RecordBatch]:
             block, search = start()
@@ -205,18 +209,23 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The rows of ``docs`` in which no test item is found, all columns unchanged; see ``contaminated``."""
+    """The rows of ``docs`` in which no test item is found, all columns unchanged; see ``contaminated``.
+
+    Null and empty texts stay, repeated rows stay or go together, an empty table gives an empty one, and without items all
+    rows stay. Columns may have any name.
+    """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.withColumn("__text", text_of(text_col))
+    own = free_name(docs, "normal")
+    rows = docs.withColumn(own, text_of(text_col))
     for items in _blocks(benchmark, item_col, item_text_col, rate, block_bytes):
-        start = _searcher(spark, items, "__text")
+        start = _searcher(spark, items)
 
         def run(batches: Iterator[pa.RecordBatch], start: Callable = start) -> Iterator[pa.RecordBatch]:
             _, search = start()
             for whole in batches:
-                for batch in pieces(whole, "__text"):
-                    yield batch.filter(pa.array([not search(normalise(x)) for x in batch.column("__text").to_pylist()], pa.bool_()))
+                for batch in pieces(whole, own):
+                    yield batch.filter(pa.array([not search(normalise(x)) for x in batch.column(own).to_pylist()], pa.bool_()))
 
         rows = rows.mapInArrow(run, rows.schema)
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
