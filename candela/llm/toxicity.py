@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candela.llm.common import fold, mix, pieces, ship, table, text_of, words
+from candela.llm.common import fold, free_name, mix, pieces, ship, table, text_of, words
 
 #: Labelled rows of each class that are read at most, those with the least hash of their id.
 SAMPLE = 8_000
@@ -210,13 +210,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return model
 
 
-def scorer(spark: SparkSession, model: Model, column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def scorer(spark: SparkSession, model: Model, column: str, name: str = "score") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, column):
-                yield batch.append_column("score", pa.array(score(shared.value, batch.column(column))))
+                yield batch.append_column(name, pa.array(score(shared.value, batch.column(column))))
 
     return run
 
@@ -228,7 +228,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     continuation counts, so that an expression neither class has seen often says little. Their log-likelihoods are compared
     per character over the whole text and per word over its two most toxic words; a logistic scale learned on labelled rows
     that weren't counted turns this into a score of 0 to 1. Label, language, source and id are no inputs. Null counts as the
-    empty text, which gets the score of a text without evidence. Repeated rows and other columns change nothing.
+    empty text, which gets the score of a text without evidence. A text of any length is scored whole. Rows that repeat a
+    text get one score each, equal ones; null ids come out as they are. Other columns change nothing, an empty table gives an
+    empty result, and without labels of both classes no row is told from another.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col, sample=sample)
     rows = docs.select(F.col(id_col), text_of(text_col).alias("text"))
@@ -240,12 +242,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic, all columns unchanged."""
+    """The rows of ``docs`` that aren't predicted toxic, all columns unchanged; see ``toxicity``.
+
+    Null and empty texts are scored as empty ones, rows that repeat a text stay or go together, an empty table gives an empty
+    one. Columns may have any name.
+    """
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
-    rows = docs.withColumn("__text", text_of(text_col))
-    kind = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
-    scored = rows.mapInArrow(scorer(docs.sparkSession, model, "__text"), T.StructType([*kind.fields[:-1], T.StructField("__score", T.DoubleType())]))
-    return scored.where(F.col("__score") < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text, mark = free_name(docs, "plain"), free_name(docs, "score")
+    rows = docs.withColumn(text, text_of(text_col))
+    kind = T.StructType([*rows.schema.fields, T.StructField(mark, T.DoubleType())])
+    scored = rows.mapInArrow(scorer(docs.sparkSession, model, text, mark), kind)
+    return scored.where(F.col(mark) < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_kn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
