@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import re
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -17,8 +18,10 @@ from candela.llm.common import fresh_path, materialize, pieces, ship, table, tex
 LEAST_BYTES = 1000
 #: Copies of a repeated payload's entry, so that its many records are looked up in so many tasks.
 SALTS = 16
-#: What stands between records; it is also the writer's line separator.
-GAP = "\r\n\r\n"
+#: What ends a record, and what the text writer puts at the end of a file.
+GAP, PAD = "\r\n\r\n", "\0"
+#: Bytes of an archive file, about.
+FILE_BYTES = 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
@@ -26,16 +29,20 @@ _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 def resolved(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", least_bytes: int = LEAST_BYTES) -> DataFrame:
     """The rows of ``pages`` with ``payload, digest, refers_to``: the id of the response that the row revisits, or null.
 
-    Only digest, size and id of a page are shuffled to find the responses. Records are equal if SHA-1 and size are.
+    Only digests, size and id of a page are shuffled to find the responses; then each row moves once, to its entry if it has
+    one. Payloads are equal if SHA-1, SHA-256 and size are: clashes of SHA-1 alone are public and may stand on any page.
     """
-    rows = pages.withColumn("payload", text_of(html_col)).withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    large = rows.where(F.col("size") >= least_bytes).select("digest", "size", F.col(id_col).alias("refers_to"))
-    salted = large.groupBy("digest", "size", F.pmod(F.xxhash64("refers_to"), F.lit(SALTS)).alias("salt"))
+    rows = pages.withColumn("payload", text_of(html_col)).withColumns(
+        {"digest": F.sha1(text_of(html_col)), "strong": F.unhex(F.sha2(text_of(html_col), 256)), "size": F.octet_length(text_of(html_col)).cast("long")}
+    )
+    same = ["digest", "strong", "size"]
+    large = rows.where(F.col("size") >= least_bytes).select(*same, F.col(id_col).alias("refers_to"))
+    salted = large.groupBy(*same, F.pmod(F.xxhash64("refers_to"), F.lit(SALTS)).alias("salt"))
     salted = salted.agg(F.max("refers_to").alias("refers_to"), F.count(F.lit(1)).alias("n"))
-    repeated = salted.groupBy("digest", "size").agg(F.max("refers_to").alias("refers_to"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    repeated = salted.groupBy(*same).agg(F.max("refers_to").alias("refers_to"), F.sum("n").alias("n")).where("n > 1").drop("n")
     repeated = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(repeated, ["digest", "size", "salt"], "left")
-    return rows.withColumn("refers_to", F.when(~F.col(id_col).eqNullSafe(F.col("refers_to")), F.col("refers_to"))).drop("salt")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(repeated, [*same, "salt"], "left")
+    return rows.withColumn("refers_to", F.when(~F.col(id_col).eqNullSafe(F.col("refers_to")), F.col("refers_to"))).drop("salt", "strong")
 
 
 def _name(page: object) -> str:
@@ -52,14 +59,19 @@ def _record(kind: str, uri: str, date: str, page: object, block: str, more: list
 
 def write_archives(
     pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES,
-    date: datetime | None = None, compression: str | None = "gzip", records_per_file: int = 20_000,
+    date: datetime | None = None, compression: str | None = "gzip", file_bytes: int = FILE_BYTES,
 ) -> None:
     """Write one WARC/1.1 record per row below ``path``: a response with its payload, or a revisit of the response that has it.
 
     Payloads are the html in UTF-8, null being empty. Of equal payloads of ``least_bytes`` or more the largest page id is
     the response; rows that repeat this id are responses as well. Headers are fresh: own record ids, digests (SHA-1, base 16),
-    date and lengths. Control characters and spaces of a URL are percent-encoded, a null URL leaves its field out. Spark's
-    text writer commits the files, so a lost executor leaves neither half a file nor a second copy.
+    date and lengths; rows that repeat a page id repeat its record id. Control characters and spaces of a URL are
+    percent-encoded, a null URL leaves its field out, a null page id an empty name. Other columns are ignored. An empty table
+    gives an archive without records.
+
+    A file ends after about ``file_bytes``, a page of any length being one record. With ``gzip`` each record is a member of
+    its own, so that readers can seek to it. Spark's text writer commits the files, a file being one row, so a lost executor
+    leaves neither half a file nor a second copy; the byte that the writer puts at a file's end is padding.
     """
     ship(pages.sparkSession)
     stamp = (date or datetime.now(UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -70,28 +82,38 @@ def write_archives(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
         for whole in batches:
             for batch in pieces(whole, "payload"):
-                out = []
                 for r in batch.to_pylist():
                     uri = _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", r["url"])
                     digest = [("WARC-Payload-Digest", f"sha1:{r['digest']}")]
                     head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
                     if r["refers_to"] is None:
-                        out.append(_record("response", uri, stamp, r["page"], f"{head}Content-Length: {r['size']}\r\n\r\n{r['payload']}", digest))
+                        record = _record("response", uri, stamp, r["page"], f"{head}Content-Length: {r['size']}\r\n\r\n{r['payload']}", digest)
                     else:
                         more = [("WARC-Refers-To", _name(r["refers_to"])), ("WARC-Profile", PROFILE), *digest]
-                        out.append(_record("revisit", uri, stamp, r["page"], f"{head}Content-Length: 0\r\n\r\n", more))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-
-    writer = rows.mapInArrow(run, "value string").write.option("lineSep", GAP).option("maxRecordsPerFile", records_per_file)
-    (writer.option("compression", compression) if compression else writer).text(path)
+                        record = _record("revisit", uri, stamp, r["page"], f"{head}Content-Length: 0\r\n\r\n", more)
+                    data = (record + GAP).encode()
+                    if compression:
+                        data = gzip.compress(data, mtime=0)
+                    if held and size + len(data) > file_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["file"])
+                        held, size = [], 0
+                    held.append(data)
+                    size += len(data)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["file"])
+
+    files = rows.mapInArrow(run, "file binary").select(F.col("file").cast("string").alias("value"))
+    files.write.option("lineSep", PAD).option("maxRecordsPerFile", 1).text(path)
 
 
 def _parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (lower case) and block of each record of a file; only Content-Length says where a block ends."""
     at = 0
-    while at < len(content):
+    while at < len(content) and content[at : at + 1] != PAD.encode():
         end = content.index(b"\r\n\r\n", at)
         version, *lines = content[at:end].decode().split("\r\n")
         if not version.startswith("WARC/"):
@@ -105,6 +127,23 @@ def _parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += 4
 
 
+def _records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of a file, unpacked one after another where they are gzip members."""
+    if content[:2] != b"\x1f\x8b":
+        yield from _parsed(content)
+        return
+    at = 0
+    while at < len(content) and content[at] != 0:
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            fed = content[at : at + (1 << 16)]
+            if not fed:
+                raise ValueError("the last record is cut short")
+            parts.append(member.decompress(fed))
+            at += len(fed) - len(member.unused_data)
+        yield from _parsed(b"".join(parts))
+
+
 def read_archives(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """Read archives back: ``page_id, record_type, refers_to, url, payload_digest, payload`` (a revisit's payload is null)."""
     import hashlib
@@ -119,7 +158,7 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "long") -> Data
                 data = content.as_py()
                 out: list[tuple] = []
                 held = 0
-                for fields, block in _parsed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                for fields, block in _records(data):
                     page, refers = ((fields.get(k, "")[10:-1] or None) for k in ("warc-record-id", "warc-refers-to"))
                     payload = block[block.index(b"\r\n\r\n") + 4 :] if fields["warc-type"] == "response" else None
                     digest = fields["warc-payload-digest"].removeprefix("sha1:")
