@@ -14,10 +14,11 @@ from pyspark.sql.window import Window
 
 from candela.llm.common import materialize, ship, table, text_of
 
-#: Keys drawn per range on average, and rows that a range should hold and may hold at most.
-DRAWS, RANGE_ROWS, OVERFULL = 16, 100_000, 4
-#: A group of equal texts that is no larger than this part of a shard is not cut at a shard's end.
-WHOLE_GROUP = 0.05
+#: Keys drawn per range on average, rows that a range should hold, and times this that it may hold. Rows are narrow here: a range
+#: is some 50 MB, and 5e10 documents take 50,000 ranges and 800,000 drawn keys, 13 MB.
+DRAWS, RANGE_ROWS, OVERFULL = 16, 1_000_000, 2
+#: What a group of equal texts that is kept whole may move a shard's end by, as a part of the shard.
+SLACK = 0.025
 
 
 @dataclass
@@ -75,19 +76,20 @@ def _sample(rows: DataFrame, weight: F.Column, total: float, draws: int) -> tupl
 
 
 def shard_documents(
-    docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text", law: str = "bytes", range_rows: int = RANGE_ROWS,
+    docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text", law: str = "bytes", range_rows: int = RANGE_ROWS, slack: float = SLACK,
 ) -> DataFrame:
     """One row per input row: the id, ``size, text_crc32, law, shard, slot, grown_shard``.
 
     The key is a hash of the text, then one of the id, so equal texts lie side by side. A sample drawn by size gives the
     boundaries of many ranges, far more than shards; rows are dealt to them, and a range that holds too many rows gets
-    further boundaries from a sample of its own, also within one text. Sums per range and a sort within each then say
+    further boundaries from a sample of its own, also within one text, until none holds too many. Sums per range and a sort within each then say
     where in the whole order a row stands, by bytes (law ``bytes``) or rows (law ``rows``), and so its shard and slot.
 
-    By law ``bytes`` a shard's size is off by half a record at each end, or by half a group of equal texts where the group
-    is at most a twentieth of a shard and lies in one range: such groups stay together. Larger ones may be cut. By law
-    ``rows`` counts differ by one at most. Null counts as the empty text, of size 1. Rows that repeat an id and text stand
-    in any order, each with a slot of its own. An empty table gives an empty result; other columns are ignored.
+    By law ``bytes`` a shard's end is off by half a record, or by half a group of equal texts, which stays together wherever
+    that moves the end by ``slack`` of a shard at most, however many ranges it lies in; the law has a larger group cut. So a
+    shard's size differs from the mean by one record or 2 * slack of it. By law ``rows`` counts differ by one at most. Null
+    counts as the empty text, of size 1. Rows that repeat an id and text stand in any order, each with a slot of its own. A
+    null id is an id. A text of any length is one record. An empty table gives an empty result; other columns are ignored.
     """
     if law not in ("bytes", "rows"):
         raise ValueError("law is bytes or rows")
@@ -98,7 +100,8 @@ def shard_documents(
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
         F.xxhash64(text).alias("key"),
-        F.xxhash64(id_col, F.lit(3)).alias("tie"),
+        # The last bits tell rows apart that repeat id and text, so that they can be subdivided too.
+        F.xxhash64(id_col, F.lit(3)).bitwiseAND(~0xFFFFF).bitwiseOR(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20))).alias("tie"),
     )
     rows = materialize(rows, "shard-rows")
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
@@ -107,13 +110,13 @@ def shard_documents(
     splitters = Splitters(np.zeros(0, np.int64), np.zeros(0, np.int64)).merged(
         *_quantiles(*_sample(rows, weight, total if law == "bytes" else count, DRAWS * ranges), ranges)
     ) if count > ranges else Splitters(np.zeros(0, np.int64), np.zeros(0, np.int64))
-    for _ in range(8):
+    while True:
         ranged = materialize(_ranged(rows, splitters), "shard-ranges")
         sums = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("range")
         over = sums[sums["n"] > OVERFULL * range_rows]
         if over.empty:
             break
-        within = ranged.where(F.col("range").isin(over["range"].tolist()))
+        within = ranged.join(docs.sparkSession.createDataFrame(over[["range"]].astype("int64")), "range")
         parts = int(np.ceil(over["n"].sum() / range_rows)) * 2
         more = splitters.merged(*_quantiles(*_sample(within, F.lit(1), float(over["n"].sum()), DRAWS * parts), parts))
         if len(more.first) == len(splitters.first):
@@ -139,7 +142,15 @@ def shard_documents(
     )
     if law == "bytes":
         placed = placed.withColumns({"group_end": F.max("end").over(group), "group_bytes": F.sum("size").over(group)})
-        small = F.col("group_bytes") <= WHOLE_GROUP * total / shards
+        # A text that boundaries cut through lies in several ranges: its group's end and size come from all of them.
+        cut = np.unique(splitters.first[splitters.tie != LOWEST])
+        if len(cut):
+            keys = spark.createDataFrame([(int(k),) for k in cut], "key long")
+            parts_of = placed.join(keys, "key").groupBy("key", "range").agg(F.max("group_end").alias("e"), F.max("group_bytes").alias("b"))
+            over_all = parts_of.groupBy("key").agg(F.max("e").alias("e"), F.sum("b").alias("b"))  # a row per text cut, few
+            placed = placed.join(F.broadcast(over_all), "key", "left")
+            placed = placed.withColumns({"group_end": F.coalesce("e", "group_end"), "group_bytes": F.coalesce("b", "group_bytes")}).drop("e", "b")
+        small = F.col("group_bytes") <= 2 * slack * total / shards
         middle = F.when(small, F.col("group_end") - F.col("group_bytes") / 2).otherwise(F.col("end") - F.col("size") / 2)
         shard = F.least(F.floor(middle * shards / F.lit(float(total))), F.lit(shards - 1)).cast("int")
     else:
