@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for each node of ``edges(u, v)``: the root is the least node of its component.
 
     Rounds go as the logarithm of the longest path. Each writes its edges to the shared folder; only a count and a
-    checksum reach the driver. A node with very many edges is split over tasks by the adaptive skew join.
+    checksum reach the driver. An edge is two longs, so below the size at which the adaptive skew join splits a partition,
+    a node of millions of edges is still a small task; above it, it is split.
     """
     now = materialize(edges.where("u != v").select("u", "v").distinct(), "edges")
     before, state = None, _state(now)

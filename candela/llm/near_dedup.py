@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import hash_words, materialize, mix, pieces, ship, table, text_of, words
+from candela.llm.common import free_name, hash_words, materialize, mix, pieces, ship, table, text_of, words
 from candela.llm.components import components
 
 #: Words in a shingle and the least similarity of a link, in percent.
@@ -23,8 +23,10 @@ HUBS, LATER_HUBS, FURTHER = 6, 2, 3
 #: Text bytes that a task holds as tokens at once.
 SLICE_BYTES = 3 << 20
 #: Counters of shingles that order them by rarity (shingles of one counter share it, which costs time and no link), and rows
-#: of a shingle that one task pairs with the others.
+#: of a shingle, or pairs of a centre, that one task handles.
 COUNTERS, SHARE = 1 << 21, 1000
+#: Tasks that the classes of one component are dealt to when they look up its least id.
+SALTS = 16
 #: For each slot the order in which other slots are asked for a value while it is empty.
 PROBES = np.stack([np.random.RandomState(1_000_003 + slot).permutation(SLOTS) for slot in range(SLOTS)])
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -109,21 +111,21 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of candidate pairs with both texts, those whose full sets reach the threshold."""
-    last, centre = None, None
+    """Of members, which follow the row of their centre, the pairs with it whose full sets reach the threshold."""
+    centre, own = None, np.zeros(0, np.uint64)
     for whole in batches:
-        for batch in pieces(whole, "v_text", SLICE_BYTES):
+        for batch in pieces(whole, "text", SLICE_BYTES):
             u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
-            fresh = [k for k, x in enumerate(u) if x != (u[k - 1] if k else last)]
-            members = shingle_sets(batch.column("v_text"))
             keep = []
-            for k in range(len(u)):
-                if fresh and fresh[0] == k:
-                    centre = shingle_sets(batch.column("u_text").slice(fresh.pop(0), 1))[0]
-                common = len(np.intersect1d(centre, members[k], assume_unique=True))
-                if 100 * common >= PERCENT * (len(centre) + len(members[k]) - common):
+            for k, members in enumerate(shingle_sets(batch.column("text"))):
+                if v[k] is None:
+                    centre, own = u[k], members
+                    continue
+                if u[k] != centre:
+                    raise ValueError("members came without their centre")
+                common = len(np.intersect1d(own, members, assume_unique=True))
+                if 100 * common >= PERCENT * (len(own) + len(members) - common):
                     keep.append(k)
-            last = u[-1]
             yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in keep], pa.int64()), pa.array([v[k] for k in keep], pa.int64())], names=["u", "v"])
 
 
@@ -133,10 +135,17 @@ def _plausible(left: str, right: str) -> F.Column:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links among ``pairs(u, v)``; ``texts(node, text)`` holds the text of every node in them."""
-    left = texts.select(F.col("node").alias("u"), F.col("text").alias("u_text"))
-    right = texts.select(F.col("node").alias("v"), F.col("text").alias("v_text"))
-    return pairs.join(right, "v").join(left, "u").select("u", "v", "u_text", "v_text").mapInArrow(_linked, "u long, v long")
+    """The links among ``pairs(u, v)``; ``texts(node, text)`` holds the text of every node in them.
+
+    The members of a centre are dealt to several tasks if they are many. Each task gets the centre's text once, before them.
+    """
+    many = pairs.groupBy("u").agg(F.floor(F.count(F.lit(1)) / SHARE).alias("last"))
+    dealt = pairs.join(many, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("last") + 1).alias("share"))
+    members = dealt.join(texts.withColumnRenamed("node", "v"), "v").select("u", "share", "v", "text")
+    spread = many.select("u", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("share"))
+    centres = spread.join(texts.withColumnRenamed("node", "u"), "u").select("u", "share", F.lit(None).cast("long").alias("v"), "text")
+    rows = centres.unionByName(members).repartition("u", "share").sortWithinPartitions("u", "share", F.col("v").asc_nulls_first())
+    return rows.select("u", "v", "text").mapInArrow(_linked, "u long, v long")
 
 
 def _edges_by_hubs(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
@@ -221,19 +230,8 @@ def _edges_by_prefixes(members: DataFrame, roots: DataFrame, texts: DataFrame) -
     return pairs.select(F.least("node", "o_node").alias("u"), F.greatest("node", "o_node").alias("v")).distinct()
 
 
-def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the id, ``n_shingles, component_id, kept``.
-
-    Texts with equal shingle sets are one class. Classes that share a band are candidates: each bucket names the class of
-    most rows (then the least) its centre and pairs it with every other member, so a bucket of m members gives m-1 pairs. Candidates are
-    confirmed on their full sets. Where members of a bucket are still in different components after that, further hubs of
-    the bucket are paired with them, turn after turn until one finds no new link. This is the fast way; where buckets then
-    still hold several components, a prefix join finds every link that remains between them. No bucket is left out or cut.
-
-    ``component_id`` is the least id reachable over links (of a text without words: its own id); null ids come out as
-    they are and lead no component. Repeated rows share class and component. Other columns are ignored; an empty table
-    gives an empty result.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: ``id``, a hash of the text, number of shingles, component and whether the row is kept."""
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -260,7 +258,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     links = materialize(_confirmed(pairs, texts), "near-links")
     roots = components(links)
     turn = 1
-    while not (found := materialize(_confirmed(_edges_by_hubs(members, roots, turn), texts), "near-links")).isEmpty():
+    while not (found := materialize(_confirmed(materialize(_edges_by_hubs(members, roots, turn), "near-pairs"), texts), "near-links")).isEmpty():
         turn += 1
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
     if (rest := _edges_by_prefixes(members, roots, texts)) is not None:
@@ -269,24 +267,46 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
 
     led = classes.select("node", "digest", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = led.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = materialize(led.join(least, "root").select("digest", "component_id"), "near-placed")
-    out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(placed, "digest", "left")
-    return out.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "id").alias("component_id"),
-        F.col("id").eqNullSafe(F.coalesce("component_id", "id")).alias("kept"),
-    )
+    # The classes of one component are looked up in several tasks: each root's row is there under each salt.
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    least = led.groupBy("root", salt.alias("salt")).agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("n"))
+    least = least.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n"))
+    # A component of one class needs no look-up; the others are fewer than links.
+    spread = least.where("n > 1").select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    placed = led.withColumn("salt", salt).join(spread, ["root", "salt"], "left").select("digest", F.coalesce("component_id", "least").alias("component_id"))
+    placed = materialize(placed, "near-placed")
+    out = rows.select("id", "mark", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(placed, "digest", "left")
+    component = F.coalesce("component_id", "id")
+    return out.select("id", "mark", "n", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: the id, ``n_shingles, component_id, kept``.
+
+    Texts with equal shingle sets are one class. Classes that share a band are candidates: each bucket names the class of
+    most rows (then the least) its centre and pairs it with every other member, so a bucket of m members gives m-1 pairs. Candidates are
+    confirmed on their full sets. Where members of a bucket are still in different components after that, further hubs of
+    the bucket are paired with them, turn after turn until one finds no new link. This is the fast way; where buckets then
+    still hold several components, a prefix join finds every link that remains between them. No bucket is left out or cut.
+
+    ``component_id`` is the least id reachable over links (of a text without words: its own id); null ids come out as
+    they are and lead no component. Repeated rows share class and component. A text of any length is compared whole. Other
+    columns are ignored; an empty table gives an empty result.
+    """
+    found = _grouped(docs, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the least id, all columns unchanged; see ``near_groups``.
 
-    Rows that repeat this id stay too: exact copies are the exact stage's work.
+    Rows that repeat this id and text stay too: exact copies are the exact stage's work. Of rows that repeat an id with
+    different texts those stay whose own component it leads. Null and empty texts stay; an empty table gives an empty one.
     """
-    stay = near_groups(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col(id_col).alias("__stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("__stay")), "left_semi")
+    id_name, mark = free_name(docs, "stay"), free_name(docs, "mark")
+    stay = _grouped(docs, id_col, text_col).where("kept").select(F.col("id").alias(id_name), F.col("mark").alias(mark)).distinct()
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(id_name)) & (F.xxhash64(text_of(text_col)) == F.col(mark))
+    return docs.join(stay, same, "left_semi")
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
