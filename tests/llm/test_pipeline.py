@@ -5,7 +5,7 @@ import hashlib
 import corpus_pipeline
 from candela.llm import bpe, decontaminate, toxicity
 from candela.llm.common import table
-from tests.llm.test_operators import near_brute, template_group
+from tests.llm.test_operators import near_brute, prose, template_group
 
 
 def test_pipeline_equals_brute_force(spark, sf_dir):
@@ -33,6 +33,31 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     assert found == want and 0 < len(found) < len(texts)
 
 
+def test_stages_on_odd_rows(spark, sf_dir, tmp_path):
+    """Null, empty, repeated and very long texts, null ids and clashing columns, stage by stage and as a whole; and an empty table."""
+    item = next(r.text for r in table(spark, sf_dir, "benchmark").collect() if len(r.text or "") > 60)
+    long = prose(3, 25_000)
+    rows = [(1, None), (2, ""), (3, " "), (4, prose(4, 40)), (4, prose(4, 40)), (5, prose(4, 40)), (6, long), (7, f"{long} {item} end"), (8, prose(4, 40) + " more"), (None, prose(5, 30))]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, digest string, mark string"
+    docs = spark.createDataFrame([(*r, "en", "own", 1, "own", "own") for r in rows], kind)
+    want = [
+        ("toxicity", {1, 2, 3, 4, 5, 6, 7, 8, None}), ("exact dedup", {2, 3, 5, 6, 7, 8, None}), ("near dedup", {2, 3, 5, 6, None}),
+        ("benchmark decontamination", {2, 3, 5, 6, None}),
+    ]
+    for (name, stage), (_, ids) in zip(corpus_pipeline.STAGES, want, strict=False):
+        left = stage(spark, docs, sf_dir).collect()
+        assert {r.doc_id for r in left} == ids, name
+        assert {(r.lang, r.source, r.digest, r.mark) for r in left} == {("en", "own", "own", "own")}
+        docs = spark.createDataFrame(left, kind)
+        assert stage(spark, docs.where("false"), sf_dir).count() == 0
+    assert {r.doc_id for r in corpus_pipeline.benchmark(spark, spark.createDataFrame([(*r, "", "", 1, "", "") for r in rows], kind), sf_dir).collect()} == {1, 2, 3, 4, 5, 6, 8, None}
+    docs = spark.createDataFrame([(*r, "en", "own", 1, "own", "own") for r in rows], kind)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("benchmark", "labels"):
+        table(spark, sf_dir, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert {r.doc_id: r.n_tokens > 0 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {2: False, 3: False, 5: True, 6: True, None: True}
+
+
 def test_stages_keep_the_columns(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").limit(60)
     for _, stage in corpus_pipeline.STAGES[:-1]:
