@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from candela.llm.common import fresh_path, materialize, pieces, ship, table, text_bytes, text_of
 
 #: Bytes of text in a file, about, and at most in a block of it.
-FILE_BYTES, BLOCK_BYTES = 24 << 20, 24 << 20
+FILE_BYTES, BLOCK_BYTES = 24 << 20, 16 << 20
 #: Pieces that the library encodes as one text, and such texts in one call.
 JOINED, CALL = 500, 40
 #: Encoded pieces that a worker keeps for its next batches.
