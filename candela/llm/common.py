@@ -55,7 +55,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 _written: list[str] = []
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the written table.
 
     This cuts the lineage: a lost executor re-reads the files instead of recomputing what led to them. So the shuffles of
@@ -66,7 +66,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(CLEANUP, before)
     _written.append(path)

@@ -193,7 +193,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     wide = F.when(sort == 2, batches).otherwise(-(-batches // 6))
     # The place in the input spreads rows that repeat id and text. Both passes need the same batches, so they are written.
     spread = F.xxhash64("id", "text", F.monotonically_increasing_id())
-    rows = materialize(rows.withColumn("batch", (F.pmod(spread, wide) * 3 + sort).cast("int")), "lm-rows")
+    rows = materialize(rows.withColumn("batch", (F.pmod(spread, wide) * 3 + sort).cast("int")), "lm-rows", "zstd")
 
     def asked(group: pa.Table) -> pa.Table:
         trim()
