@@ -217,7 +217,8 @@ def bpe_round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     As the tokenizers library encodes whole texts with this vocabulary, without adding special tokens, and decodes these
     ids with special ones kept. Null counts as the empty text: no ids, an empty decoded text. Special strings that stand in
-    a text are matched as the library does. Repeated rows give repeated results; other columns are ignored.
+    a text are matched as the library does. A text of any length is encoded whole. Null ids come out as they are, repeated rows
+    give repeated results; other columns are ignored; an empty table gives an empty result.
     """
     name = _ship_vocabulary(docs.sparkSession, vocabulary or default_vocabulary())
     rows = docs.select(F.col(id_col), text_of(text_col).alias("__text"))
@@ -233,14 +234,17 @@ def bpe_round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, T.StructType(fields))
 
 
-def bpe_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """As ``bpe_round_trip``, with ``n_tokens, ids_sha256, decoded_sha256`` in place of the long columns."""
+def bpe_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, slice_bytes: int = 16 << 20) -> DataFrame:
+    """As ``bpe_round_trip``, with ``n_tokens, ids_sha256, decoded_sha256`` in place of the long columns.
+
+    A task encodes about ``slice_bytes`` of text at once: larger slices share more words, smaller ones take less memory.
+    """
     name = _ship_vocabulary(docs.sparkSession, vocabulary or default_vocabulary())
     rows = docs.select(F.col(id_col), text_of(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "__text", 16 << 20):
+            for batch in pieces(whole, "__text", slice_bytes):
                 out: tuple[list, list, list] = ([], [], [])
                 for count, ids, decoded in _loaded(name).run(batch.column("__text")):
                     for column, value in zip(out, (count, *(hashlib.sha256(x.encode()).hexdigest() for x in (ids, decoded))), strict=True):

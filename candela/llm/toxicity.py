@@ -19,6 +19,8 @@ SAMPLE = 8_000
 SCALE_PART = 4
 #: Rows with at least this score are predicted toxic.
 THRESHOLD = 0.7
+#: Text bytes that are scored at once.
+SLICE_BYTES = 2 << 20
 START, END = 1, 2
 _BITS = np.uint64(21)
 _CODE = np.uint64((1 << 21) - 1)
@@ -215,7 +217,7 @@ def scorer(spark: SparkSession, model: Model, column: str, name: str = "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, column):
+            for batch in pieces(whole, column, SLICE_BYTES):
                 yield batch.append_column(name, pa.array(score(shared.value, batch.column(column))))
 
     return run
