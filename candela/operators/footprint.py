@@ -18,7 +18,7 @@ def footprint_levels(trades: DataFrame, timeframe: str, price_bucket: float, *,
     at = bucket(F.col("time"), timeframe)
     rows = trades if start is None else trades.where(F.col("time") >= start)
     sold = F.col("buyer_maker")
-    amount = F.col("quantity").cast("decimal(28,8)")
+    amount = F.col("quantity").cast("decimal(38,18)")
     levels = rows.groupBy(*keys, at.alias("bar_time"), (F.floor(F.col("price") / step) * step).alias("price_low")).agg(
         F.coalesce(F.sum(F.when(~sold, amount)), F.lit(0)).cast("double").alias("buy_volume"),
         F.coalesce(F.sum(F.when(sold, amount)), F.lit(0)).cast("double").alias("sell_volume"),
@@ -38,8 +38,8 @@ def footprint_bars(levels: DataFrame, *, keys: Sequence[str] = ("symbol",)) -> D
     fields = ("price_low", "price_high", "buy_volume", "sell_volume", "buy_count", "sell_count")
     return levels.groupBy(*keys, "time", "time_close").agg(
         F.sum(F.col("buy_count") + F.col("sell_count")).alias("trades_count"),
-        F.sum(F.col("buy_volume").cast("decimal(28,8)")).cast("double").alias("buy_volume"),
-        F.sum(F.col("sell_volume").cast("decimal(28,8)")).cast("double").alias("sell_volume"),
+        F.sum(F.col("buy_volume").cast("decimal(38,18)")).cast("double").alias("buy_volume"),
+        F.sum(F.col("sell_volume").cast("decimal(38,18)")).cast("double").alias("sell_volume"),
         F.array_sort(F.collect_list(F.struct(*fields))).alias("levels"),
     )
 

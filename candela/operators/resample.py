@@ -20,7 +20,7 @@ def bars_from_trades(trades: DataFrame, timeframe: str, *, keys: Sequence[str] =
             F.max("price").alias("high"),
             F.min("price").alias("low"),
             F.max_by("price", order).alias("close"),
-            F.sum(F.col("quantity").cast("decimal(28,8)")).cast("double").alias("volume"),
+            F.sum(F.col("quantity").cast("decimal(38,18)")).cast("double").alias("volume"),
             F.count(F.lit(1)).alias("trades_count"),
         )
         .withColumn("time_close", close_time(F.col("time"), timeframe))
@@ -45,7 +45,7 @@ def resample(bars: DataFrame, timeframe: str, *, keys: Sequence[str] = ("symbol"
         "high": F.max("high"),
         "low": F.min("low"),
         "close": _traded(F.max_by, "close"),
-        "volume": F.sum(F.col("volume").cast("decimal(28,8)")).cast("double"),
+        "volume": F.sum(F.col("volume").cast("decimal(38,18)")).cast("double"),
     }
     if "is_closed" in bars.columns:
         out["is_closed"] = F.bool_and("is_closed")
@@ -84,5 +84,5 @@ def merge_same_open(rows: DataFrame, timeframe: str, *, keys: Sequence[str] = ("
         F.max("high").alias("high"),
         F.min("low").alias("low"),
         F.max_by("close", ordinal).alias("close"),
-        F.sum(F.col("volume").cast("decimal(28,8)")).cast("double").alias("volume"),
+        F.sum(F.col("volume").cast("decimal(38,18)")).cast("double").alias("volume"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candela.functions.hashing import digest, folded
@@ -21,48 +21,70 @@ def content_hash(columns: Sequence[str] = CONTENT):
     return digest([F.col(c) for c in columns], "canonical-bar/2")
 
 
+#: Rules of a chain, by the code that a broken one is reported with.
+RULES = {
+    "several_providers": "all revisions of a bar come from one provider",
+    "repeated_revision": "a revision number stands for one content",
+    "falling_revision": "revision numbers rise",
+    "after_revocation": "nothing follows a revocation",
+    "no_original": "the first revision is the original",
+    "broken_lineage": "a revision names the hash of the bar that it replaces",
+}
+
+
+def _resolved(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
+    """A row per key: ``items``, its revisions in order of arrival, and what folding them comes to. Revisions of a bar are few,
+    so one array holds them and one shuffle brings them together."""
+    bound = F.col("superseded_bar_hash") if "superseded_bar_hash" in rows.columns else F.lit(None).cast("string")
+    item = F.struct(
+        F.col(seq).alias("at"), F.col("content_hash").alias("own"), F.col("revision").cast("long").alias("number"), F.col("revision_state").alias("state"),
+        F.col("provider").alias("provider"), bound.alias("before"), F.struct(*[c for c in rows.columns if c not in keys]).alias("row"),
+    )
+    none = lambda kind: F.lit(None).cast(kind)
+    start = F.struct(
+        F.array().cast("array<string>").alias("seen"), F.array().cast("array<bigint>").alias("numbers"), none("bigint").alias("number"), none("string").alias("own"),
+        none("string").alias("state"), none("string").alias("broken"), F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("duplicates"),
+    )
+
+    def step(so_far, pair):
+        x, place = pair.x, pair.place
+        first = F.size(so_far.seen) == 0
+        lineage = ~first & ~x.before.eqNullSafe(so_far.own) if "superseded_bar_hash" in rows.columns else F.lit(False)
+        rule = (
+            F.when(F.array_contains(so_far.numbers, x.number), "repeated_revision").when(x.number <= F.array_max(so_far.numbers), "falling_revision")
+            .when(so_far.state == "REVOKED", "after_revocation").when(first & (x.state != "ORIGINAL"), "no_original").when(lineage, "broken_lineage")
+        )
+        fresh = F.struct(
+            F.array_append(so_far.seen, x.own).alias("seen"), F.array_append(so_far.numbers, x.number).alias("numbers"), x.number.alias("number"), x.own.alias("own"),
+            x.state.alias("state"), F.coalesce(so_far.broken, rule).alias("broken"), place.alias("at"), so_far.duplicates.alias("duplicates"),
+        )
+        again = F.struct(*[so_far[n].alias(n) for n in ("seen", "numbers", "number", "own", "state", "broken", "at")], (so_far.duplicates + 1).alias("duplicates"))
+        return F.when(F.array_contains(so_far.seen, x.own), again).otherwise(fresh)
+
+    grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item), lambda x, y: F.when(x["at"] < y["at"], -1).when(x["at"] > y["at"], 1).otherwise(0)).alias("items"))
+    numbered = F.transform("items", lambda x, k: F.struct(x.alias("x"), k.alias("place")))
+    providers = F.size(F.array_distinct(F.transform("items", lambda x: x.provider)))
+    return grouped.withColumn("end", F.aggregate(numbered, start, step)).withColumn("reason", F.when(providers > 1, "several_providers").otherwise(F.col("end.broken")))
+
+
 def chains(rows: DataFrame, *, keys: Sequence[str] = ("series", "time"), seq: str = "seq") -> DataFrame:
     """A row per (series, open time): what its revisions, in order of arrival, come to.
 
-    Columns: ``reason`` (null, or the first rule that the chain breaks), ``selected_revision`` (null if revoked or broken),
-    ``revoked``, ``revisions`` (number of distinct ones), ``duplicates``. Rows need ``content_hash``, ``revision``,
-    ``revision_state`` and ``provider``; with ``superseded_bar_hash`` the lineage is checked as well.
+    Columns: ``reason`` (null, or the code in ``RULES`` of the first rule that the chain breaks), ``selected_revision`` (null if
+    revoked or broken), ``revoked``, ``revisions`` (number of distinct ones), ``duplicates``. Rows need ``content_hash``,
+    ``revision``, ``revision_state`` and ``provider``; with ``superseded_bar_hash`` the lineage is checked as well.
     """
-    unique = rows.groupBy(*keys, "content_hash").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in (*keys, "content_hash")]), seq).alias("r"), F.count(F.lit(1)).alias("n"))
-    unique = unique.select(*keys, "content_hash", "r.*", "n")
-    order = Window.partitionBy(*keys).orderBy(seq)
-    before = lambda name: F.lag(name).over(order)
-    greatest = F.max("revision").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    repeated = F.row_number().over(Window.partitionBy(*keys, "revision").orderBy(seq)) > 1
-    first = F.row_number().over(order) == 1
-    lineage = ~F.col("superseded_bar_hash").eqNullSafe(before("content_hash")) if "superseded_bar_hash" in rows.columns else F.lit(False)
-    broken = (
-        F.when(repeated, "same revision has different content")
-        .when(F.col("revision") <= greatest, "revision chain is not strictly increasing")
-        .when(before("revision_state") == "REVOKED", "revision follows terminal revocation")
-        .when(first & (F.col("revision_state") != "ORIGINAL"), "revision chain is missing the preceding canonical bar")
-        .when(~first & lineage, "superseded_bar_hash does not bind the immediately preceding bar")
-    )
-    marked = unique.withColumn("broken", broken)
-    out = marked.groupBy(*keys).agg(
-        F.when(F.min("provider") != F.max("provider"), "provider changed within revision chain").otherwise(F.min_by("broken", F.when(F.col("broken").isNotNull(), F.col(seq)))).alias("reason"),
-        F.max_by(F.struct("revision", "revision_state"), seq).alias("last"),
-        F.count(F.lit(1)).alias("revisions"),
-        F.sum(F.col("n") - 1).alias("duplicates"),
-    )
-    good = F.col("reason").isNull()
-    revoked = F.col("last.revision_state") == "REVOKED"
-    return out.select(
-        *keys, "reason", F.when(good & ~revoked, F.col("last.revision")).alias("selected_revision"), (good & revoked).alias("revoked"), "revisions", "duplicates",
+    good, revoked = F.col("reason").isNull(), F.col("end.state") == "REVOKED"
+    return _resolved(rows, keys, seq).select(
+        *keys, "reason", F.when(good & ~revoked, F.col("end.number")).alias("selected_revision"), (good & revoked).alias("revoked"),
+        F.size("end.seen").cast("long").alias("revisions"), F.col("end.duplicates").alias("duplicates"),
     )
 
 
 def select_revisions(rows: DataFrame, *, keys: Sequence[str] = ("series", "time"), seq: str = "seq") -> DataFrame:
     """The bars that valid chains select; broken and revoked ones give none."""
-    chosen = chains(rows, keys=keys, seq=seq).where("selected_revision IS NOT NULL").select(*keys, F.col("selected_revision").alias("revision"))
-    picked = rows.join(chosen, [*keys, "revision"], "left_semi")
-    fields = [c for c in rows.columns if c not in keys]
-    return picked.groupBy(*keys).agg(F.min_by(F.struct(*fields), seq).alias("r")).select(*keys, "r.*").select(*rows.columns)
+    valid = _resolved(rows, keys, seq).where(F.col("reason").isNull() & (F.col("end.state") != "REVOKED"))
+    return valid.select(*keys, F.col("items")[F.col("end.at")].row.alias("r")).select(*keys, "r.*").select(*rows.columns)
 
 
 def with_lineage(rows: DataFrame, *, keys: Sequence[str] = ("series", "time"), seq: str = "seq", content: Sequence[str] = ("open", "high", "low", "close", "volume")) -> DataFrame:
@@ -99,6 +121,18 @@ def series_checksum(bars: DataFrame, columns: Sequence[str], *, keys: Sequence[s
     return days.groupBy(*keys).agg(folded(F.transform(items, lambda y: y.d)).alias("checksum"), F.sum("n").alias("rows_count"))
 
 
+def chained_days(days: DataFrame, *, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Days (``day, link``, the link over a day's own rows) with ``chain``: each link hashed onto the chain of the day before.
+
+    A series' days are folded in one array, a row of 72 bytes a day, since a hash chain is sequential.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("day", "link")))
+    link = lambda before, x: F.sha2(F.concat_ws("\x1f", before, x.link), 256)
+    made = lambda so_far, x: F.array_append(so_far, F.struct(x.day.alias("day"), link(F.coalesce(F.try_element_at(so_far, F.lit(-1)).chain, F.lit("")), x).alias("chain")))
+    start = F.array().cast("array<struct<day:bigint,chain:string>>")
+    return days.groupBy(*keys).agg(F.aggregate(ordered, start, made).alias("links")).select(*keys, F.inline("links"))
+
+
 def seal(bars: DataFrame, *, keys: Sequence[str] = ("series",), start: int, end: int, allow_open: bool = False) -> DataFrame:
     """Snapshot envelope of resolved canonical bars: a row per series with range, counts, gaps-free flag, series hash and id.
 
@@ -126,3 +160,20 @@ def seal(bars: DataFrame, *, keys: Sequence[str] = ("series",), start: int, end:
         *keys, F.lit(start).alias("start"), F.lit(end).alias("end"), "covered_start", "covered_end", "bar_count", gaps.alias("gap_count"), (gaps == 0).alias("complete"),
         "provider_revision", digest([*[F.col(k) for k in keys], *query, F.col("provider_revision"), F.col("checksum")], "series").alias("series_hash"),
     ).withColumn("snapshot_id", digest([F.col("series_hash")], "snapshot"))
+
+
+def verified(bars: DataFrame, content: Sequence[str] = CONTENT) -> DataFrame:
+    """``bars`` whose ``content_hash`` is recomputed and agrees; another one stops the job."""
+    torn = F.raise_error(F.lit("MD_VALIDATION_ERROR: a bar doesn't match its content hash")).cast("boolean")
+    return bars.where(F.when(~F.coalesce(F.col("content_hash") == content_hash(content), F.lit(False)), torn).otherwise(F.lit(True)))
+
+
+def canonical_bars(klines: DataFrame, server_time_ms: int, *, provider_revision: str | None = None) -> DataFrame:
+    """Decoded candles (``exchange, market, symbol, timeframe`` and OHLCV) as original canonical bars with their content hash."""
+    from candela.operators.quality import finality
+
+    made = klines.withColumns({
+        "instrument_id": F.concat_ws("/", "exchange", "market", "symbol"), "finality": finality(F.col("time_close"), server_time_ms), "revision_state": F.lit("ORIGINAL"),
+        "revision": F.lit(0).cast("long"), "provider": F.col("exchange"), "provider_revision": F.lit(provider_revision).cast("string"), "superseded_bar_hash": F.lit(None).cast("string"),
+    })
+    return made.withColumn("series", F.concat_ws("/", "instrument_id", "timeframe")).withColumn("content_hash", content_hash())
