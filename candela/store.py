@@ -1,28 +1,35 @@
-"""A partitioned Parquet store of bar series: versioned rewrites, appends, manifests, audit, compaction."""
+"""Stores of bars, snapshots, raw payloads and footprints as partitioned Parquet and text, with manifests."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from candela.errors import BarConflict, CacheConflict, ValidationError
-from candela.operators.merge import OHLCV, classify_bulk, keep_first, manifest, prefer_later, repaired
+from candela.operators.merge import audit_counts, batch_conflicts, classify_bulk, keep_first, manifest, prefer_later, repaired
 from candela.operators.quality import bar_violations, guard
+from candela.operators.revisions import seal, verified
 from candela.plans.query import BarQuery, FootprintQuery
 
 PARTITIONS = ("exchange", "market", "symbol", "timeframe")
 
 
+#: Names of the store's own columns beside a series' identity in its manifest.
+FACTS = ("parts", "rows_count", "start_time", "end_time", "last_close", "downloaded_at", "checksum")
+
+
 @dataclass
 class BarStore:
-    """Bars below ``path``, a folder per series and version.
+    """Bars below ``path``: one folder of data per commit and series, and a manifest per commit with a row per series.
 
-    A rewrite goes to a new version and only then becomes the current one by a marker file that Spark commits, so readers
-    see the old or the new state and no plan overwrites what it reads. Appends add files to the current version. One writer
-    per store at a time.
+    A series' row says in which commits its bars lie, and what they come to. An append adds a commit to the row, a rewrite
+    replaces its commits by one; the files of other series aren't touched, and nothing is overwritten that a plan may read.
+    A commit becomes the current one by a marker file, so readers see the old or the new state. One writer per store at a time.
     """
 
     spark: SparkSession
@@ -38,99 +45,253 @@ class BarStore:
         root = at(f"{self.path}/current")
         return sorted(int(x.getPath().getName()) for x in fs.listStatus(root)) if fs.exists(root) else []
 
-    def _data(self, version: int) -> str:
-        return f"{self.path}/data/{version}"
+    def manifest(self, version: int | None = None) -> DataFrame:
+        """The current manifest, a row per series; of an empty store an empty one."""
+        known = self.versions()
+        kind = ", ".join(f"{k} string" for k in PARTITIONS) + ", parts array<long>, rows_count long, start_time long, end_time long, last_close double, downloaded_at long, checksum decimal(38,0)"
+        if not known:
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).parquet(f"{self.path}/manifest/{known[-1] if version is None else version}")
 
     def read_all(self) -> DataFrame | None:
+        """Every bar: those files that the manifest names, told from replaced ones by commit and series."""
         known = self.versions()
-        return self.spark.read.parquet(self._data(known[-1])) if known else None
+        if not known:
+            return None
+        rows = self.spark.read.schema(self._schema()).parquet(f"{self.path}/data")
+        live = self.manifest().select(*PARTITIONS, F.explode("parts").alias("commit"))
+        return rows.join(live, ["commit", *PARTITIONS], "left_semi").drop("commit")
+
+    def _schema(self) -> StructType:
+        """The columns of the store, as its first commit wrote them."""
+        fs, at = self._fs()
+        stream = fs.open(at(f"{self.path}/schema.json"))
+        try:
+            return StructType.fromJson(json.loads(bytes(stream.readAllBytes()).decode()))
+        finally:
+            stream.close()
+
+    def _series(self, series: dict[str, str]) -> DataFrame | None:
+        """The bars of one series, read from its own folders alone."""
+        rows = self.manifest()
+        for name, value in series.items():
+            rows = rows.where(F.col(name) == value)
+        found = rows.collect() if set(series) == set(PARTITIONS) else None  # one row at most
+        if found is None:
+            every = self.read_all()
+            for name, value in series.items():
+                every = every if every is None else every.where(F.col(name) == value)
+            return every
+        if not found:
+            return None
+        rows = self.spark.read.schema(self._schema()).parquet(f"{self.path}/data").where(F.col("commit").isin(found[0]["parts"]))
+        for name, value in series.items():
+            rows = rows.where(F.col(name) == value)
+        return rows.drop("commit")
 
     def read(self, query: BarQuery) -> DataFrame:
-        rows = self.read_all()
-        if rows is None:
+        if not self.versions():
             raise ValidationError("the store is empty")
-        return rows.where(query.predicate())
+        i = query.instrument
+        rows = self._series({"exchange": i.exchange, "market": i.market, "symbol": i.symbol, "timeframe": query.timeframe.canonical})
+        return (self.read_all().where("false") if rows is None else rows).where(query.predicate())
 
-    def get(self, series: dict[str, str], time: int) -> DataFrame:
-        rows = self.read_all()
-        for name, value in series.items():
-            rows = rows.where(F.col(name) == value)
-        return rows.where(F.col("time") == time).limit(1)
+    def get(self, series: dict[str, str], time: int) -> DataFrame | None:
+        rows = self._series(series)
+        return None if rows is None else rows.where(F.col("time") == time).limit(1)
 
-    def _write(self, rows: DataFrame, path: str, mode: str) -> None:
+    def _write(self, rows: DataFrame, commit: int) -> None:
         # Rows of a series lie in time order, so that row groups can be skipped by range; a large series is split by month.
         month = F.floor(F.col("time") / (30 * 86_400_000))
-        rows.repartition(*PARTITIONS, month).sortWithinPartitions(*PARTITIONS, "time").write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
+        placed = rows.repartition(*PARTITIONS, month).sortWithinPartitions(*PARTITIONS, "time").withColumn("commit", F.lit(commit))
+        placed.write.mode("append").partitionBy("commit", *PARTITIONS).parquet(f"{self.path}/data")
+
+    def _facts(self, rows: DataFrame, commit: int) -> DataFrame:
+        """Manifest rows of what a commit wrote. The checksum is a sum over rows, so that appends add to it."""
+        own = sorted(c for c in rows.columns if c not in PARTITIONS)
+        made = manifest(rows if "downloaded_at" in rows.columns else rows.withColumn("downloaded_at", F.lit(0).cast("long")), keys=PARTITIONS)
+        sums = rows.groupBy(*PARTITIONS).agg(F.sum(F.xxhash64(*own).cast("decimal(38,0)")).cast("decimal(38,0)").alias("checksum"))
+        return made.join(sums, list(PARTITIONS)).withColumn("parts", F.array(F.lit(commit).cast("long"))).select(*PARTITIONS, *FACTS)
+
+    def _commit(self, rows: DataFrame, *, append: bool, alone: bool = False) -> int:
+        """Write bars as a new commit: added to what their series hold, or in its place; ``alone``: other series are dropped."""
+        commit = (self.versions() or [0])[-1] + 1
+        fs, at = self._fs()
+        for left in (f"data/commit={commit}", f"manifest/{commit}"):  # of a job that failed before its marker was written
+            fs.delete(at(f"{self.path}/{left}"), True)
+        if not self.versions():
+            names = [c for c in rows.columns if c not in PARTITIONS]
+            schema = StructType([*rows.select(*names).schema.fields, *[StructField(k, StringType()) for k in PARTITIONS], StructField("commit", LongType())])
+            stream = fs.create(at(f"{self.path}/schema.json"), True)
+            stream.write(bytearray(schema.json().encode()))
+            stream.close()
+        self._write(rows, commit)
+        written = self.spark.read.schema(self._schema()).parquet(f"{self.path}/data").where(F.col("commit") == commit).drop("commit")
+        fresh, before = self._facts(written, commit), self.manifest()
+        if append:
+            facts = {
+                "parts": F.flatten(F.array_sort(F.collect_list("parts"))), "rows_count": F.sum("rows_count"), "start_time": F.min("start_time"), "end_time": F.max("end_time"),
+                "last_close": F.max_by("last_close", "end_time"), "downloaded_at": F.max("downloaded_at"), "checksum": F.sum("checksum").cast("decimal(38,0)"),
+            }
+            now = before.unionByName(fresh).groupBy(*PARTITIONS).agg(*[c.alias(n) for n, c in facts.items()])
+        else:
+            now = fresh if alone else before.join(fresh, list(PARTITIONS), "left_anti").unionByName(fresh)
+        now.write.mode("overwrite").parquet(f"{self.path}/manifest/{commit}")
+        fs.create(at(f"{self.path}/current/{commit}"), False).close()
+        return commit
 
     def replace(self, bars: DataFrame) -> int:
-        """A new version with these bars alone; they must be valid."""
+        """A new state with these bars alone; they must be valid."""
         guard(bars, bar_violations(bars, keys=PARTITIONS), "invalid bars")
-        version = (self.versions() or [0])[-1] + 1
-        self._write(bars, self._data(version), "errorifexists")
-        fs, at = self._fs()
-        fs.create(at(f"{self.path}/current/{version}"), False).close()
-        return version
+        return self._commit(bars, append=False, alone=True)
+
+    def _touched(self, batch: DataFrame) -> DataFrame | None:
+        """The stored bars of the series that a batch has bars of, all of them."""
+        stored = self.read_all()
+        return stored if stored is None else stored.join(batch.select(*PARTITIONS).distinct(), list(PARTITIONS), "left_semi")
 
     def write_closed(self, batch: DataFrame) -> dict[str, int]:
-        """Add closed bars: known candles are skipped, a different candle of a known time, stored or in the batch, is a conflict and nothing is written."""
+        """Add closed bars. A bar that the store holds as the same candle is skipped; a different candle of a known time, stored or
+        in the batch, is a conflict, and an open or broken bar an error: nothing is written then.
+
+        Candles are compared in all fields of their identity. Only stored bars of the batch's series and times are looked at.
+        """
         keys = [*PARTITIONS, "time"]
-        candle = F.struct(*OHLCV)
-        clashing = batch.groupBy(*keys).agg(F.min(candle).alias("least"), F.max(candle).alias("most")).where("least != most").count()
+        if "is_closed" in batch.columns:
+            guard(batch, batch.where(~F.coalesce("is_closed", F.lit(False))).select(*keys), "a closed batch holds an open bar")
+        clashing = batch_conflicts(batch, keys=keys).count()
         if clashing:
             raise CacheConflict(f"{clashing} bars of the batch are given with different candles")
         batch = keep_first(batch.withColumn("__seq", F.monotonically_increasing_id()), keys, "__seq").drop("__seq")
-        stored = self.read_all()
-        if stored is None:
-            self.replace(batch)
-            return {"new": batch.count(), "duplicate": 0}
-        marked = classify_bulk(batch.select(*stored.columns), stored, keys=keys)
-        counts = {r["outcome"]: r["count"] for r in marked.groupBy("outcome").count().collect()}
-        if counts.get("conflict"):
-            raise CacheConflict(f"{counts['conflict']} bars differ from stored ones")
-        fresh = marked.where("outcome = 'new'").drop("outcome")
-        if counts.get("new"):
+        stored, fresh, counts = self._touched(batch), batch, {"new": None, "duplicate": 0}
+        if stored is not None:
+            span = batch.agg(F.min("time").alias("a"), F.max("time").alias("b")).first()
+            marked = classify_bulk(batch.select(*stored.columns), stored.where(F.col("time").between(span["a"] or 0, span["b"] or 0)), keys=keys)
+            found = {r["outcome"]: r["count"] for r in marked.groupBy("outcome").count().collect()}
+            if found.get("conflict"):
+                raise CacheConflict(f"{found['conflict']} bars differ from stored ones")
+            fresh, counts = marked.where("outcome = 'new'").drop("outcome"), {"new": found.get("new", 0), "duplicate": found.get("duplicate", 0)}
+        if counts["new"] != 0:
             guard(fresh, bar_violations(fresh, keys=PARTITIONS), "invalid bars")
-            self._write(fresh, self._data(self.versions()[-1]), "append")
-        return {"new": counts.get("new", 0), "duplicate": counts.get("duplicate", 0)}
+            counts["new"] = fresh.count() if counts["new"] is None else counts["new"]
+            self._commit(fresh, append=True)
+        return counts
 
     def append_newer(self, batch: DataFrame) -> int:
-        """Append bars that are all later than what their series holds."""
+        """Append valid bars that are all later than what their series holds, by the manifest alone; the number appended.
+
+        A bar at the last stored time is skipped if it is the same candle, else a conflict.
+        """
+        guard(batch, bar_violations(batch, keys=PARTITIONS), "invalid bars")
         last = self.manifest().select(*PARTITIONS, "end_time")
-        late = batch.join(last, list(PARTITIONS)).where("time <= end_time").limit(1).collect()
+        placed = batch.join(last, list(PARTITIONS), "left")
+        late = placed.where("time < end_time").limit(1).collect()
         if late:
             raise BarConflict(f"a bar isn't newer than its series: {late[0]['time']}")
-        self._write(batch, self._data(self.versions()[-1]), "append")
-        return batch.count()
+        again = placed.where("time = end_time").drop("end_time")
+        if not again.isEmpty():
+            differ = classify_bulk(again, self._touched(again), keys=[*PARTITIONS, "time"]).where("outcome = 'conflict'").limit(1).collect()
+            if differ:
+                raise BarConflict(f"the last bar differs from the stored one: {differ[0]['time']}")
+        fresh = placed.where("end_time IS NULL OR time > end_time").drop("end_time")
+        count = fresh.count()
+        if count:
+            self._commit(fresh, append=True)
+        return count
 
     def merge(self, bars: DataFrame) -> int:
-        """A new version in which these bars take precedence (derived or fetched over stored)."""
-        stored = self.read_all()
-        return self.replace(bars if stored is None else prefer_later([stored, bars.select(*stored.columns)], [*PARTITIONS, "time"]))
+        """A new state in which these bars take precedence (derived or fetched over stored); only their series are rewritten."""
+        stored = self._touched(bars)
+        merged = bars if stored is None else prefer_later([stored, bars.select(*stored.columns)], [*PARTITIONS, "time"])
+        guard(merged, bar_violations(merged, keys=PARTITIONS), "invalid bars")
+        return self._commit(merged, append=False)
 
     def repair(self, source: DataFrame, *, strict: bool = False) -> int:
-        stored = self.read_all()
-        return self.replace(repaired(source.select(*stored.columns), stored, keys=[*PARTITIONS, "time"], strict=strict))
-
-    def manifest(self) -> DataFrame:
-        return manifest(self.read_all(), keys=PARTITIONS)
+        """A new state with the source's bars, by ``repaired``; only the source's series are rewritten. What it changed is a row
+        per series in the log of repairs."""
+        stored, keys = self._touched(source), [*PARTITIONS, "time"]
+        if stored is None:
+            return self.replace(source)
+        counts = audit_counts(source, stored, keys=keys, strict=strict, by=PARTITIONS)
+        made = repaired(source.select(*stored.columns), stored, keys=keys, strict=strict)
+        guard(made, bar_violations(made, keys=PARTITIONS), "invalid bars")
+        commit = self._commit(made, append=False)
+        counts.withColumn("version", F.lit(commit).cast("long")).write.mode("append").parquet(f"{self.path}/repairs")
+        return commit
+
+    def repairs(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/repairs")
+
+    def verify(self) -> DataFrame:
+        """Series whose bars aren't those that their manifest row stands for: number or checksum differ."""
+        rows = self.read_all()
+        if rows is None:
+            return self.manifest().select(*PARTITIONS)
+        found = self._facts(rows, 0).select(*PARTITIONS, F.col("rows_count").alias("n"), F.col("checksum").alias("c"))
+        joined = self.manifest().join(found, list(PARTITIONS), "full")
+        return joined.where(~F.col("rows_count").eqNullSafe(F.col("n")) | ~F.col("checksum").eqNullSafe(F.col("c"))).select(*PARTITIONS)
 
     def latest(self) -> DataFrame:
-        return self.read_all().groupBy(*PARTITIONS).agg(F.max("time").alias("latest"))
+        return self.manifest().select(*PARTITIONS, F.col("end_time").alias("latest"))
 
-    def compact(self) -> int:
-        """The same bars in as few files as the layout allows, as a new version."""
-        return self.replace(self.read_all())
+    def compact(self) -> int | None:
+        """The same bars in as few files as the layout allows, of those series that lie in several commits."""
+        scattered = self.manifest().where(F.size("parts") > 1)
+        if scattered.isEmpty():
+            return (self.versions() or [None])[-1]
+        return self._commit(self._touched(scattered), append=False)
 
     def vacuum(self, keep: int = 1) -> Sequence[int]:
-        """Delete all but the last ``keep`` versions; returns those deleted."""
+        """Forget all but the last ``keep`` states, and delete the data that none of those names; the states forgotten."""
         fs, at = self._fs()
-        old = self.versions()[: -max(1, keep)]
+        old, kept = self.versions()[: -max(1, keep)], self.versions()[-max(1, keep) :]
         for version in old:
             fs.delete(at(f"{self.path}/current/{version}"), False)
-            fs.delete(at(self._data(version)), True)
+            fs.delete(at(f"{self.path}/manifest/{version}"), True)
+        live = {x for v in kept for r in self.manifest(v).select(F.explode("parts").alias("p")).distinct().collect() for x in (r["p"],)}
+        for commit in range(1, kept[-1] + 1 if kept else 0):
+            if commit not in live:
+                fs.delete(at(f"{self.path}/data/commit={commit}"), True)
         return old
 
 
+@dataclass
+class SnapshotStore:
+    """Canonical snapshots below ``path``: their bars and, in a second table, the envelopes that bind them."""
+
+    spark: SparkSession
+    path: str
+
+    def write(self, bars: DataFrame, *, start: int, end: int, keys: Sequence[str] = ("series",), allow_open: bool = False) -> DataFrame:
+        """Verify and seal resolved bars, write both; the envelopes. Equal data written again replace themselves."""
+        envelopes = seal(verified(bars), keys=keys, start=start, end=end, allow_open=allow_open)
+        bound = bars.join(envelopes.select(*keys, "snapshot_id"), list(keys))
+        if not allow_open:
+            bound = bound.where("finality = 'FINAL'")
+        for rows, name in ((bound, "bars"), (envelopes, "envelopes")):
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{self.path}/{name}")
+        return envelopes
+
+    def envelopes(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/envelopes")
+
+    def read(self, snapshot_id: str, *, keys: Sequence[str] = ("series",), allow_open: bool = False) -> DataFrame:
+        """The bars of a snapshot. Their hashes are recomputed, and the envelope made anew from them must be the stored one."""
+        known = self.envelopes().where(F.col("snapshot_id") == snapshot_id).collect()
+        if not known:
+            raise ValidationError(f"no snapshot {snapshot_id}")
+        bars = self.spark.read.parquet(f"{self.path}/bars").where(F.col("snapshot_id") == snapshot_id).drop("snapshot_id")
+        again = seal(verified(bars), keys=keys, start=known[0]["start"], end=known[0]["end"], allow_open=allow_open).collect()
+        if [r.asDict() for r in again] != [{k: r[k] for k in again[0].asDict()} if again else {} for r in known]:
+            raise ValidationError(f"snapshot {snapshot_id} doesn't match its envelope")
+        return bars
+
+    def latest(self, keys: Sequence[str] = ("series",)) -> DataFrame:
+        """Of each series the envelope that reaches furthest."""
+        rest = [c for c in self.envelopes().columns if c not in keys]
+        return self.envelopes().groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("covered_end", "start")).alias("r")).select(*keys, "r.*")
+
+
 @dataclass
 class RawStore:
     """Payloads as JSON lines below ``path``, a folder per series and partition, appended batch by batch with a manifest row each."""
@@ -177,14 +338,14 @@ class FootprintStore:
 
     KEYS = ("exchange", "market", "symbol", "timeframe")
 
-    def _exists(self) -> bool:
+    def exists(self) -> bool:
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(self.path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
     def write(self, levels: DataFrame) -> None:
         fresh = levels.withColumn("day", F.date_format(F.timestamp_millis("time"), "yyyy-MM-dd"))
-        if self._exists():
+        if self.exists():
             stored = self.spark.read.parquet(self.path).withColumn("day", F.col("day").cast("string")).join(fresh.select(*self.KEYS, "day").distinct(), [*self.KEYS, "day"], "left_semi")
             kept = stored.join(fresh.select(*self.KEYS, "time").distinct(), [*self.KEYS, "time"], "left_anti")
             # Read and overwritten folders are the same, so what stays is written aside first.
