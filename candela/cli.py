@@ -6,7 +6,7 @@ import argparse
 import json
 import sys
 
-from candela.errors import ContractError, MarketDataError
+from candela.errors import coded, ContractError, MarketDataError
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -78,7 +78,10 @@ def main(arguments: list[str] | None = None) -> int:
                 return 0 if issues.isEmpty() else 3
             else:
                 print(json.dumps({"version": store.repair(spark.read.parquet(options.source))}))
-    except (MarketDataError, ContractError) as problem:
+    except Exception as failed:
+        problem = failed if isinstance(failed, MarketDataError | ContractError) else coded(failed)
+        if problem is None:
+            raise
         print(json.dumps({"error": getattr(problem, "code", type(problem).__name__), "message": str(problem)}), file=sys.stderr)
         return 2
     return 0

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 
 class MarketDataError(Exception):
     code = "MD_ERROR"
@@ -32,6 +36,30 @@ WsRestCandleMismatch = _kind("MD_WS_REST_CANDLE_MISMATCH")
 SymbolNotTradableForStream = _kind("MD_SYMBOL_NOT_TRADABLE_FOR_STREAM")
 
 
+_BY_CODE = {k.code: k for k in list(globals().values()) if isinstance(k, type) and issubclass(k, MarketDataError)}
+_CODED = re.compile(r"(MD_[A-Z_]+): ([^\n]*)")
+
+
+def coded(error: BaseException) -> MarketDataError | None:
+    """The error that a failed Spark job stands for, by the code in its message; null if it carries none."""
+    found = _CODED.search(str(error))
+    return _BY_CODE[found[1]](found[2].strip()) if found and found[1] in _BY_CODE else None
+
+
+@contextmanager
+def from_jobs() -> Iterator[None]:
+    """Around actions: a job that a rule stopped raises the error of its code."""
+    try:
+        yield
+    except MarketDataError:
+        raise
+    except Exception as error:
+        made = coded(error)
+        if made is None:
+            raise
+        raise made from error
+
+
 class ContractError(ValueError):
     """A query, instrument, bar or series that breaks its contract."""
 

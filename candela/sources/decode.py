@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.functions.timeframe import close_time
+from candela.functions.timeframe import canonical_column, close_time
 
 
 @dataclass(frozen=True)
@@ -23,6 +23,8 @@ class RowMap:
     volume: int | str = 5
     seconds: bool = False
     either: bool = False  # seconds or milliseconds, told by size
+    named: bool = False  # the rows stand under the pair's name, beside ``last``
+    bare: bool = False  # the path may be left out: rows at the top
 
 
 #: Layouts of public candle responses.
@@ -33,37 +35,66 @@ ROWS = {
     "bitget": RowMap("$.data"),
     "mexc": RowMap("$"),
     "coinbase": RowMap("$", 0, 3, 2, 1, 4, 5, True),
-    "kraken": RowMap("$.result.rows", 0, 1, 2, 3, 4, 6, True),
+    "kraken": RowMap("$.result", 0, 1, 2, 3, 4, 6, True, named=True),
     "kucoin": RowMap("$.data", 0, 1, 3, 4, 2, 5, True),
     "gateio": RowMap("$", 0, 5, 3, 4, 2, 1, True),
     "htx": RowMap("$.data", "id", "open", "high", "low", "close", "amount", True),
 }
-#: Layouts of derivative candles where they differ; mexc's one array per field is ``decode_columnar``.
+#: Layouts of derivative candles where they differ; mexc may send one array per field instead, see ``decode_columnar``.
 DERIVATIVE_ROWS = ROWS | {
     "kraken": RowMap("$.candles", "time", "open", "high", "low", "close", "volume", either=True),
     "kucoin": RowMap("$.data", 0, 1, 2, 3, 4, 5, either=True),
-    "gateio": RowMap("$", "t", "o", "h", "l", "c", "v", True),
+    "gateio": RowMap("$.data", "t", "o", "h", "l", "c", "v", True, bare=True),
+    "htx": RowMap("$.data", "id", "open", "high", "low", "close", "amount", True, bare=True),
+    "mexc": RowMap("$.data", 0, 1, 2, 3, 4, 5, either=True),
 }
+#: Rows of derivatives that are sent as arrays where objects are usual.
+DERIVATIVE_LISTS = {"gateio": RowMap("$.data", 0, 5, 3, 4, 2, 1, True, bare=True)}
 _FIELDS = ("time", "open", "high", "low", "close", "volume")
 
 
+def _stop(exchange: str, what: str) -> Column:
+    return F.raise_error(F.lit(f"MD_INVALID_EXCHANGE_RESPONSE: {exchange} {what}"))
+
+
+def _rows_text(column: Column, layout: RowMap) -> Column:
+    """The rows of a payload, as JSON."""
+    if layout.path == "$":
+        return column
+    inner = F.get_json_object(column, layout.path)
+    if layout.named:
+        pairs = F.map_filter(F.from_json(inner, "map<string,string>"), lambda k, v: k != "last")
+        return F.coalesce(F.try_element_at(F.map_values(pairs), F.lit(1)), F.when(inner.isNotNull(), "[]"))
+    return F.coalesce(inner, column) if layout.bare else inner
+
+
 def decode_klines(payloads: DataFrame, exchange: str, timeframe: str, *, column: str = "payload", derivative: bool = False) -> DataFrame:
-    """One row per candle of each payload, other columns kept: times in ms, prices as numbers and as the source's exact text."""
+    """One row per candle of each payload, other columns kept: times in ms, prices as numbers and as the source's exact text.
+
+    A payload without rows, and a row without time or with a price that is no number, stop the job with an MD code.
+    """
     layout = (DERIVATIVE_ROWS if derivative else ROWS)[exchange]
-    rows = F.get_json_object(column, layout.path) if layout.path != "$" else F.col(column)
+    listed = DERIVATIVE_LISTS.get(exchange) if derivative else None
+    text = _rows_text(F.col(column), layout)
+    # A payload's rows are an array; from_json makes one of an object as well.
+    rows = F.when(F.substring(F.ltrim(text), 1, 1) == "[", text)
     if isinstance(layout.time, str):
         item = ", ".join(f"{getattr(layout, f)} string" for f in _FIELDS)
-        parsed = F.from_json(rows, f"array<struct<{item}>>")
-        field = lambda f: F.col("__row").getField(getattr(layout, f))
+        parsed = F.transform(F.from_json(rows, f"array<struct<{item}>>"), lambda r: F.struct(*[r[getattr(layout, f)].alias(f) for f in _FIELDS]))
+        if listed:
+            lists = F.transform(F.from_json(rows, "array<array<string>>"), lambda r: F.struct(*[F.get(r, F.lit(getattr(listed, f))).alias(f) for f in _FIELDS]))
+            parsed = F.when(rows.rlike(r"^\s*\[\s*\["), lists).otherwise(parsed)
     else:
-        parsed = F.from_json(rows, "array<array<string>>")
-        field = lambda f: F.col("__row")[getattr(layout, f)]
+        parsed = F.transform(F.from_json(rows, "array<array<string>>"), lambda r: F.struct(*[F.get(r, F.lit(getattr(layout, f))).alias(f) for f in _FIELDS]))
+    parsed = F.coalesce(parsed, _stop(exchange, "kline payload has no rows").cast(f"array<struct<{', '.join(f'{f}:string' for f in _FIELDS)}>>"))
     out = payloads.select("*", F.explode(parsed).alias("__row"))
-    raw = field("time").cast("double").cast("long")
+    field = lambda f: F.col("__row").getField(f)
+    bad = _stop(exchange, "kline row is invalid")
+    number = lambda f, kind: F.coalesce(field(f).try_cast("double"), bad.cast("double")).cast(kind)
+    raw = number("time", "long")
     time = raw * F.when(F.lit(layout.seconds) | (F.lit(layout.either) & (raw < 10_000_000_000)), 1000).otherwise(1)
-    out = out.select(*payloads.columns, time.alias("time"), *[field(f).alias(f"{f}_text") for f in _FIELDS[1:]])
-    numbers = {f: F.col(f"{f}_text").cast("double") for f in _FIELDS[1:]}
-    return out.withColumns(numbers | {"time_close": close_time(F.col("time"), timeframe)}).drop(column)
+    out = out.select(*payloads.columns, time.alias("time"), *[field(f).alias(f"{f}_text") for f in _FIELDS[1:]], *[number(f, "double").alias(f) for f in _FIELDS[1:]])
+    return out.withColumn("time_close", close_time(F.col("time"), timeframe)).drop(column)
 
 
 def decode_binance(payloads: DataFrame, *, column: str = "payload") -> DataFrame:
@@ -77,13 +108,19 @@ def decode_binance(payloads: DataFrame, *, column: str = "payload") -> DataFrame
 
 
 def decode_columnar(payloads: DataFrame, *, column: str = "payload", path: str = "$.data") -> DataFrame:
-    """Candles sent as one array per field (times in seconds), zipped into rows; short arrays end the rows."""
+    """Candles sent as one array per field (times in seconds or milliseconds), zipped into rows. Fields of unequal length, or
+    missing ones, stop the job."""
     names = ("time", "open", "high", "low", "close", "vol")
     kind = "struct<time:array<bigint>," + ",".join(f"{n}:array<double>" for n in names[1:]) + ">"
     data = F.from_json(F.get_json_object(column, path), kind)
-    zipped = payloads.withColumn("__data", data).select(*[c for c in payloads.columns if c != column], F.inline(F.arrays_zip(*[F.col("__data").getField(n).alias(n) for n in names])))
-    whole = zipped.dropna(subset=list(names))
-    return whole.withColumn("time", F.col("time") * 1000).withColumnRenamed("vol", "volume")
+    sizes = [F.coalesce(F.size(F.col("__data").getField(n)), F.lit(-1)) for n in names]
+    whole = (sizes[0] >= 0) & (F.least(*sizes[1:]) >= sizes[0])
+    rows = payloads.withColumn("__data", data)
+    zipped = F.slice(F.arrays_zip(*[F.col("__data").getField(n).alias(n) for n in names]), F.lit(1), sizes[0])
+    zipped = F.when(whole, zipped).otherwise(_stop("columnar", "kline row is invalid").cast("array<struct<" + "time:bigint," + ",".join(f"{n}:double" for n in names[1:]) + ">>"))
+    rows = rows.select(*[c for c in payloads.columns if c != column], F.inline(zipped))
+    time = F.col("time") * F.when(F.col("time") < 10_000_000_000, 1000).otherwise(1)
+    return rows.withColumn("time", time).withColumnRenamed("vol", "volume")
 
 
 def decode_trades(payloads: DataFrame, *, column: str = "payload") -> DataFrame:
@@ -111,7 +148,7 @@ def decode_updates(events: DataFrame, *, column: str = "value", market: str = "s
         return F.struct(F.lit(exchange).alias("exchange"), F.upper(symbol).alias("symbol"), timeframe.alias("timeframe"), *fields, values[7].alias("is_closed"))
 
     one = F.array(update("binance", binance.s, binance.i, [binance.opened, binance.closed, binance.o, binance.h, binance.l, binance.c, binance.v, binance.x]))
-    minutes = F.when(topic[1].rlike("^[0-9]+$"), F.concat(topic[1], F.lit("m"))).otherwise(topic[1])
+    minutes = canonical_column(F.when(topic[1].rlike("^[0-9]+$") & (topic[1].try_cast("int") % 60 == 0), F.concat((topic[1].try_cast("int") / 60).cast("int").cast("string"), F.lit("h"))).otherwise(topic[1]))
     many = F.transform(bybit, lambda x: update("bybit", topic[2], minutes, [x.start, x.end, x.open, x.high, x.low, x.close, x.volume, x.confirm]))
     event_time = F.coalesce(F.get_json_object(column, "$.E"), F.get_json_object(column, "$.ts")).cast("long")
     rows = events.select(event_time.alias("event_time"), F.lit(market).alias("market"), F.inline(F.when(binance.opened.isNotNull(), one).otherwise(many)))

@@ -47,6 +47,25 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("content_hash", F.sha2(F.concat_ws("|", "time", "revision", "revision_state"), 256))
 
 
+def ruled_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as revisions with lineage, of which the order's key bends some: each rule of a chain is broken by one remainder."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    n, k = F.col("n"), F.col("l_orderkey") % 8
+    rows = table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(order).cast("long") - 1)
+    name = lambda place: F.concat_ws(".", F.lit("h"), F.col("l_orderkey"), place)
+    state = F.when(n == 0, F.when(k == 4, "CORRECTED").otherwise("ORIGINAL")).when(F.col("l_returnflag") == "R", "REVOKED").otherwise("CORRECTED")
+    number = F.when((k == 2) & (n > 1), F.lit(1)).when(k == 3, 10 - n).otherwise(n)
+    made = rows.select(
+        F.lit("TPCH").alias("series"), (F.col("l_orderkey") * 60_000).alias("time"), (n * 2).alias("seq"), number.alias("revision"), state.alias("revision_state"),
+        F.col("l_extendedprice").cast("double").alias("close"), F.when((k == 1) & (n == 1), "bybit").otherwise("binance").alias("provider"), name(n).alias("content_hash"),
+        F.when(n > 0, F.when((k == 5) & (n == 1), "other").otherwise(name(n - 1))).alias("superseded_bar_hash"),
+    )
+    again = made.where((F.col("time") / 60_000) % 8 == 6).withColumn("seq", F.col("seq") + 1)
+    return made.unionByName(again)
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part brands as symbols with a quote asset, some of them perpetual."""
     from candela.functions.identity import STABLE_QUOTES
