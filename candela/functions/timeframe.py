@@ -184,3 +184,14 @@ def pages(name: str, start_ms: int, end_ms: int, most: int) -> list[tuple[int, i
     """A range cut into requests of at most ``most`` bars."""
     step = milliseconds(name) * most
     return [(at, min(at + step, end_ms)) for at in range(start_ms, end_ms, step)]
+
+
+def is_calendar(name: Column) -> Column:
+    """Whether a timeframe follows the calendar: days, weeks or months."""
+    return canonical_column(name).isin("1D", "1W", "1M")
+
+
+def iso_text(time_ms: Column) -> Column:
+    """A time as ISO-8601 text in UTC, with milliseconds where there are any."""
+    at = F.timestamp_millis(time_ms)
+    return F.when(time_ms % 1000 == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
