@@ -5,14 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candela.errors import ValidationError
 from candela.functions import hashing, identity, timeframe
 from candela.operators import coverage, footprint, merge, quality, resample, revisions, symbols
-from candela.plans.query import in_range
+from candela.plans.query import BarQuery, Instrument, in_range
 from candela.sources import decode, tables
+from candela.store import BarStore, SnapshotStore
 from candela.streaming import klines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -349,6 +352,78 @@ def bulk_write_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.classify_bulk(*_pair(spark, sf_dir)).select("symbol", "time", "outcome")
 
 
+_WIDE = """wide AS (SELECT symbol, time, open, high, low, close, volume, time_close, trades_count, 'rest' AS source_transport FROM bars),
+  other AS (SELECT * REPLACE (CASE WHEN slot % 5 = 1 THEN trades_count + 1 ELSE trades_count END AS trades_count, CASE WHEN slot % 5 = 2 THEN time_close + 1 ELSE time_close END AS time_close,
+    CASE WHEN slot % 5 = 3 THEN 'archive' ELSE source_transport END AS source_transport) FROM (SELECT *, time // 3600000 AS slot FROM wide) WHERE slot % 7 <> 0)"""
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Bars with all their fields, and what a store holds of them: differing in a count, in a close time or only in transport."""
+    wide = tables.bars_1h(spark, sf_dir).withColumn("source_transport", F.lit("rest"))
+    slot = F.floor(F.col("time") / HOUR)
+    other = wide.where(slot % 7 != 0).withColumns({
+        "trades_count": F.col("trades_count") + F.when(slot % 5 == 1, 1).otherwise(0), "time_close": F.col("time_close") + F.when(slot % 5 == 2, 1).otherwise(0),
+        "source_transport": F.when(slot % 5 == 3, "archive").otherwise(F.col("source_transport")),
+    })
+    return wide, other
+
+
+@query(f"""WITH {BARS}, {_WIDE} SELECT a.symbol, a.time, CASE WHEN b.symbol IS NULL THEN 'new' WHEN (a.trades_count, a.time_close) = (b.trades_count, b.time_close) THEN 'duplicate' ELSE 'conflict' END AS outcome
+       FROM wide a LEFT JOIN other b ON a.symbol = b.symbol AND a.time = b.time""")
+def candle_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candles are compared in all fields of their identity; where they came from isn't one."""
+    return merge.classify_bulk(*_wide(spark, sf_dir)).select("symbol", "time", "outcome")
+
+
+@query(f"""WITH {BARS}, {_WIDE} SELECT symbol, time, CAST(2 AS BIGINT) AS candles FROM other WHERE slot % 5 IN (1, 2)""")
+def bulk_write_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times that one batch gives with different candles."""
+    wide, other = _wide(spark, sf_dir)
+    return merge.batch_conflicts(wide.unionByName(other))
+
+
+@query(f"""WITH {BARS}, {_WIDE}, both_ AS (SELECT coalesce(a.symbol, b.symbol) AS symbol, a.symbol IS NOT NULL AS l, b.symbol IS NOT NULL AS r, (a.trades_count, a.time_close) = (b.trades_count, b.time_close) AS same
+         FROM wide a FULL JOIN other b ON a.symbol = b.symbol AND a.time = b.time)
+       SELECT symbol, count(*) FILTER (WHERE l) AS checked, count(*) FILTER (WHERE l AND NOT r) AS missing, count(*) FILTER (WHERE l AND r AND NOT same) AS mismatch, count(*) FILTER (WHERE NOT l) AS extra,
+       count(*) FILTER (WHERE NOT l OR NOT r OR NOT same) AS changed FROM both_ GROUP BY symbol""")
+def audit_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.audit_counts(*_wide(spark, sf_dir), strict=True)
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> BarStore:
+    """A store written in three commits: the bars before the cutoff, later ones, and a merge that touches one series."""
+    names = {"exchange": F.lit("binance"), "market": F.lit("spot"), "timeframe": F.lit("1h")}
+    bars = tables.bars_1h(spark, sf_dir).withColumns(names)
+    store = BarStore(spark, f"{_scratch(spark)}/store")
+    store.write_closed(bars.where(F.col("time") < CUTOFF))
+    store.append_newer(bars.where(F.col("time") >= CUTOFF))
+    store.merge(bars.where("symbol = 'CLICK'").withColumn("close", F.col("high")))
+    return store
+
+
+_STORED = f"""WITH {BARS}, now AS (SELECT * REPLACE (CASE WHEN symbol = 'CLICK' THEN high ELSE close END AS close) FROM bars)"""
+
+
+@query(_STORED + """ SELECT 'binance' AS exchange, symbol, count(*) AS rows_count, min(time) AS start_time, max(time) AS end_time, arg_max(close, time) AS last_close, CAST(0 AS BIGINT) AS downloaded_at,
+       CASE WHEN symbol = 'CLICK' THEN 1 ELSE 2 END AS commits FROM now GROUP BY symbol""")
+def store_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored manifest, a row per series, kept up by each commit."""
+    found = _stored(spark, sf_dir).manifest()
+    return found.select("exchange", "symbol", "rows_count", "start_time", "end_time", "last_close", "downloaded_at", F.size("parts").alias("commits"))
+
+
+@query(_STORED + " SELECT symbol, time, open, high, low, close, volume, time_close, trades_count FROM now")
+def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).read_all().drop("exchange", "market", "timeframe")
+
+
+@query(_STORED + f" SELECT symbol, time, close FROM now WHERE symbol = 'CLICK' AND time >= {CUTOFF - 48 * HOUR} AND time < {CUTOFF + 24 * HOUR}")
+def store_range_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query of one series and range, from its own folders."""
+    asked = BarQuery(Instrument("binance", "spot", "CLICK"), timeframe.Timeframe.parse("1h"), CUTOFF - 48 * HOUR, CUTOFF + 24 * HOUR)
+    return _stored(spark, sf_dir).read(asked).select("symbol", "time", "close")
+
+
 @query(f"""WITH {PAIR}, kept AS (SELECT * FROM source WHERE (time // 3600000) % 17 <> 0), lim AS (SELECT symbol, min(time) AS a, max(time) AS b FROM kept GROUP BY symbol)
        SELECT * FROM kept UNION ALL SELECT s.* FROM source s JOIN lim ON s.symbol = lim.symbol WHERE (s.time // 3600000) % 17 = 0 AND s.time > lim.a AND s.time < lim.b""")
 def gap_fill_from_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,17 +464,41 @@ def revision_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions.select_revisions(tables.revisions(spark, sf_dir)).select("time", "revision", "close")
 
 
-@query(f"""WITH {CHAINS} SELECT time, CASE WHEN last > revoked_at THEN 'revision follows terminal revocation' END AS reason, CASE WHEN last <= revoked_at AND last_state <> 'REVOKED' THEN last END AS selected_revision,
+@query(f"""WITH {CHAINS} SELECT time, CASE WHEN last > revoked_at THEN 'after_revocation' END AS reason, CASE WHEN last <= revoked_at AND last_state <> 'REVOKED' THEN last END AS selected_revision,
        last <= revoked_at AND last_state = 'REVOKED' AS revoked, revisions, CAST(0 AS BIGINT) AS duplicates FROM chain""")
 def revision_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions.chains(tables.revisions(spark, sf_dir)).drop("series")
 
 
-@query(f"WITH {CHAINS} SELECT time, 'revision follows terminal revocation' AS reason FROM chain WHERE last > revoked_at")
+@query(f"WITH {CHAINS} SELECT time, 'after_revocation' AS reason FROM chain WHERE last > revoked_at")
 def revision_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions.chains(tables.revisions(spark, sf_dir)).where("reason IS NOT NULL").select("time", "reason")
 
 
+RULED = """items AS (SELECT l_orderkey AS o, l_orderkey % 8 AS k, l_returnflag, CAST(l_extendedprice AS DOUBLE) AS close,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS n FROM lineitem),
+  uniq AS (SELECT o * 60000 AS time, n, k, CASE WHEN k = 2 AND n > 1 THEN 1 WHEN k = 3 THEN 10 - n ELSE n END AS revision, close,
+    CASE WHEN n = 0 THEN CASE WHEN k = 4 THEN 'CORRECTED' ELSE 'ORIGINAL' END WHEN l_returnflag = 'R' THEN 'REVOKED' ELSE 'CORRECTED' END AS state,
+    CASE WHEN k = 1 AND n = 1 THEN 'bybit' ELSE 'binance' END AS provider, k = 5 AND n = 1 AS unbound FROM items),
+  flagged AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY time, revision ORDER BY n) > 1 THEN 'repeated_revision'
+      WHEN revision <= max(revision) OVER (PARTITION BY time ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'falling_revision'
+      WHEN lag(state) OVER (PARTITION BY time ORDER BY n) = 'REVOKED' THEN 'after_revocation' WHEN n = 0 AND state <> 'ORIGINAL' THEN 'no_original' WHEN unbound THEN 'broken_lineage' END AS broken FROM uniq),
+  ended AS (SELECT time, CASE WHEN min(provider) <> max(provider) THEN 'several_providers' ELSE arg_min(broken, n) FILTER (WHERE broken IS NOT NULL) END AS reason, arg_max(revision, n) AS last_revision,
+      arg_max(state, n) AS last_state, arg_max(close, n) AS last_close, count(*) AS revisions, CASE WHEN any_value(k) = 6 THEN count(*) ELSE 0 END AS duplicates FROM flagged GROUP BY time)"""
+
+
+@query(f"""WITH {RULED} SELECT time, reason, CASE WHEN reason IS NULL AND last_state <> 'REVOKED' THEN last_revision END AS selected_revision, reason IS NULL AND last_state = 'REVOKED' AS revoked,
+       revisions, CAST(duplicates AS BIGINT) AS duplicates FROM ended""")
+def revision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains with lineage and bars that arrive twice, in which every rule is broken somewhere."""
+    return revisions.chains(tables.ruled_revisions(spark, sf_dir)).drop("series")
+
+
+@query(f"WITH {RULED} SELECT time, last_revision AS revision, last_close AS close FROM ended WHERE reason IS NULL AND last_state <> 'REVOKED'")
+def revision_rules_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisions.select_revisions(tables.ruled_revisions(spark, sf_dir)).select("time", "revision", "close")
+
+
 @query(f"""WITH {BARS}, long AS (SELECT symbol, time, time_close + CASE WHEN (time // 3600000) % 5 = 0 THEN 1800000 ELSE 0 END AS time_close FROM bars), s AS (SELECT *, lag(time_close) OVER (PARTITION BY symbol ORDER BY time) AS previous_close FROM long)
        SELECT symbol, time, previous_close FROM s WHERE time <= previous_close""")
 def overlap_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -426,12 +525,16 @@ def series_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions.series_checksum(tables.bars_1h(spark, sf_dir), ["time", "trades_count"])
 
 
-@query(f"""WITH {BARS}, days AS (SELECT symbol, time // 86400000 AS day, list(sha256(time || '|' || trades_count) ORDER BY time) AS x FROM bars GROUP BY symbol, time // 86400000)
-       SELECT symbol, day, list_reduce(list_prepend('', x), lambda a, b: sha256(a || chr(31) || b)) AS chain FROM days""")
+@query(f"""WITH RECURSIVE {BARS}, days AS (SELECT symbol, time // 86400000 AS day, list(sha256(time || '|' || trades_count) ORDER BY time) AS x FROM bars GROUP BY symbol, time // 86400000),
+       ranked AS (SELECT symbol, day, list_reduce(list_prepend('', x), lambda a, b: sha256(a || chr(31) || b)) AS link, row_number() OVER (PARTITION BY symbol ORDER BY day) AS n FROM days),
+       walk AS (SELECT symbol, day, n, sha256(chr(31) || link) AS chain FROM ranked WHERE n = 1
+                UNION ALL SELECT r.symbol, r.day, r.n, sha256(w.chain || chr(31) || r.link) FROM walk w JOIN ranked r ON r.symbol = w.symbol AND r.n = w.n + 1)
+       SELECT symbol, day, chain FROM walk""")
 def tail_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars are chained within their day, days within the series: each day's link covers all that came before it."""
     row = F.sha2(F.concat_ws("|", "time", "trades_count"), 256).alias("d")
     days = tables.bars_1h(spark, sf_dir).groupBy("symbol", F.floor(F.col("time") / 86_400_000).alias("day")).agg(F.array_sort(F.collect_list(F.struct("time", row))).alias("x"))
-    return days.select("symbol", "day", hashing.chained(F.transform("x", lambda y: y.d)).alias("chain"))
+    return revisions.chained_days(days.select("symbol", "day", hashing.chained(F.transform("x", lambda y: y.d)).alias("link")))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_retailprice = floor(p_retailprice) THEN CAST(CAST(p_retailprice AS BIGINT) AS VARCHAR) ELSE regexp_replace(CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR), '0+$', '') END AS price FROM part""")
@@ -440,6 +543,44 @@ def decimal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "part").select("p_partkey", hashing.decimal_text(text).alias("price"))
 
 
+def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"exchange": F.lit("binance"), "market": F.lit("spot"), "timeframe": F.lit("1h")}
+    return revisions.canonical_bars(tables.bars_1h(spark, sf_dir).withColumns(names), SERVER, provider_revision="r1")
+
+
+_ENDS = "(SELECT min(time) FROM bars) AS a, (SELECT max(time) + 3600000 FROM bars) AS b"
+
+
+@query(f"""WITH {BARS}, span AS (SELECT {_ENDS}), s AS (SELECT *, lag(time_close) OVER (PARTITION BY symbol ORDER BY time) AS before FROM bars WHERE time_close <= {SERVER})
+       SELECT 'binance/spot/' || symbol || '/1h' AS series, min(time) AS covered_start, max(time_close) + 1 AS covered_end, count(*) AS bar_count,
+       count(*) FILTER (WHERE coalesce(time > before + 1, time > a)) + CASE WHEN max(time_close) + 1 < any_value(b) THEN 1 ELSE 0 END AS gap_count FROM s, span GROUP BY symbol""")
+def snapshot_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sealed snapshots of every series over one range, written, and their envelopes read back."""
+    bars = _canonical(spark, sf_dir)
+    span = bars.agg(F.min("time").alias("a"), F.max("time").alias("b")).first()
+    store = SnapshotStore(spark, f"{_scratch(spark)}/snapshots")
+    store.write(bars, start=span["a"], end=span["b"] + HOUR)
+    return store.envelopes().select("series", "covered_start", "covered_end", "bar_count", "gap_count")
+
+
+@query(f"WITH {BARS} SELECT 'binance/spot/' || symbol || '/1h' AS series, time, open, high, low, close, volume FROM bars WHERE symbol = 'CLICK' AND time_close <= {SERVER}")
+def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot written and read back by its id, hashes and envelope made anew on the way."""
+    bars = _canonical(spark, sf_dir).where("symbol = 'CLICK'")
+    span = bars.agg(F.min("time").alias("a"), F.max("time").alias("b")).first()
+    store = SnapshotStore(spark, f"{_scratch(spark)}/snapshots")
+    made = store.write(bars, start=span["a"], end=span["b"] + HOUR).first()
+    return store.read(made["snapshot_id"]).select("series", "time", "open", "high", "low", "close", "volume")
+
+
+@query(f"""WITH {BARS} SELECT symbol, time, time_close, 'binance/spot/' || symbol AS instrument_id, CASE WHEN time_close <= {SERVER} THEN 'FINAL' ELSE 'OPEN' END AS finality, 'ORIGINAL' AS revision_state,
+       CAST(0 AS BIGINT) AS revision, true AS verified FROM bars""")
+def canonical_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candles as canonical bars, whose hashes agree when they are computed again."""
+    good = revisions.verified(_canonical(spark, sf_dir))
+    return good.select("symbol", "time", "time_close", "instrument_id", "finality", "revision_state", "revision", (F.col("content_hash") == revisions.content_hash()).alias("verified"))
+
+
 # --- symbols -----------------------------------------------------------------------------------------------------------
 
 SYMBOLS = """symbols AS (SELECT p_partkey, p_name AS name, upper(replace(p_brand, '#', '')) AS base, list_extract(['USDT','USDC','FDUSD','BUSD','TUSD','USDP','DAI','USD','EUR'], CAST(p_partkey % 9 AS INTEGER) + 1) AS quote, p_size % 5 = 0 AS perp FROM part)"""
@@ -481,6 +622,92 @@ def market_type_alias_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "part").select("p_partkey", market_type(alias).alias("market_type"))
 
 
+@query("""SELECT * FROM (VALUES ('binance', 'Binance', 1, 5), ('bybit', 'Bybit', 2, 4), ('okx', 'OKX', 3, 6), ('coinbase', 'Coinbase Exchange', 4, 1), ('kraken', 'Kraken', 5, 5), ('kucoin', 'KuCoin', 6, 4),
+       ('bitget', 'Bitget', 7, 4), ('gateio', 'Gate.io', 8, 5), ('htx', 'HTX / Huobi', 9, 4), ('mexc', 'MEXC', 10, 3)) AS t(exchange, name, rank, market_types)""")
+def exchange_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from candela.catalog import exchanges
+
+    return exchanges(spark).withColumn("market_types", F.size("market_types"))
+
+
+@query("""SELECT p_partkey, list_extract(['binance','coinbase','gateio','htx','mexc','bybit','kraken'], CAST(p_partkey % 7 AS INTEGER) + 1) AS exchange FROM part""")
+def exchange_alias_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from candela.catalog import exchange_id
+
+    names = ("BinanceUSDM", " coinbase_exchange", "Gate_IO", "huobi ", "mexc-global", "bybit_v5", "Kraken")
+    return tables.table(spark, sf_dir, "part").select("p_partkey", exchange_id(F.get(F.array(*map(F.lit, names)), (F.col("p_partkey") % 7).cast("int"))).alias("exchange"))
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as symbols of a base and a quote with a status, some of them barred from trading, some without."""
+    k = F.col("p_partkey")
+    status = F.get(F.array(*map(F.lit, ("online", "live", "tradable", "Halt", "cancel_only", "settled", ""))), (k % 7).cast("int"))
+    base = F.when(k % 10 == 0, "XBT").otherwise(F.concat(F.lit("P"), k))
+    return tables.table(spark, sf_dir, "part").select(k, base.alias("base"), F.when(k % 3 == 0, "USDC").otherwise("USDT").alias("quote"), status.alias("status"), F.floor(k / 100).alias("page"))
+
+
+_CATALOGUE = """WITH rows AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN 'XBT' ELSE 'P' || p_partkey END AS raw, CASE WHEN p_partkey % 3 = 0 THEN 'USDC' ELSE 'USDT' END AS quote FROM part),
+  found AS (SELECT *, CASE WHEN raw = 'XBT' THEN 'BTC' ELSE raw END AS base FROM rows)"""
+
+
+def _catalogue_sql(exchange: str, symbol: str, rule: str, market: str = "spot") -> str:
+    return f"{_CATALOGUE} SELECT '{exchange}' AS exchange, '{market}' AS market, {symbol} AS symbol, base, quote FROM found WHERE {rule}"
+
+
+def _pages(rows: DataFrame, item: F.Column, wrap: Callable[[F.Column], F.Column]) -> DataFrame:
+    return rows.groupBy("page").agg(F.collect_list(item).alias("items")).select(wrap(F.col("items")).alias("payload"))
+
+
+@query(_catalogue_sql("kucoin", "raw || '-' || quote", "k % 7 NOT IN (3, 4, 5) AND k % 11 <> 0"))
+def catalogue_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue of objects below one key, with a status and a flag."""
+    rows = _catalogue(spark, sf_dir)
+    item = F.struct(F.concat_ws("-", "base", "quote").alias("symbol"), F.col("base").alias("baseCurrency"), F.col("quote").alias("quoteCurrency"), "status", (F.col("p_partkey") % 11 != 0).alias("enableTrading"))
+    return symbols.decode_catalogue(_pages(rows, item, lambda x: F.to_json(F.struct(x.alias("data")))), "kucoin")
+
+
+@query(_catalogue_sql("kraken", "raw || quote", "k % 7 NOT IN (3, 4, 5)"))
+def catalogue_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue of objects by name, base and quote told by a second name."""
+    rows = _catalogue(spark, sf_dir)
+    item = F.struct(F.col("p_partkey").cast("string").alias("key"), F.struct(F.concat("base", "quote").alias("altname"), F.concat_ws("/", "base", "quote").alias("wsname"), F.lit("X").alias("base"), F.lit("Z").alias("quote"), "status").alias("value"))
+    return symbols.decode_catalogue(_pages(rows, item, lambda x: F.to_json(F.struct(F.map_from_entries(x).alias("result")))), "kraken")
+
+
+@query(_catalogue_sql("gateio", "raw || '_' || quote", "k % 7 IN (2, 6)"))
+def catalogue_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue that is a list at the top, of symbols with one status that allows trading."""
+    item = F.struct(F.concat_ws("_", "base", "quote").alias("id"), "base", "quote", F.col("status").alias("trade_status"))
+    return symbols.decode_catalogue(_pages(_catalogue(spark, sf_dir), item, F.to_json), "gateio")
+
+
+@query(_catalogue_sql("mexc", "raw || '_' || quote", "k % 11 <> 0 AND k % 5 <> 0", "linear"))
+def catalogue_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts of one kind, base and quote told by the symbol's parts."""
+    k = F.col("p_partkey")
+    item = F.struct(F.concat_ws("_", "base", "quote").alias("symbol"), F.when(k % 5 == 0, "BTC").otherwise("USDT").alias("settleCoin"), F.lit(0).alias("state"), (k % 11 != 0).alias("apiAllowed"))
+    return symbols.decode_catalogue(_pages(_catalogue(spark, sf_dir), item, lambda x: F.to_json(F.struct(x.alias("data")))), "mexc", market="linear")
+
+
+@query(f"{_CATALOGUE} SELECT k AS p_partkey FROM found WHERE k % 7 NOT IN (3, 4, 5)")
+def tradable_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.tradable(_catalogue(spark, sf_dir)).select("p_partkey")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN '' ELSE 'P' || p_partkey END AS base, CASE WHEN p_partkey % 4 = 3 THEN '-USDT' ELSE 'P' || p_partkey || '-USDT' END AS okx FROM part""")
+def query_base_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base asset that a search text names, and the symbol to ask for."""
+    name = F.concat(F.lit("p"), F.col("p_partkey"))
+    text = F.get(F.array(F.concat(name, F.lit("/usdt ")), F.concat(name, F.lit("usdc")), F.concat(F.lit(" "), name, F.lit("_x")), F.lit(" ")), (F.col("p_partkey") % 4).cast("int"))
+    base = symbols.query_base(text)
+    return tables.table(spark, sf_dir, "part").select("p_partkey", base.alias("base"), symbols.candidate_symbol("okx", base, F.lit("USDT")).alias("okx"))
+
+
+@query(f"WITH {TRADES} SELECT trade_id, CASE WHEN time % 1000 = 0 THEN strftime(make_timestamp(time * 1000), '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(make_timestamp(time * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') END AS at FROM trades")
+def iso_time_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.trades(spark, sf_dir).select("trade_id", timeframe.iso_text(F.col("time")).alias("at"))
+
+
 # --- payloads ----------------------------------------------------------------------------------------------------------
 
 
@@ -506,6 +733,48 @@ def kline_permuted_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.decode_klines(payloads, "coinbase", "1h").select("symbol", "time", "open", "high", "low", "close", "volume", "time_close")
 
 
+#: Where time, open, high, low, close and volume stand in rows of so many fields, and milliseconds in a unit of time.
+_LAYOUTS = {
+    "okx": (6, (0, 1, 2, 3, 4, 5), 1), "bitget": (6, (0, 1, 2, 3, 4, 5), 1), "bybit": (6, (0, 1, 2, 3, 4, 5), 1), "mexc": (6, (0, 1, 2, 3, 4, 5), 1), "coinbase": (6, (0, 3, 2, 1, 4, 5), 1000),
+    "kraken": (7, (0, 1, 2, 3, 4, 6), 1000), "kucoin": (6, (0, 1, 3, 4, 2, 5), 1000), "gateio": (6, (0, 5, 3, 4, 2, 1), 1000),
+}
+
+
+@query(f"WITH {BARS} SELECT x.exchange, symbol, time, open, high, low, close, volume FROM bars, (VALUES " + ", ".join(f"('{x}')" for x in _LAYOUTS) + ") AS x(exchange)")
+def kline_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payload per series, day and exchange in each exchange's layout, its rows below the key that it uses, decoded again."""
+    bars = tables.bars_1h(spark, sf_dir)
+    found = []
+    for exchange, (width, places, unit) in _LAYOUTS.items():
+        values = [(F.col("time") / unit).cast("long").cast("string"), *map(_text, ("open", "high", "low", "close", "volume"))]
+        row = F.array(*[values[places.index(k)] if k in places else F.lit("x") for k in range(width)])
+        rows = F.collect_list(row).alias("data")
+        pages = bars.groupBy("symbol", F.floor(F.col("time") / 86_400_000).alias("day")).agg(rows)
+        data = F.col("data")
+        body = {
+            "okx": F.struct(data), "bitget": F.struct(data), "kucoin": F.struct(data), "bybit": F.struct(F.struct(data.alias("list")).alias("result")),
+            "kraken": F.struct(F.struct(F.lit(7).alias("last"), data.alias("XBTUSD")).alias("result")),
+        }.get(exchange, data)
+        decoded = decode.decode_klines(pages.select("symbol", F.to_json(body).alias("payload")), exchange, "1h")
+        found.append(decoded.select(F.lit(exchange).alias("exchange"), "symbol", "time", "open", "high", "low", "close", "volume"))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(f"WITH {BARS} SELECT x.exchange, symbol, time, open, high, low, close, volume FROM bars, (VALUES ('gateio'), ('htx'), ('kraken')) AS x(exchange)")
+def kline_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract candles that are objects, with names and units of their own."""
+    layouts = {"gateio": ("t", "o", "h", "l", "c", "v", 1000), "htx": ("id", "open", "high", "low", "close", "amount", 1000), "kraken": ("time", "open", "high", "low", "close", "volume", 1)}
+    found = []
+    for exchange, (*names, unit) in layouts.items():
+        values = [(F.col("time") / unit).cast("long"), *map(_text, ("open", "high", "low", "close", "volume"))]
+        row = F.struct(*[v.alias(n) for v, n in zip(values, names, strict=True)])
+        pages = tables.bars_1h(spark, sf_dir).groupBy("symbol", F.floor(F.col("time") / 86_400_000).alias("day")).agg(F.collect_list(row).alias("candles"))
+        body = {"kraken": F.struct("candles"), "htx": F.struct(F.col("candles").alias("data"))}.get(exchange, F.col("candles"))
+        decoded = decode.decode_klines(pages.select("symbol", F.to_json(body).alias("payload")), exchange, "1h", derivative=True)
+        found.append(decoded.select(F.lit(exchange).alias("exchange"), "symbol", "time", "open", "high", "low", "close", "volume"))
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(f"WITH {BARS} SELECT symbol, time, open, high, low, close, volume FROM bars")
 def columnar_kline_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A payload of one array per field, zipped into rows."""
@@ -520,8 +789,14 @@ def columnar_kline_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    """A new folder below the one that all executors share; a local master may do with a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValidationError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root}/market-{uuid.uuid4().hex}"
 
 
 @query(f"WITH {BARS} SELECT symbol, time, open, high, low, close, volume FROM bars")
@@ -589,3 +864,52 @@ def stream_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {UPDATES} SELECT symbol, max(open_time) FILTER (WHERE is_closed) AS last_closed, max(event_time) AS last_event, count(*) AS events FROM updates GROUP BY symbol")
 def stream_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return klines.checkpoints(_updates(spark, sf_dir)).select("symbol", "last_closed", "last_event", "events")
+
+
+def _live(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The updates as a file stream, in files of the order of arrival."""
+    root = _scratch(spark)
+    updates = _updates(spark, sf_dir).withColumn("seq", F.col("event_time"))
+    updates.write.parquet(f"{root}/in")
+    return spark.readStream.schema(updates.schema).option("maxFilesPerTrigger", 10_000).parquet(f"{root}/in"), root
+
+
+@query(_OUTCOMES)
+def live_commit_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of each update of a file stream, by a state per candle."""
+    stream, root = _live(spark, sf_dir)
+    return klines.drained(klines.commit_stream(stream), root).select("symbol", "open_time", "event_time", "outcome")
+
+
+@query(f"WITH {UPDATES} SELECT symbol, open_time, event_time FROM updates WHERE NOT is_closed AND event_time > open_time + 3600000")
+def live_late_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream, root = _live(spark, sf_dir)
+    return klines.drained(klines.commit_stream(stream), root).where("outcome = 'late_open_ignored'").select("symbol", "open_time", "event_time")
+
+
+@query(f"WITH {UPDATES} SELECT symbol, open_time, max(event_time) AS event_time, arg_max(close, event_time) AS close, min(event_time) AS place, count(*) - 1 AS coalesced FROM updates GROUP BY symbol, open_time")
+def live_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream, root = _live(spark, sf_dir)
+    return klines.drained(klines.coalesce_updates(stream), root, "complete").select("symbol", "open_time", "event_time", "close", "place", "coalesced")
+
+
+@query(f"WITH {UPDATES} SELECT symbol, max(open_time) FILTER (WHERE is_closed) AS last_closed, max(event_time) AS last_event, count(*) AS events, 'live' AS status FROM updates GROUP BY symbol")
+def live_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream, root = _live(spark, sf_dir)
+    return klines.drained(klines.checkpoints(stream), root, "complete").select("symbol", "last_closed", "last_event", "events", "status")
+
+
+@query(f"""WITH o AS ({_OUTCOMES}) SELECT symbol, count(*) AS processed, count(*) FILTER (WHERE outcome = 'upserted') AS upserted, count(*) FILTER (WHERE outcome = 'committed') AS committed,
+       count(*) FILTER (WHERE outcome = 'duplicate') AS duplicate, count(*) FILTER (WHERE outcome = 'conflict') AS conflict, count(*) FILTER (WHERE outcome = 'late_open_ignored') AS late_open_ignored FROM o GROUP BY symbol""")
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return klines.commit_counts(klines.commit_batch(_updates(spark, sf_dir))).select("symbol", "processed", "upserted", "committed", "duplicate", "conflict", "late_open_ignored")
+
+
+_QUEUED = f"WITH {UPDATES}, queue AS (SELECT symbol, open_time, min(event_time) AS place FROM updates GROUP BY symbol, open_time), ranked AS (SELECT *, row_number() OVER (ORDER BY place DESC, symbol) AS n FROM queue)"
+
+
+@query(_QUEUED + " SELECT symbol, open_time, place FROM ranked WHERE n > 100")
+def stream_queue_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candles that a queue of 100 loses: those placed first."""
+    queue = klines.coalesce_updates(_updates(spark, sf_dir).withColumn("seq", F.col("event_time")))
+    return klines.dropped(queue, 100).select("symbol", "open_time", "place")
