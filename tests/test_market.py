@@ -2,6 +2,7 @@
 
 import io
 import json
+import time
 import zipfile
 
 import pytest
@@ -14,7 +15,7 @@ from candela.operators import coverage, footprint, merge, quality, resample, rev
 from candela.operators.ordered import with_previous
 from candela.plans.query import BarQuery, FootprintQuery, Instrument, can_derive, in_range
 from candela.sources import decode, offline
-from candela.store import BarStore
+from candela.store import BarStore, SnapshotStore
 from candela.streaming import klines
 
 MINUTE = 60_000
@@ -152,10 +153,10 @@ def chain(spark, steps):
         ([(0, "ORIGINAL", None)], None, 0, False),
         ([(0, "ORIGINAL", "a"), (0, "ORIGINAL", "a"), (1, "CORRECTED", None)], None, 1, False),
         ([(0, "ORIGINAL", None), (1, "CORRECTED", None), (2, "REVOKED", None)], None, None, True),
-        ([(0, "ORIGINAL", None), (2, "CORRECTED", None), (1, "CORRECTED", None)], "revision chain is not strictly increasing", None, False),
-        ([(0, "ORIGINAL", None), (1, "REVOKED", None), (2, "CORRECTED", None)], "revision follows terminal revocation", None, False),
-        ([(1, "CORRECTED", None)], "revision chain is missing the preceding canonical bar", None, False),
-        ([(0, "ORIGINAL", None), (0, "ORIGINAL", None)], "same revision has different content", None, False),
+        ([(0, "ORIGINAL", None), (2, "CORRECTED", None), (1, "CORRECTED", None)], "falling_revision", None, False),
+        ([(0, "ORIGINAL", None), (1, "REVOKED", None), (2, "CORRECTED", None)], "after_revocation", None, False),
+        ([(1, "CORRECTED", None)], "no_original", None, False),
+        ([(0, "ORIGINAL", None), (0, "ORIGINAL", None)], "repeated_revision", None, False),
     ],
 )
 def test_revision_chains(spark, steps, reason, selected, revoked):
@@ -170,7 +171,7 @@ def test_lineage_binds_revisions(spark):
     assert first.superseded_bar_hash is None and second.superseded_bar_hash == first.content_hash
     assert revisions.chains(linked).first().reason is None
     torn = linked.withColumn("superseded_bar_hash", F.when(F.col("seq") == 1, "other"))
-    assert "superseded_bar_hash" in revisions.chains(torn).first().reason
+    assert revisions.chains(torn).first().reason == "broken_lineage"
 
 
 def test_snapshot_hash_depends_on_content_alone(spark):
@@ -247,27 +248,94 @@ def test_symbol_tables(spark):
 # --- payloads and files
 
 
-@pytest.mark.parametrize("exchange", list(decode.ROWS))
-def test_candle_layouts(spark, exchange):
-    layout = decode.ROWS[exchange]
-    time = 1_700_000_000 if layout.seconds else 1_700_000_000_000
-    values = {"time": time, "open": "1.5", "high": "3", "low": "1", "close": "2.50", "volume": "10"}
-    if isinstance(layout.time, str):
-        row = {getattr(layout, k): v for k, v in values.items()}
-    else:
-        row = [None] * 7
-        for k, v in values.items():
-            row[getattr(layout, k)] = v
-    body = [row]
-    for part in reversed(layout.path.split(".")[1:]):
-        body = {part: body}
-    r = decode.decode_klines(spark.createDataFrame([(json.dumps(body),)], "payload string"), exchange, "1m").first()
+#: Payloads as exchanges send them: one candle of 2023-11-14T22:13:20Z, opening at 1.5 and closing at 2.50.
+CANDLES = {
+    "binance": [[1_700_000_000_000, "1.5", "3", "1", "2.50", "10", 1_700_000_059_999, "0", 1, "0", "0", "0"]],
+    "bybit": {"retCode": 0, "result": {"category": "spot", "symbol": "BTCUSDT", "list": [["1700000000000", "1.5", "3", "1", "2.50", "10", "20"]]}},
+    "okx": {"code": "0", "msg": "", "data": [["1700000000000", "1.5", "3", "1", "2.50", "10", "15", "15", "1"]]},
+    "coinbase": [[1_700_000_000, 1, 3, 1.5, "2.50", 10]],
+    "kraken": {"error": [], "result": {"last": 1_699_999_940, "XXBTZUSD": [[1_700_000_000, "1.5", "3", "1", "2.50", "2.1", "10", 7]]}},
+    "kucoin": {"code": "200000", "data": [["1700000000", "1.5", "2.50", "3", "1", "10", "20"]]},
+    "bitget": {"code": "00000", "data": [["1700000000000", "1.5", "3", "1", "2.50", "10", "20", "20"]]},
+    "gateio": [["1700000000", "10", "2.50", "3", "1", "1.5", "5", "true"]],
+    "htx": {"status": "ok", "data": [{"id": 1_700_000_000, "open": 1.5, "high": 3, "low": 1, "close": "2.50", "amount": 10, "vol": 20, "count": 4}]},
+    "mexc": [[1_700_000_000_000, "1.5", "3", "1", "2.50", "10", 1_700_000_060_000, "20"]],
+}
+CONTRACTS = [
+    ("gateio", [{"t": 1_700_000_000, "o": "1.5", "h": "3", "l": "1", "c": "2.50", "v": 10}]), ("gateio", {"data": [{"t": 1_700_000_000, "o": "1.5", "h": "3", "l": "1", "c": "2.50", "v": 10}]}),
+    ("gateio", [["1700000000", "10", "2.50", "3", "1", "1.5"]]), ("kraken", {"candles": [{"time": 1_700_000_000_000, "open": "1.5", "high": "3", "low": "1", "close": "2.50", "volume": 10}]}),
+    ("kucoin", {"data": [[1_700_000_000_000, 1.5, 3, 1, "2.50", 10]]}), ("kucoin", {"data": [[1_700_000_000, 1.5, 3, 1, "2.50", 10]]}), ("mexc", {"data": [[1_700_000_000_000, 1.5, 3, 1, "2.50", 10]]}),
+    ("mexc", {"data": [[1_700_000_000, 1.5, 3, 1, "2.50", 10]]}), ("htx", {"data": [{"id": 1_700_000_000, "open": 1.5, "high": 3, "low": 1, "close": "2.50", "amount": 10}]}),
+    ("okx", {"data": [["1700000000000", "1.5", "3", "1", "2.50", "10"]]}), ("bitget", {"data": [["1700000000000", "1.5", "3", "1", "2.50", "10"]]}),
+]
+
+
+def payload(spark, *bodies):
+    return spark.createDataFrame([(x if isinstance(x, str) else json.dumps(x),) for x in bodies], "payload string")
+
+
+@pytest.mark.parametrize(("exchange", "body", "derivative"), [(k, v, False) for k, v in CANDLES.items()] + [(k, v, True) for k, v in CONTRACTS])
+def test_candle_layouts(spark, exchange, body, derivative):
+    r = decode.decode_klines(payload(spark, body), exchange, "1m", derivative=derivative).first()
     assert (r.time, r.open, r.high, r.low, r.close, r.volume, r.close_text) == (1_700_000_000_000, 1.5, 3, 1, 2.5, 10, "2.50")
 
 
+@pytest.mark.parametrize(("exchange", "body"), [("okx", {"code": "1"}), ("okx", "no json"), ("bybit", {"result": {}}), ("binance", {"code": -1121}), ("coinbase", [[1]]), ("kucoin", {"data": [["x", 1, 1, 1, 1, 1]]}), ("htx", {"data": [{"id": 1}]})])
+def test_malformed_payloads_stop_the_job(spark, exchange, body):
+    with pytest.raises(errors.InvalidExchangeResponse), errors.from_jobs():
+        decode.decode_klines(payload(spark, body), exchange, "1m").collect()
+
+
+def test_payloads_without_candles_give_none(spark):
+    assert decode.decode_klines(payload(spark, {"data": []}), "okx", "1m").count() == 0
+    assert decode.decode_klines(payload(spark, {"result": {"last": 0}}), "kraken", "1m").count() == 0
+
+
+def test_columnar_payloads(spark):
+    body = {"data": {"time": [1_700_000_000, 1_700_000_060_000], "open": [1, 2], "high": [1, 2], "low": [1, 2], "close": [1, 2], "vol": [3, 4]}}
+    assert [(r.time, r.volume) for r in decode.decode_columnar(payload(spark, body)).collect()] == [(1_700_000_000_000, 3), (1_700_000_060_000, 4)]
+    body["data"]["low"] = [1]
+    with pytest.raises(errors.InvalidExchangeResponse), errors.from_jobs():
+        decode.decode_columnar(payload(spark, body)).collect()
+
+
+#: A live symbol, one that is barred and one of another kind, as each catalogue writes them.
+CATALOGUES = [
+    ("bybit", "spot", {"result": {"list": [{"symbol": "BTCUSDT", "status": "Trading", "baseCoin": "BTC", "quoteCoin": "USDT"}, {"symbol": "X", "status": "Closed", "baseCoin": "X", "quoteCoin": "USDT"}]}}, ("BTCUSDT", "BTC", "USDT")),
+    ("okx", "spot", {"data": [{"instId": "BTC-USDT", "state": "live", "baseCcy": "BTC", "quoteCcy": "USDT"}, {"instId": "X-USDT", "state": "suspend", "baseCcy": "X", "quoteCcy": "USDT"}]}, ("BTC-USDT", "BTC", "USDT")),
+    ("coinbase", "spot", [{"id": "BTC-USD", "base_currency": "BTC", "quote_currency": "USD", "status": "online", "trading_disabled": False}, {"id": "X-USD", "base_currency": "X", "quote_currency": "USD", "trading_disabled": True}], ("BTC-USD", "BTC", "USD")),
+    ("kraken", "spot", {"result": {"XXBTZUSD": {"altname": "XBTUSD", "wsname": "XBT/USD", "base": "XXBT", "quote": "ZUSD", "status": "online"}, "Y": {"altname": "YUSD", "base": "Y", "quote": "USD", "status": "cancel_only"}}}, ("XBTUSD", "BTC", "USD")),
+    ("bitget", "margin", {"data": [{"symbol": "btcusdt", "baseCoin": "", "quoteCoin": None, "status": "online"}, {"symbol": "XUSDT", "status": "halt"}]}, ("BTCUSDT", "BTC", "USDT")),
+    ("htx", "spot", {"data": [{"sc": "btcusdt", "bcdn": "BTC", "qcdn": "USDT", "state": "online"}, {"sc": "x", "bcdn": "X", "qcdn": "USDT", "state": "offline"}]}, ("BTCUSDT", "BTC", "USDT")),
+    ("mexc", "spot", {"symbols": [{"symbol": "BTCUSDT", "status": "1", "baseAsset": "BTC", "quoteAsset": "USDT"}, {"symbol": "X", "status": "OFFLINE", "baseAsset": "X", "quoteAsset": "Y"}]}, ("BTCUSDT", "BTC", "USDT")),
+    ("okx", "linear", {"data": [{"instId": "BTC-USDT-SWAP", "state": "live", "ctType": "linear", "instFamily": "BTC-USDT", "baseCcy": "", "quoteCcy": "", "settleCcy": "USDT"}, {"instId": "BTC-USD-SWAP", "state": "live", "ctType": "inverse", "instFamily": "BTC-USD"}]}, ("BTC-USDT-SWAP", "BTC", "USDT")),
+    ("kraken", "inverse", {"instruments": [{"symbol": "PI_XBTUSD", "type": "futures_inverse", "tradeable": True, "base": "XBT", "quote": "USD"}, {"symbol": "PF_XBTUSD", "type": "flexible_futures", "tradeable": True, "base": "XBT", "quote": "USD"}, {"symbol": "PI_X", "tradeable": False, "base": "X", "quote": "USD"}]}, ("PI_XBTUSD", "BTC", "USD")),
+    ("kucoin", "delivery_futures", {"data": [{"symbol": "XBTMZ4", "baseCurrency": "XBT", "quoteCurrency": "USDT", "expireDate": 1_735_000_000_000, "isInverse": False}, {"symbol": "XBTUSDTM", "baseCurrency": "XBT", "quoteCurrency": "USDT", "expireDate": None, "isInverse": False}]}, ("XBTMZ4", "BTC", "USDT")),
+    ("bitget", "linear", {"data": [{"symbol": "BTCUSDT", "baseCoin": "BTC", "quoteCoin": "USDT", "status": "normal"}, {"symbol": "X", "baseCoin": "X", "quoteCoin": "USDT", "status": "suspended"}]}, ("BTCUSDT", "BTC", "USDT")),
+    ("gateio", "linear", [{"name": "BTC_USDT", "in_delisting": False, "trade_status": "tradable"}, {"name": "X_USDT", "in_delisting": True}], ("BTC_USDT", "BTC", "USDT")),
+    ("htx", "linear", {"data": [{"contract_code": "BTC-USDT", "symbol": "BTC", "trade_partition": "USDT", "contract_status": 1}, {"contract_code": "X-USDT", "symbol": "X", "trade_partition": "USDT", "contract_status": "settled"}]}, ("BTC-USDT", "BTC", "USDT")),
+    ("mexc", "inverse", {"data": [{"symbol": "BTC_USD", "settleCoin": "BTC", "state": 0, "apiAllowed": True}, {"symbol": "X_USD", "settleCoin": "X", "state": 1}, {"symbol": "BTC_USDT", "settleCoin": "USDT", "state": 0}]}, ("BTC_USD", "BTC", "USD")),
+]
+
+
+@pytest.mark.parametrize(("exchange", "market", "body", "want"), CATALOGUES)
+def test_catalogues(spark, exchange, market, body, want):
+    found = symbols.decode_catalogue(payload(spark, body), exchange, market=market).collect()
+    assert [(r.exchange, r.market, r.symbol, r.base, r.quote) for r in found] == [(exchange, market, *want)]
+
+
+def test_names_of_exchanges_and_markets(spark):
+    assert [one(spark, catalog.market_type(F.col("x")), x, "string") for x in ("cross_margin", "usdt futures", "Dated-Futures", "none")] == ["margin", "usdt_futures", "delivery_futures", None]
+    assert [one(spark, catalog.exchange_id(F.col("x")), x, "string") for x in ("Gate_IO", "huobi", "other")] == ["gateio", "htx", "other"]
+    assert symbols.tradable(spark.createDataFrame([(None,), ("Cancel_Only",), ("post_only",)], "status string")).count() == 2
+
+
 def test_live_events(spark):
     binance = {"E": 5, "s": "BTCUSDT", "k": {"s": "BTCUSDT", "i": "1m", "t": 0, "T": 59999, "o": "1", "h": "2", "l": "0.5", "c": "1.5", "v": "10", "n": 3, "x": True}}
     bybit = {"topic": "kline.1.BTCUSDT", "ts": 7, "data": [{"start": 0, "end": 59999, "open": "1", "high": "2", "low": "0.5", "close": "1.5", "volume": "10", "confirm": False}]}
+    intervals = [dict(bybit, topic=f"kline.{x}.BTCUSDT") for x in ("60", "240", "D", "5")]
+    names = decode.decode_updates(spark.createDataFrame([(json.dumps(x),) for x in intervals], "value string")).collect()
+    assert [r.timeframe for r in names] == ["1h", "4h", "1D", "5m"]
     found = decode.decode_updates(spark.createDataFrame([(json.dumps(x),) for x in (binance, bybit)], "value string")).orderBy("exchange").collect()
     assert [(r.exchange, r.symbol, r.timeframe, r.event_time, r.close, r.is_closed) for r in found] == [("binance", "BTCUSDT", "1m", 5, 1.5, True), ("bybit", "BTCUSDT", "1m", 7, 1.5, False)]
 
@@ -312,6 +380,75 @@ def test_range_reaches_the_scan(spark, sf_dir, capsys):
 # --- store
 
 
+@pytest.mark.parametrize(("field", "value"), [("quote_volume", 2.0), ("trades_count", 9), ("close_text", "1.00"), ("time_close", 1), ("source_kind", "other"), ("taker_buy_base_volume", None), ("volume", 3.0)])
+def test_every_field_of_a_candle_counts(spark, tmp_path, field, value):
+    flat = series(spark, [(0, 1.0, 9.0, 1.0, 1.0, 1.0)]).withColumns({"quote_volume": F.lit(1.0), "trades_count": F.lit(1).cast("long"), "close_text": F.lit("1"), "source_kind": F.lit("kline"), "taker_buy_base_volume": F.lit(1.0), "source_transport": F.lit("rest"), "downloaded_at": F.lit(1).cast("long")})
+    store = BarStore(spark, f"{tmp_path}/store")
+    store.write_closed(flat)
+    assert store.write_closed(flat.withColumns({"source_transport": F.lit("archive"), "downloaded_at": F.lit(9).cast("long")})) == {"new": 0, "duplicate": 1}
+    with pytest.raises(errors.CacheConflict):
+        store.write_closed(flat.withColumn(field, F.lit(value).cast(flat.schema[field].dataType)))
+
+
+def test_commits_touch_their_series_alone(spark, tmp_path):
+    store = BarStore(spark, f"{tmp_path}/store")
+    flat = lambda t, c=1.0: (t, 1.0, 9.0, 1.0, c, 1.0)
+    both = series(spark, [flat(0), flat(MINUTE)]).unionByName(series(spark, [flat(0)]).withColumn("symbol", F.lit("T")))
+    assert store.latest().count() == 0 and store.verify().count() == 0 and store.get({"symbol": "S"}, 0) is None and store.compact() is None
+    store.write_closed(both)
+    files = lambda name: {x: x.stat().st_mtime_ns for x in (tmp_path / "store/data").rglob(f"symbol={name}/**/*.parquet")}
+    before = files("T")
+    store.repair(series(spark, [flat(0, 7.0)]))
+    store.append_newer(series(spark, [flat(MINUTE), flat(2 * MINUTE)]))
+    assert files("T") == before and store.repairs().first().asDict()["mismatch"] == 1
+    assert {(r.symbol, tuple(r.parts), r.rows_count, r.end_time) for r in store.manifest().collect()} == {("S", (2, 3), 3, 2 * MINUTE), ("T", (1,), 1, 0)}
+    assert sorted((r.symbol, r.time, r.close) for r in store.read_all().collect()) == [("S", 0, 7), ("S", MINUTE, 1), ("S", 2 * MINUTE, 1), ("T", 0, 1)]
+    assert store.verify().count() == 0
+    store.compact()
+    assert store.verify().count() == 0 and store.manifest().where("symbol = 'S'").first().parts == [4] and files("T") == before
+    with pytest.raises(errors.BarConflict):
+        store.append_newer(series(spark, [flat(2 * MINUTE, 5.0)]))
+    with pytest.raises(errors.ValidationError):
+        store.write_closed(series(spark, [flat(9 * MINUTE)]).withColumn("is_closed", F.lit(False)))
+    version = store.versions()[-1]
+    (tmp_path / f"store/current/{version}").unlink()  # a job that failed before its marker
+    assert store.verify().count() == 0
+    assert store.append_newer(series(spark, [flat(3 * MINUTE)])) == 1 and store.read_all().where("symbol = 'S'").count() == 4
+    lost = next(iter((tmp_path / "store/data/commit=1").rglob("symbol=T/**/*.parquet")))
+    lost.unlink()
+    assert [r.symbol for r in store.verify().collect()] == ["T"]
+
+
+def test_append_to_a_long_series(spark, tmp_path):
+    store = BarStore(spark, f"{tmp_path}/store")
+    many = spark.range(30_000).select((F.col("id") * MINUTE).alias("time"), *[F.lit(x).alias(n) for n, x in zip(("open", "high", "low", "close", "volume"), (1.0, 9.0, 1.0, 1.0, 1.0), strict=True)])
+    names = {"exchange": F.lit("binance"), "market": F.lit("spot"), "symbol": F.lit("S"), "timeframe": F.lit("1m"), "time_close": F.col("time") + MINUTE - 1}
+    store.write_closed(many.withColumns(names))
+    one_more = many.withColumns(names).limit(1).withColumns({"time": F.lit(30_000 * MINUTE).cast("long"), "time_close": F.lit(30_001 * MINUTE - 1).cast("long")})
+    began = time.perf_counter()
+    assert store.append_newer(one_more) == 1
+    assert time.perf_counter() - began < 15 and store.manifest().first().rows_count == 30_001
+
+
+def test_snapshots_are_bound(spark, tmp_path):
+    bars = series(spark, [(t * MINUTE, 1.0, 9.0, 1.0, 1.0, 1.0) for t in range(3)])
+    canonical = revisions.canonical_bars(bars, 3 * MINUTE - 1, provider_revision="r1")
+    assert sorted(r.finality for r in canonical.collect()) == ["FINAL"] * 3
+    store = SnapshotStore(spark, f"{tmp_path}/snapshots")
+    made = store.write(canonical, start=0, end=3 * MINUTE).first()
+    assert store.read(made.snapshot_id).count() == 3 and store.latest().first().snapshot_id == made.snapshot_id and made.complete
+    again = store.write(canonical.repartition(2), start=0, end=3 * MINUTE).first()
+    assert again.snapshot_id == made.snapshot_id and store.envelopes().count() == 1
+    with pytest.raises(errors.ValidationError), errors.from_jobs():
+        store.write(canonical.withColumn("close", F.lit(2.0)), start=0, end=3 * MINUTE)
+    torn = spark.read.parquet(f"{tmp_path}/snapshots/bars").limit(2).toPandas()
+    spark.createDataFrame(torn, spark.read.parquet(f"{tmp_path}/snapshots/bars").schema).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{tmp_path}/snapshots/bars")
+    with pytest.raises(errors.ValidationError):
+        store.read(made.snapshot_id)
+    with pytest.raises(errors.ValidationError):
+        store.read("none")
+
+
 def series(spark, rows):
     return bars(spark, rows).withColumns({"exchange": F.lit("binance"), "market": F.lit("spot"), "timeframe": F.lit("1m")})
 
@@ -350,7 +487,7 @@ def test_store(spark, tmp_path):
     store.repair(series(spark, [flat(0)]), strict=True)
     assert store.read_all().count() == 1
     store.compact()
-    assert len(store.vacuum()) == 3 and store.read_all().count() == 1
+    assert len(store.vacuum()) == 4 and store.read_all().count() == 1
 
 
 # --- streams
@@ -390,3 +527,28 @@ def test_each_batch(spark, tmp_path):
     seen = []
     klines.each_batch(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), lambda df, k: seen.append(df.count()), f"{tmp_path}/state")
     assert sum(seen) == 5
+
+
+def test_reconnect_backfill_queue_and_revision(spark):
+    kind = "exchange string, market string, symbol string, timeframe string, open_time long, event_time long, open double, high double, low double, close double, volume double, is_closed boolean, seq long"
+    up = lambda t, closed, seq, close=1.0: ("binance", "spot", "S", "1m", t * MINUTE, t * MINUTE + seq, 1.0, 1.0, 1.0, close, 1.0, closed, seq)
+    updates = spark.createDataFrame([up(0, False, 1), up(1, False, 2), up(0, True, 3), up(1, True, 4, 5.0)], kind)
+    backfill = spark.createDataFrame([up(0, True, 0), up(1, True, 0), up(2, False, 0)], kind).drop("seq")
+    found = klines.commit_batch(klines.with_backfill(updates, backfill, 2))
+    counts = klines.commit_counts(found).first()
+    assert (counts.processed, counts.upserted, counts.committed, counts.duplicate, counts.conflict) == (6, 2, 2, 1, 1)
+    queue = klines.coalesce_updates(updates)
+    assert [r.open_time for r in klines.dropped(queue, 1).collect()] == [0] and klines.bounded(queue, 1).count() == 1
+    revision = updates.select(klines.event_revision(updates).alias("r")).distinct().count()
+    named = updates.withColumn("raw_event_id", F.lit("e1"))
+    assert revision == 4 and named.select(klines.event_revision(named).alias("r")).distinct().first().r == "e1"
+    marked = updates.withColumns({"received_at": F.col("event_time") + 5, "reconnect": F.col("seq") == 3})
+    row = klines.checkpoints(marked).first()
+    assert (row.last_closed, row.reconnects, row.events, row.status) == (MINUTE, 1, 4, "live")
+
+
+def test_closes_of_one_event_time_are_told_by_arrival(spark):
+    kind = "exchange string, market string, symbol string, timeframe string, open_time long, event_time long, open double, high double, low double, close double, volume double, trades_count long, is_closed boolean, seq long"
+    rows = [("binance", "spot", "S", "1m", 0, 5, 1.0, 1.0, 1.0, 1.0, 1.0, n, True, s) for n, s in ((7, 2), (8, 1), (8, 3))]
+    found = klines.commit_batch(spark.createDataFrame(rows, kind))
+    assert sorted(r.outcome for r in found.collect()) == ["committed", "conflict", "duplicate"]

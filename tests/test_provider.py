@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from candela import errors
 from candela.functions.timeframe import DAY, Timeframe, close_time
-from candela.plans.provider import Settings, archive_cutoff, fetch_bars, fetch_footprint
+from candela.plans.provider import Settings, archive_cutoff, fetch_bars, fetch_footprint, footprint_coverage, kept_in, stored_footprint
 from candela.plans.query import BarQuery, FootprintQuery, Instrument
+from candela.store import BarStore, FootprintStore
 
 MINUTE = 60_000
 I = Instrument("binance", "spot", "S")
@@ -45,7 +46,37 @@ def test_sources_split_at_the_cutoff_and_fill_holes(spark):
     stored = series(spark, [0, 2 * MINUTE], 1.0)
     found = fetch_bars(query("1m", 0, 5 * MINUTE), stored, source(spark, 2.0, asked), source(spark, 3.0, asked), 3 * MINUTE)
     assert [(r.time // MINUTE, r.open) for r in found.orderBy("time").collect()] == [(0, 1), (1, 2), (2, 1), (3, 3), (4, 3)]
-    assert asked == [(0, 3 * MINUTE, "1m"), (3 * MINUTE, 5 * MINUTE, "1m")]
+    assert asked == [(MINUTE, 2 * MINUTE, "1m"), (3 * MINUTE, 5 * MINUTE, "1m")]
+
+
+def test_only_holes_are_fetched_and_kept(spark, tmp_path):
+    """A counting source sees the holes once; what it gave is stored, and a second query asks for nothing."""
+    asked, store = [], BarStore(spark, f"{tmp_path}/store")
+    store.write_closed(series(spark, [0, MINUTE, 4 * MINUTE, 7 * MINUTE], 1.0))
+    get = lambda q: fetch_bars(q, store.read(q), None, source(spark, 5.0, asked), 0, keep=kept_in(store))
+    found = get(query("1m", 0, 9 * MINUTE))
+    assert sorted((r.time // MINUTE, r.open) for r in found.collect()) == [(0, 1), (1, 1), (2, 5), (3, 5), (4, 1), (5, 5), (6, 5), (7, 1), (8, 5)]
+    assert asked == [(2 * MINUTE, 4 * MINUTE, "1m"), (5 * MINUTE, 7 * MINUTE, "1m"), (8 * MINUTE, 9 * MINUTE, "1m")]
+    assert get(query("1m", 0, 9 * MINUTE)).count() == 9 and len(asked) == 3
+    many = fetch_bars(query("1m", 0, 9 * MINUTE), series(spark, [0, 2 * MINUTE, 4 * MINUTE], 1.0), None, source(spark, 5.0, asked), 0, settings=Settings(most_fetches=2))
+    assert many.count() == 9 and asked[3:] == [(MINUTE, 9 * MINUTE, "1m")]
+
+
+def test_footprints_are_stored_and_report_their_coverage(spark, tmp_path):
+    rows = [("S", k, k * MINUTE + 5, 100.0 + k, 1.0, False) for k in range(3)]
+    trades = spark.createDataFrame(rows, "symbol string, trade_id long, time long, price double, quantity double, buyer_maker boolean")
+    asked = FootprintQuery(I, Timeframe.parse("1m"), 0, 3 * MINUTE, 10.0)
+    calls = []
+    raw = lambda a, b: (calls.append((a, b)), trades)[1]
+    store = FootprintStore(spark, f"{tmp_path}/footprints")
+    assert stored_footprint(asked, store, raw).count() == 3 and stored_footprint(asked, store, raw).count() == 3
+    assert calls == [(0, 3 * MINUTE)]
+    cover = lambda end: tuple(footprint_coverage(fetch_footprint(FootprintQuery(I, Timeframe.parse("1m"), 0, end, 10.0), trades), FootprintQuery(I, Timeframe.parse("1m"), 0, end, 10.0)).first())
+    assert cover(3 * MINUTE) == (3, 0, "valid", 3 * MINUTE) and cover(5 * MINUTE) == (3, 2, "gap", 3 * MINUTE)
+    none = FootprintQuery(I, Timeframe.parse("1m"), 9 * MINUTE, 10 * MINUTE, 10.0)
+    assert tuple(footprint_coverage(fetch_footprint(none, trades), none).first()) == (0, 1, "empty", None)
+    with pytest.raises(errors.CoverageError):
+        fetch_footprint(FootprintQuery(I, Timeframe.parse("1m"), 9 * MINUTE, 10 * MINUTE, 10.0, gap_policy="strict"), trades)
 
 
 def test_derives_from_the_base(spark):
