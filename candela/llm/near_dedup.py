@@ -23,8 +23,10 @@ HUBS, LATER_HUBS, FURTHER = 6, 2, 3
 #: Text bytes that a task holds as tokens at once.
 SLICE_BYTES = 3 << 20
 #: Counters of shingles that order them by rarity (shingles of one counter share it, which costs time and no link), and rows
-#: of a shingle, or pairs of a centre, that one task handles.
+#: of a shingle that one task pairs with the others.
 COUNTERS, SHARE = 1 << 21, 1000
+#: Members of a centre that follow one copy of its text.
+DEALT = 200
 #: Tasks that the classes of one component are dealt to when they look up its least id.
 SALTS = 16
 #: For each slot the order in which other slots are asked for a value while it is empty.
@@ -139,7 +141,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     The members of a centre are dealt to several tasks if they are many. Each task gets the centre's text once, before them.
     """
-    many = pairs.groupBy("u").agg(F.floor(F.count(F.lit(1)) / SHARE).alias("last"))
+    many = pairs.groupBy("u").agg(F.floor(F.count(F.lit(1)) / DEALT).alias("last"))
     dealt = pairs.join(many, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("last") + 1).alias("share"))
     members = dealt.join(texts.withColumnRenamed("node", "v"), "v").select("u", "share", "v", "text")
     spread = many.select("u", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("share"))

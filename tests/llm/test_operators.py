@@ -644,6 +644,7 @@ def test_stragglers_of_a_large_component_equal_brute_force(spark):
 
 def test_centre_of_very_many_members_is_dealt_to_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SHARE", 7)
+    monkeypatch.setattr(near_dedup, "DEALT", 7)
     fields = [(f"m{k}", None, None, None) for k in range(120)] + [(f"m{k}", *[f"s{k}x{s}" for s in range(3)]) for k in range(10)]
     rows = list(enumerate(form(19, fields)))
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
