@@ -20,7 +20,7 @@ SCALE_PART = 4
 #: Rows with at least this score are predicted toxic.
 THRESHOLD = 0.7
 #: Text bytes that are scored at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 START, END = 1, 2
 _BITS = np.uint64(21)
 _CODE = np.uint64((1 << 21) - 1)
