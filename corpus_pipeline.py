@@ -38,7 +38,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of BPE tokens of each remaining document, with digests of its ids and of their decoding; null counts as empty."""
-    return bpe_digests(docs, slice_bytes=8 << 20)
+    return bpe_digests(docs, slice_bytes=4 << 20)
 
 
 STAGES: list[tuple[str, Stage]] = [
