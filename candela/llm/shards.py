@@ -146,7 +146,8 @@ def shard_documents(
         cut = np.unique(splitters.first[splitters.tie != LOWEST])
         if len(cut):
             keys = spark.createDataFrame([(int(k),) for k in cut], "key long")
-            parts_of = placed.join(keys, "key").groupBy("key", "range").agg(F.max("group_end").alias("e"), F.max("group_bytes").alias("b"))
+            # At most one text per boundary, so no more than the splitters that every task holds already.
+            parts_of = placed.join(F.broadcast(keys), "key").groupBy("key", "range").agg(F.max("group_end").alias("e"), F.max("group_bytes").alias("b"))
             over_all = parts_of.groupBy("key").agg(F.max("e").alias("e"), F.sum("b").alias("b"))  # a row per text cut, few
             placed = placed.join(F.broadcast(over_all), "key", "left")
             placed = placed.withColumns({"group_end": F.coalesce("e", "group_end"), "group_bytes": F.coalesce("b", "group_bytes")}).drop("e", "b")
