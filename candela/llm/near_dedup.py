@@ -215,12 +215,14 @@ def _edges_by_prefixes(members: DataFrame, roots: DataFrame, texts: DataFrame) -
     placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("key")
     left = materialize(texts.join(placed.join(open_, "key").select("node", "root").distinct(), "node").select("node", "root", "text"), "near-open")
-    found = left.mapInArrow(_counters, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).where("c > 1").toArrow()
+    counted = left.mapInArrow(_counters, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).where("c > 1")
+    # Any order that all tasks share will do, so steps of a tenth are enough: a byte each, 2 to 255 (counts up to 3e10 differ).
+    level = F.least(F.ceil(F.log(1.1, "c")) + 1, F.lit(255)) - 128
+    found = counted.select(F.col("cell").cast("int").alias("cell"), level.cast("byte").alias("level")).toArrow()
     if not found.num_rows:
         return None
-    rarity = np.ones(COUNTERS, np.int64)
-    rarity[np.asarray(found["cell"])] = np.asarray(found["c"])
-    rarity = np.minimum(rarity, 2**31 - 1).astype(np.int32)
+    rarity = np.ones(COUNTERS, np.uint8)
+    rarity[np.asarray(found["cell"])] = np.asarray(found["level"]).astype(np.int16) + 128
     rows = materialize(left.mapInArrow(_prefixes(rarity), "shingle long, node long, root long, place int, n int"), "near-prefixes")
     held = rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("m")).where("least != most")
     rows = rows.join(held.select("shingle", "least", F.floor(F.col("m") / SHARE).alias("last")), "shingle")
