@@ -21,6 +21,9 @@ MODULES = {
     "op8_sampled_shards": "shards",
     "op9_bpe_trie": "bpe",
     "op10_minhash_dedup": "near_dedup",
+    "op11_token_alignment": "align",
+    "op12_compression_quality": "quality",
+    "op13_spelling_variants": "variants",
 }
 
 
