@@ -1,5 +1,6 @@
 """Token alignment, compression quality and spelling variants against brute force and held-out rows."""
 
+import bisect
 import hashlib
 import json
 import random
@@ -60,10 +61,10 @@ class Plain:
             return None
         ends_a, ends_b = np.cumsum([len(self.bytes_a[i]) for i in a]), np.cumsum([len(self.bytes_b(i)) for i in b])
         common = sorted(set(ends_a.tolist()) & set(ends_b.tolist()))
-        groups, low = [], 0
-        for end in common:
-            groups.append(([i for i, e in zip(a, ends_a, strict=True) if low < e <= end], [i for i, e in zip(b, ends_b, strict=True) if low < e <= end]))
-            low = end
+        groups = [([], []) for _ in common]
+        for side, ids, ends in ((0, a, ends_a), (1, b, ends_b)):
+            for i, end in zip(ids, ends.tolist(), strict=True):
+                groups[bisect.bisect_left(common, end)][side].append(i)
         return a, b, groups, Counter((x, y) for p, q in groups for x in p for y in q)
 
 
