@@ -7,9 +7,10 @@ import heapq
 import json
 import os
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ PARTS, FAN = 32, 32
 #: Bits of a pair's code that hold the B id.
 B_BITS = 15
 #: Chunks of text whose alignment a worker remembers, before the memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+#: Links of a group above which its pairs are counted by distinct ids and not listed one by one.
+LARGE = 1 << 16
 #: Where neither tokenizer's tokens cross: before a single space between characters that aren't white space.
 CHUNK = re.compile(r"(?<=\S) (?=\S)")
 ROWS = "part int, slice int, row int, id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, radix int, heads binary, tails binary"
@@ -50,37 +53,41 @@ def unspill(data: bytes, columns: int) -> list[np.ndarray]:
     return out
 
 
-class Aligned:
-    """One chunk's alignment: sizes, the text of its groups, and its distinct pairs with their number of links."""
-
-    __slots__ = ("counts", "groups", "pairs", "sizes")
-
-    def __init__(self, a: list[int], b: list[int], size_a: list[int], size_b: list[int]):
-        """Ids of both tokenizers and the bytes that each token covers; both cover the same bytes."""
-        shown: list[str] = []
-        links: Counter[int] = Counter()
-        i = j = from_a = from_b = ends_a = ends_b = 0
-        while i < len(a) or j < len(b):
-            if ends_a <= ends_b and i < len(a):
-                ends_a += size_a[i]
-                i += 1
-            else:
-                ends_b += size_b[j]
-                j += 1
-            if ends_a == ends_b and i > from_a and j > from_b:
-                own_a, own_b = a[from_a:i], b[from_b:j]
-                shown.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-                if len(own_a) == 1 == len(own_b):
-                    links[own_a[0] << B_BITS | own_b[0]] += 1
-                else:
-                    many = Counter(own_b)
-                    for x, n in Counter(own_a).items():
-                        for y, m in many.items():
-                            links[x << B_BITS | y] += n * m
-                from_a, from_b = i, j
-        self.groups = ";".join(shown)
-        self.pairs, self.counts = np.fromiter(links.keys(), np.int64, len(links)), np.fromiter(links.values(), np.int64, len(links))
-        self.sizes = (len(a), len(b), len(shown), sum(links.values()))
+def linked(ids_a: np.ndarray, size_a: np.ndarray, ids_b: np.ndarray, size_b: np.ndarray, text_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Alignment of texts laid end to end, whose tokens of either kind cover the same bytes.
+
+    ``text_ends`` are the places where texts end. Returns the text, code and number of links of the pairs, by text; each
+    text's groups as written, every group with its semicolon; and the number of groups of each text.
+    """
+    ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
+    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+    many_a, many_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
+    text = np.searchsorted(text_ends, common)
+    # Every token of A with each of B in its group; groups of very many links by their distinct ids instead.
+    large = many_a * many_b > LARGE
+    each = np.where(large, 0, many_b)[group_a]
+    at = np.repeat((np.cumsum(many_b) - many_b)[group_a] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+    code, of = np.repeat(ids_a, each) << B_BITS | ids_b[at], np.repeat(text[group_a], each)
+    count = np.ones(len(code), np.int64)
+    for g in np.flatnonzero(large).tolist():
+        (x, n), (y, m) = (np.unique(ids[group == g], return_counts=True) for ids, group in ((ids_a, group_a), (ids_b, group_b)))
+        code, of = np.append(code, (x[:, None] << B_BITS | y).ravel()), np.append(of, np.full(len(x) * len(y), text[g]))
+        count = np.append(count, (n[:, None] * m).ravel())
+    if large.any():
+        order = np.argsort(of, kind="stable")
+        code, of, count = code[order], of[order], count[order]
+    # Each id is written with what follows it: a comma inside a group, else a bar or a semicolon.
+    place_a = np.arange(len(ids_a)) + (np.cumsum(many_b) - many_b)[group_a]
+    place_b = np.arange(len(ids_b)) + np.cumsum(many_a)[group_b]
+    shown = np.empty(len(ids_a) + len(ids_b), object)
+    for place, ids, group, end in ((place_a, ids_a, group_a, "|"), (place_b, ids_b, group_b, ";")):
+        last = np.append(group[1:] != group[:-1], True) if len(group) else np.zeros(0, bool)
+        shown[place] = [f"{i}{end if x else ','}" for i, x in zip(ids.tolist(), last.tolist(), strict=True)]
+    size = np.bincount(text, many_a + many_b, minlength=len(text_ends)).astype(np.int64)
+    pieces_, stops = shown.tolist(), np.cumsum(size).tolist()
+    groups = ["".join(pieces_[start:stop]) for start, stop in zip([0, *stops], stops, strict=False)]
+    return of, code, count, groups, np.bincount(text, minlength=len(text_ends))
 
 
 class Aligner:
@@ -97,53 +104,100 @@ class Aligner:
         letters = [chr(k) for k in (*range(33, 127), *range(161, 173), *range(174, 256))]
         bytes_of = {c: ord(c) for c in letters} | {chr(256 + n): k for n, k in enumerate(k for k in range(256) if chr(k) not in letters)}
         vocabulary = json.loads(text)["model"]["vocab"]
-        self.bytes_a = {i: bytes(bytes_of[c] for c in token) for token, i in vocabulary.items()}
+        self.bytes_a = [b""] * (max(self.a.get_vocab().values()) + 1)
+        for token, i in vocabulary.items():
+            self.bytes_a[i] = b"" if i in self.a.get_added_tokens_decoder() else bytes(bytes_of[c] for c in token)
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_model)
-        pieces_ = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces_)]
-        if max(self.bytes_a) >= 1 << (32 - B_BITS) or len(pieces_) > 1 << B_BITS:
+        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        if len(self.bytes_a) > 1 << (32 - B_BITS) or len(names) > 1 << B_BITS:
             raise ValueError("the vocabularies are too large for the codes of pairs")
-        if any("▁" in p.lstrip("▁") for p in pieces_):
+        if any("▁" in p.lstrip("▁") for p in names):
             raise ValueError("a piece goes over the start of a word, so texts can't be encoded chunk by chunk")
-        self.known: dict[str, Aligned | None] = {}
-
-    def align(self, texts: list[str]) -> list[Aligned | None]:
-        """Of each text, a space before it; None where a tokenizer's tokens don't give its bytes back."""
-        found = []
-        for text, a, b in zip(texts, self.a.encode_batch([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
-            own_a, own_b, whole = [self.bytes_a.get(i, b"") for i in a.ids], [self.bytes_b[i] for i in b], (" " + text).encode()
-            same = b"".join(own_a) == whole == b"".join(own_b)
-            found.append(Aligned(a.ids, b, [len(x) for x in own_a], [len(x) for x in own_b]) if same else None)
-        return found
-
-    def chunked(self, texts: list[str | None]) -> tuple[list[list[int]], list[Aligned]]:
-        """Of each text the places of its chunks in the list that comes second. Tokens of either kind never cross from one
-        chunk to the next, so the groups of a text are those of its chunks. A text whose chunks don't all give their bytes back
-        is aligned as a whole."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        self.size_a, self.size_b = (np.array([len(x) for x in own]) for own in (self.bytes_a, self.bytes_b))
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.sizes = [array("q") for _ in range(4)]  # tokens of A, tokens of B, groups, links
+        self.pairs, self.counts, self.ends = array("q"), array("q"), array("q")
+
+    def add(self, texts: list[str]) -> list[int]:
+        """Align texts, a space before each; the entry of each text, -1 where a tokenizer's tokens don't give its bytes back."""
+        own_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        own_b = self.b.encode(texts, num_threads=1)
+        whole = [(" " + t).encode() for t in texts]
+        laid, good = self._laid(own_a, own_b, whole), range(len(texts))
+        if laid is None:
+            good = [k for k in good if self._laid([own_a[k]], [own_b[k]], [whole[k]])]
+            laid = self._laid(*([own[k] for k in good] for own in (own_a, own_b, whole)))
+        many_a, ids_a, many_b, ids_b, ends = laid
+        of, code, count, groups, number = linked(ids_a, self.size_a[ids_a], ids_b, self.size_b[ids_b], ends)
+        out, first, before = [-1] * len(texts), len(self.groups), self.ends[-1] if self.ends else 0
+        for k, place in enumerate(good):
+            out[place] = first + k
+        self.groups += groups
+        links = np.bincount(of, count, minlength=len(ends))
+        stops = before + np.cumsum(np.bincount(of, minlength=len(ends)))
+        for kept, new in zip((*self.sizes, self.pairs, self.counts, self.ends), (many_a, many_b, number, links, code, count, stops), strict=True):
+            kept.frombytes(np.asarray(new, np.int64).tobytes())
+        return out
+
+    def _laid(self, own_a: list[list[int]], own_b: list[list[int]], whole: list[bytes]) -> tuple[np.ndarray, ...] | None:
+        """Tokens of both kinds laid end to end, how many each text has, and where texts end in bytes; None unless every text's
+        tokens give its bytes back."""
+        ends, joined, out = np.cumsum([len(w) for w in whole], dtype=np.int64), b"".join(whole), []
+        for own, bytes_, size in ((own_a, self.bytes_a, self.size_a), (own_b, self.bytes_b, self.size_b)):
+            many = np.array([len(x) for x in own], np.int64)
+            ids = np.fromiter(chain.from_iterable(own), np.int64, int(many.sum()))
+            if not many.all() or not np.array_equal(np.cumsum(size[ids])[np.cumsum(many) - 1], ends) or b"".join(map(bytes_.__getitem__, ids.tolist())) != joined:
+                return None
+            out += [many, ids]
+        return (*out, ends)
+
+    def chunked(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of all texts' chunks, and how many each text has. Tokens of either kind never cross from one chunk to
+        the next, so the groups of a text are those of its chunks. A text whose chunks don't all give their bytes back is
+        aligned as a whole, and has no chunk if that fails as well."""
+        if len(self.place) > REMEMBERED:
+            self.forget()
         split = [CHUNK.split(t) if t else [] for t in texts]
-        new = list({c for own in split for c in own if c not in self.known})
-        self.known.update(zip(new, self.align(new), strict=True))
-        place: dict[str, int] = {}
-        used: list[Aligned] = []
-        rows: list[list[int]] = []
-        for text, own in zip(texts, split, strict=True):
-            row = []
-            for chunk in own:
-                at = place.get(chunk)
-                if at is None:
-                    alignment = self.known[chunk]
-                    at = place[chunk] = -1 if alignment is None else len(used)
-                    if alignment is not None:
-                        used.append(alignment)
-                row.append(at)
+        new = list({c for own in split for c in own if c not in self.place})
+        if new:
+            self.place.update(zip(new, self.add(new), strict=True))
+        rows = [list(map(self.place.__getitem__, own)) for own in split]
+        for k, row in enumerate(rows):
             if -1 in row:
-                whole = self.align([text])[0]
-                row = [] if whole is None else [len(used)]
-                used += [] if whole is None else [whole]
-            rows.append(row)
-        return rows, used
+                whole = self.add([texts[k]])[0]
+                rows[k] = [] if whole < 0 else [whole]
+        many = np.array([len(r) for r in rows], np.int64)
+        return np.fromiter(chain.from_iterable(rows), np.int64, int(many.sum())), many
+
+    def facts(self, entries: np.ndarray, many: np.ndarray) -> tuple[list[np.ndarray], list[str]]:
+        """Of each text its tokens of A and B, groups and links, and the digest of its groups."""
+        row, stops = np.repeat(np.arange(len(many)), many), np.cumsum(many).tolist()
+        sums = [np.bincount(row, np.frombuffer(x, np.int64)[entries], minlength=len(many)).astype(np.int64) if len(entries) else np.zeros(len(many), np.int64) for x in self.sizes]
+        shown = list(map(self.groups.__getitem__, entries.tolist()))
+        digests = [hashlib.sha256("".join(shown[a:b])[:-1].encode()).hexdigest() if a < b else "" for a, b in zip([0, *stops], stops, strict=False)]
+        return sums, digests
+
+    def records(self, entries: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pair, row and number of links of each pair in each row, by pair and then row."""
+        if not len(entries):
+            return (np.zeros(0, np.int64),) * 3
+        used, code = np.unique(entries, return_inverse=True)
+        held, times = np.unique(np.repeat(np.arange(len(many)), many) * len(used) + code, return_counts=True)
+        row, entry = held // len(used), used[held % len(used)]
+        ends = np.frombuffer(self.ends, np.int64)
+        starts = np.where(entry > 0, ends[entry - 1], 0)
+        each = ends[entry] - starts
+        at = np.repeat(starts - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        key = np.frombuffer(self.pairs, np.int64)[at].astype(np.uint64) << np.uint64(32) | np.repeat(row, each).astype(np.uint64)
+        order = np.argsort(key, kind="stable")
+        key, links = key[order], (np.frombuffer(self.counts, np.int64)[at] * np.repeat(times, each))[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return (key[first] >> np.uint64(32)).astype(np.int64), (key[first] & np.uint64(0xFFFFFFFF)).astype(np.int64), np.add.reduceat(links, first)
 
 
 @lru_cache(maxsize=1)
@@ -151,46 +205,23 @@ def _loaded(byte_level: str, piece_model: str) -> Aligner:
     return Aligner(SparkFiles.get(byte_level), SparkFiles.get(piece_model))
 
 
-def records(rows: list[list[int]], used: list[Aligned]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pair, row and number of links of each pair in each row, by pair and then row."""
-    sizes = np.array([len(r) for r in rows], np.int64)
-    flat = np.fromiter((k for r in rows for k in r), np.int64, int(sizes.sum()))
-    row = np.repeat(np.arange(len(rows)), sizes)
-    held, times = np.unique(row * max(1, len(used)) + flat, return_counts=True)
-    row, chunk = held // max(1, len(used)), held % max(1, len(used))
-    many = np.array([len(x.pairs) for x in used], np.int64)
-    starts = np.cumsum(many) - many
-    each = many[chunk] if len(chunk) else np.zeros(0, np.int64)
-    at = np.repeat(starts[chunk] - (np.cumsum(each) - each), each) + np.arange(int(each.sum())) if len(chunk) else np.zeros(0, np.int64)
-    pairs = np.concatenate([x.pairs for x in used]) if used else np.zeros(0, np.int64)
-    counts = np.concatenate([x.counts for x in used]) if used else np.zeros(0, np.int64)
-    key = pairs[at].astype(np.uint64) << np.uint64(32) | np.repeat(row, each).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    key, links = key[order], (counts[at] * np.repeat(times, each))[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    links = np.add.reduceat(links, first) if len(first) else links
-    return (key[first] >> np.uint64(32)).astype(np.int64), (key[first] & np.uint64(0xFFFFFFFF)).astype(np.int64), links
-
-
 def _encoder(byte_level: str, piece_model: str, kind: str, slice_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, part, number = _loaded(byte_level, piece_model), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in pieces(whole, "text", slice_bytes):
-                rows, used = aligner.chunked(batch.column("text").to_pylist())
-                sums = [tuple(map(sum, zip(*[used[k].sizes for k in r], strict=True))) or (0, 0, 0, 0) for r in rows]
-                digests = [hashlib.sha256(";".join([used[k].groups for k in r]).encode()).hexdigest() if r else "" for r in rows]
-                pair, row, links = records(rows, used)
+                entries, many = aligner.chunked(batch.column("text").to_pylist())
+                sums, digests = aligner.facts(entries, many)
+                pair, row, links = aligner.records(entries, many)
                 radix = (pair >> B_BITS) & (PARTS - 1)
                 runs = []
                 for k in np.unique(radix).tolist():
                     own = np.flatnonzero(radix == k)
                     first = np.flatnonzero(np.concatenate([[True], pair[own][1:] != pair[own][:-1]]))
-                    many = np.diff(np.append(first, len(own)))
-                    runs.append((k, spill(pair[own][first], many), spill(row[own], links[own])))
+                    runs.append((k, spill(pair[own][first], np.diff(np.append(first, len(own)))), spill(row[own], links[own])))
                 n, m = batch.num_rows, len(runs)
                 place = [pa.array(np.full(n + m, x, np.int32)) for x in (part, number)]
-                facts = [pa.array([*[s[k] for s in sums], *[None] * m], pa.int64()) for k in range(4)]
+                facts = [pa.array([*s.tolist(), *[None] * m], pa.int64()) for s in sums]
                 ids = pa.concat_arrays([batch.column("id"), pa.nulls(m, batch.column("id").type)])
                 yield pa.RecordBatch.from_arrays(
                     [

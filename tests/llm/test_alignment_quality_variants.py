@@ -114,10 +114,16 @@ def test_a_hot_pair_is_one_entry_of_a_run():
     assert [x.tolist() for x in align.unspill(align.spill(pairs, counts[:2]), 2)] == [[1, 3, 9, 70_000], [1, 7]]
 
 
-def test_a_group_of_many_tokens_links_all():
-    found = align.Aligned([5, 5, 6], [1, 2], [1, 1, 2], [3, 1])
-    assert found.groups == "5,5,6|1,2" and found.sizes == (3, 2, 1, 6)
-    assert dict(zip(found.pairs.tolist(), found.counts.tolist(), strict=True)) == {5 << 15 | 1: 2, 5 << 15 | 2: 2, 6 << 15 | 1: 1, 6 << 15 | 2: 1}
+@pytest.mark.parametrize("large", [1, 1 << 16])
+def test_a_group_of_many_tokens_links_all(large, monkeypatch):
+    monkeypatch.setattr(align, "LARGE", large)  # links of a group listed one by one, or by distinct ids
+    ids = [np.array(x) for x in ([5, 5, 6, 7], [1, 2, 3])]
+    of, code, count, groups, number = align.linked(ids[0], np.array([1, 1, 2, 9]), ids[1], np.array([3, 1, 9]), np.array([4, 13]))
+    assert groups == ["5,5,6|1,2;", "7|3;"] and number.tolist() == [1, 1]
+    links = Counter()
+    for t, c, n in zip(of.tolist(), code.tolist(), count.tolist(), strict=True):
+        links[t, c >> 15, c & 32767] += n
+    assert links == {(0, 5, 1): 2, (0, 5, 2): 2, (0, 6, 1): 1, (0, 6, 2): 1, (1, 7, 3): 1}
 
 
 # --- 12 -----------------------------------------------------------------------------------------------------------------
