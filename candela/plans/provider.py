@@ -114,15 +114,27 @@ def fetch_bars(
 
 
 def kept_in(store: BarStore) -> Callable[[DataFrame, BarQuery], DataFrame]:
-    """Store what was fetched, stored bars taking precedence, and read the query's bars back."""
+    """Store what was fetched and has closed, stored bars taking precedence, and read the query's bars back.
+
+    What was fetched is written aside once, so that its source is asked once. A candle that ``is_closed`` says is open is laid
+    over the result and not stored: the next query asks for it again.
+    """
 
     def keep(fetched: DataFrame, query: BarQuery) -> DataFrame:
         keys = [*KEYS, "time"]
-        known = store.read(query) if store.versions() else None
-        fresh = fetched if known is None else fetched.join(known.select(*keys), keys, "left_anti")
-        if not fresh.isEmpty():
-            store.merge(fresh)
-        return store.read(query) if store.versions() else fetched
+        with store.held(fetched) as held:
+            known = store.read(query) if store.versions() else None
+            fresh = held if known is None else held.join(known.select(*keys), keys, "left_anti")
+            closed = F.coalesce("is_closed", F.lit(True)) if "is_closed" in held.columns else F.lit(True)
+            open_ = fresh.where(~closed).orderBy(F.desc("time")).limit(1).collect()  # a series has one open candle at most
+            fresh = fresh.where(closed)
+            if not fresh.isEmpty():
+                store.merge(fresh)
+            kind = held.schema
+        kept = store.read(query) if store.versions() else store.spark.createDataFrame([], kind)
+        if not open_:
+            return kept
+        return overlay_current(kept, store.spark.createDataFrame(open_, kind).select(*[c if c in kind.names else F.lit(None).alias(c) for c in kept.columns]), keys=KEYS, start=query.start_ms, end=query.end_ms)
 
     return keep
 

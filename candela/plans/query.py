@@ -11,6 +11,10 @@ from candela.errors import InvalidBarQuery, InvalidInstrument
 from candela.functions.timeframe import Timeframe, canonical, milliseconds
 
 
+#: The kind of candles that are meant where none is named.
+TRADE_KLINE = "trade_kline"
+
+
 @dataclass(frozen=True)
 class Instrument:
     exchange: str
@@ -42,6 +46,7 @@ class BarQuery:
     timeframe: Timeframe
     start_ms: int
     end_ms: int
+    source_kind: str = TRADE_KLINE
 
     def __post_init__(self) -> None:
         if self.start_ms >= self.end_ms:

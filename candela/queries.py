@@ -414,7 +414,7 @@ def store_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_STORED + " SELECT symbol, time, open, high, low, close, volume, time_close, trades_count FROM now")
 def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir).read_all().drop("exchange", "market", "timeframe")
+    return _stored(spark, sf_dir).read_all().drop("exchange", "market", "timeframe", "source_kind")
 
 
 @query(_STORED + f" SELECT symbol, time, close FROM now WHERE symbol = 'CLICK' AND time >= {CUTOFF - 48 * HOUR} AND time < {CUTOFF + 24 * HOUR}")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +16,12 @@ from candela.errors import BarConflict, CacheConflict, ValidationError
 from candela.operators.merge import audit_counts, batch_conflicts, classify_bulk, keep_first, manifest, prefer_later, repaired
 from candela.operators.quality import bar_violations, guard
 from candela.operators.revisions import seal, verified
-from candela.plans.query import BarQuery, FootprintQuery
-
-PARTITIONS = ("exchange", "market", "symbol", "timeframe")
+from candela.plans.query import TRADE_KLINE, BarQuery, FootprintQuery
 
+#: A series of a store. Bars without a ``source_kind`` are trade candles.
+PARTITIONS = ("exchange", "market", "symbol", "timeframe", "source_kind")
+#: Series of a batch up to which only their own folders are opened to compare it with what is stored; beyond, all folders are listed.
+MOST_FOLDERS = 1_000
 
 #: Names of the store's own columns beside a series' identity in its manifest.
 FACTS = ("parts", "rows_count", "start_time", "end_time", "last_close", "downloaded_at", "checksum")
@@ -30,6 +34,9 @@ class BarStore:
     A series' row says in which commits its bars lie, and what they come to. An append adds a commit to the row, a rewrite
     replaces its commits by one; the files of other series aren't touched, and nothing is overwritten that a plan may read.
     A commit becomes the current one by a marker file, so readers see the old or the new state. One writer per store at a time.
+
+    Beside each manifest stands the state that came with it: the columns of the store, which a later batch may add to, and
+    for each ``token`` name the number that its last commit carried, by which a batch that comes again is recognised.
     """
 
     spark: SparkSession
@@ -62,38 +69,70 @@ class BarStore:
         live = self.manifest().select(*PARTITIONS, F.explode("parts").alias("commit"))
         return rows.join(live, ["commit", *PARTITIONS], "left_semi").drop("commit")
 
-    def _schema(self) -> StructType:
-        """The columns of the store, as its first commit wrote them."""
+    def _state(self) -> dict:
+        """What came with the current commit: ``schema`` and ``tokens``."""
+        known = self.versions()
+        if not known:
+            return {"schema": None, "tokens": {}}
         fs, at = self._fs()
-        stream = fs.open(at(f"{self.path}/schema.json"))
+        stream = fs.open(at(f"{self.path}/state/{known[-1]}.json"))
         try:
-            return StructType.fromJson(json.loads(bytes(stream.readAllBytes()).decode()))
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
+    def _schema(self) -> StructType:
+        """All columns that a commit has brought so far; earlier files read as null where they lack one."""
+        return StructType.fromJson(self._state()["schema"])
+
+    def token(self, name: str) -> int | None:
+        """The number that the last commit of this name carried."""
+        return self._state()["tokens"].get(name)
+
+    @contextmanager
+    def held(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """The rows, written aside once: guards and commit then see the same rows, and their source is asked once."""
+        fs, at = self._fs()
+        path = f"{self.path}/incoming/{uuid.uuid4().hex}"
+        if "source_kind" in rows.columns:
+            rows = rows.withColumn("source_kind", F.coalesce("source_kind", F.lit(TRADE_KLINE)))
+        else:
+            rows = rows.withColumn("source_kind", F.lit(TRADE_KLINE))
+        known = {f.name: f.dataType for f in self._schema()} if self.versions() else {}
+        for f in rows.schema:
+            if known.get(f.name, f.dataType) != f.dataType:
+                raise ValidationError(f"{f.name} is {f.dataType.simpleString()}, the store has {known[f.name].simpleString()}")
+        rows.write.parquet(path)
+        try:
+            yield self.spark.read.schema(rows.schema).parquet(path)
+        finally:
+            fs.delete(at(path), True)
+
+    def _folders(self, rows: Sequence) -> DataFrame | None:
+        """The bars of these rows of the manifest, from their own folders; no other folder is listed."""
+        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        paths = [f"{self.path}/data/commit={p}/" + "/".join(f"{k}={escape(r[k])}" for k in PARTITIONS) for r in rows for p in r["parts"]]
+        return self.spark.read.schema(self._schema()).option("basePath", f"{self.path}/data").parquet(*paths).drop("commit") if paths else None
+
     def _series(self, series: dict[str, str]) -> DataFrame | None:
-        """The bars of one series, read from its own folders alone."""
+        """The bars of one series, read from its own folders alone; of several, where not every key is given."""
+        if set(series) | {"source_kind"} == set(PARTITIONS):
+            series = {"source_kind": TRADE_KLINE} | series
         rows = self.manifest()
         for name, value in series.items():
             rows = rows.where(F.col(name) == value)
-        found = rows.collect() if set(series) == set(PARTITIONS) else None  # one row at most
-        if found is None:
-            every = self.read_all()
-            for name, value in series.items():
-                every = every if every is None else every.where(F.col(name) == value)
-            return every
-        if not found:
-            return None
-        rows = self.spark.read.schema(self._schema()).parquet(f"{self.path}/data").where(F.col("commit").isin(found[0]["parts"]))
+        if set(series) == set(PARTITIONS):
+            return self._folders(rows.collect())  # one row at most
+        every = self.read_all()
         for name, value in series.items():
-            rows = rows.where(F.col(name) == value)
-        return rows.drop("commit")
+            every = every if every is None else every.where(F.col(name) == value)
+        return every
 
     def read(self, query: BarQuery) -> DataFrame:
         if not self.versions():
             raise ValidationError("the store is empty")
         i = query.instrument
-        rows = self._series({"exchange": i.exchange, "market": i.market, "symbol": i.symbol, "timeframe": query.timeframe.canonical})
+        rows = self._series({"exchange": i.exchange, "market": i.market, "symbol": i.symbol, "timeframe": query.timeframe.canonical, "source_kind": query.source_kind})
         return (self.read_all().where("false") if rows is None else rows).where(query.predicate())
 
     def get(self, series: dict[str, str], time: int) -> DataFrame | None:
@@ -107,26 +146,28 @@ class BarStore:
         placed.write.mode("append").partitionBy("commit", *PARTITIONS).parquet(f"{self.path}/data")
 
     def _facts(self, rows: DataFrame, commit: int) -> DataFrame:
-        """Manifest rows of what a commit wrote. The checksum is a sum over rows, so that appends add to it."""
+        """Manifest rows of what a commit wrote. The checksum is a sum over rows, so that appends add to it; columns that a row
+        lacks, as all rows do before a later commit brings them, don't change it."""
         own = sorted(c for c in rows.columns if c not in PARTITIONS)
         made = manifest(rows if "downloaded_at" in rows.columns else rows.withColumn("downloaded_at", F.lit(0).cast("long")), keys=PARTITIONS)
-        sums = rows.groupBy(*PARTITIONS).agg(F.sum(F.xxhash64(*own).cast("decimal(38,0)")).cast("decimal(38,0)").alias("checksum"))
+        row = F.xxhash64("time", *[F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(c), c)) for c in own])
+        sums = rows.groupBy(*PARTITIONS).agg(F.sum(row.cast("decimal(38,0)")).cast("decimal(38,0)").alias("checksum"))
         return made.join(sums, list(PARTITIONS)).withColumn("parts", F.array(F.lit(commit).cast("long"))).select(*PARTITIONS, *FACTS)
 
-    def _commit(self, rows: DataFrame, *, append: bool, alone: bool = False) -> int:
+    def _commit(self, rows: DataFrame, *, append: bool, alone: bool = False, token: tuple[str, int] | None = None) -> int:
         """Write bars as a new commit: added to what their series hold, or in its place; ``alone``: other series are dropped."""
         commit = (self.versions() or [0])[-1] + 1
         fs, at = self._fs()
         for left in (f"data/commit={commit}", f"manifest/{commit}"):  # of a job that failed before its marker was written
             fs.delete(at(f"{self.path}/{left}"), True)
-        if not self.versions():
-            names = [c for c in rows.columns if c not in PARTITIONS]
-            schema = StructType([*rows.select(*names).schema.fields, *[StructField(k, StringType()) for k in PARTITIONS], StructField("commit", LongType())])
-            stream = fs.create(at(f"{self.path}/schema.json"), True)
-            stream.write(bytearray(schema.json().encode()))
-            stream.close()
+        state = self._state()
+        fields = {f["name"]: f for f in (state["schema"] or {"fields": []})["fields"]}
+        fresh = rows.select(*[c for c in rows.columns if c not in PARTITIONS]).schema
+        keys = [StructField(k, StringType()) for k in PARTITIONS] + [StructField("commit", LongType())]
+        old = [StructField.fromJson(f) for n, f in fields.items() if n not in (*PARTITIONS, "commit")]
+        schema = StructType([*old, *[f for f in fresh.fields if f.name not in fields], *keys])
         self._write(rows, commit)
-        written = self.spark.read.schema(self._schema()).parquet(f"{self.path}/data").where(F.col("commit") == commit).drop("commit")
+        written = self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(f"{self.path}/data/commit={commit}").drop("commit")
         fresh, before = self._facts(written, commit), self.manifest()
         if append:
             facts = {
@@ -137,87 +178,113 @@ class BarStore:
         else:
             now = fresh if alone else before.join(fresh, list(PARTITIONS), "left_anti").unionByName(fresh)
         now.write.mode("overwrite").parquet(f"{self.path}/manifest/{commit}")
+        tokens = state["tokens"] | ({token[0]: token[1]} if token else {})
+        stream = fs.create(at(f"{self.path}/state/{commit}.json"), True)
+        stream.write(bytearray(json.dumps({"schema": schema.jsonValue(), "tokens": tokens}).encode()))
+        stream.close()
         fs.create(at(f"{self.path}/current/{commit}"), False).close()
         return commit
 
     def replace(self, bars: DataFrame) -> int:
         """A new state with these bars alone; they must be valid."""
-        guard(bars, bar_violations(bars, keys=PARTITIONS), "invalid bars")
-        return self._commit(bars, append=False, alone=True)
+        with self.held(bars) as bars:
+            guard(bars, bar_violations(bars, keys=PARTITIONS), "invalid bars")
+            return self._commit(bars, append=False, alone=True)
 
     def _touched(self, batch: DataFrame) -> DataFrame | None:
         """The stored bars of the series that a batch has bars of, all of them."""
-        stored = self.read_all()
-        return stored if stored is None else stored.join(batch.select(*PARTITIONS).distinct(), list(PARTITIONS), "left_semi")
-
-    def write_closed(self, batch: DataFrame) -> dict[str, int]:
+        if not self.versions():
+            return None
+        own = self.manifest().join(batch.select(*PARTITIONS).distinct(), list(PARTITIONS), "left_semi").limit(MOST_FOLDERS + 1).collect()
+        if len(own) <= MOST_FOLDERS:
+            found = self._folders(own)
+            return self.read_all().where("false") if found is None else found
+        return self.read_all().join(batch.select(*PARTITIONS).distinct(), list(PARTITIONS), "left_semi")
+
+    def _alike(self, stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Both with all columns that either has, null where it lacks one."""
+        lacking = lambda rows, other: {f.name: F.lit(None).cast(f.dataType) for f in other.schema if f.name not in rows.columns}
+        stored, batch = stored.withColumns(lacking(stored, batch)), batch.withColumns(lacking(batch, stored))
+        return stored, batch.select(*stored.columns)
+
+    def write_closed(self, batch: DataFrame, *, token: tuple[str, int] | None = None) -> dict[str, int]:
         """Add closed bars. A bar that the store holds as the same candle is skipped; a different candle of a known time, stored or
         in the batch, is a conflict, and an open or broken bar an error: nothing is written then.
 
-        Candles are compared in all fields of their identity. Only stored bars of the batch's series and times are looked at.
+        Candles are compared in all fields of their identity that the batch has. Only stored bars of the batch's series and times
+        are looked at. With a ``token``, a name and a number, the commit carries it, and a batch whose number isn't above
+        the last one of its name is passed over: it was written before.
         """
+        if token is not None and (self.token(token[0]) if self.versions() else None) is not None and token[1] <= self.token(token[0]):
+            return {"new": 0, "duplicate": 0}
         keys = [*PARTITIONS, "time"]
-        if "is_closed" in batch.columns:
-            guard(batch, batch.where(~F.coalesce("is_closed", F.lit(False))).select(*keys), "a closed batch holds an open bar")
-        clashing = batch_conflicts(batch, keys=keys).count()
-        if clashing:
-            raise CacheConflict(f"{clashing} bars of the batch are given with different candles")
-        batch = keep_first(batch.withColumn("__seq", F.monotonically_increasing_id()), keys, "__seq").drop("__seq")
-        stored, fresh, counts = self._touched(batch), batch, {"new": None, "duplicate": 0}
-        if stored is not None:
-            span = batch.agg(F.min("time").alias("a"), F.max("time").alias("b")).first()
-            marked = classify_bulk(batch.select(*stored.columns), stored.where(F.col("time").between(span["a"] or 0, span["b"] or 0)), keys=keys)
-            found = {r["outcome"]: r["count"] for r in marked.groupBy("outcome").count().collect()}
-            if found.get("conflict"):
-                raise CacheConflict(f"{found['conflict']} bars differ from stored ones")
-            fresh, counts = marked.where("outcome = 'new'").drop("outcome"), {"new": found.get("new", 0), "duplicate": found.get("duplicate", 0)}
-        if counts["new"] != 0:
-            guard(fresh, bar_violations(fresh, keys=PARTITIONS), "invalid bars")
-            counts["new"] = fresh.count() if counts["new"] is None else counts["new"]
-            self._commit(fresh, append=True)
-        return counts
+        with self.held(batch) as batch:
+            if "is_closed" in batch.columns:
+                guard(batch, batch.where(~F.coalesce("is_closed", F.lit(False))).select(*keys), "a closed batch holds an open bar")
+            clashing = batch_conflicts(batch, keys=keys).count()
+            if clashing:
+                raise CacheConflict(f"{clashing} bars of the batch are given with different candles")
+            batch = keep_first(batch.withColumn("__seq", F.monotonically_increasing_id()), keys, "__seq").drop("__seq")
+            stored, fresh, counts = self._touched(batch), batch, {"new": None, "duplicate": 0}
+            if stored is not None:
+                span = batch.agg(F.min("time").alias("a"), F.max("time").alias("b")).first()
+                marked = classify_bulk(batch, stored.where(F.col("time").between(span["a"] or 0, span["b"] or 0)), keys=keys)
+                found = {r["outcome"]: r["count"] for r in marked.groupBy("outcome").count().collect()}
+                if found.get("conflict"):
+                    raise CacheConflict(f"{found['conflict']} bars differ from stored ones")
+                fresh, counts = marked.where("outcome = 'new'").drop("outcome"), {"new": found.get("new", 0), "duplicate": found.get("duplicate", 0)}
+            if counts["new"] != 0:
+                guard(fresh, bar_violations(fresh, keys=PARTITIONS), "invalid bars")
+                counts["new"] = fresh.count() if counts["new"] is None else counts["new"]
+            if counts["new"]:
+                self._commit(fresh, append=True, token=token)
+            return counts
 
     def append_newer(self, batch: DataFrame) -> int:
         """Append valid bars that are all later than what their series holds, by the manifest alone; the number appended.
 
         A bar at the last stored time is skipped if it is the same candle, else a conflict.
         """
-        guard(batch, bar_violations(batch, keys=PARTITIONS), "invalid bars")
-        last = self.manifest().select(*PARTITIONS, "end_time")
-        placed = batch.join(last, list(PARTITIONS), "left")
-        late = placed.where("time < end_time").limit(1).collect()
-        if late:
-            raise BarConflict(f"a bar isn't newer than its series: {late[0]['time']}")
-        again = placed.where("time = end_time").drop("end_time")
-        if not again.isEmpty():
-            differ = classify_bulk(again, self._touched(again), keys=[*PARTITIONS, "time"]).where("outcome = 'conflict'").limit(1).collect()
-            if differ:
-                raise BarConflict(f"the last bar differs from the stored one: {differ[0]['time']}")
-        fresh = placed.where("end_time IS NULL OR time > end_time").drop("end_time")
-        count = fresh.count()
-        if count:
-            self._commit(fresh, append=True)
-        return count
-
-    def merge(self, bars: DataFrame) -> int:
+        with self.held(batch) as batch:
+            guard(batch, bar_violations(batch, keys=PARTITIONS), "invalid bars")
+            last = self.manifest().select(*PARTITIONS, "end_time")
+            placed = batch.join(last, list(PARTITIONS), "left")
+            late = placed.where("time < end_time").limit(1).collect()
+            if late:
+                raise BarConflict(f"a bar isn't newer than its series: {late[0]['time']}")
+            again = placed.where("time = end_time").drop("end_time")
+            if not again.isEmpty():
+                differ = classify_bulk(again, self._touched(again), keys=[*PARTITIONS, "time"]).where("outcome = 'conflict'").limit(1).collect()
+                if differ:
+                    raise BarConflict(f"the last bar differs from the stored one: {differ[0]['time']}")
+            fresh = placed.where("end_time IS NULL OR time > end_time").drop("end_time")
+            count = fresh.count()
+            if count:
+                self._commit(fresh, append=True)
+            return count
+
+    def merge(self, bars: DataFrame, *, token: tuple[str, int] | None = None) -> int:
         """A new state in which these bars take precedence (derived or fetched over stored); only their series are rewritten."""
-        stored = self._touched(bars)
-        merged = bars if stored is None else prefer_later([stored, bars.select(*stored.columns)], [*PARTITIONS, "time"])
-        guard(merged, bar_violations(merged, keys=PARTITIONS), "invalid bars")
-        return self._commit(merged, append=False)
+        with self.held(bars) as bars:
+            stored = self._touched(bars)
+            merged = bars if stored is None else prefer_later(self._alike(stored, bars), [*PARTITIONS, "time"])
+            guard(merged, bar_violations(merged, keys=PARTITIONS), "invalid bars")
+            return self._commit(merged, append=False, token=token)
 
     def repair(self, source: DataFrame, *, strict: bool = False) -> int:
         """A new state with the source's bars, by ``repaired``; only the source's series are rewritten. What it changed is a row
         per series in the log of repairs."""
-        stored, keys = self._touched(source), [*PARTITIONS, "time"]
-        if stored is None:
+        if not self.versions():
             return self.replace(source)
-        counts = audit_counts(source, stored, keys=keys, strict=strict, by=PARTITIONS)
-        made = repaired(source.select(*stored.columns), stored, keys=keys, strict=strict)
-        guard(made, bar_violations(made, keys=PARTITIONS), "invalid bars")
-        commit = self._commit(made, append=False)
-        counts.withColumn("version", F.lit(commit).cast("long")).write.mode("append").parquet(f"{self.path}/repairs")
-        return commit
+        with self.held(source) as source:
+            stored, keys = self._touched(source), [*PARTITIONS, "time"]
+            counts = audit_counts(source, stored, keys=keys, strict=strict, by=PARTITIONS)
+            stored, source = self._alike(stored, source)
+            made = repaired(source, stored, keys=keys, strict=strict)
+            guard(made, bar_violations(made, keys=PARTITIONS), "invalid bars")
+            commit = self._commit(made, append=False)
+            counts.withColumn("version", F.lit(commit).cast("long")).write.mode("append").parquet(f"{self.path}/repairs")
+            return commit
 
     def repairs(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/repairs")
@@ -248,9 +315,11 @@ class BarStore:
         for version in old:
             fs.delete(at(f"{self.path}/current/{version}"), False)
             fs.delete(at(f"{self.path}/manifest/{version}"), True)
+            fs.delete(at(f"{self.path}/state/{version}.json"), False)
         live = {x for v in kept for r in self.manifest(v).select(F.explode("parts").alias("p")).distinct().collect() for x in (r["p"],)}
-        for commit in range(1, kept[-1] + 1 if kept else 0):
-            if commit not in live:
+        folders = fs.listStatus(at(f"{self.path}/data")) if kept else []
+        for commit in [int(x.getPath().getName().removeprefix("commit=")) for x in folders if x.getPath().getName().startswith("commit=")]:
+            if commit not in live and commit <= kept[-1]:
                 fs.delete(at(f"{self.path}/data/commit={commit}"), True)
         return old
 
