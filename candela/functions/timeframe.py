@@ -110,6 +110,14 @@ def milliseconds_column(name: Column) -> Column:
     return F.when(known != "1M", F.regexp_extract(known, "^([0-9]+)", 1).cast("long") * each)
 
 
+def close_time_column(ms: Column, name: Column) -> Column:
+    """``close_time`` where each row has a timeframe of its own; null where its name isn't one."""
+    known = canonical_column(name)
+    calendar = [(x, close_time(ms, x)) for x in ("1D", "1W", "1M")]
+    found = F.when(known == calendar[0][0], calendar[0][1]).when(known == calendar[1][0], calendar[1][1]).when(known == calendar[2][0], calendar[2][1])
+    return found.otherwise(ms + milliseconds_column(name) - 1)
+
+
 def epoch_ms(value: Column) -> Column:
     """Seconds up to 1e12, milliseconds above."""
     return F.when(F.abs(value) <= 1_000_000_000_000, value * 1000).otherwise(value)

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from candela.errors import ValidationError
 from candela.functions import hashing, identity, timeframe
 from candela.operators import coverage, footprint, merge, quality, resample, revisions, symbols
+from candela.plans import derived
 from candela.plans.query import BarQuery, Instrument, in_range
-from candela.sources import decode, tables
+from candela.sources import decode, recorded, tables
 from candela.store import BarStore, SnapshotStore
-from candela.streaming import klines
+from candela.streaming import klines, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -913,3 +914,84 @@ def stream_queue_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candles that a queue of 100 loses: those placed first."""
     queue = klines.coalesce_updates(_updates(spark, sf_dir).withColumn("seq", F.col("event_time")))
     return klines.dropped(queue, 100).select("symbol", "open_time", "place")
+
+
+# --- recordings, streams that commit, derivation -----------------------------------------------------------------------
+
+
+def _recording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars as pages of a day, in the layout of an exchange."""
+    day = F.floor(F.col("time") / 86_400_000) * 86_400_000
+    row = F.array(F.col("time").cast("string"), *map(_text, ("open", "high", "low", "close", "volume")))
+    pages = tables.bars_1h(spark, sf_dir).groupBy("symbol", day.alias("start")).agg(F.to_json(F.struct(F.collect_list(row).alias("data"))).alias("payload"))
+    return pages.select(F.lit("okx").alias("exchange"), F.lit("spot").alias("market"), "symbol", F.lit("1h").alias("timeframe"), "start", (F.col("start") + 86_400_000).alias("end"), "payload")
+
+
+@query(f"WITH {BARS} SELECT symbol, time, open, high, low, close, volume, time_close, true AS is_closed FROM bars WHERE symbol = 'CLICK' AND time >= {CUTOFF - 30 * HOUR} AND time < {CUTOFF + 30 * HOUR}")
+def recorded_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of one series from a recording of all: only its pages' folders are entered."""
+    path = f"{_scratch(spark)}/recording"
+    recorded.record(_recording(spark, sf_dir), path)
+    asked = BarQuery(Instrument("okx", "spot", "CLICK"), timeframe.Timeframe.parse("1h"), CUTOFF - 30 * HOUR, CUTOFF + 30 * HOUR)
+    return recorded.recorded(spark, path)(asked).select("symbol", "time", "open", "high", "low", "close", "volume", "time_close", "is_closed")
+
+
+@query(f"WITH {BARS} SELECT symbol, time, open, high, low, close, volume FROM bars")
+def recorded_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recording in five batches as a stream, which stops after each and goes on from its checkpoint."""
+    root = _scratch(spark)
+    recorded.register(spark)
+    pages = _recording(spark, sf_dir)
+    for k in range(5):
+        recorded.record(pages.where(F.pmod(F.col("start") / 86_400_000, F.lit(5)) == k), f"{root}/recording")
+        stream = recorded.bars_of_pages(spark.readStream.format("klines").load(f"{root}/recording"), "okx", "1h")
+        found = klines.drained(stream, root)
+    return found.select("symbol", "time", "open", "high", "low", "close", "volume")
+
+
+def _arriving(spark: SparkSession, updates: DataFrame) -> tuple[DataFrame, str]:
+    """Updates as a file stream of six files, by time of the event, one file to a micro-batch."""
+    root = _scratch(spark)
+    rows = updates.withColumn("seq", F.col("event_time")).persist()
+    span = rows.agg(F.min("event_time").alias("a"), F.max("event_time").alias("b")).first()
+    step = (span["b"] - span["a"]) // 6 + 1
+    for k in range(6):
+        part = rows.where((F.col("event_time") >= span["a"] + k * step) & (F.col("event_time") < span["a"] + (k + 1) * step))
+        part.repartition(1).write.parquet(f"{root}/in/slice={k}")
+    rows.unpersist()
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/slice=*"), root
+
+
+@query(f"WITH {BARS} SELECT symbol, time, open, high, low, close, volume, time_close FROM bars")
+def live_store_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live updates over six micro-batches into a store: the first close of each candle, once."""
+    stream, root = _arriving(spark, _updates(spark, sf_dir))
+    store = BarStore(spark, f"{root}/store")
+    live.into_store(stream, live.StoreSink(store, "live"), f"{root}/state")
+    return store.read_all().select("symbol", "time", "open", "high", "low", "close", "volume", "time_close")
+
+
+@query(f"""WITH {UPDATES}, arrived AS (SELECT * FROM updates WHERE event_time < (SELECT max(open_time) FROM updates) + 1800000)
+       SELECT symbol, open_time, max(event_time) AS event_time, arg_max(close, event_time) AS close FROM arrived GROUP BY symbol, open_time HAVING NOT bool_or(is_closed)""")
+def live_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candles that are still open when the stream stops amid an hour, from the state of its last micro-batch."""
+    updates = _updates(spark, sf_dir)
+    last = updates.agg(F.max("open_time").alias("t")).first()["t"]
+    stream, root = _arriving(spark, updates.where(F.col("event_time") < last + HOUR // 2))
+    live.into_store(stream, live.StoreSink(BarStore(spark, f"{root}/store"), "live"), f"{root}/state")
+    return live.current(spark, f"{root}/state").select("symbol", "open_time", "event_time", "close")
+
+
+@query(_resampled_sql(24 * HOUR))
+def derived_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of a store of hourly ones, derived, and brought up to date after two appends by the days that those touch."""
+    names = {"exchange": F.lit("binance"), "market": F.lit("spot"), "timeframe": F.lit("1h")}
+    bars = tables.bars_1h(spark, sf_dir).withColumns(names)
+    root = _scratch(spark)
+    base, days = BarStore(spark, f"{root}/hours"), BarStore(spark, f"{root}/days")
+    bounds = [None, CUTOFF, CUTOFF + 5 * HOUR, None]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        part = bars if a is None else bars.where(F.col("time") >= a)
+        base.append_newer(part if b is None else part.where(F.col("time") < b))
+        derived.derive(base, days, "1D", source="1h")
+    return days.read_all().select("symbol", "time", "open", "high", "low", "close", "volume", "time_close")

@@ -131,10 +131,10 @@ class KlineSource(D.DataSource):
         return KIND
 
     def reader(self, schema) -> KlineReader:
-        return KlineReader(dict(self.options))
+        return KlineReader(self.options)
 
     def streamReader(self, schema) -> KlineStreamReader:
-        return KlineStreamReader(dict(self.options))
+        return KlineStreamReader(self.options)
 
 
 def register(spark: SparkSession) -> None:

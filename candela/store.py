@@ -114,6 +114,14 @@ class BarStore:
         paths = [f"{self.path}/data/commit={p}/" + "/".join(f"{k}={escape(r[k])}" for k in PARTITIONS) for r in rows for p in r["parts"]]
         return self.spark.read.schema(self._schema()).option("basePath", f"{self.path}/data").parquet(*paths).drop("commit") if paths else None
 
+    def bars_of(self, series: DataFrame) -> DataFrame | None:
+        """The bars of some series in some commits, as rows like the manifest's say; from their own folders, if they are few."""
+        own = series.select(*PARTITIONS, "parts").limit(MOST_FOLDERS + 1).collect()
+        if len(own) <= MOST_FOLDERS:
+            return self._folders(own)
+        rows = self.spark.read.schema(self._schema()).parquet(f"{self.path}/data")
+        return rows.join(series.select(*PARTITIONS, F.explode("parts").alias("commit")), ["commit", *PARTITIONS], "left_semi").drop("commit")
+
     def _series(self, series: dict[str, str]) -> DataFrame | None:
         """The bars of one series, read from its own folders alone; of several, where not every key is given."""
         if set(series) | {"source_kind"} == set(PARTITIONS):
@@ -182,9 +190,14 @@ class BarStore:
         stream = fs.create(at(f"{self.path}/state/{commit}.json"), True)
         stream.write(bytearray(json.dumps({"schema": schema.jsonValue(), "tokens": tokens}).encode()))
         stream.close()
-        fs.create(at(f"{self.path}/current/{commit}"), False).close()
+        self._mark(commit)
         return commit
 
+    def _mark(self, commit: int) -> None:
+        """Make a commit the current one: of two that try, one fails."""
+        fs, at = self._fs()
+        fs.create(at(f"{self.path}/current/{commit}"), False).close()
+
     def replace(self, bars: DataFrame) -> int:
         """A new state with these bars alone; they must be valid."""
         with self.held(bars) as bars:
