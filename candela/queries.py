@@ -722,7 +722,7 @@ def kline_json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [F.col("time").cast("string"), *map(_text, ("open", "high", "low", "close", "volume")), F.col("time_close").cast("string"), F.lit("0"), F.col("trades_count").cast("string"), F.lit("0"), F.lit("0"), F.lit("0")]
     rows = tables.bars_1h(spark, sf_dir).select("symbol", F.floor(F.col("time") / 86_400_000).alias("day"), F.array(*fields).alias("row"))
     payloads = rows.groupBy("symbol", "day").agg(F.to_json(F.collect_list("row")).alias("payload"))
-    return decode.decode_binance(payloads).drop("day", "quote_volume", "taker_buy_base_volume", "taker_buy_quote_volume")
+    return decode.decode_binance(payloads).select("symbol", "time", "open", "high", "low", "close", "volume", "time_close", "trades_count")
 
 
 @query(f"WITH {BARS} SELECT symbol, time, open, high, low, close, volume, time_close FROM bars")

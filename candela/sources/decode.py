@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.functions.timeframe import canonical_column, close_time
+from candela.functions.timeframe import canonical_column, close_time, close_time_column
 
 
 @dataclass(frozen=True)
@@ -97,14 +97,35 @@ def decode_klines(payloads: DataFrame, exchange: str, timeframe: str, *, column:
     return out.withColumn("time_close", close_time(F.col("time"), timeframe)).drop(column)
 
 
-def decode_binance(payloads: DataFrame, *, column: str = "payload") -> DataFrame:
-    """The twelve-field rows with their extra volumes; the close time is the payload's own."""
-    rows = payloads.select("*", F.explode(F.from_json(column, "array<array<string>>")).alias("r"))
-    return rows.select(
-        *[c for c in payloads.columns if c != column], F.col("r")[0].cast("long").alias("time"), *[F.col("r")[k + 1].cast("double").alias(n) for k, n in enumerate(_FIELDS[1:])],
-        F.col("r")[6].cast("long").alias("time_close"), F.col("r")[7].cast("double").alias("quote_volume"), F.col("r")[8].cast("long").alias("trades_count"),
-        F.col("r")[9].cast("double").alias("taker_buy_base_volume"), F.col("r")[10].cast("double").alias("taker_buy_quote_volume"),
+def _listed(column: str, kind: str, exchange: str, what: str) -> Column:
+    """The payload as an array; one that is none, as an error message is, stops the job."""
+    text = F.when(F.substring(F.ltrim(F.col(column)), 1, 1) == "[", F.col(column))
+    return F.coalesce(F.from_json(text, f"array<{kind}>"), _stop(exchange, f"{what} payload has no rows").cast(f"array<{kind}>"))
+
+
+def _number(text: Column, kind: str, stop: Column, *, optional: bool = False) -> Column:
+    """A number of a payload; if ``optional``, null where it is left out or empty. Anything else stops the job."""
+    found = F.coalesce(text.try_cast(kind), stop.cast(kind))
+    return F.when(text.isNotNull() & (F.trim(text) != ""), found) if optional else found
+
+
+def decode_binance(payloads: DataFrame, *, column: str = "payload", timeframe: str | None = None) -> DataFrame:
+    """Rows of six to twelve fields, with their extra volumes where they have them.
+
+    The close time is the payload's own if it lies after the open, else that of the ``timeframe``. A payload that is no array,
+    a row that is too short or holds no number where one belongs, and a close time that can't be told stop the job.
+    """
+    stop = _stop("binance", "kline row is invalid")
+    rows = payloads.select("*", F.explode(_listed(column, "array<string>", "binance", "kline")).alias("r"))
+    field = lambda k: F.get("r", F.lit(k))
+    rows = rows.select(
+        *[c for c in payloads.columns if c != column], _number(field(0), "long", stop).alias("time"), *[_number(field(k + 1), "double", stop).alias(n) for k, n in enumerate(_FIELDS[1:])],
+        _number(field(6), "long", stop, optional=True).alias("time_close"), _number(field(7), "double", stop, optional=True).alias("quote_volume"),
+        _number(field(8), "long", stop, optional=True).alias("trades_count"), _number(field(9), "double", stop, optional=True).alias("taker_buy_base_volume"),
+        _number(field(10), "double", stop, optional=True).alias("taker_buy_quote_volume"), *[field(k + 1).alias(f"{n}_text") for k, n in enumerate(_FIELDS[1:])],
     )
+    computed = close_time(F.col("time"), timeframe) if timeframe else _stop("binance", "kline row has no close time").cast("long")
+    return rows.withColumn("time_close", F.when(F.col("time_close") > F.col("time"), F.col("time_close")).otherwise(computed))
 
 
 def decode_columnar(payloads: DataFrame, *, column: str = "payload", path: str = "$.data") -> DataFrame:
@@ -124,35 +145,68 @@ def decode_columnar(payloads: DataFrame, *, column: str = "payload", path: str =
 
 
 def decode_trades(payloads: DataFrame, *, column: str = "payload") -> DataFrame:
-    """Aggregate trades ``{a, p, q, T, m}``."""
-    rows = payloads.select("*", F.explode(F.from_json(column, "array<struct<a:bigint,p:string,q:string,T:bigint,m:boolean>>")).alias("t"))
-    return rows.select(
-        *[c for c in payloads.columns if c != column], F.col("t.a").alias("trade_id"), F.col("t.T").alias("time"), F.col("t.p").cast("double").alias("price"),
-        F.col("t.q").cast("double").alias("quantity"), F.col("t.m").alias("buyer_maker"),
+    """Aggregate trades ``{a, p, q, T, m}``, those of a payload by time and id. A payload that is no array and a trade without
+    one of the five, or with something else than a number, stop the job."""
+    stop = _stop("binance", "aggTrade row is invalid")
+    found = F.transform(
+        _listed(column, "struct<a:string,p:string,q:string,T:string,m:string>", "binance", "aggTrades"),
+        lambda t: F.struct(
+            _number(t.getField("T"), "long", stop).alias("time"), _number(t.getField("a"), "long", stop).alias("trade_id"), _number(t.getField("p"), "double", stop).alias("price"),
+            _number(t.getField("q"), "double", stop).alias("quantity"), _number(t.getField("m"), "boolean", stop).alias("buyer_maker"),
+        ),
     )
+    rows = payloads.select(*[c for c in payloads.columns if c != column], F.inline(F.array_sort(found)))
+    return rows.select(*[c for c in payloads.columns if c != column], "trade_id", "time", "price", "quantity", "buyer_maker")
+
+
+def unique_trades(trades: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Each trade once, by its id within ``keys``: pages that overlap give a trade again. Of different rows of one id the first
+    by time counts."""
+    rest = [c for c in trades.columns if c not in (*keys, "trade_id", "time")]
+    first = trades.groupBy(*keys, "trade_id").agg(F.min(F.struct("time", *rest)).alias("t"))
+    return first.select(*keys, "trade_id", "t.*").select(*trades.columns)
+
+
+#: What updates may carry beside their prices: quote and taker volumes and the number of trades, or the turnover.
+_EXTRAS = {"quote_volume": "double", "trades_count": "long", "taker_buy_base_volume": "double", "taker_buy_quote_volume": "double", "turnover": "double"}
 
 
 def decode_updates(events: DataFrame, *, column: str = "value", market: str = "spot") -> DataFrame:
-    """Live kline events of either shape (``k`` object, or ``topic`` with ``data``), batch or stream, as one row per update."""
-    names = {"t": "opened:bigint", "T": "closed:bigint", **{k: f"{k}:string" for k in ("s", "i", "o", "h", "l", "c", "v")}, "x": "x:boolean"}
-    single = [F.get_json_object(column, f"$.k.{key}").cast(name.split(":")[1]).alias(name.split(":")[0]) for key, name in names.items()]  # names differ in case alone
-    binance = F.struct(*single)
-    topic = F.split(F.get_json_object(column, "$.topic"), r"\.")
-    item = "start:bigint,end:bigint,open:string,high:string,low:string,close:string,volume:string,confirm:boolean"
-    bybit = F.from_json(F.get_json_object(column, "$.data"), f"array<struct<{item}>>")
-
-    def update(exchange: str, symbol: Column, timeframe: Column, values: list[Column]) -> Column:
-        names = ("open_time", "close_time", "open", "high", "low", "close", "volume")
-        kinds = ("long", "long", *["double"] * 5)
-        fields = [v.cast(k).alias(n) for n, v, k in zip(names, values[:7], kinds, strict=True)]
-        return F.struct(F.lit(exchange).alias("exchange"), F.upper(symbol).alias("symbol"), timeframe.alias("timeframe"), *fields, values[7].alias("is_closed"))
-
-    one = F.array(update("binance", binance.s, binance.i, [binance.opened, binance.closed, binance.o, binance.h, binance.l, binance.c, binance.v, binance.x]))
-    minutes = canonical_column(F.when(topic[1].rlike("^[0-9]+$") & (topic[1].try_cast("int") % 60 == 0), F.concat((topic[1].try_cast("int") / 60).cast("int").cast("string"), F.lit("h"))).otherwise(topic[1]))
-    many = F.transform(bybit, lambda x: update("bybit", topic[2], minutes, [x.start, x.end, x.open, x.high, x.low, x.close, x.volume, x.confirm]))
-    event_time = F.coalesce(F.get_json_object(column, "$.E"), F.get_json_object(column, "$.ts")).cast("long")
-    rows = events.select(event_time.alias("event_time"), F.lit(market).alias("market"), F.inline(F.when(binance.opened.isNotNull(), one).otherwise(many)))
-    return rows
+    """Live kline events of either shape (``k`` object, or ``topic`` with ``data``), batch or stream, as one row per update.
+
+    Prices come as numbers and as the source's exact texts, with the volumes, counts and turnover that the event has, and an id
+    of the event. An event of neither shape, or without a number where one belongs, stops the job.
+    """
+    stop = _stop("live", "kline event is invalid")
+    prices = _FIELDS[1:]
+    at = lambda path: F.get_json_object(column, path)  # noqa: E731 - keys that differ in case alone are told apart by paths
+
+    def update(exchange: str, symbol: Column, timeframe: Column, times: list[Column], values: list[Column], extras: dict[str, Column], closed: Column, event: Column, name: Column) -> Column:
+        number = {"event_time": _number(event, "long", stop, optional=True), "open_time": _number(times[0], "long", stop), "close_time": _number(times[1], "long", stop, optional=True)}
+        number |= {n: _number(v, "double", stop) for n, v in zip(prices, values, strict=True)}
+        number |= {n: _number(extras.get(n, F.lit(None).cast("string")), k, stop, optional=True) for n, k in _EXTRAS.items()}
+        text = {f"{n}_text": v for n, v in zip(prices, values, strict=True)}
+        fields = {**number, **text, "raw_event_id": name, "is_closed": F.coalesce(closed.try_cast("boolean"), F.lit(False))}
+        return F.struct(F.lit(exchange).alias("exchange"), F.upper(symbol).alias("symbol"), timeframe.alias("timeframe"), *[v.alias(n) for n, v in fields.items()])
+
+    one = F.array(update(
+        "binance", F.coalesce(at("$.k.s"), at("$.s")), F.coalesce(at("$.k.i"), F.lit("1m")), [at("$.k.t"), at("$.k.T")], [at(f"$.k.{x}") for x in "ohlcv"],
+        {"quote_volume": at("$.k.q"), "trades_count": at("$.k.n"), "taker_buy_base_volume": at("$.k.V"), "taker_buy_quote_volume": at("$.k.Q")}, at("$.k.x"), at("$.E"),
+        F.concat(F.coalesce(at("$.e"), F.lit("kline")), F.lit(":"), F.coalesce(at("$.E"), F.lit(""))),
+    ))
+    topic = F.split(at("$.topic"), r"\.")
+    item = ",".join(f"{n}:string" for n in ("start", "end", *prices, "turnover", "confirm", "timestamp"))
+    data = F.from_json(F.when(F.substring(F.ltrim(at("$.data")), 1, 1) == "[", at("$.data")), f"array<struct<{item}>>")
+    interval = F.get(topic, F.lit(1))
+    minutes = canonical_column(F.when(interval.rlike("^[0-9]+$") & (interval.try_cast("int") % 60 == 0), F.concat((interval.try_cast("int") / 60).cast("int").cast("string"), F.lit("h"))).otherwise(interval))
+    many = F.transform(data, lambda x: update(
+        "bybit", F.get(topic, F.lit(2)), minutes, [x.getField("start"), x.getField("end")], [x.getField(p) for p in prices], {"turnover": x.getField("turnover")}, x.getField("confirm"),
+        F.coalesce(x.getField("timestamp"), at("$.ts")), F.concat(at("$.topic"), F.lit(":"), F.coalesce(at("$.ts"), F.lit(""))),
+    ))
+    shaped = F.when(at("$.k").isNotNull(), one).when(at("$.topic").isNotNull(), many)
+    none = F.array_repeat(F.get(one, F.lit(0)), stop.cast("int"))  # of the same type; its length can't be told, which stops the job
+    rows = events.select(F.lit(market).alias("market"), F.inline(F.coalesce(shaped, none)))
+    return rows.withColumn("close_time", F.coalesce("close_time", close_time_column(F.col("open_time"), F.col("timeframe"))))
 
 
 def offline_klines(payloads: DataFrame, exchange: str, timeframe: str, start_ms: int, end_ms: int, *, limit: int | None = None, server_time_ms: int | None = None) -> DataFrame:
