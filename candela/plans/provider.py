@@ -14,7 +14,7 @@ from candela.functions.timeframe import DAY, canonical, milliseconds
 from candela.operators.coverage import islands, missing_slots
 from candela.operators.merge import overlay_current, prefer_later
 from candela.operators.resample import resample
-from candela.plans.query import BarQuery, FootprintQuery, can_derive, in_range
+from candela.plans.query import FAILS, BarQuery, FootprintQuery, can_derive, in_range
 from candela.store import BarStore, FootprintStore
 
 #: A source gives the bars of one instrument and timeframe in ``[start, end)``.
@@ -149,12 +149,12 @@ def footprint_coverage(levels: DataFrame, query: FootprintQuery) -> DataFrame:
 
 
 def fetch_footprint(query: FootprintQuery, trades: DataFrame, *, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Footprint levels of the query's trades; by gap policy ``strict`` every slot must have a bar, so no trade at all is an error too."""
+    """Footprint levels of the query's trades; by a gap policy that fails every slot must have a bar, so no trade at all is an error too."""
     from candela.operators.footprint import footprint_levels
 
     inside = in_range(trades, query.start_ms, query.end_ms)
     levels = footprint_levels(inside, query.timeframe.canonical, query.bucket_size, keys=keys, start=query.start_ms)
-    if query.gap_policy == "strict":
+    if query.gap_policy in FAILS:
         slots = -(-(query.end_ms - query.start_ms) // milliseconds(query.timeframe.canonical))
         counts = levels.groupBy(*keys).agg(F.count_distinct("time").alias("n"))
         least = counts.agg(F.min("n").alias("n")).first()["n"] or 0

@@ -59,8 +59,15 @@ class BarQuery:
         return same & (F.col("timeframe") == self.timeframe.canonical) & (F.col("time") >= self.start_ms) & (F.col("time") < self.end_ms)
 
 
+#: Policies of a footprint query on slots without a bar: those by which it fails, and all.
+FAILS = ("fail", "strict")
+POLICIES = (*FAILS, "allow", "allow_with_metadata")
+
+
 @dataclass(frozen=True)
 class FootprintQuery:
+    """Footprint bars of ``[start_ms, end_ms)``, in buckets of a price, or of a number of ticks (one, unless given)."""
+
     instrument: Instrument
     timeframe: Timeframe
     start_ms: int
@@ -73,12 +80,14 @@ class FootprintQuery:
     def __post_init__(self) -> None:
         if self.start_ms >= self.end_ms or self.timeframe.duration_ms is None:
             raise InvalidBarQuery("a footprint needs a range and a timeframe of fixed length")
+        if self.gap_policy not in POLICIES:
+            raise InvalidBarQuery(f"no gap policy {self.gap_policy}")
         if not self.bucket_size > 0:
             raise InvalidBarQuery("a footprint needs a positive price bucket, or tick size and ticks per row")
 
     @property
     def bucket_size(self) -> float:
-        return self.price_bucket if self.price_bucket is not None else (self.tick_size or 0) * (self.ticks_per_row or 0)
+        return self.price_bucket if self.price_bucket is not None else (self.tick_size or 0) * (1 if self.ticks_per_row is None else self.ticks_per_row)
 
 
 def in_range(rows: DataFrame, start_ms: int, end_ms: int, *, stored: str | None = None) -> DataFrame:

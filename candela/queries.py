@@ -14,7 +14,8 @@ from candela.errors import ValidationError
 from candela.functions import hashing, identity, timeframe
 from candela.operators import coverage, footprint, merge, quality, resample, revisions, symbols
 from candela.plans import derived
-from candela.plans.query import BarQuery, Instrument, in_range
+from candela.plans.query import BarQuery, FootprintQuery, Instrument, in_range
+from candela.plans.trades import TradeCache, cached_footprint
 from candela.sources import decode, recorded, tables
 from candela.store import BarStore, SnapshotStore
 from candela.streaming import klines, live
@@ -995,3 +996,16 @@ def derived_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
         base.append_newer(part if b is None else part.where(F.col("time") < b))
         derived.derive(base, days, "1D", source="1h")
     return days.read_all().select("symbol", "time", "open", "high", "low", "close", "volume", "time_close")
+
+
+@query(f"WITH {LEVELS} SELECT symbol, time, price_low, buy_volume, sell_volume, buy_count, sell_count FROM levels WHERE symbol = 'PURCHASE'")
+def footprint_from_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All footprints of one instrument from a cache of its trades that half the time range had filled before."""
+    trades = tables.trades(spark, sf_dir).where("symbol = 'PURCHASE'")
+    span = trades.agg(F.min("time").alias("a"), F.max("time").alias("b")).first()
+    start, end = span["a"] - span["a"] % HOUR, span["b"] - span["b"] % HOUR + HOUR
+    instrument, cache = Instrument("binance", "spot", "PURCHASE"), TradeCache(spark, f"{_scratch(spark)}/trades")
+    cache.get(instrument, start, start + (end - start) // 2, lambda a, b: in_range(trades, a, b))
+    asked = FootprintQuery(instrument, timeframe.Timeframe.parse("1h"), start, end, 10.0, gap_policy="allow_with_metadata")
+    found = cached_footprint(asked, cache, lambda a, b: in_range(trades, a, b))
+    return found.levels.select("symbol", "time", "price_low", "buy_volume", "sell_volume", "buy_count", "sell_count")
