@@ -90,8 +90,9 @@ class BarStore:
         return self._state()["tokens"].get(name)
 
     @contextmanager
-    def held(self, rows: DataFrame) -> Iterator[DataFrame]:
-        """The rows, written aside once: guards and commit then see the same rows, and their source is asked once."""
+    def held(self, rows: DataFrame, *, place: str | None = None) -> Iterator[DataFrame]:
+        """The rows, written aside once: guards and commit then see the same rows, and their source is asked once. ``place``
+        names a column for the order in which they came, which files don't keep."""
         fs, at = self._fs()
         path = f"{self.path}/incoming/{uuid.uuid4().hex}"
         if "source_kind" in rows.columns:
@@ -102,6 +103,7 @@ class BarStore:
         for f in rows.schema:
             if known.get(f.name, f.dataType) != f.dataType:
                 raise ValidationError(f"{f.name} is {f.dataType.simpleString()}, the store has {known[f.name].simpleString()}")
+        rows = rows.withColumn(place, F.monotonically_increasing_id()) if place else rows
         rows.write.parquet(path)
         try:
             yield self.spark.read.schema(rows.schema).parquet(path)
@@ -231,13 +233,13 @@ class BarStore:
         if token is not None and (self.token(token[0]) if self.versions() else None) is not None and token[1] <= self.token(token[0]):
             return {"new": 0, "duplicate": 0}
         keys = [*PARTITIONS, "time"]
-        with self.held(batch) as batch:
+        with self.held(batch, place="__seq") as batch:
             if "is_closed" in batch.columns:
                 guard(batch, batch.where(~F.coalesce("is_closed", F.lit(False))).select(*keys), "a closed batch holds an open bar")
             clashing = batch_conflicts(batch, keys=keys).count()
             if clashing:
                 raise CacheConflict(f"{clashing} bars of the batch are given with different candles")
-            batch = keep_first(batch.withColumn("__seq", F.monotonically_increasing_id()), keys, "__seq").drop("__seq")
+            batch = keep_first(batch, keys, "__seq").drop("__seq")
             stored, fresh, counts = self._touched(batch), batch, {"new": None, "duplicate": 0}
             if stored is not None:
                 span = batch.agg(F.min("time").alias("a"), F.max("time").alias("b")).first()

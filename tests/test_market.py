@@ -380,7 +380,7 @@ def test_range_reaches_the_scan(spark, sf_dir, capsys):
 # --- store
 
 
-@pytest.mark.parametrize(("field", "value"), [("quote_volume", 2.0), ("trades_count", 9), ("close_text", "1.00"), ("time_close", 1), ("source_kind", "other"), ("taker_buy_base_volume", None), ("volume", 3.0)])
+@pytest.mark.parametrize(("field", "value"), [("quote_volume", 2.0), ("trades_count", 9), ("close_text", "1.00"), ("time_close", 1), ("taker_buy_base_volume", None), ("volume", 3.0)])
 def test_every_field_of_a_candle_counts(spark, tmp_path, field, value):
     flat = series(spark, [(0, 1.0, 9.0, 1.0, 1.0, 1.0)]).withColumns({"quote_volume": F.lit(1.0), "trades_count": F.lit(1).cast("long"), "close_text": F.lit("1"), "source_kind": F.lit("kline"), "taker_buy_base_volume": F.lit(1.0), "source_transport": F.lit("rest"), "downloaded_at": F.lit(1).cast("long")})
     store = BarStore(spark, f"{tmp_path}/store")
