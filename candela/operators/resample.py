@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.functions.hashing import digest, folded
+from candela.functions.hashing import DECIMAL, decimal_text, digest, folded
 from candela.functions.timeframe import bucket, close_time, micros_to_ms, milliseconds
 
 
@@ -20,7 +20,7 @@ def bars_from_trades(trades: DataFrame, timeframe: str, *, keys: Sequence[str] =
             F.max("price").alias("high"),
             F.min("price").alias("low"),
             F.max_by("price", order).alias("close"),
-            F.sum(F.col("quantity").cast("decimal(38,18)")).cast("double").alias("volume"),
+            F.sum(F.col("quantity").cast(DECIMAL)).cast("double").alias("volume"),
             F.count(F.lit(1)).alias("trades_count"),
         )
         .withColumn("time_close", close_time(F.col("time"), timeframe))
@@ -45,7 +45,7 @@ def resample(bars: DataFrame, timeframe: str, *, keys: Sequence[str] = ("symbol"
         "high": F.max("high"),
         "low": F.min("low"),
         "close": _traded(F.max_by, "close"),
-        "volume": F.sum(F.col("volume").cast("decimal(38,18)")).cast("double"),
+        "volume": F.sum(F.col("volume").cast(DECIMAL)).cast("double"),
     }
     if "is_closed" in bars.columns:
         out["is_closed"] = F.bool_and("is_closed")
@@ -61,7 +61,7 @@ def resample(bars: DataFrame, timeframe: str, *, keys: Sequence[str] = ("symbol"
 
 def resample_exact(bars: DataFrame, timeframe: str, *, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """The exact texts of high (earliest of equal ones), low and summed volume per bucket, and a revision hash of its bars."""
-    number = lambda name: F.col(name).cast("decimal(38,18)")
+    number = lambda name: F.col(name).cast(DECIMAL)
     row = digest([F.col(k) for k in ("time", "open_text", "high_text", "low_text", "close_text", "volume_text")], "bar")
     return (
         bars.groupBy(*keys, bucket(F.col("time"), timeframe).alias("bucket"))
@@ -77,12 +77,21 @@ def resample_exact(bars: DataFrame, timeframe: str, *, keys: Sequence[str] = ("s
 
 
 def merge_same_open(rows: DataFrame, timeframe: str, *, keys: Sequence[str] = ("symbol",), ordinal: str = "ordinal") -> DataFrame:
-    """Archive rows of the same (floored) open time as one bar: first open, last close by file order, extremes, summed volume."""
+    """Archive rows of the same (floored) open time as one bar: first open, last close by file order, extremes, summed volume.
+
+    Exact texts, where the rows have them, go with the values that they stand for.
+    """
     at = bucket(micros_to_ms(F.col("time")), timeframe)
-    return rows.groupBy(*keys, at.alias("time")).agg(
-        F.min_by("open", ordinal).alias("open"),
-        F.max("high").alias("high"),
-        F.min("low").alias("low"),
-        F.max_by("close", ordinal).alias("close"),
-        F.sum(F.col("volume").cast("decimal(38,18)")).cast("double").alias("volume"),
-    )
+    merged = {
+        "open": F.min_by("open", ordinal), "high": F.max("high"), "low": F.min("low"), "close": F.max_by("close", ordinal),
+        "volume": F.sum(F.col("volume").cast(DECIMAL)).cast("double"),
+    }
+    if "open_text" in rows.columns:
+        number = lambda name: F.col(name).try_cast(DECIMAL)
+        merged |= {
+            "open_text": F.min_by("open_text", ordinal), "high_text": F.max_by("high_text", F.struct(number("high_text"), -F.col(ordinal))),
+            "low_text": F.min_by("low_text", F.struct(number("low_text"), ordinal)), "close_text": F.max_by("close_text", ordinal),
+            # The text of a lone row is kept as it came.
+            "volume_text": F.when(F.count(F.lit(1)) == 1, F.first("volume_text")).otherwise(decimal_text(F.sum(number("volume_text")))),
+        }
+    return rows.groupBy(*keys, at.alias("time")).agg(*[c.alias(n) for n, c in merged.items()])

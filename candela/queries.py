@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from candela.errors import ValidationError
 from candela.functions import hashing, identity, timeframe
 from candela.operators import coverage, footprint, merge, quality, resample, revisions, symbols
-from candela.plans import derived
+from candela.plans import archives, derived
 from candela.plans.query import BarQuery, FootprintQuery, Instrument, in_range
 from candela.plans.trades import TradeCache, cached_footprint
 from candela.sources import decode, recorded, tables
@@ -276,6 +276,28 @@ def archive_days_for_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.touched_days(coverage.missing_slots(bars, coverage.series_ranges(bars, "1h"), "1h")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+@query(f"""WITH {TICKS}, d AS (SELECT DISTINCT symbol, CAST(day AS DATE) AS day FROM ticks), named AS (SELECT symbol, year(day) || '-' || CASE WHEN month(day) <= 6 THEN '1' ELSE '2' END AS half, day FROM d),
+       ranges AS (SELECT DISTINCT symbol, half, make_date(year(day), CASE WHEN month(day) <= 6 THEN 1 ELSE 7 END, 1) AS a FROM named),
+       grid AS (SELECT symbol, half, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(a AS TIMESTAMP) + INTERVAL 6 MONTH - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM ranges),
+       holes AS (SELECT g.* FROM grid g ANTI JOIN d ON g.symbol = d.symbol AND g.day = d.day), sizes AS (SELECT symbol, half, count(*) AS n FROM holes GROUP BY ALL),
+       daily AS (SELECT DISTINCT symbol, half, CAST(day + 1 AS DATE) AS day FROM named), monthly AS (SELECT DISTINCT symbol, half, strftime(day, '%Y-%m') AS month FROM named WHERE month(day) % 4 <> 0),
+       choice AS (SELECT h.symbol, h.half, h.day, strftime(h.day, '%Y-%m') AS month, f.day IS NOT NULL AS has_day, m.month IS NOT NULL AS has_month, s.n <= 45 AS few FROM holes h JOIN sizes s USING (symbol, half)
+         LEFT JOIN daily f ON f.symbol = h.symbol AND f.half = h.half AND f.day = h.day LEFT JOIN monthly m ON m.symbol = h.symbol AND m.half = h.half AND m.month = strftime(h.day, '%Y-%m'))
+       SELECT symbol, half, strftime(day, '%Y-%m-%d') AS day, CASE WHEN few AND has_day THEN 'daily' WHEN has_month THEN 'monthly' WHEN has_day THEN 'daily' END AS period,
+       CASE WHEN few AND has_day THEN strftime(day, '%Y-%m-%d') WHEN has_month THEN month WHEN has_day THEN strftime(day, '%Y-%m-%d') END AS path FROM choice""")
+def archive_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of days and months for the days that half-years of order totals miss; a day's file stands where the day before has an order."""
+    at, keys = F.col("at"), ("symbol", "half")
+    days = tables.ticks(spark, sf_dir).select("symbol", F.timestamp_millis("time").alias("at")).distinct()
+    days = days.withColumn("half", F.concat_ws("-", F.year(at), F.when(F.month(at) <= 6, 1).otherwise(2)))
+    first = F.make_timestamp(F.year(at), F.when(F.month(at) <= 6, 1).otherwise(7), *[F.lit(k) for k in (1, 0, 0, 0)])
+    ranges = days.select(*keys, F.unix_millis(first).alias("start"), F.unix_millis(F.add_months(first, 6).cast("timestamp")).alias("end")).distinct()
+    missing = coverage.missing_slots(days.select(*keys, F.unix_millis("at").alias("time")), ranges, "1D", keys=keys)
+    names = {"daily": F.date_format(F.date_add(at, 1), "yyyy-MM-dd"), "monthly": F.when(F.month(at) % 4 != 0, F.date_format(at, "yyyy-MM"))}
+    files = reduce(DataFrame.unionByName, [days.select(*keys, F.lit(p).alias("period"), n.alias("date"), n.alias("path")).where("date IS NOT NULL") for p, n in names.items()])
+    return archives.planned(missing, files, keys=keys)
+
+
 # --- footprints --------------------------------------------------------------------------------------------------------
 
 LEVELS = TRADES + """, levels AS (SELECT symbol, (time // 3600000) * 3600000 AS time, floor(price / CAST(10 AS DOUBLE)) * CAST(10 AS DOUBLE) AS price_low,

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -84,23 +85,45 @@ def head(bars: DataFrame, count: int) -> DataFrame:
     return bars.orderBy("time").limit(count)
 
 
-def read_archives(spark: SparkSession, path: str, timeframe: str, *, start: int | None = None, end: int | None = None) -> DataFrame:
+#: Bytes of text that are unpacked at once.
+CHUNK = 4 << 20
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The numbered lines of each file's first CSV member, a few megabytes at a time."""
+    for batch in batches:
+        for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            try:
+                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as archive:
+                    member = next((m for m in archive.namelist() if m.endswith(".csv")), None)
+                    if member is None:
+                        continue
+                    at = 0
+                    with io.TextIOWrapper(archive.open(member), encoding="utf-8") as stream:
+                        while lines := stream.readlines(CHUNK):
+                            place = pa.array(range(at, at + len(lines)), pa.int64())
+                            yield pa.RecordBatch.from_pydict({"file": pa.repeat(name, len(lines)), "ordinal": place, "line": pa.array(lines, pa.string())})
+                            at += len(lines)
+            except (zipfile.BadZipFile, zlib.error, UnicodeDecodeError, EOFError) as error:
+                raise ValueError(f"MD_INVALID_EXCHANGE_RESPONSE: {name} can't be unpacked: {error}") from error
+
+
+def read_archives(spark: SparkSession, path: str | Sequence[str], timeframe: str, *, start: int | None = None, end: int | None = None) -> DataFrame:
     """Zipped kline CSV files: header rows skipped, microseconds as ms, open times floored, rows of one open time merged.
 
-    A file is unpacked by one task, its rows keep their number, so the first and last of an open time are certain.
+    A file is unpacked by one task as a stream, its rows keep their number, so the first and last of an open time are certain.
+    A file that can't be unpacked and a row whose prices are no numbers stop the job with ``MD_INVALID_EXCHANGE_RESPONSE``.
     """
-
-    def unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
-                    for member in sorted(archive.namelist()):
-                        lines = archive.read(member).decode().splitlines()
-                        yield pa.RecordBatch.from_pydict({"file": pa.array([name] * len(lines)), "ordinal": pa.array(range(len(lines)), pa.int64()), "line": pa.array(lines, pa.string())})
-
-    lines = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unzipped, "file string, ordinal long, line string")
-    fields = F.split("line", ",")
-    rows = lines.where(F.col("line").rlike("^[0-9]")).select("file", "ordinal", fields[0].cast("long").alias("time"), *[fields[k + 1].cast("double").alias(n) for k, n in enumerate(("open", "high", "low", "close", "volume"))])
+    if isinstance(path, str) or path:
+        files = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path)).select("path", "content")
+    else:
+        files = spark.createDataFrame([], "path string, content binary")
+    lines = files.mapInArrow(_unpacked, "file string, ordinal long, line string").withColumn("f", F.split(F.rtrim("line"), ","))
+    text = {n: F.trim(F.get("f", F.lit(k + 1))) for k, n in enumerate(("open", "high", "low", "close", "volume"))}
+    bent = F.raise_error(F.concat(F.lit("MD_INVALID_EXCHANGE_RESPONSE: no candle in "), "file", F.lit(": "), "line")).cast("double")
+    rows = lines.withColumn("time", F.trim(F.get("f", F.lit(0))).try_cast("long")).where("time IS NOT NULL").select(
+        "file", "ordinal", "time", *[F.coalesce(t.try_cast("double"), bent).alias(n) for n, t in text.items()], *[t.alias(f"{n}_text") for n, t in text.items()],
+    )
     at = bucket(micros_to_ms(F.col("time")), timeframe)
     if start is not None:
         rows = rows.where(at >= start)
