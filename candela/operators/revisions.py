@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candela.functions.hashing import digest, folded
+from candela.errors import ValidationError
+from candela.functions.hashing import digest, folded, marked
 from candela.operators.ordered import with_previous
 
 #: What a bar's content hash covers; not the snapshot it is in, nor when or by whom that was made.
@@ -16,9 +17,12 @@ CONTENT = (
     "provider", "provider_revision", "superseded_bar_hash",
 )
 
+#: Domain of a bar's content hash.
+CANONICAL = "canonical-bar/2"
+
 
 def content_hash(columns: Sequence[str] = CONTENT):
-    return digest([F.col(c) for c in columns], "canonical-bar/2")
+    return digest([F.col(c) for c in columns], CANONICAL)
 
 
 #: Rules of a chain, by the code that a broken one is reported with.
@@ -87,26 +91,41 @@ def select_revisions(rows: DataFrame, *, keys: Sequence[str] = ("series", "time"
     return valid.select(*keys, F.col("items")[F.col("end.at")].row.alias("r")).select(*keys, "r.*").select(*rows.columns)
 
 
-def with_lineage(rows: DataFrame, *, keys: Sequence[str] = ("series", "time"), seq: str = "seq", content: Sequence[str] = ("open", "high", "low", "close", "volume")) -> DataFrame:
-    """Add ``content_hash`` and ``superseded_bar_hash``, each bar's hash covering that of the revision before it.
+def with_lineage(rows: DataFrame, *, keys: Sequence[str] = ("series", "time"), seq: str = "seq", content: Sequence[str] = CONTENT) -> DataFrame:
+    """Add ``superseded_bar_hash``, the hash of the revision before (null for originals), and ``content_hash``, which covers it.
 
-    Revisions of one open time are few; their chain is folded inside one array.
+    It is the hash that ``verified`` computes of the same columns. A revision that is given twice in a row, alike in all that the
+    hash covers, is one revision. Revisions of one open time are few; their chain is folded inside one array.
     """
-    body = digest([F.col(c) for c in (*keys, "revision", "revision_state", *content)], "bar-body")
-    items = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), body.alias("body"), F.struct(*[c for c in rows.columns if c not in keys]).alias("row"))))
-    start = F.array().cast("array<struct<own:string,before:string>>")
-    step = lambda made, x: F.concat(
-        made,
-        F.array(F.struct(
-            F.sha2(F.concat_ws("\x1f", x.body, F.coalesce(F.try_element_at(made, F.lit(-1)).own, F.lit("~"))), 256).alias("own"),
-            F.try_element_at(made, F.lit(-1)).own.alias("before"),
-        )),
-    )
+    named = [c for c in content if c != "superseded_bar_hash"]
+    if [*named, "superseded_bar_hash"] != list(content):
+        raise ValidationError("the hash that a bar supersedes comes last in its content")
+    body = F.concat_ws("\x1f", F.lit(CANONICAL), *[marked(F.col(c)) for c in named])
+    items = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), body.alias("body"), (F.col("revision_state") == "ORIGINAL").alias("first"), F.struct(*[c for c in rows.columns if c not in keys]).alias("row"))))
+    start = F.array().cast("array<struct<body:string,own:string,before:string>>")
+
+    def step(made, x):
+        last = F.try_element_at(made, F.lit(-1))
+        before = F.when(~x.first, last.own)
+        own = F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("\x1f", x.body, marked(before)), 256))
+        return F.concat(made, F.array(F.when(last.body == x.body, last).otherwise(F.struct(x.body.alias("body"), own.alias("own"), before.alias("before")))))
+
     grouped = rows.groupBy(*keys).agg(items.alias("items")).withColumn("links", F.aggregate("items", start, step))
     flat = grouped.select(*keys, F.inline(F.arrays_zip(F.col("items.row").alias("row"), F.col("links").alias("link"))))
     return flat.select(*keys, "row.*", F.col("link.own").alias("content_hash"), F.col("link.before").alias("superseded_bar_hash"))
 
 
+def resolved_revisions(rows: DataFrame, *, keys: Sequence[str] = ("series", "time"), seq: str = "revision") -> DataFrame:
+    """Revisions without hashes, bound to chains and resolved: the bars to seal, one per key that isn't revoked.
+
+    A chain that breaks a rule stops the job. Rows are shuffled once: the chain is resolved where it was bound.
+    """
+    chain = _resolved(with_lineage(rows, keys=keys, seq=seq), keys, seq)
+    broken = F.raise_error(F.concat(F.lit("MD_BAR_CONFLICT: "), F.col("reason"), F.lit(" at "), F.concat_ws("/", *keys))).cast("boolean")
+    kept = chain.where(F.when(F.col("reason").isNotNull(), broken).otherwise(F.col("end.state") != "REVOKED"))
+    return kept.select(*keys, F.col("items")[F.col("end.at")].row.alias("r")).select(*keys, "r.*")
+
+
 def overlaps(bars: DataFrame, *, keys: Sequence[str] = ("series",)) -> DataFrame:
     """Selected bars that open before the one before them has closed."""
     return with_previous(bars, keys, "time", {"previous_close": F.col("time_close")}).where("time <= previous_close")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from candela.errors import ValidationError
 from candela.functions import hashing, identity, timeframe
-from candela.operators import coverage, footprint, merge, quality, resample, revisions, symbols
+from candela.operators import coverage, footprint, merge, projections, quality, resample, revisions, symbols
 from candela.plans import archives, derived
 from candela.plans.query import BarQuery, FootprintQuery, Instrument, in_range
 from candela.plans.trades import TradeCache, cached_footprint
@@ -605,6 +605,75 @@ def canonical_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("symbol", "time", "time_close", "instrument_id", "finality", "revision_state", "revision", (F.col("content_hash") == revisions.content_hash()).alias("verified"))
 
 
+_SHA = "'sha256:' || sha256"
+REVISED = f"""ranked AS (SELECT *, row_number() OVER w - 1 AS n, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)),
+  revised AS (SELECT 'binance/spot/S' || l_orderkey % 4 AS id, l_orderkey AS k, l_orderkey * 60000 AS time, n, CASE WHEN n = 0 THEN 'ORIGINAL' WHEN n = c - 1 AND l_returnflag = 'R' THEN 'REVOKED' ELSE 'CORRECTED' END AS state,
+    l_extendedprice AS price, l_quantity AS volume, n = c - 1 AS last FROM ranked),
+  bodies AS (SELECT *, concat_ws(chr(31), 'canonical-bar/2', '=' || id, '=1m', '=' || time, '=' || (time + 59999), '=' || price, '=' || price, '=' || price, '=' || price, '=' || volume, '=FINAL', '=' || state, '=' || n, '=binance', '=r1') AS body FROM revised),
+  links AS (SELECT id, k, time, n, state, last, {_SHA}(body || chr(31) || '~') AS own FROM bodies WHERE n = 0
+    UNION ALL SELECT b.id, b.k, b.time, b.n, b.state, b.last, {_SHA}(b.body || chr(31) || '=' || l.own) FROM links l JOIN bodies b ON b.k = l.k AND b.n = l.n + 1),
+  chosen AS (SELECT id || '/1m' AS series, time, own, lag(time) OVER (PARTITION BY id ORDER BY time) AS before FROM links WHERE last AND state <> 'REVOKED'),
+  days AS (SELECT series, time // 86400000 AS day, {_SHA}(string_agg({_SHA}('row' || chr(31) || '=' || own), chr(10) ORDER BY time)) AS d FROM chosen GROUP BY ALL),
+  sums AS (SELECT series, {_SHA}(string_agg(d, chr(10) ORDER BY day)) AS checksum FROM days GROUP BY series),
+  span AS (SELECT (max(l_orderkey) + 1) * 60000 AS b FROM lineitem),
+  counts AS (SELECT series, count(*) AS bar_count, count(*) FILTER (WHERE coalesce(time > before + 60000, time > 0)) + CASE WHEN max(time) + 60000 < any_value(b) THEN 1 ELSE 0 END AS gap_count FROM chosen, span GROUP BY series),
+  sealed AS (SELECT series, bar_count, gap_count, {_SHA}(concat_ws(chr(31), 'series', '=' || series, '=0', '=' || b, '=r1', '=' || checksum)) AS series_hash FROM counts JOIN sums USING (series), span)"""
+
+
+@query(f"WITH RECURSIVE {REVISED} SELECT *, {_SHA}('snapshot' || chr(31) || '=' || series_hash) AS snapshot_id FROM sealed")
+def revision_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as revisions of a bar per order, bound to chains, resolved, sealed, stored, and their envelopes read back."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("l_orderkey")
+    n, key = F.col("n"), F.col("l_orderkey")
+    ranked = tables.table(spark, sf_dir, "lineitem").withColumns({
+        "n": F.row_number().over(own.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")).cast("long") - 1, "c": F.count(F.lit(1)).over(own),
+    })
+    instrument = F.concat(F.lit("binance/spot/S"), key % 4)
+    state = F.when(n == 0, "ORIGINAL").when((n == F.col("c") - 1) & (F.col("l_returnflag") == "R"), "REVOKED").otherwise("CORRECTED")
+    rows = ranked.select(
+        F.concat(instrument, F.lit("/1m")).alias("series"), instrument.alias("instrument_id"), F.lit("1m").alias("timeframe"), (key * 60_000).alias("time"), (key * 60_000 + 59_999).alias("time_close"),
+        *[F.col("l_extendedprice").alias(p) for p in ("open", "high", "low", "close")], F.col("l_quantity").alias("volume"), F.lit("FINAL").alias("finality"), state.alias("revision_state"),
+        n.alias("revision"), F.lit("binance").alias("provider"), F.lit("r1").alias("provider_revision"),
+    )
+    end = (tables.table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey").alias("k")).first()["k"] + 1) * 60_000
+    store = SnapshotStore(spark, f"{_scratch(spark)}/snapshots")
+    store.write_revisions(rows, start=0, end=end)
+    return store.envelopes().select("series", "bar_count", "gap_count", "series_hash", "snapshot_id")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"exchange": F.lit("binance"), "market": F.lit("spot"), "timeframe": F.lit("1h"), "is_closed": F.col("time_close") <= SERVER, "provider_revision": F.lit("r1")}
+    texts = {f"{n}_text": F.concat(F.lit("0"), F.col(n).cast("decimal(18,4)").cast("string")) for n in ("open", "high", "low", "close", "volume")}
+    return tables.bars_1h(spark, sf_dir).withColumns(names | texts)
+
+
+@query(f"""WITH {BARS} SELECT 'binance' AS exchange, 'spot' AS market, symbol, '1h' AS timeframe, time, time_close, open, high, low, close, volume, time_close <= {SERVER} AS is_closed,
+       'canonical' AS source_transport, 'binance' AS provider, 'r1' AS provider_revision, 'ORIGINAL' AS revision_state, CAST(0 AS BIGINT) AS revision FROM bars""")
+def canonical_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars as canonical rows with exact texts, and as bars again."""
+    back = projections.from_canonical(projections.canonical_rows(_texts(spark, sf_dir), provider="binance"))
+    return back.drop("open_text", "high_text", "low_text", "close_text", "volume_text")
+
+
+@query(f"""WITH {BARS} SELECT symbol, time, time_close, volume, time_close <= {SERVER} AS is_closed, {_SHA}(concat_ws(chr(31), 'contract-bar', '=binance/spot/' || symbol, '=1h', '=' || time, '=' || time_close, '=' || open, '=' || high,
+       '=' || low, '=' || close, '=' || volume, '=' || (time_close <= {SERVER}))) AS provider_revision FROM bars""")
+def contract_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars as contract bars, and these as bars to store, with the hash of what the contract says."""
+    made = projections.market_bars(projections.contract_bars(_texts(spark, sf_dir).drop("time_close")))
+    return made.select("symbol", "time", "time_close", "volume", "is_closed", "provider_revision")
+
+
+@query(f"""WITH {BARS} SELECT symbol, time, CASE WHEN symbol <> 'CLICK' THEN 'symbol' ELSE 'timeframe' END AS differs FROM bars WHERE symbol <> 'CLICK' OR (time // 3600000) % 11 = 0""")
+def identity_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars that aren't of a query's series: of another symbol, or of another timeframe however it is spelled."""
+    name = F.when(F.floor(F.col("time") / HOUR) % 11 == 0, "4h").when(F.floor(F.col("time") / HOUR) % 11 == 1, "01h").otherwise("1H")
+    wanted = BarQuery(Instrument("binance", "spot", "click"), timeframe.Timeframe.parse("1h"), 0, CUTOFF)
+    bars = _texts(spark, sf_dir).withColumn("timeframe", name)
+    return projections.strangers(bars, wanted).select("symbol", "time", "differs")
+
+
 # --- symbols -----------------------------------------------------------------------------------------------------------
 
 SYMBOLS = """symbols AS (SELECT p_partkey, p_name AS name, upper(replace(p_brand, '#', '')) AS base, list_extract(['USDT','USDC','FDUSD','BUSD','TUSD','USDP','DAI','USD','EUR'], CAST(p_partkey % 9 AS INTEGER) + 1) AS quote, p_size % 5 = 0 AS perp FROM part)"""

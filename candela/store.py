@@ -15,7 +15,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from candela.errors import BarConflict, CacheConflict, ValidationError
 from candela.operators.merge import audit_counts, batch_conflicts, classify_bulk, keep_first, manifest, prefer_later, repaired
 from candela.operators.quality import bar_violations, guard
-from candela.operators.revisions import seal, verified
+from candela.operators.revisions import resolved_revisions, seal, verified
 from candela.plans.query import TRADE_KLINE, BarQuery, FootprintQuery
 
 #: A series of a store. Bars without a ``source_kind`` are trade candles.
@@ -356,6 +356,10 @@ class SnapshotStore:
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{self.path}/{name}")
         return envelopes
 
+    def write_revisions(self, rows: DataFrame, *, start: int, end: int, keys: Sequence[str] = ("series",), allow_open: bool = False) -> DataFrame:
+        """Bind revisions (``canonical_rows``) to chains, resolve these, seal and write what is selected; the envelopes."""
+        return self.write(resolved_revisions(rows, keys=(*keys, "time")), start=start, end=end, keys=keys, allow_open=allow_open)
+
     def envelopes(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/envelopes")
 

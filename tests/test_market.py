@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from candela import catalog, errors
 from candela.functions import hashing, identity
 from candela.functions.timeframe import Timeframe, canonical, close_time, default_intrabar, epoch_ms, interval_name, micros_to_ms, milliseconds, next_open, parse_time_ms
-from candela.operators import coverage, footprint, merge, quality, resample, revisions, symbols
+from candela.operators import coverage, footprint, merge, projections, quality, resample, revisions, symbols
 from candela.operators.ordered import with_previous
 from candela.plans.query import BarQuery, FootprintQuery, Instrument, can_derive, in_range
 from candela.sources import decode, offline
@@ -164,14 +164,75 @@ def test_revision_chains(spark, steps, reason, selected, revoked):
     assert (r.reason, r.selected_revision, r.revoked) == (reason, selected, revoked)
 
 
+def _revised(spark, steps, time=0):
+    """Revisions of one bar: (number, state, close)."""
+    rows = [("b/s/S/1m", "b/s/S", "1m", time, time + 59_999, "1", "9", "1", str(c), "1", "FINAL", s, n, "b", "r1") for n, s, c in steps]
+    names = ("series", *[c for c in revisions.CONTENT if c != "superseded_bar_hash"])
+    return spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n in ('time', 'time_close', 'revision') else 'string'}" for n in names))
+
+
 def test_lineage_binds_revisions(spark):
-    rows = spark.createDataFrame([("S", 0, n, n, s, "p", 1.0, 1.0, 1.0, float(n), 1.0) for n, s in enumerate(("ORIGINAL", "CORRECTED"))], "series string, time long, seq long, revision long, revision_state string, provider string, open double, high double, low double, close double, volume double")
-    linked = revisions.with_lineage(rows)
-    first, second = linked.orderBy("seq").collect()
-    assert first.superseded_bar_hash is None and second.superseded_bar_hash == first.content_hash
-    assert revisions.chains(linked).first().reason is None
-    torn = linked.withColumn("superseded_bar_hash", F.when(F.col("seq") == 1, "other"))
-    assert revisions.chains(torn).first().reason == "broken_lineage"
+    linked = revisions.with_lineage(_revised(spark, [(0, "ORIGINAL", 1), (1, "CORRECTED", 2), (1, "CORRECTED", 2)]), seq="revision")
+    first, second, again = linked.orderBy("revision").collect()
+    assert first.superseded_bar_hash is None and second.superseded_bar_hash == first.content_hash and second == again
+    assert revisions.verified(linked).count() == 3  # the hash of a link is the hash of the bar's content
+    assert revisions.chains(linked, seq="revision").first().reason is None
+    torn = linked.withColumn("superseded_bar_hash", F.when(F.col("revision") == 1, "other"))
+    assert revisions.chains(torn, seq="revision").first().reason == "broken_lineage"
+    with pytest.raises(errors.ValidationError):
+        revisions.with_lineage(linked, content=("open", "superseded_bar_hash", "close"))
+
+
+def test_revisions_become_a_snapshot_in_one_plan(spark, tmp_path, capsys):
+    rows = _revised(spark, [(0, "ORIGINAL", 1), (1, "CORRECTED", 2)]).unionByName(_revised(spark, [(0, "ORIGINAL", 3), (1, "REVOKED", 3)], 60_000)).unionByName(_revised(spark, [(0, "ORIGINAL", 4)], 120_000))
+    chosen = revisions.resolved_revisions(rows)
+    assert [(r.time, r.close) for r in chosen.orderBy("time").collect()] == [(0, "2"), (120_000, "4")]
+    chosen.explain("formatted")
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") <= 1
+    store = SnapshotStore(spark, f"{tmp_path}/s")
+    made = store.write_revisions(rows, start=0, end=180_000).first()
+    assert (made.bar_count, made.gap_count, made.complete) == (2, 1, False)
+    assert store.read(made.snapshot_id).count() == 2
+    again = SnapshotStore(spark, f"{tmp_path}/t").write_revisions(rows.repartition(3), start=0, end=180_000).first()
+    assert again.snapshot_id == made.snapshot_id
+    other = SnapshotStore(spark, f"{tmp_path}/u").write_revisions(rows.where("close != '1'").unionByName(_revised(spark, [(0, "ORIGINAL", 5)])), start=0, end=180_000).first()
+    assert other.snapshot_id != made.snapshot_id  # the original's content counts, though a correction replaces it
+    for steps in ([(1, "CORRECTED", 1)], [(0, "ORIGINAL", 1), (1, "REVOKED", 1), (2, "CORRECTED", 2)], [(0, "ORIGINAL", 1), (0, "ORIGINAL", 2)]):
+        with pytest.raises(errors.BarConflict), errors.from_jobs():
+            revisions.resolved_revisions(_revised(spark, steps)).collect()
+
+
+def test_projections(spark):
+    bars = spark.createDataFrame(
+        [("B", "Spot", "s", "1m", 0, 1.0, 2.0, 0.5, 1.5, None, "1.00", "2", "0.50", "1.5", "0", True, "b", "r1"), ("b", "spot", "S", "1m", 60_000, 1.0, 2.0, 0.5, 1.5, 3.0, "1.00", "2", "0.50", "1.5", "3", None, "b", "r1")],
+        "exchange string, market string, symbol string, timeframe string, time long, open double, high double, low double, close double, volume double, open_text string, high_text string, low_text string,"
+        " close_text string, volume_text string, is_closed boolean, provider string, provider_revision string",
+    )
+    contract = projections.contract_bars(bars)
+    assert [(r.instrument_id, r.time_close, r.closed, r.volume) for r in contract.orderBy("time").collect()] == [("b/spot/S", 59_999, True, None), ("b/spot/S", 119_999, True, 3)]
+    market = projections.market_bars(contract)
+    assert [(r.exchange, r.symbol, r.volume, r.is_closed) for r in market.orderBy("time").collect()] == [("b", "S", 0, True), ("b", "S", 3, True)]
+    other = projections.market_bars(contract.withColumn("close", F.col("close") + 1))
+    assert market.join(other, "provider_revision").count() == 0 and market.join(projections.market_bars(contract.fillna(0.0)), "provider_revision").count() == 2
+    timed = bars.withColumn("time_close", F.col("time") + 59_999)
+    rows = projections.canonical_rows(timed.where("is_closed"))
+    row = rows.first()
+    assert (row.series, row.open, row.low, row.finality, row.revision_state, row.revision) == ("b/spot/S/1m", "1", "0.5", "FINAL", "ORIGINAL", 0)
+    back = projections.from_canonical(rows).first()
+    assert (back.exchange, back.open, back.open_text, back.is_closed, back.provider_revision) == ("b", 1, "1", True, "r1")
+    for wrong, kind in ((timed, errors.MissingFinality), (bars.where("is_closed"), errors.ValidationError), (timed.where("is_closed").withColumn("low_text", F.lit("")), errors.ValidationError),
+                        (timed.where("is_closed").drop("provider_revision"), errors.ValidationError), (timed.where("is_closed").withColumn("low_text", F.lit("x")), errors.ValidationError)):
+        with pytest.raises(kind), errors.from_jobs():
+            projections.canonical_rows(wrong).collect()
+    query = BarQuery(Instrument("b", "spot", "S"), Timeframe.parse("1m"), 0, 180_000)
+    made, report = projections.series(bars, query)
+    assert made.count() == 2 and (report.first().status, report.first().missing) == ("gap", 1)
+    assert projections.strangers(bars.withColumn("timeframe", F.lit("1")), query).count() == 0
+    for name in ("exchange", "symbol", "timeframe"):
+        alien = bars.unionByName(bars.limit(1).withColumn(name, F.lit("5m")))
+        assert [r.differs for r in projections.strangers(alien, query).collect()] == [name]
+        with pytest.raises(errors.ValidationError), errors.from_jobs():
+            projections.own_bars(alien, query).collect()
 
 
 def test_snapshot_hash_depends_on_content_alone(spark):
