@@ -77,7 +77,7 @@ def test_a_crash_between_data_and_marker(spark, fed, monkeypatch):
     add(update("A", 0, HOUR, 1.5, True))
     add(update("A", 1, HOUR, 1.6, True), update("B", 1, HOUR, 1.7, True))
     real = BarStore._mark
-    monkeypatch.setattr(BarStore, "_mark", lambda self, commit: real(self, commit) if commit == 1 else (_ for _ in ()).throw(RuntimeError("killed")))
+    monkeypatch.setattr(BarStore, "_mark", lambda self, version, part: real(self, version, part) if version == 1 else (_ for _ in ()).throw(RuntimeError("killed")))
     with pytest.raises(Exception, match="killed"):
         live.into_store(stream(), live.StoreSink(store, "live"), state)
     assert store.read_all().count() == 1 and store.versions() == [1]
