@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from candela.llm.common import fold, hash_words, materialize, mix, pieces, ship, table, text_bytes, text_of, trim, words
 
-#: Text bytes in a batch and n-grams of all batches in a part, about: both bound what a task holds.
-BATCH_BYTES, PART_BYTES = 12 << 20, 6 << 20
+#: Text bytes in a batch, about, and the most batches whose counts meet in one step: both bound what a task holds.
+BATCH_BYTES, FAN = 12 << 20, 256
 #: Text bytes that are held as tokens at once.
 SLICE_BYTES = 3 << 20
 #: Contexts share weights by the power of two of their frequency; above the last they are one bucket.
@@ -61,7 +62,7 @@ class Batch:
         self.keys = np.sort(np.concatenate([self.words, self.pairs]))
 
     def counts(self) -> np.ndarray:
-        out = np.zeros(len(self.keys), np.uint32)
+        out = np.zeros(len(self.keys), np.uint64)
         for own, codes in ((self.words, self.token), (self.pairs, self.pair)):
             out[np.searchsorted(self.keys, own)] = np.bincount(codes, minlength=len(own))
         return out
@@ -88,48 +89,116 @@ def _spread(data: bytes, kind: type, count: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-ASKED = "part int, batch int, n int, keys binary, counts binary, learns boolean, gone boolean"
-ANSWERED = "batch int, part int, n int, counted binary, deleted binary, tokens long, deleted_tokens long, kinds long"
+ASKED = "node long, child long, n int, keys binary, counted binary, deleted binary"
+ANSWERED = "child long, node long, n int, counted binary, deleted binary, tokens long, deleted_tokens long, kinds long"
 
 
-def _cuts(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
-    """Part, start and end of the runs of sorted keys that belong to one part; the part rises with the key."""
-    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() if len(keys) else []
-    return [(int(part[a]), a, b) for a, b in zip(starts, [*starts[1:], len(keys)], strict=True)]
+def fans(batches: int, most: int) -> list[int]:
+    """Fan of each step: as few steps as let ``most`` children at a time reach all batches, and equal fans."""
+    steps = 1
+    while most**steps < batches:
+        steps += 1
+    fan = 2
+    while fan**steps < batches:
+        fan += 1
+    return [fan] * steps
 
 
-def _answer(rows: pa.Table) -> pa.Table:
-    """Of one part, whose keys occur nowhere else: to each batch the totals over all batches of the keys it asked for."""
-    trim()
-    rows = rows.to_pylist()
-    asked = [_spread(r["keys"], np.uint64, r["n"]) for r in rows]
-    counts = [_spread(r["counts"], np.uint32, r["n"]) for r in rows]
-    keys, code = np.unique(np.concatenate(asked), return_inverse=True)
-    learns = np.repeat([r["learns"] for r in rows], [r["n"] for r in rows])
-    gone = np.repeat([r["gone"] for r in rows], [r["n"] for r in rows])
-    every = np.concatenate(counts).astype(np.float64)
-    counted = np.bincount(code, every * learns, minlength=len(keys)).astype(np.uint64)
-    deleted = np.bincount(code, every * gone, minlength=len(keys)).astype(np.uint64)
-    single = (keys & _ONE) == 0
-    ends = np.cumsum([r["n"] for r in rows])
-    slices = [code[e - r["n"] : e] for e, r in zip(ends, rows, strict=True)]
-    # The part's share of all training tokens and of distinct ones stands in its first row.
-    first = lambda x: pa.array([int(x)] + [0] * (len(rows) - 1), pa.int64())
+def _asked(child: int, keys: np.ndarray, counted: np.ndarray, deleted: np.ndarray, ranges: int, group: int) -> pa.Table:
+    """Of one child's sorted keys, a row for each range of keys: to the node of that range in the group."""
+    part = (((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    runs = list(zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=False))[: len(starts)]
+    some = lambda x: _squeezed(x) if x.any() else None
     return pa.table(
         {
-            "batch": pa.array([r["batch"] for r in rows], pa.int32()), "part": pa.array([r["part"] for r in rows], pa.int32()), "n": pa.array([r["n"] for r in rows], pa.int32()),
-            "counted": pa.array([_squeezed(counted[x]) for x in slices], pa.binary()), "deleted": pa.array([_squeezed(deleted[x]) for x in slices], pa.binary()),
-            "tokens": first(counted[single].sum()), "deleted_tokens": first(deleted[single].sum()), "kinds": first((counted[single] > 0).sum()),
+            "node": pa.array(group * ranges + part[starts], pa.int64()), "child": pa.array([child] * len(runs), pa.int64()), "n": pa.array([e - a for a, e in runs], pa.int32()),
+            "keys": pa.array([_squeezed(keys[a:e]) for a, e in runs], pa.binary()),
+            "counted": pa.array([some(counted[a:e]) for a, e in runs], pa.binary()), "deleted": pa.array([some(deleted[a:e]) for a, e in runs], pa.binary()),
         }
     )
 
 
-def _totals(answers: pa.Table, kept: bool) -> np.ndarray:
-    """Corpus counts of a batch's sorted keys, whose runs are answered part by part; ``kept``: without the deleted rows."""
-    rows = sorted(answers.to_pylist(), key=lambda r: r["part"])
-    out = np.concatenate([_spread(r["counted"], np.uint64, r["n"]) for r in rows])
-    return (out - np.concatenate([_spread(r["deleted"], np.uint64, r["n"]) for r in rows]) if kept else out).astype(np.float64)
+def _joined(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of a node's children, where each child's keys stand among them, and the children's counts added up."""
+    keys, code = np.unique(np.concatenate([_spread(r["keys"], np.uint64, r["n"]) for r in rows]), return_inverse=True)
+    sums = [np.zeros(len(keys), np.uint64) for _ in range(2)]
+    at = 0
+    for r in rows:
+        for total, name in zip(sums, ("counted", "deleted"), strict=True):
+            if r[name] is not None:  # a child's keys are distinct
+                total[code[at : at + r["n"]]] += _spread(r[name], np.uint64, r["n"])
+        at += r["n"]
+    return keys, code, *sums
+
+
+def _answers(rows: list[dict], code: np.ndarray, counted: np.ndarray, deleted: np.ndarray, sums: tuple[int, int, int] = (0, 0, 0)) -> pa.Table:
+    """To each child the corpus totals of the keys it asked for; ``sums`` stand in the first row."""
+    ends = np.cumsum([r["n"] for r in rows])
+    slices = [code[e - r["n"] : e] for e, r in zip(ends, rows, strict=True)]
+    some = lambda x: _squeezed(x) if x.any() else None
+    out = {"child": pa.array([r["child"] for r in rows], pa.int64()), "node": pa.array([r["node"] for r in rows], pa.int64()), "n": pa.array([r["n"] for r in rows], pa.int32())}
+    out |= {name: pa.array([some(x[at]) for at in slices], pa.binary()) for name, x in (("counted", counted), ("deleted", deleted))}
+    out |= {name: pa.array([int(x)] + [0] * (len(rows) - 1), pa.int64()) for name, x in zip(("tokens", "deleted_tokens", "kinds"), sums, strict=True)}
+    return pa.table(out)
+
+
+def _top(table_: pa.Table) -> pa.Table:
+    """Of a node of the last step, whose keys occur in no other: the answers, and its share of all and of distinct training tokens."""
+    trim()
+    rows = table_.to_pylist()
+    keys, code, counted, deleted = _joined(rows)
+    single = (keys & _ONE) == 0
+    return _answers(rows, code, counted, deleted, (counted[single].sum(), deleted[single].sum(), (counted[single] > 0).sum()))
+
+
+def _totals(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Corpus counts of a child's sorted keys and those of the deleted rows; its runs are answered range by range."""
+    rows = sorted(answers.to_pylist(), key=lambda r: r["node"])
+    whole = lambda name: np.concatenate([np.zeros(r["n"], np.uint64) if r[name] is None else _spread(r[name], np.uint64, r["n"]) for r in rows])
+    return whole("counted"), whole("deleted")
+
+
+def _upward(ranges: int, fan: int) -> Callable[[pa.Table], pa.Table]:
+    """What a node of a step with so many ranges passes on to the next step."""
+
+    def up(table_: pa.Table) -> pa.Table:
+        trim()
+        rows = table_.to_pylist()
+        node = rows[0]["node"]
+        keys, _, counted, deleted = _joined(rows)
+        return _asked(node, keys, counted, deleted, ranges * fan, node // ranges // fan)
+
+    return up
+
+
+def _downward(left: pa.Table, right: pa.Table) -> pa.Table:
+    """What a node's children asked for, from what the step above answered to it."""
+    trim()
+    rows = left.to_pylist()
+    code = _joined([r | {"counted": None, "deleted": None} for r in rows])[1]
+    return _answers(rows, code, *_totals(right))
+
+
+def _counts(asked: DataFrame, steps: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Answers to the batches' keys, and the table whose rows carry the sums over all tokens.
+
+    Up: at each step the groups of ``fan`` children exchange their keys, each range of keys of a group meeting in one node; the
+    next step joins ``fan`` groups and cuts each range in ``fan``. So a node gets at most ``fan`` rows whatever the corpus, any
+    key comes at most ``fan`` times to one node, and rows grow with batches times steps. Down: each node hands its children
+    the totals that the step above gave it.
+    """
+    levels, ranges = [asked], steps[0]
+    for fan in steps[1:]:
+        levels[-1] = materialize(levels[-1], "lm-asked")
+        levels.append(levels[-1].groupBy("node").applyInArrow(_upward(ranges, fan), ASKED))
+        ranges *= fan
+    top = answers = materialize(levels.pop().groupBy("node").applyInArrow(_top, ANSWERED), "lm-answers")
+    for below in reversed(levels):
+        asked_here = below.select("node", "child", "n", "keys").groupBy("node")
+        told = answers.select(F.col("child").alias("parent"), "node", "n", "counted", "deleted").groupBy("parent")
+        answers = materialize(asked_here.cogroup(told).applyInArrow(_downward, ANSWERED), "lm-answers")
+    return answers, top
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -165,7 +234,7 @@ def _steps(ratio: np.ndarray) -> np.ndarray:
     return np.where(ratio > 0, np.clip(exact, 0, 2 * OCTAVES * STEPS), -1)
 
 
-def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, fan: int = FAN) -> DataFrame:
     """One row per input row: the id, ``held_out, n_tokens, n_known, train_tokens, base_score, score, vocabulary``.
 
     A token's probability after the token before it mixes the maximum-likelihood estimates of the pair and of the token
@@ -184,50 +253,43 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     ship(spark)
-    size = text_bytes(docs, text_col)
-    batches = max(6, -(-size // batch_bytes))
-    parts = max(6, -(-size // part_bytes))
+    batches = max(6, -(-text_bytes(docs, text_col) // batch_bytes))
+    # A batch is of held-out, deleted or other rows alone, in this order of numbers.
+    few = -(-batches // 6)
+    steps = fans(2 * few + batches, fan)
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), fold(id_col, 10).cast("int").alias("rest"))
-    # A batch is of held-out, deleted or other rows alone: three kinds of batch, told by the number's remainder.
-    sort = F.when(F.col("rest") == HELD_OUT, 0).when(F.col("rest").isin(*DELETED), 1).otherwise(2)
-    wide = F.when(sort == 2, batches).otherwise(-(-batches // 6))
     # The place in the input spreads rows that repeat id and text. Both passes need the same batches, so they are written.
     spread = F.xxhash64("id", "text", F.monotonically_increasing_id())
-    rows = materialize(rows.withColumn("batch", (F.pmod(spread, wide) * 3 + sort).cast("int")), "lm-rows", "zstd")
+    number = F.when(F.col("rest") == HELD_OUT, F.pmod(spread, F.lit(few))).when(F.col("rest").isin(*DELETED), F.pmod(spread, F.lit(few)) + few)
+    rows = materialize(rows.withColumn("batch", number.otherwise(F.pmod(spread, F.lit(batches)) + 2 * few).cast("long")), "lm-rows", "zstd")
 
     def asked(group: pa.Table) -> pa.Table:
         trim()
         number = group.column("batch")[0].as_py()
         batch = Batch(group.to_batches())
         counts = batch.counts()
-        cuts = _cuts(batch.keys, parts)
-        blobs = {n: pa.array([_squeezed(x[a:b]) for _, a, b in cuts], pa.binary()) for n, x in (("keys", batch.keys), ("counts", counts))}
-        same = lambda x, kind: pa.array([x] * len(cuts), kind)
-        return pa.table(
-            {
-                "part": pa.array([p for p, _, _ in cuts], pa.int32()), "batch": same(number, pa.int32()), "n": pa.array([b - a for _, a, b in cuts], pa.int32()), **blobs,
-                "learns": same(number % 3 > 0, pa.bool_()), "gone": same(number % 3 == 1, pa.bool_()),
-            }
-        )
-
-    answers = materialize(rows.select("batch", "text").groupBy("batch").applyInArrow(asked, ASKED).groupBy("part").applyInArrow(_answer, ANSWERED), "lm-answers")
-    sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "deleted_tokens", "kinds")]).first()
+        none = np.zeros(len(counts), np.uint64)
+        return _asked(number, batch.keys, counts if number >= few else none, counts if few <= number < 2 * few else none, steps[0], number // steps[0])
+
+    answers, top = _counts(rows.select("batch", "text").groupBy("batch").applyInArrow(asked, ASKED), steps)
+    sums = top.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "deleted_tokens", "kinds")]).first()
     tokens, kept_tokens, kinds = sums[0], sums[0] - sums[1], sums[2]
-    answers = answers.select("batch", "part", "n", "counted", "deleted")
+    answers = answers.select(F.col("child").alias("batch"), "node", "n", "counted", "deleted")
 
     def gathered(left: pa.Table, right: pa.Table) -> pa.Table:
         trim()
         out = {"bucket": [], "pair": [], "token": [], "weight": []}
         if left.num_rows:
             batch = Batch(left.to_batches())
-            at, pair, single, _ = batch.estimates(_totals(right, True), kept_tokens)
+            counted, deleted = _totals(right)
+            at, pair, single, _ = batch.estimates((counted - deleted).astype(np.float64), kept_tokens)
             steps = np.stack([at, _steps(pair * (kinds + 1)), _steps(single * (kinds + 1))])
             found, n = np.unique((steps[0] << 40) + ((steps[1] + 1) << 20) + steps[2] + 1, return_counts=True)
             out = {"bucket": found >> 40, "pair": ((found >> 20) & 0xFFFFF) - 1, "token": (found & 0xFFFFF) - 1, "weight": n}
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     gone = rows.where(F.col("rest").isin(*DELETED)).select("batch", "text").groupBy("batch")
-    held = gone.cogroup(answers.where(F.col("batch") % 3 == 1).groupBy("batch"))
+    held = gone.cogroup(answers.where(F.col("batch").between(few, 2 * few - 1)).groupBy("batch"))
     cells = held.applyInArrow(gathered, "bucket long, pair long, token long, weight long").groupBy("bucket", "pair", "token").agg(F.sum("weight").alias("weight"))
     # At most BUCKETS * (2 * OCTAVES * STEPS + 2)^2 rows, whatever the corpus.
     cells = cells.toPandas().to_numpy(float) if tokens else np.zeros((0, 4))
@@ -243,7 +305,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         if not left.num_rows:
             return empty
         batch = Batch(left.to_batches())
-        at, pair, single, count = batch.estimates(_totals(right, False), tokens)
+        at, pair, single, count = batch.estimates(_totals(right)[0].astype(np.float64), tokens)
         w = weights[at]
         model = np.log10(w[:, 0] * pair + w[:, 1] * single + w[:, 2] / (kinds + 1))
         base = np.log10((count + 0.1) / (tokens + 0.1 * (kinds + 1)))

@@ -141,7 +141,7 @@ def test_contamination_of_odd_tables(spark, docs, empty):
 
 
 def test_language_model_counts_and_normalises(spark, docs):
-    found = lm_score.lm_scores(docs, batch_bytes=20_000, part_bytes=10_000).collect()
+    found = lm_score.lm_scores(docs, batch_bytes=20_000, fan=4).collect()
     tokens = {}
     for i, t in texts():
         tokens.setdefault((i, t), [(t or "").encode(), 0])[1] += 1
@@ -231,7 +231,7 @@ def test_language_model_scores_equal_brute_force(spark):
             n[k] += 1
         weights = {k: sums[k] / (n[k] + 1) if n[k] else w for k, w in weights.items()}
     weights = {k: w / w.sum() for k, w in weights.items()}
-    found = {r.doc_id: r.score for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), batch_bytes=3000, part_bytes=2000).collect()}
+    found = {r.doc_id: r.score for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), batch_bytes=3000, fan=3).collect()}
     for i, _ in rows:
         want = sum(math.log10(weights[bucket(single[a])] @ parts(single, pair, total, a, b)) for a, b in zip(split[i], split[i][1:], strict=False))
         assert abs(found[i] - want) < 0.01 * abs(want) + 0.01
@@ -239,10 +239,38 @@ def test_language_model_scores_equal_brute_force(spark):
 
 def test_language_model_of_rows_repeated_very_often(spark):
     rows = spark.range(600).select(F.lit(3).cast("long").alias("doc_id"), F.lit("one row again and again").alias("text"))
-    found = lm_score.lm_scores(rows, batch_bytes=2000, part_bytes=2000).collect()
+    found = lm_score.lm_scores(rows, batch_bytes=2000, fan=2).collect()
     assert len(found) == 600 and len({(r.score, r.base_score, r.n_known) for r in found}) == 1
 
 
+def test_language_model_exchange_grows_with_the_corpus(spark, monkeypatch):
+    """Steps of few batches give the scores of one step over all, and their rows are bounded by twice batches x fan x steps."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choices([*WORDS, *[f"w{n}" for n in range(400)]], k=40))) for k in range(400)]
+    written = {}
+
+    def counting(df, label, *rest):
+        out = kept(df, label, *rest)
+        written[label] = written.get(label, 0) + out.count()
+        return out
+
+    kept = lm_score.materialize
+    monkeypatch.setattr(lm_score, "materialize", counting)
+    for n in (100, 400):
+        docs = spark.createDataFrame(rows[:n], "doc_id long, text string")
+        written.clear()
+        found = {r.doc_id: r for r in lm_score.lm_scores(docs, batch_bytes=1000, fan=4).collect()}
+        batches = -(-sum(len(t) for _, t in rows[:n]) // 1000)
+        batches += 2 * -(-batches // 6)
+        steps = lm_score.fans(batches, 4)
+        # The last group of a step may be short, but its nodes are fewer than the batches.
+        assert len(steps) > 2 and steps[0] <= 4 and written["lm-answers"] <= 2 * batches * steps[0] * len(steps)
+        assert written["lm-asked"] <= 2 * batches * steps[0] * (len(steps) - 1)
+        once = {r.doc_id: r for r in lm_score.lm_scores(docs, batch_bytes=1000, fan=10_000).collect()}
+        assert found.keys() == once.keys() and all(abs(found[k].score - once[k].score) < 1e-6 for k in once)
+        assert all((found[k].n_known, found[k].train_tokens, found[k].vocabulary) == (once[k].n_known, once[k].train_tokens, once[k].vocabulary) for k in once)
+
+
 def test_language_model_of_empty_table(empty):
     assert lm_score.lm_scores(empty).count() == 0
 
