@@ -17,6 +17,7 @@ from candela.plans import archives, derived
 from candela.plans.query import BarQuery, FootprintQuery, Instrument, in_range
 from candela.plans.trades import TradeCache, cached_footprint
 from candela.sources import decode, recorded, tables
+from candela.sources.cache import SegmentCache
 from candela.store import BarStore, SnapshotStore
 from candela.streaming import klines, live
 
@@ -1100,3 +1101,14 @@ def footprint_from_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = FootprintQuery(instrument, timeframe.Timeframe.parse("1h"), start, end, 10.0, gap_policy="allow_with_metadata")
     found = cached_footprint(asked, cache, lambda a, b: in_range(trades, a, b))
     return found.levels.select("symbol", "time", "price_low", "buy_volume", "sell_volume", "buy_count", "sell_count")
+
+
+@query(f"WITH {BARS} SELECT symbol, time, open, high, low, close, volume, time_close FROM bars WHERE time >= {CUTOFF}")
+def cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All series cached as segments, then replaced by their bars from the cutoff on, and read back against their checksums."""
+    names = {"exchange": F.lit("binance"), "market": F.lit("spot"), "timeframe": F.lit("1h")}
+    bars = tables.bars_1h(spark, sf_dir).withColumns(names)
+    cache = SegmentCache(spark, f"{_scratch(spark)}/cache")
+    cache.write(bars)
+    cache.write(bars.where(F.col("time") >= CUTOFF), start=CUTOFF)
+    return cache.read_all().where(F.col("time") >= CUTOFF).select("symbol", "time", "open", "high", "low", "close", "volume", "time_close")

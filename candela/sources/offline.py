@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.errors import ValidationError
+from candela.errors import from_jobs, UnsupportedFeature, ValidationError
 from candela.functions.timeframe import bucket, canonical, close_time, micros_to_ms
-from candela.operators.quality import guard, text_violations
+from candela.operators.quality import bar_violations, guard, text_violations
 from candela.operators.resample import merge_same_open
 from candela.plans.query import Instrument
 
@@ -26,25 +26,55 @@ def _named(raw: DataFrame, name: str):
     return F.coalesce(*[F.nullif(F.trim(F.col(c)), F.lit("")) for c in found]) if found else F.lit(None).cast("string")
 
 
+def _number(value, kind: str, name: str):
+    """A number of a file: null where nothing is given, an error with a code where it is no number."""
+    wrong = F.raise_error(F.concat(F.lit(f"MD_VALIDATION_ERROR: {name} is no {kind}: "), value.cast("string"))).cast(kind)
+    return F.when(value.isNotNull(), F.coalesce(value.try_cast(kind), wrong))
+
+
+def _checked(bars: DataFrame) -> DataFrame:
+    """Bars by time. A repeated or missing time, a missing price and a bar that is no candle raise ``ValidationError``."""
+    with from_jobs():
+        guard(bars, bars.where(F.col("time").isNull()), "a bar has no time")
+        guard(bars, bar_violations(bars.withColumn("symbol", F.lit("-"))), "a bar of the file is wrong")
+    return bars.orderBy("time")
+
+
 def read_bars_csv(spark: SparkSession, path: str, timeframe: str) -> DataFrame:
-    """``time`` (or an alias), prices, optional ``volume`` (0) and close time (computed); nothing else is read."""
+    """``time`` (or an alias), prices, optional ``volume`` (0) and close time (computed); nothing else is read.
+
+    Rows come by time and checked: see ``_checked``, whose look for a first wrong bar is an action. An empty file has no bars.
+    """
     raw = spark.read.csv(path, header=True, inferSchema=False)
     if not set(ALIASES["time"]) & set(raw.columns):
         raise ValidationError(f"no time column in {path}")
-    time = _named(raw, "time").cast("long")
-    prices = [_named(raw, n).cast("double").alias(n) for n in ("open", "high", "low", "close")]
-    volume = F.coalesce(_named(raw, "volume").cast("double"), F.lit(0.0)).alias("volume")
-    rows = raw.select(time.alias("time"), *prices, volume, _named(raw, "time_close").cast("long").alias("time_close"))
-    return rows.withColumn("time_close", F.coalesce("time_close", close_time(F.col("time"), timeframe)))
+    prices = [_number(_named(raw, n), "double", n).alias(n) for n in ("open", "high", "low", "close")]
+    volume = F.coalesce(_number(_named(raw, "volume"), "double", "volume"), F.lit(0.0)).alias("volume")
+    rows = raw.select(_number(_named(raw, "time"), "long", "time").alias("time"), *prices, volume, _number(_named(raw, "time_close"), "long", "close time").alias("time_close"))
+    return _checked(rows.withColumn("time_close", F.coalesce("time_close", close_time(F.col("time"), timeframe))))
 
 
 def read_bars_parquet(spark: SparkSession, path: str, timeframe: str) -> DataFrame:
+    """As ``read_bars_csv``, of Parquet and without aliases; a column may have any type that casts to its number."""
     raw = spark.read.parquet(path)
-    if "time" not in raw.columns:
-        raise ValidationError(f"no time column in {path}")
-    volume = F.coalesce(F.col("volume").cast("double"), F.lit(0.0)) if "volume" in raw.columns else F.lit(0.0)
-    closes = F.coalesce(F.col("time_close"), close_time(F.col("time"), timeframe)) if "time_close" in raw.columns else close_time(F.col("time"), timeframe)
-    return raw.select("time", "open", "high", "low", "close", volume.alias("volume"), closes.alias("time_close"))
+    lacking = [c for c in ("time", "open", "high", "low", "close") if c not in raw.columns]
+    if lacking:
+        raise ValidationError(f"no {lacking[0]} column in {path}")
+    given = lambda name, kind: _number(F.col(name), kind, name) if name in raw.columns else F.lit(None).cast(kind)
+    rows = raw.select(given("time", "long").alias("time"), *[given(c, "double").alias(c) for c in ("open", "high", "low", "close")],
+                      F.coalesce(given("volume", "double"), F.lit(0.0)).alias("volume"), given("time_close", "long").alias("time_close"))
+    return _checked(rows.withColumn("time_close", F.coalesce("time_close", close_time(F.col("time"), timeframe))))
+
+
+def read_bars(spark: SparkSession, path: str, timeframe: str, *, start: int | None = None, end: int | None = None, max_bars: int | None = None) -> DataFrame:
+    """Bars of a CSV or Parquet file or folder, as its name ends, in ``[start, end)``; the first ``max_bars`` of them."""
+    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if kind not in ("csv", "parquet"):
+        raise UnsupportedFeature(f"can't read {path}")
+    bars = (read_bars_csv if kind == "csv" else read_bars_parquet)(spark, path, timeframe)
+    bars = bars if start is None else bars.where(F.col("time") >= start)
+    bars = bars if end is None else bars.where(F.col("time") < end)
+    return bars if max_bars is None else head(bars, max_bars)
 
 
 #: Columns that a file of canonical bars must have.
