@@ -30,16 +30,27 @@ def _parser() -> argparse.ArgumentParser:
         add(name, "store", timeframe=False)
     add("audit", "store", "source", timeframe=False)
     add("repair", "store", "source", timeframe=False)
+    add("repair-logs", "store", timeframe=False)
+    add("raw-inspect", "store", timeframe=False)
+    add("ws-info", "exchange", "market", "symbol")
+    add("checkpoints", "updates", timeframe=False)
+    add("stream", "root", "updates", timeframe=False)
+    add("fetch", "root", "recorded", "instrument", "start", "end")
     return top
 
 
 def main(arguments: list[str] | None = None) -> int:
     options = _parser().parse_args(arguments)
     from candela import catalog
+    from candela.engine import Engine
+    from candela.functions import identity
+    from candela.functions.timeframe import Timeframe
     from candela.operators import coverage, merge, quality, resample
+    from candela.plans.query import BarQuery, Instrument
     from candela.session import session
-    from candela.sources import offline
-    from candela.store import PARTITIONS, BarStore
+    from candela.sources import decode, offline, recorded
+    from candela.store import PARTITIONS, BarStore, RawStore
+    from candela.streaming import klines
 
     spark = session("candela-cli")
     show = lambda df: [print(json.dumps(r.asDict(recursive=True), default=str)) for r in df.toLocalIterator()]
@@ -62,10 +73,29 @@ def main(arguments: list[str] | None = None) -> int:
                 offline.export(bars.drop("symbol"), options.target, options.kind)
             else:
                 resample.resample(bars, options.to).drop("symbol").write.parquet(options.target)
+        elif options.command == "ws-info":
+            from pyspark.sql import functions as F
+
+            one = spark.range(1).select(identity.kline_stream(options.exchange, F.lit(options.market), F.lit(options.symbol), options.timeframe).alias("s"))
+            show(one.select("s.*"))
+        elif options.command == "raw-inspect":
+            show(RawStore(spark, options.store).inspect())
+        elif options.command == "checkpoints":
+            show(klines.checkpoints(decode.decode_updates(spark.read.text(options.updates))))
+        elif options.command == "stream":
+            done = Engine(spark, options.root).live(decode.decode_updates(spark.readStream.text(options.updates)))
+            print(json.dumps({"ok": done.ok, "outcomes": done.value, "error": done.code, "message": done.message}))
+            return 0 if done.ok else 2
+        elif options.command == "fetch":
+            engine = Engine(spark, options.root, rest=recorded.recorded(spark, options.recorded))
+            end = int(options.end)
+            show(engine.bars(BarQuery(Instrument.parse(options.instrument), Timeframe.parse(options.timeframe), int(options.start), end), end).orderBy("time"))
         else:
             store = BarStore(spark, options.store)
             if options.command == "manifest":
                 show(store.manifest())
+            elif options.command == "repair-logs":
+                show(store.repairs())
             elif options.command == "current":
                 show(store.latest())
             elif options.command == "compact":

@@ -8,6 +8,9 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from candela.errors import UnsupportedFeature
+from candela.functions.timeframe import interval_name
+
 #: Exchanges whose symbols are understood.
 EXCHANGES = ("BINANCE", "BYBIT", "OKX", "COINBASE", "KRAKEN", "KUCOIN", "BITGET", "GATEIO", "HTX", "MEXC")
 #: Stable quote assets.
@@ -97,3 +100,46 @@ def safe_path_part(text: Column) -> Column:
 
 def parsed_bool(text: Column) -> Column:
     return F.lower(F.trim(text)).isin("true", "1", "1.0", "yes", "y")
+
+
+def settlement(symbol: Column, market: Column) -> Column:
+    """The currency in which a contract is settled, as one exchange's requests name it: usdt, or a coin-margined one's own coin."""
+    raw = F.upper(F.trim(symbol))
+    base = F.split_part(F.split_part(raw, F.lit("_"), F.lit(1)), F.lit("-"), F.lit(1))
+    return F.when((F.lower(market) == "linear") | F.contains(raw, F.lit("USDT")), "usdt").otherwise(F.coalesce(F.nullif(F.lower(base), F.lit("")), F.lit("btc")))
+
+
+#: Where the candle streams of an exchange's markets are.
+STREAMS = {
+    ("binance", "spot"): "wss://stream.binance.com:9443/ws",
+    ("binance", "usdm"): "wss://fstream.binancefuture.com/ws",
+    ("bybit", "spot"): "wss://stream.bybit.com/v5/public/spot",
+    ("bybit", "linear"): "wss://stream.bybit.com/v5/public/linear",
+}
+
+
+def kline_stream(exchange: str, market: Column, symbol: Column, timeframe: str) -> Column:
+    """``url, topic, subscribe`` of a symbol's live candles; ``subscribe`` is the message to send, null where the url says all.
+
+    A market that the exchange doesn't stream stops the job with ``MD_SYMBOL_UNSUPPORTED``; null in, null out.
+    """
+    bases = {m: url for (e, m), url in STREAMS.items() if e == exchange}
+    if not bases:
+        raise UnsupportedFeature(f"no candle stream of {exchange}")
+    name = interval_name(timeframe, exchange)
+    known = F.try_element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(bases.items())]), market)
+    base = F.coalesce(known, F.raise_error(F.concat(F.lit(f"MD_SYMBOL_UNSUPPORTED: {exchange} streams no market "), market)).cast("string"))
+    if exchange == "binance":
+        topic = F.concat(F.lower(symbol), F.lit(f"@kline_{name}"))
+        url, message = F.concat_ws("/", base, topic), F.lit(None).cast("string")
+    else:
+        topic = F.concat(F.lit(f"kline.{name}."), F.upper(symbol))
+        url, message = base, F.to_json(F.struct(F.lit("subscribe").alias("op"), F.array(topic).alias("args")))
+    return F.when(market.isNotNull() & symbol.isNotNull(), F.struct(url.alias("url"), topic.alias("topic"), message.alias("subscribe")))
+
+
+def artifact_known(producer_commit: Column, stack_id: Column) -> Column:
+    """Whether a snapshot's producer is named exactly: a full commit hash and a ``sha256:`` hash, in small letters, neither all zeros."""
+    commit = producer_commit.rlike(r"^[0-9a-f]{40}\z") & ~producer_commit.rlike("^0+$")
+    stack = stack_id.rlike(r"^sha256:[0-9a-f]{64}\z") & ~stack_id.rlike("^sha256:0+$")
+    return F.coalesce(commit & stack, F.lit(False))

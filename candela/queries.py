@@ -1112,3 +1112,27 @@ def cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache.write(bars)
     cache.write(bars.where(F.col("time") >= CUTOFF), start=CUTOFF)
     return cache.read_all().where(F.col("time") >= CUTOFF).select("symbol", "time", "open", "high", "low", "close", "volume", "time_close")
+
+
+@query(f"""WITH {SYMBOLS} SELECT p_partkey, CASE WHEN perp THEN 'wss://fstream.binancefuture.com/ws/' ELSE 'wss://stream.binance.com:9443/ws/' END || lower(base || quote) || '@kline_1h' AS url,
+       'kline.60.' || base || quote AS topic, CASE WHEN perp OR contains(base || quote, 'USDT') THEN 'usdt' ELSE lower(base || quote) END AS settled FROM symbols""")
+def kline_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the live candles of every symbol come from at two exchanges, and in what its contract would be settled."""
+    rows = symbols.normalise_symbols(tables.symbols(spark, sf_dir).drop("name"), "binance")
+    market = F.when(F.col("is_perpetual"), "linear").otherwise(F.col("market"))
+    binance = identity.kline_stream("binance", F.col("market"), F.col("exchange_symbol"), "1h")
+    bybit = identity.kline_stream("bybit", market, F.col("exchange_symbol"), "1h")
+    return rows.select("p_partkey", binance.url.alias("url"), bybit.topic.alias("topic"), identity.settlement(F.col("exchange_symbol"), market).alias("settled"))
+
+
+@query("""WITH named AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN repeat('0', 40) WHEN 1 THEN upper(md5(CAST(o_orderkey AS VARCHAR))) || 'abcdefab' WHEN 2 THEN md5(CAST(o_orderkey AS VARCHAR)) ELSE md5(CAST(o_orderkey AS VARCHAR)) || '01234567' END AS commit_,
+       CASE o_orderkey % 7 WHEN 0 THEN md5(o_orderpriority) || md5(CAST(o_orderkey AS VARCHAR)) WHEN 1 THEN NULL ELSE 'sha256:' || md5(o_orderpriority) || md5(CAST(o_orderkey AS VARCHAR)) END AS stack FROM orders)
+       SELECT o_orderkey, coalesce(regexp_full_match(commit_, '[0-9a-f]{40}') AND commit_ <> repeat('0', 40) AND regexp_full_match(stack, 'sha256:[0-9a-f]{64}'), false) AS known FROM named""")
+def artifact_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which orders, read as artifacts with made-up producers, name theirs exactly."""
+    digest = F.md5(F.col("o_orderkey").cast("string"))
+    commit = F.when(F.col("o_orderkey") % 5 == 0, "0" * 40).when(F.col("o_orderkey") % 5 == 1, F.concat(F.upper(digest), F.lit("abcdefab")))
+    commit = commit.when(F.col("o_orderkey") % 5 == 2, digest).otherwise(F.concat(digest, F.lit("01234567")))
+    both = F.concat(F.md5("o_orderpriority"), digest)
+    stack = F.when(F.col("o_orderkey") % 7 == 0, both).when(F.col("o_orderkey") % 7 != 1, F.concat(F.lit("sha256:"), both))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", identity.artifact_known(commit, stack).alias("known"))

@@ -562,8 +562,10 @@ class RawStore:
     def write(self, payloads: DataFrame, series: dict[str, str], *, partition: str | None = None, column: str = "payload", compression: str | None = None) -> str:
         """Append a batch; returns its id, a hash of its lines, so that the same batch written again is one batch."""
         rows = payloads.select(F.col(column).cast("string").alias("payload"))
-        batch = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("payload").cast("decimal(38,0)")).alias("h")).first()
-        name = f"{int(batch['h'] or 0) & ((1 << 64) - 1):016x}-{batch['n']}"
+        # The id is a hash over sums of all lines' SHA-256, quarter by quarter: any order of the lines gives the same.
+        digest = F.sha2(F.coalesce("payload", F.lit("")), 256)
+        quarters = [F.sum(F.conv(F.substring(digest, 1 + 16 * k, 16), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(4)]
+        name = rows.agg(F.sha2(F.concat_ws("/", F.count(F.lit(1)).cast("string"), *quarters), 256).alias("h")).first()["h"]
         keys = {k: F.lit(v) for k, v in series.items()} | {"partition": F.lit(partition or "root"), "batch": F.lit(name)}
         made = rows.withColumns(keys)
         writer = made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
