@@ -626,15 +626,17 @@ def revision_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as revisions of a bar per order, bound to chains, resolved, sealed, stored, and their envelopes read back."""
     from pyspark.sql import Window
 
-    own = Window.partitionBy("l_orderkey")
     n, key = F.col("n"), F.col("l_orderkey")
-    ranked = tables.table(spark, sf_dir, "lineitem").withColumns({
+    instrument = F.concat(F.lit("binance/spot/S"), key % 4)
+    # Series and time stand for the order's key, so that numbering deals the rows as chains need them: one shuffle does.
+    keyed = tables.table(spark, sf_dir, "lineitem").withColumns({"instrument_id": instrument, "series": F.concat(instrument, F.lit("/1m")), "time": key * 60_000})
+    own = Window.partitionBy("series", "time")
+    ranked = keyed.withColumns({
         "n": F.row_number().over(own.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")).cast("long") - 1, "c": F.count(F.lit(1)).over(own),
     })
-    instrument = F.concat(F.lit("binance/spot/S"), key % 4)
     state = F.when(n == 0, "ORIGINAL").when((n == F.col("c") - 1) & (F.col("l_returnflag") == "R"), "REVOKED").otherwise("CORRECTED")
     rows = ranked.select(
-        F.concat(instrument, F.lit("/1m")).alias("series"), instrument.alias("instrument_id"), F.lit("1m").alias("timeframe"), (key * 60_000).alias("time"), (key * 60_000 + 59_999).alias("time_close"),
+        "series", "instrument_id", F.lit("1m").alias("timeframe"), "time", (F.col("time") + 59_999).alias("time_close"),
         *[F.col("l_extendedprice").alias(p) for p in ("open", "high", "low", "close")], F.col("l_quantity").alias("volume"), F.lit("FINAL").alias("finality"), state.alias("revision_state"),
         n.alias("revision"), F.lit("binance").alias("provider"), F.lit("r1").alias("provider_revision"),
     )

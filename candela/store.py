@@ -520,17 +520,37 @@ class SnapshotStore:
 
     def write(self, bars: DataFrame, *, start: int, end: int, keys: Sequence[str] = ("series",), allow_open: bool = False) -> DataFrame:
         """Verify and seal resolved bars, write both; the envelopes. Equal data written again replace themselves."""
-        envelopes = seal(verified(bars), keys=keys, start=start, end=end, allow_open=allow_open)
-        bound = bars.join(envelopes.select(*keys, "snapshot_id"), list(keys))
-        if not allow_open:
-            bound = bound.where("finality = 'FINAL'")
-        for rows, name in ((bound, "bars"), (envelopes, "envelopes")):
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{self.path}/{name}")
+        return self._sealed(verified(bars), start=start, end=end, keys=keys, allow_open=allow_open)
+
+    def _sealed(self, bars: DataFrame, *, start: int, end: int, keys: Sequence[str], allow_open: bool) -> DataFrame:
+        """Seal bars whose hashes hold, write both.
+
+        The bars are made once and written aside until they are sealed. This write's envelopes, a row per series, stay below
+        ``sealed``, so that those that are returned aren't made again either.
+        """
+        name, at = uuid.uuid4().hex, self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        aside, sealed = f"{self.path}/incoming/{name}", f"{self.path}/sealed/{name}"
+        try:
+            bars.write.parquet(aside)
+            held = self.spark.read.schema(bars.schema).parquet(aside)
+            envelopes = seal(held, keys=keys, start=start, end=end, allow_open=allow_open)
+            envelopes.write.parquet(sealed)
+            envelopes = self.spark.read.schema(envelopes.schema).parquet(sealed)
+            bound = held.join(envelopes.select(*keys, "snapshot_id"), list(keys))
+            if not allow_open:
+                bound = bound.where("finality = 'FINAL'")
+            for rows, table in ((bound, "bars"), (envelopes, "envelopes")):
+                rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{self.path}/{table}")
+        finally:
+            at(aside).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at(aside), True)
         return envelopes
 
     def write_revisions(self, rows: DataFrame, *, start: int, end: int, keys: Sequence[str] = ("series",), allow_open: bool = False) -> DataFrame:
-        """Bind revisions (``canonical_rows``) to chains, resolve these, seal and write what is selected; the envelopes."""
-        return self.write(resolved_revisions(rows, keys=(*keys, "time")), start=start, end=end, keys=keys, allow_open=allow_open)
+        """Bind revisions (``canonical_rows``) to chains, resolve these, seal and write what is selected; the envelopes.
+
+        Hashes are made on the way, so they aren't made again to verify them; ``read`` does that.
+        """
+        return self._sealed(resolved_revisions(rows, keys=(*keys, "time")), start=start, end=end, keys=keys, allow_open=allow_open)
 
     def envelopes(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/envelopes")

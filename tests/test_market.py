@@ -202,6 +202,23 @@ def test_revisions_become_a_snapshot_in_one_plan(spark, tmp_path, capsys):
             revisions.resolved_revisions(_revised(spark, steps)).collect()
 
 
+def test_a_snapshot_is_made_of_bars_that_are_asked_for_once(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            asked.add(len(frame))
+            yield frame
+
+    rows = _revised(spark, [(0, "ORIGINAL", 1), (1, "CORRECTED", 2)]).unionByName(_revised(spark, [(0, "ORIGINAL", 4)], 60_000))
+    made = SnapshotStore(spark, f"{tmp_path}/s").write_revisions(rows.mapInPandas(counted, rows.schema), start=0, end=120_000)
+    assert (made.first().bar_count, made.first().complete, asked.value) == (2, True, 3)
+    assert made.collect() == SnapshotStore(spark, f"{tmp_path}/s").envelopes().select(*made.columns).collect()
+    # A chain is folded once, however many conditions ask for what it comes to.
+    plan = revisions.resolved_revisions(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("broken_lineage") == 1
+
+
 def test_projections(spark):
     bars = spark.createDataFrame(
         [("B", "Spot", "s", "1m", 0, 1.0, 2.0, 0.5, 1.5, None, "1.00", "2", "0.50", "1.5", "0", True, "b", "r1"), ("b", "spot", "S", "1m", 60_000, 1.0, 2.0, 0.5, 1.5, 3.0, "1.00", "2", "0.50", "1.5", "3", None, "b", "r1")],
