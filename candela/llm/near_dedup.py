@@ -150,15 +150,26 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("u", "v", "text").mapInArrow(_linked, "u long, v long")
 
 
-def _edges_by_hubs(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """Pairs of a hub and the members of its bucket that are still in another component.
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of ``members(key, node, n, more)`` those of buckets that still hold several components, each with its root.
+
+    Components only grow together, so a bucket of one component stays one: each turn looks at what the turn before left open
+    and not at all members again.
+    """
+    root = F.coalesce("root", "node").alias("root")
+    placed = materialize(members.join(roots, "node", "left").select("key", "node", "n", "more", root), "near-rooted")
+    held = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("key")
+    return materialize(placed.join(held, "key", "left_semi"), "near-open")
+
+
+def _edges_by_hubs(left: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a hub and the members of its bucket that are still in another component; ``left`` is what ``_open`` gives.
 
     A bucket is narrowed here by each of ``FURTHER`` other bands, so that its hubs, members drawn anew each turn, are close
     to the rest.
     """
     hubs_now = HUBS if turn == 1 else LATER_HUBS
-    placed = members.select("key", "node", "n", "more").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = placed.select("node", "n", "root", F.explode(F.transform("more", lambda x: F.xxhash64("key", x))).alias("key"))
+    placed = left.select("node", "n", "root", F.explode(F.transform("more", lambda x: F.xxhash64("key", x))).alias("key"))
     draws = [F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + k)), "node", "n", "root")).alias(f"hub{k}") for k in range(hubs_now)]
     picked = F.array_distinct(F.array(*[F.struct(f"hub{k}.node", f"hub{k}.n", f"hub{k}.root") for k in range(hubs_now)]))
     hubs = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), *draws)
@@ -205,16 +216,14 @@ def _prefixes(rarity: np.ndarray):
     return run
 
 
-def _edges_by_prefixes(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame | None:
+def _edges_by_prefixes(left: DataFrame, texts: DataFrame) -> DataFrame | None:
     """All pairs from different components that can reach the threshold, of members of buckets that hold several components.
 
     The join is exact: texts of a link have their first common shingle, in the order of rarity, in both prefixes, and what
     follows it in either set suffices for the threshold. Of two components at a shingle one isn't the least there, so those
     of the others are paired with all; a frequent shingle is dealt to several tasks.
     """
-    placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("key")
-    left = materialize(texts.join(placed.join(open_, "key").select("node", "root").distinct(), "node").select("node", "root", "text"), "near-open")
+    left = materialize(texts.join(left.select("node", "root").distinct(), "node").select("node", "root", "text"), "near-left")
     counted = left.mapInArrow(_counters, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).where("c > 1")
     # Any order that all tasks share will do, so steps of a tenth are enough: a byte each, 2 to 255 (counts up to 3e10 differ).
     level = F.least(F.ceil(F.log(1.1, "c")) + 1, F.lit(255)) - 128
@@ -261,11 +270,12 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     links = materialize(_confirmed(pairs, texts), "near-links")
     roots = components(links)
-    turn = 1
-    while not (found := materialize(_confirmed(materialize(_edges_by_hubs(members, roots, turn), "near-pairs"), texts), "near-links")).isEmpty():
+    left, turn = _open(members.select("key", "node", "n", "more"), roots), 1
+    while not (found := materialize(_confirmed(materialize(_edges_by_hubs(left, turn), "near-pairs"), texts), "near-links")).isEmpty():
         turn += 1
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
-    if (rest := _edges_by_prefixes(members, roots, texts)) is not None:
+        left = _open(left.drop("root"), roots)
+    if (rest := _edges_by_prefixes(left, texts)) is not None:
         found = materialize(_confirmed(materialize(rest, "near-pairs"), texts), "near-links")
         if not found.isEmpty():
             roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))

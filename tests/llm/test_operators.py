@@ -652,6 +652,18 @@ def template_group(seed, n, shared):
     return form(seed, fields)
 
 
+def test_turns_look_at_open_buckets_only(spark):
+    rows = [(key, node, 10, [key * 10]) for key, nodes in ((1, (1, 2)), (2, (2, 3)), (3, (4, 5, 6))) for node in nodes]
+    members = spark.createDataFrame(rows, "key long, node long, n long, more array<long>")
+    roots = spark.createDataFrame([(1, 1), (2, 1), (4, 4), (5, 4)], "node long, root long")
+    left = near_dedup._open(members, roots)
+    assert sorted((r.key, r.node, r.root) for r in left.collect()) == [(2, 2, 1), (2, 3, 3), (3, 4, 4), (3, 5, 4), (3, 6, 6)]
+    later = near_dedup._open(left.drop("root"), spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)], "node long, root long"))
+    assert sorted((r.key, r.node) for r in later.collect()) == [(3, 4), (3, 5), (3, 6)]
+    # Pairs lead from outside a bucket's least component; the closed bucket gives none.
+    assert {(r.u, r.v) for r in near_dedup._edges_by_hubs(left, 1).collect()} == {(2, 3), (4, 6), (5, 6)}
+
+
 def test_near_groups_on_one_template_equal_brute_force(spark):
     rows = list(enumerate(template_group(7, 1500, 200)))
     want = near_brute(rows)
