@@ -153,8 +153,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Of ``members(key, node, n, more)`` those of buckets that still hold several components, each with its root.
 
-    Components only grow together, so a bucket of one component stays one: each turn looks at what the turn before left open
-    and not at all members again.
+    Components only grow together, so a bucket of one component stays one.
     """
     root = F.coalesce("root", "node").alias("root")
     placed = materialize(members.join(roots, "node", "left").select("key", "node", "n", "more", root), "near-rooted")
@@ -162,8 +161,21 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return materialize(placed.join(held, "key", "left_semi"), "near-open")
 
 
+def _halved(tried: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of ``tried``, the buckets of a turn with the roots from before it, those with half as many components or fewer after it, and still several.
+
+    So a bucket of m members comes to log2(m) + 1 turns at most, however many turns find single links elsewhere. What the
+    others still hold is left to the prefix join.
+    """
+    after = F.coalesce("after", "root").alias("after")
+    placed = materialize(tried.join(roots.withColumnRenamed("root", "after"), "node", "left").select("key", "node", "n", "more", "root", after), "near-rooted")
+    merged = placed.groupBy("key", "root").agg(F.min("after").alias("after")).groupBy("key", "after").agg(F.count(F.lit(1)).alias("c"))
+    fewer = merged.groupBy("key").agg(F.sum("c").alias("had"), F.count(F.lit(1)).alias("has")).where("has > 1 AND 2 * has <= had").select("key")
+    return materialize(placed.join(fewer, "key", "left_semi").select("key", "node", "n", "more", F.col("after").alias("root")), "near-halved")
+
+
 def _edges_by_hubs(left: DataFrame, turn: int) -> DataFrame:
-    """Pairs of a hub and the members of its bucket that are still in another component; ``left`` is what ``_open`` gives.
+    """Pairs of a hub and the members of its bucket that are still in another component; ``left`` is what ``_open`` or ``_halved`` gives.
 
     A bucket is narrowed here by each of ``FURTHER`` other bands, so that its hubs, members drawn anew each turn, are close
     to the rest.
@@ -270,10 +282,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     links = materialize(_confirmed(pairs, texts), "near-links")
     roots = components(links)
-    left, turn = _open(members.select("key", "node", "n", "more"), roots), 1
-    while not (found := materialize(_confirmed(materialize(_edges_by_hubs(left, turn), "near-pairs"), texts), "near-links")).isEmpty():
+    left = _open(members.select("key", "node", "n", "more"), roots)
+    tried, turn = left, 1
+    while not tried.isEmpty():
+        found = materialize(_confirmed(materialize(_edges_by_hubs(tried, turn), "near-pairs"), texts), "near-links")
+        if found.isEmpty():
+            break
         turn += 1
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
+        tried = _halved(tried, roots)
+    if turn > 1:
         left = _open(left.drop("root"), roots)
     if (rest := _edges_by_prefixes(left, texts)) is not None:
         found = materialize(_confirmed(materialize(rest, "near-pairs"), texts), "near-links")
@@ -300,8 +318,8 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Texts with equal shingle sets are one class. Classes that share a band are candidates: each bucket names the class of
     most rows (then the least) its centre and pairs it with every other member, so a bucket of m members gives m-1 pairs. Candidates are
     confirmed on their full sets. Where members of a bucket are still in different components after that, further hubs of
-    the bucket are paired with them, turn after turn until one finds no new link. This is the fast way; where buckets then
-    still hold several components, a prefix join finds every link that remains between them. No bucket is left out or cut.
+    the bucket are paired with them, turn after turn while that halves the bucket's components at least. This is the fast way; where
+    buckets then still hold several components, a prefix join finds every link that remains between them. No bucket is left out or cut.
 
     ``component_id`` is the least id reachable over links (of a text without words: its own id); null ids come out as
     they are and lead no component. Repeated rows share class and component. A text of any length is compared whole. Other

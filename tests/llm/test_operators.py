@@ -664,6 +664,25 @@ def test_turns_look_at_open_buckets_only(spark):
     assert {(r.u, r.v) for r in near_dedup._edges_by_hubs(left, 1).collect()} == {(2, 3), (4, 6), (5, 6)}
 
 
+def test_further_turns_look_at_buckets_whose_components_halved_only(spark):
+    rows = [(key, 10 * key + k, 10, [key * 10], 10 * key + k) for key, size in ((1, 4), (2, 4), (3, 4), (4, 2)) for k in range(size)]
+    tried = spark.createDataFrame(rows, "key long, node long, n long, more array<long>, root long")
+    # Of four components each: bucket 1 is left with two, 2 with three, 3 with one; 4 stays as it was.
+    roots = spark.createDataFrame([(10, 10), (11, 10), (12, 12), (13, 12), (20, 20), (21, 20), (30, 30), (31, 30), (32, 30), (33, 30)], "node long, root long")
+    found = near_dedup._halved(tried, roots)
+    assert sorted((r.key, r.node, r.root) for r in found.collect()) == [(1, 10, 10), (1, 11, 10), (1, 12, 12), (1, 13, 12)]
+
+
+def test_single_links_bring_no_further_turn_over_all_open_buckets(spark, monkeypatch):
+    """Each turn's hubs find a few of the pairs of one template; that must not make the rows of its buckets anew turn after turn."""
+    looked, hubs = [], near_dedup._edges_by_hubs
+    monkeypatch.setattr(near_dedup, "_edges_by_hubs", lambda left, turn: looked.append(left.count()) or hubs(left, turn))
+    rows = list(enumerate(template_group(23, 500, 120)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rows_of(near_dedup.near_groups(table), "doc_id", "n_shingles", "component_id") == near_brute(rows)
+    assert sum(looked) < 1.5 * looked[0]
+
+
 def test_near_groups_on_one_template_equal_brute_force(spark):
     rows = list(enumerate(template_group(7, 1500, 200)))
     want = near_brute(rows)
