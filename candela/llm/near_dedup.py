@@ -181,7 +181,8 @@ def _edges_by_hubs(left: DataFrame, turn: int) -> DataFrame:
     to the rest.
     """
     hubs_now = HUBS if turn == 1 else LATER_HUBS
-    placed = left.select("node", "n", "root", F.explode(F.transform("more", lambda x: F.xxhash64("key", x))).alias("key"))
+    # Written aside, so that hubs and members are taken from one narrowing.
+    placed = materialize(left.select("node", "n", "root", F.explode(F.transform("more", lambda x: F.xxhash64("key", x))).alias("key")), "near-narrowed")
     draws = [F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + k)), "node", "n", "root")).alias(f"hub{k}") for k in range(hubs_now)]
     picked = F.array_distinct(F.array(*[F.struct(f"hub{k}.node", f"hub{k}.n", f"hub{k}.root") for k in range(hubs_now)]))
     hubs = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), *draws)

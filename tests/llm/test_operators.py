@@ -673,6 +673,16 @@ def test_further_turns_look_at_buckets_whose_components_halved_only(spark):
     assert sorted((r.key, r.node, r.root) for r in found.collect()) == [(1, 10, 10), (1, 11, 10), (1, 12, 12), (1, 13, 12)]
 
 
+def test_open_buckets_are_narrowed_once_a_turn(spark, monkeypatch):
+    left = spark.createDataFrame([(1, k, 10, [7, 8, 9], k) for k in range(3)], "key long, node long, n long, more array<long>, root long")
+    wrote, write = [], near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, label: wrote.append((label, df.count())) or write(df, label))
+    pairs = near_dedup._edges_by_hubs(left, 1)
+    assert wrote == [("near-narrowed", 9)]  # and pairs are made from what was written
+    assert "more" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.u, r.v) for r in pairs.collect()} == {(0, 1), (0, 2), (1, 2)}
+
+
 def test_single_links_bring_no_further_turn_over_all_open_buckets(spark, monkeypatch):
     """Each turn's hubs find a few of the pairs of one template; that must not make the rows of its buckets anew turn after turn."""
     looked, hubs = [], near_dedup._edges_by_hubs
